@@ -1,0 +1,6 @@
+"""Streaming.
+
+The attribution workflow has no streaming path: its ``streaming`` option is
+declared and never read, and iterable datasets are rejected.  Nothing is
+built here on purpose; see README "Scope".
+"""
