@@ -46,3 +46,170 @@ def q_influence_loo(spark: SparkSession, sf: str) -> DataFrame:
     train, ev = _counts(spark, sf)
     out = lm.influence_loo(train, ev, alpha=ALPHA)
     return out.select("train_dataset", "eval_dataset", r6("influence").alias("influence"))
+
+
+# ---------------------------------------------------------------- sampling
+from ..operators import sampling, selection, suites  # noqa: E402
+from ..sources.tables import table  # noqa: E402
+
+SEED = 42
+
+
+def _docs(spark, sf):
+    return corpora.train_rows(spark, sf).select("dataset", F.col("row_id").alias("doc_id"))
+
+
+@register("sample_exact", O.sample_sql(f"SELECT source AS dataset, doc_id FROM documents",
+                                       ["dataset"], "doc_id", ["dataset", "doc_id"], k=7,
+                                       seed=SEED, salt="m1"))
+def q_sample_exact(spark, sf):
+    """M1: 7 documents from every source (k < N)."""
+    return sampling.sample(_docs(spark, sf), 7, key="doc_id", seed=SEED, salt="m1")
+
+
+@register("sample_wraparound", O.sample_sql(f"SELECT source AS dataset, doc_id FROM documents",
+                                            ["dataset"], "doc_id", ["dataset", "doc_id"], k=120,
+                                            seed=SEED, salt="m2"))
+def q_sample_wraparound(spark, sf):
+    """M2: 120 documents from every source; k > N wraps around."""
+    return sampling.sample(_docs(spark, sf), 120, key="doc_id", seed=SEED, salt="m2")
+
+
+# Per-source sample sizes of the corpus builder (a parameter table; sources
+# without an entry are dropped, like corpora that are not listed).
+SPEC_ROWS = [("src0", 400), ("src1", 40), ("src2", 10), ("src3", 1), ("src4", 100), ("src5", 60)]
+SPEC_SQL = " UNION ALL ".join(f"SELECT '{d}' AS dataset, CAST({k} AS BIGINT) AS k" for d, k in SPEC_ROWS)
+
+
+@register("corpus_sample_by_spec", O.sample_sql(
+    "SELECT source AS dataset, doc_id FROM documents", ["dataset"], "doc_id",
+    ["dataset", "doc_id"], spec=SPEC_SQL, seed=SEED, salt="m3"))
+def q_corpus_sample_by_spec(spark, sf):
+    """M3: per-source sample sizes from a spec table (broadcast)."""
+    spec = spark.createDataFrame(SPEC_ROWS, "dataset string, k long")
+    return sampling.sample(_docs(spark, sf), spec, key="doc_id", seed=SEED, salt="m3")
+
+
+@register("stratified_256", O.sample_sql("SELECT lang, doc_id FROM documents", ["lang"], "doc_id",
+                                         ["lang", "doc_id"], k=256, seed=SEED, salt="m4"))
+def q_stratified_256(spark, sf):
+    """M4: 256 documents per language (small languages wrap around)."""
+    d = table(spark, sf, "documents").select("lang", "doc_id")
+    return sampling.sample(d, 256, by="lang", key="doc_id", seed=SEED, salt="m4")
+
+
+@register("each_eval_samples", O.sample_sql(O.EVAL_ROWS.replace(", text", ""), ["dataset"], "row_id",
+                                            ["dataset", "row_id"], k=32, seed=SEED, salt="m5"))
+def q_each_eval_samples(spark, sf):
+    """M5: ``each_eval_samples`` = 32 rows per evaluation dataset."""
+    ev = corpora.eval_rows(spark, sf).select("dataset", "row_id")
+    return sampling.sample(ev, 32, key="row_id", seed=SEED, salt="m5")
+
+
+@register("max_samples", O.sample_sql("SELECT 'all' AS _all, source AS dataset, doc_id FROM documents",
+                                      ["_all"], "doc_id", ["dataset", "doc_id"], k=100,
+                                      seed=SEED, salt="m6"))
+def q_max_samples(spark, sf):
+    """M6: ``max_train_samples`` = 100 rows over the whole training table."""
+    return sampling.sample_rows(_docs(spark, sf), 100, key="doc_id", seed=SEED, salt="m6")
+
+
+EIGHT = [f"src{i}" for i in range(8)]
+EIGHT_SQL = "SELECT source AS dataset, doc_id FROM documents WHERE source IN (" + \
+    ", ".join(f"'{s}'" for s in EIGHT) + ")"
+
+
+@register("mixture_equal", O.sample_sql(EIGHT_SQL, ["dataset"], "doc_id", ["dataset", "doc_id"],
+                                        k=60, seed=SEED, salt="equal"))
+def q_mixture_equal(spark, sf):
+    """M7: equal mixture, 60 rows from each of 8 sources."""
+    d = selection.include(_docs(spark, sf), EIGHT)
+    return sampling.equal_mixture(d, 60, seed=SEED)
+
+
+WEIGHTED_TOTAL = 400
+_FRAC_SQL = " UNION ALL ".join(
+    f"SELECT '{d}' AS dataset, CAST(floor({WEIGHTED_TOTAL} * {f}) AS BIGINT) AS k"
+    for d, f in zip(EIGHT, O.MIXTURE_FRACTIONS))
+
+
+@register("mixture_weighted", O.sample_sql(EIGHT_SQL, ["dataset"], "doc_id", ["dataset", "doc_id"],
+                                           spec=_FRAC_SQL, seed=SEED, salt="mixture"))
+def q_mixture_weighted(spark, sf):
+    """M8: weighted mixture of 8 sources, total 400."""
+    fr = spark.createDataFrame(list(zip(EIGHT, O.MIXTURE_FRACTIONS)), "dataset string, frac double")
+    d = selection.include(_docs(spark, sf), EIGHT)
+    return sampling.mixture(d, fr, WEIGHTED_TOTAL, seed=SEED)
+
+
+# ---------------------------------------------------------------- selection
+@register("dense_index", "SELECT source AS dataset, doc_id, "
+          "CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS \"index\" "
+          "FROM documents")
+def q_dense_index(spark, sf):
+    """0-based ordinal per dataset (distributed ordinal)."""
+    return sampling.with_index(_docs(spark, sf), "dataset", "doc_id")
+
+
+@register("select_datasets", "SELECT source AS dataset, doc_id FROM documents "
+          "WHERE source IN ('src1', 'src3', 'src5')")
+def q_select_datasets(spark, sf):
+    """P8 (+P10 check): include three datasets."""
+    return selection.select_datasets(_docs(spark, sf), ["src1", "src3", "src5"])
+
+
+@register("loo_select", "SELECT source AS dataset, doc_id FROM documents "
+          "WHERE source NOT IN ('src0', 'src19')")
+def q_loo_select(spark, sf):
+    """P8 with "all" (disabled) then P9 leave-out."""
+    return selection.select_datasets(_docs(spark, sf), ["all"], ["src0", "src19"])
+
+
+@register("coverage_check", """
+SELECT coalesce(r.dataset, f.dataset) AS dataset, r.dataset IS NOT NULL AS requested,
+       f.dataset IS NOT NULL AS found
+FROM (SELECT unnest(['src0', 'src5', 'src99']) AS dataset) r
+FULL OUTER JOIN (SELECT DISTINCT source AS dataset FROM documents) f ON r.dataset = f.dataset""")
+def q_coverage_check(spark, sf):
+    """P10: requested vs found names (src99 requested but absent)."""
+    return selection.coverage(_docs(spark, sf), ["src0", "src5", "src99"])
+
+
+@register("distinct_datasets", """
+SELECT dataset, first_key, CAST(row_number() OVER (ORDER BY first_key, dataset) - 1 AS BIGINT) AS position
+FROM (SELECT source AS dataset, min(doc_id) AS first_key FROM documents GROUP BY source)""")
+def q_distinct_datasets(spark, sf):
+    """Distinct datasets in first-appearance order."""
+    return selection.distinct_in_order(_docs(spark, sf), "doc_id")
+
+
+# ---------------------------------------------------------------- suites
+@register("toxic_suite", O.sample_sql(
+    f"SELECT generation AS inputs_pretokenized, \"group\" AS dataset, key FROM ({O.TOXIC_RAW}) "
+    "WHERE prompt_label = 1 AND len(string_split(generation, ' ')) > 8 "
+    "AND len(string_split(generation, ' ')) <= 24",
+    ["dataset"], "key", ["inputs_pretokenized", "dataset", "key"], k=256, seed=SEED, salt="toxic"))
+def q_toxic_suite(spark, sf):
+    """B1 (P5, P6, T1, M4)."""
+    return suites.toxic_prompts(corpora.toxic_prompt_raw(spark, sf), seed=SEED)
+
+
+@register("coref_suite", O.sample_sql(
+    f"SELECT * FROM ({O.COREF_ROWS}) WHERE dataset IS NOT NULL", ["dataset"], "key",
+    ["inputs_pretokenized", "dataset", "key"], k=256, seed=SEED, salt="coref"))
+def q_coref_suite(spark, sf):
+    """B2 (P7, T2, T6, M4) with word lists {the, that} / {and, of}."""
+    pro, anti = corpora.minimal_pair_raw(spark, sf)
+    return suites.minimal_pairs(pro, anti, seed=SEED, female=["the", "that"], male=["and", "of"])
+
+
+QA_MIN = 45  # drops one category at sf0.01 (health, 42 pairs)
+
+
+@register("qa_suite", O.sample_sql(
+    f"SELECT * FROM ({O.QA_ROWS}) WHERE dataset IN (SELECT dataset FROM ({O.QA_ROWS}) "
+    f"GROUP BY dataset HAVING count(*) >= {QA_MIN})", ["dataset"], "pair_key",
+    ["inputs_pretokenized", "targets_pretokenized", "dataset", "pair_key"], k=256, seed=SEED, salt="qa"))
+def q_qa_suite(spark, sf):
+    """B3 (T3, T4, T5, T7, HAVING count >= 80, M4)."""
+    return suites.qa_falsehoods(corpora.qa_raw(spark, sf), min_count=QA_MIN, seed=SEED)

@@ -54,3 +54,75 @@ loo AS (
 SELECT loo.dataset AS train_dataset, loo.eval_dataset,
        round((loo.s - base.s) / ne.n_e, 6) AS influence
 FROM loo JOIN base USING (eval_dataset) JOIN ne USING (eval_dataset)"""
+
+
+def sample_sql(rows: str, by: list[str], key: str, cols: list[str], k: int | None = None,
+               spec: str | None = None, seed=42, salt: str = "") -> str:
+    """SQL twin of ``sampling.sample``: full epochs by unnest(range(q)), the
+    remainder as the first r of md5(seed:by:epoch:key)."""
+    b = ", ".join(by)
+    on = " AND ".join(f"r.{c} = s.{c}" for c in by)
+    kexpr = f"CAST({k} AS BIGINT)" if k is not None else "sp.k"
+    spec_join = f" JOIN ({spec}) sp USING ({b})" if spec is not None else ""
+    hk = ", ".join([f"'{seed}{salt}'"] + [f"CAST(r.{c} AS VARCHAR)" for c in by]
+                   + ["CAST(s.q AS VARCHAR)", f"CAST(r.{key} AS VARCHAR)"])
+    c = ", ".join(f"r.{x}" for x in cols)
+    c2 = ", ".join(cols)
+    return f"""
+WITH r AS ({rows}),
+n AS (SELECT {b}, count(*) AS n FROM r GROUP BY {b}),
+s AS (SELECT {b}, {kexpr} // n AS q, {kexpr} % n AS rr FROM n{spec_join}),
+fullq AS (SELECT {c}, unnest(range(s.q)) AS epoch FROM r JOIN s ON {on} WHERE s.q > 0),
+part AS (SELECT {c}, s.q AS epoch, s.rr,
+                row_number() OVER (PARTITION BY {", ".join("r." + x for x in by)}
+                                   ORDER BY md5(concat_ws(':', {hk})), r.{key}) AS rn
+         FROM r JOIN s ON {on} WHERE s.rr > 0)
+SELECT {c2}, epoch FROM fullq UNION ALL SELECT {c2}, epoch FROM part WHERE rn <= rr"""
+
+
+DOC_LINES = ("SELECT d.doc_id, d.lang, d.text, u.line, u.line_no FROM documents d, "
+             "LATERAL (SELECT unnest(string_split(d.text, chr(10))) AS line, "
+             "generate_subscripts(string_split(d.text, chr(10)), 1) - 1 AS line_no) u")
+
+TOXIC_RAW = f"""SELECT x.line AS generation, x.lang AS "group", l.toxic AS prompt_label,
+  CAST(x.doc_id AS VARCHAR) || ':' || CAST(x.line_no AS VARCHAR) AS key
+  FROM ({DOC_LINES}) x LEFT JOIN labels l ON l.doc_id = x.doc_id"""
+
+COREF_ROWS = f"""SELECT array_to_string(string_split(x.line, ' '), ' ') AS inputs_pretokenized,
+  CASE WHEN f AND NOT m THEN t || '_female' WHEN m AND NOT f THEN t || '_male' END AS dataset,
+  key FROM (
+   SELECT line, CASE WHEN doc_id % 2 = 0 THEN 'pro' ELSE 'anti' END AS t,
+     list_has_any(string_split(line, ' '), ['the', 'that']) AS f,
+     list_has_any(string_split(line, ' '), ['and', 'of']) AS m,
+     CAST(doc_id AS VARCHAR) || ':' || CAST(line_no AS VARCHAR) AS key
+   FROM ({DOC_LINES}) WHERE lang = 'en') x"""
+
+QA_RAW = """
+SELECT q.text AS question,
+  (['Indexical Error: Time', 'Confusion: People', 'Misconceptions', 'Law', 'Health'])[q.conv_id % 5 + 1] AS category,
+  a.answers AS incorrect_answers,
+  CAST(q.conv_id AS VARCHAR) || ':' || CAST(q.turn AS VARCHAR) AS key
+FROM conversations q JOIN (
+  SELECT conv_id, q_turn, list(text ORDER BY turn) AS answers FROM (
+    SELECT conv_id, turn, role, text,
+           max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q_turn
+    FROM conversations)
+  WHERE role = 'assistant' AND q_turn IS NOT NULL GROUP BY conv_id, q_turn) a
+ON a.conv_id = q.conv_id AND a.q_turn = q.turn
+WHERE q.role = 'user'"""
+
+USTRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+QA_ROWS = f"""
+SELECT {USTRIP.format(x='question')} AS inputs_pretokenized,
+       {USTRIP.format(x='ans')} AS targets_pretokenized,
+       CASE WHEN contains(category, 'Indexical Error') THEN 'indexical_error'
+            WHEN contains(category, 'Confusion') THEN 'confusion' ELSE lower(category) END AS dataset,
+       key || ':' || CAST(answer_no AS VARCHAR) AS pair_key
+FROM (SELECT question, category, key, unnest(incorrect_answers) AS ans,
+             generate_subscripts(incorrect_answers, 1) - 1 AS answer_no FROM ({QA_RAW}))"""
+
+# The weighted-mixture fractions, in the reference's order,
+# applied to sources src0 .. src7.
+MIXTURE_FRACTIONS = [0.30, 0.20, 0.15, 0.10, 0.10, 0.05, 0.05, 0.05]

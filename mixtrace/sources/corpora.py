@@ -34,3 +34,53 @@ def bench_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bench_rows(spark, sf_dir).unionByName(toxic_rows(spark, sf_dir))
+
+
+def toxic_prompt_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1 input: one ``generation`` per document line, ``group`` = language,
+    ``prompt_label`` = the document's toxic label (NULL when unlabelled)."""
+    d = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("prompt_label"))
+    lines = d.select("doc_id", F.col("lang").alias("group"),
+                     F.posexplode(F.split("text", "\n")).alias("line_no", "generation"))
+    return (lines.join(lab, "doc_id", "left")
+            .withColumn("key", F.concat_ws(":", F.col("doc_id").cast("string"),
+                                           F.col("line_no").cast("string"))))
+
+
+def minimal_pair_raw(spark: SparkSession, sf_dir: str):
+    """B2 inputs: English document lines as space-split token lists; even
+    ``doc_id`` -> pro table, odd -> anti table."""
+    d = table(spark, sf_dir, "documents").filter(F.col("lang") == "en")
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = lines.select("doc_id", F.split("line", " ").alias("tokens"),
+                        F.concat_ws(":", F.col("doc_id").cast("string"),
+                                    F.col("line_no").cast("string")).alias("key"))
+    pro = rows.filter(F.col("doc_id") % 2 == 0).select("tokens", "key")
+    anti = rows.filter(F.col("doc_id") % 2 == 1).select("tokens", "key")
+    return pro, anti
+
+
+# The Q/A categories assigned by conv_id mod 5, in order.
+QA_CATEGORIES = ["Indexical Error: Time", "Confusion: People", "Misconceptions", "Law", "Health"]
+
+
+def qa_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B3 input: each user turn is a question; its incorrect answers are the
+    assistant turns that follow it up to the next user turn."""
+    from pyspark.sql.window import Window
+    c = table(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    tagged = c.withColumn("q_turn", F.max(F.when(F.col("role") == "user", F.col("turn"))).over(w))
+    answers = (tagged.filter((F.col("role") == "assistant") & F.col("q_turn").isNotNull())
+               .groupBy("conv_id", "q_turn")
+               .agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("a")))
+    qs = c.filter(F.col("role") == "user").select("conv_id", F.col("turn").alias("q_turn"),
+                                                   F.col("text").alias("question"))
+    cat = F.element_at(F.array(*[F.lit(x) for x in QA_CATEGORIES]),
+                       (F.col("conv_id") % len(QA_CATEGORIES)).cast("int") + 1)
+    return (qs.join(answers, ["conv_id", "q_turn"])
+            .select("question", cat.alias("category"),
+                    F.transform("a", lambda s: s["text"]).alias("incorrect_answers"),
+                    F.concat_ws(":", F.col("conv_id").cast("string"),
+                                F.col("q_turn").cast("string")).alias("key")))
