@@ -147,3 +147,16 @@ def influence_loo(train_counts: DataFrame, eval_counts: DataFrame, alpha: float
             - F.col("b") / tot[F.col("eval_dataset")])
     return long.select(F.col("dataset").alias("train_dataset"), "eval_dataset",
                        infl.alias("influence"))
+
+
+def example_losses(rows: DataFrame, model: DataFrame, logz: float, alpha: float = 1.0,
+                   key: str = "row_id", pattern: str = WORD_SPLIT) -> DataFrame:
+    """Per-example (dataset, key, nll, n_tok) under a fitted unigram model.
+
+    Tokens outside the model's vocabulary get the smoothing mass ln(alpha).
+    """
+    toks = rows.select("dataset", key, F.explode(word_tokens("text", pattern)).alias("tok"))
+    j = join_checked(toks, model.select("tok", "theta"), "tok", "left")
+    nll = F.lit(float(logz)) - F.coalesce(F.col("theta"), F.log(F.lit(alpha)))
+    return j.groupBy("dataset", key).agg(F.sum(nll).alias("nll"),
+                                         F.count(F.lit(1)).cast("long").alias("n_tok"))

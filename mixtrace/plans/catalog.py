@@ -213,3 +213,170 @@ QA_MIN = 45  # drops one category at sf0.01 (health, 42 pairs)
 def q_qa_suite(spark, sf):
     """B3 (T3, T4, T5, T7, HAVING count >= 80, M4)."""
     return suites.qa_falsehoods(corpora.qa_raw(spark, sf), min_count=QA_MIN, seed=SEED)
+
+
+# ---------------------------------------------------------------- tokens, packing, batches
+from ..functions.arrays import ids_string  # noqa: E402
+from ..operators import batching, evaluate, packing, tokens  # noqa: E402
+
+VOCAB_MAX, VOCAB_MIN = 5000, 2
+
+
+def _vocab(spark, sf):
+    return tokens.vocab_build(corpora.train_rows(spark, sf), max_size=VOCAB_MAX, min_count=VOCAB_MIN)
+
+
+@register("vocab_build", O.vocab_sql(VOCAB_MAX, VOCAB_MIN))
+def q_vocab_build(spark, sf):
+    """K1: vocabulary job, top 5000 tokens seen at least twice, dense ids."""
+    return _vocab(spark, sf)
+
+
+@register("encode", O.encode_sql(VOCAB_MAX, VOCAB_MIN))
+def q_encode(spark, sf):
+    """K1: encode the evaluation rows with the vocabulary; <unk> fallback."""
+    enc = tokens.encode(corpora.eval_rows(spark, sf), _vocab(spark, sf), ["dataset", "row_id"])
+    return enc.select("dataset", "row_id", F.size("ids").cast("long").alias("n_ids"),
+                      F.size(F.filter("ids", lambda x: x == tokens.UNK_ID)).cast("long").alias("n_unk"),
+                      F.md5(ids_string("ids")).alias("ids_md5"))
+
+
+PACK_BLOCK, PACK_BATCH = 1024, 16
+
+
+@register("pack_blocks", O.pack_sql(PACK_BLOCK, PACK_BATCH))
+def q_pack_blocks(spark, sf):
+    """K2-K3: space-split documents packed per source, 16-document batches, 1024 blocks."""
+    d = table(spark, sf, "documents").select(F.col("source").alias("dataset"), "doc_id",
+                                             F.split("text", " ").alias("input_ids"))
+    p = packing.pack(d, block_size=PACK_BLOCK, batch_docs=PACK_BATCH)
+    return p.select("dataset", "batch_id", "block_no",
+                    F.size("input_ids").cast("long").alias("n_tokens"),
+                    F.md5(F.array_join("input_ids", " ")).alias("block_md5"))
+
+
+def _event_batches(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("dataset"), "event_id")
+    return batching.task_batches(e, 8, order="event_id")
+
+
+@register("task_batches", O.task_batches_sql("SELECT event_type AS dataset, event_id FROM events",
+                                             "event_id", 8))
+def q_task_batches(spark, sf):
+    """Events as an evaluation table (dataset = event_type), batches of 8."""
+    return _event_batches(spark, sf)
+
+
+@register("task_batches_shuffled", f"""
+WITH tb AS ({O.task_batches_sql("SELECT event_type AS dataset, event_id FROM events", "event_id", 8)}),
+r AS (SELECT batch_id, CAST(row_number() OVER (ORDER BY md5(concat_ws(':', '{SEED}batches',
+                 CAST(batch_id AS VARCHAR))), batch_id) - 1 AS BIGINT) AS new_id
+      FROM (SELECT DISTINCT batch_id FROM tb))
+SELECT tb.dataset, tb.event_id, tb.pos, tb.batch_id AS orig_batch_id, r.new_id AS batch_id
+FROM tb JOIN r USING (batch_id)""")
+def q_task_batches_shuffled(spark, sf):
+    """Whole batches permuted, rows inside a batch untouched."""
+    return batching.shuffle_batches(_event_batches(spark, sf), seed=SEED)
+
+
+EVAL_BS = 8
+
+
+def _fitted(spark, sf):
+    train, ev = _counts(spark, sf)
+    vocab = lm.vocabulary(train, ev)
+    v = vocab.count()
+    n = train.agg(F.sum("cnt")).first()[0]
+    model = lm.fit_unigram(train, vocab, ALPHA)
+    return train, ev, model, v, n
+
+
+def _lm_losses(spark, sf):
+    _, _, model, v, n = _fitted(spark, sf)
+    logz = __import__("math").log(n + ALPHA * v)
+    rows = corpora.eval_rows(spark, sf)
+    ex = lm.example_losses(rows, model, logz, ALPHA)
+    b = batching.task_batches(rows.select("dataset", "row_id"), EVAL_BS, order="row_id")
+    return b.join(ex, ["dataset", "row_id"])
+
+
+@register("batch_loss", f"WITH {O.lm_losses_ctes(ALPHA, EVAL_BS)} "
+          "SELECT dataset, batch_id, round(loss, 6) AS loss, n_rows, n_tok FROM bl")
+def q_batch_loss(spark, sf):
+    """Unigram-model mean NLL over the tokens of each evaluation batch."""
+    b = evaluate.batch_loss(_lm_losses(spark, sf))
+    return b.select("dataset", "batch_id", r6("loss").alias("loss"), "n_rows", "n_tok")
+
+
+@register("eval_loss", f"WITH {O.lm_losses_ctes(ALPHA, EVAL_BS)} "
+          "SELECT dataset, round(sum(loss * n_rows) / sum(n_rows), 6) AS loss FROM bl GROUP BY ROLLUP (dataset)")
+def q_eval_loss(spark, sf):
+    """Batch-weighted per-dataset and overall evaluation loss."""
+    e = evaluate.eval_loss(_lm_losses(spark, sf), "batch")
+    return e.select("dataset", r6("loss").alias("loss"))
+
+
+@register("eval_loss_token", f"WITH {O.lm_losses_ctes(ALPHA, EVAL_BS)} "
+          "SELECT dataset, round(sum(nll) / sum(n_tok), 6) AS loss FROM l GROUP BY ROLLUP (dataset)")
+def q_eval_loss_token(spark, sf):
+    """E5: token-weighted variant."""
+    e = evaluate.eval_loss(_lm_losses(spark, sf), "token")
+    return e.select("dataset", r6("loss").alias("loss"))
+
+
+@register("eval_log_wide", f"""WITH {O.lm_losses_ctes(ALPHA, EVAL_BS)},
+el AS (SELECT dataset, sum(loss * n_rows) / sum(n_rows) AS loss FROM bl GROUP BY ROLLUP (dataset))
+SELECT round(max(CASE WHEN dataset IS NULL THEN loss END), 6) AS eval_loss,
+       round(max(CASE WHEN dataset = 'bench' THEN loss END), 6) AS eval_loss_bench,
+       round(max(CASE WHEN dataset = 'toxic' THEN loss END), 6) AS eval_loss_toxic FROM el""")
+def q_eval_log_wide(spark, sf):
+    """Metric names eval_loss / eval_loss_<dataset>, long -> wide with explicit names."""
+    e = evaluate.eval_loss(_lm_losses(spark, sf), "batch")
+    long = e.select(evaluate.metric_name().alias("metric"), r6("loss").alias("value"))
+    names = [r[0] for r in long.select("metric").distinct().collect()]
+    return evaluate.eval_log_wide(long, names)
+
+
+@register("sample_counts", f"""
+SELECT 'train' AS split, count(*) AS n_rows, CAST(100 AS BIGINT) AS max_samples, least(count(*), 100) AS samples FROM documents
+UNION ALL
+SELECT 'eval', count(*), CAST(NULL AS BIGINT), count(*) FROM ({O.EVAL_ROWS})""")
+def q_sample_counts(spark, sf):
+    """train_samples = min(max_train_samples, len); eval without a maximum."""
+    tr = corpora.train_rows(spark, sf).agg(F.count(F.lit(1)).alias("n_rows")) \
+        .select(F.lit("train").alias("split"), "n_rows", F.lit(100).cast("long").alias("max_samples"))
+    ev = corpora.eval_rows(spark, sf).agg(F.count(F.lit(1)).alias("n_rows")) \
+        .select(F.lit("eval").alias("split"), "n_rows", F.lit(None).cast("long").alias("max_samples"))
+    return evaluate.sample_counts(tr.unionByName(ev))
+
+
+@register("eval_schedule", """
+SELECT dataset, step FROM (SELECT source AS dataset, count(*) AS n FROM documents GROUP BY source) c,
+  LATERAL (SELECT unnest(range(1, c.n + 1)) AS step)
+WHERE step % 16 = 0 OR step IN (1, 50, 100, 200)""")
+def q_eval_schedule(spark, sf):
+    """One step per training document (batch 1, one epoch); evaluate every
+    16 steps and at the denser extra steps."""
+    per = corpora.train_rows(spark, sf).groupBy("dataset").agg(F.count(F.lit(1)).alias("n_steps"))
+    steps = batching.run_steps(spark, per, run="dataset")
+    return batching.eval_schedule(steps, 16, denser=True)
+
+
+@register("lm_fit", f"""WITH {O.counts_ctes(ALPHA)}
+SELECT tok, CAST(coalesce(cw.C, 0) AS BIGINT) AS count, round(ln(coalesce(cw.C, 0) + {float(ALPHA)}), 6) AS theta
+FROM vocab LEFT JOIN cw USING (tok)""")
+def q_lm_fit(spark, sf):
+    """Closed-form unigram fit over the train+eval vocabulary."""
+    _, _, model, _, _ = _fitted(spark, sf)
+    return model.select("tok", "count", r6("theta").alias("theta"))
+
+
+@register("lm_eval_loss", f"""WITH {O.counts_ctes(ALPHA)}
+SELECT ec.eval_dataset, round(sum(ec.cnt * (ln(nt.N + {float(ALPHA)} * vs.V) - ln(coalesce(cw.C, 0) + {float(ALPHA)}))) / sum(ec.cnt), 6) AS loss,
+       CAST(sum(ec.cnt) AS BIGINT) AS n_tokens
+FROM ec LEFT JOIN cw USING (tok) CROSS JOIN nt CROSS JOIN vs GROUP BY ec.eval_dataset""")
+def q_lm_eval_loss(spark, sf):
+    """Loss of the fitted model on each evaluation set (token mean)."""
+    train, ev, model, v, n = _fitted(spark, sf)
+    out = lm.eval_loss_full(model, ev, v, n, ALPHA)
+    return out.select("eval_dataset", r6("loss").alias("loss"), "n_tokens")

@@ -126,3 +126,64 @@ FROM (SELECT question, category, key, unnest(incorrect_answers) AS ans,
 # The weighted-mixture fractions, in the reference's order,
 # applied to sources src0 .. src7.
 MIXTURE_FRACTIONS = [0.30, 0.20, 0.15, 0.10, 0.10, 0.05, 0.05, 0.05]
+
+
+def vocab_sql(max_size: int, min_count: int) -> str:
+    return f"""
+SELECT tok, count, CAST(row_number() OVER (ORDER BY count DESC, tok) - 1 + 4 AS INTEGER) AS id
+FROM (SELECT tok, count(*) AS count FROM (SELECT unnest({tok()}) AS tok FROM documents)
+      GROUP BY tok HAVING count(*) >= {min_count})
+QUALIFY row_number() OVER (ORDER BY count DESC, tok) <= {max_size}"""
+
+
+def encode_sql(max_size: int, min_count: int) -> str:
+    return f"""
+WITH v AS ({vocab_sql(max_size, min_count)}),
+t AS (SELECT dataset, row_id, unnest({tok()}) AS tok, generate_subscripts({tok()}, 1) AS pos
+      FROM ({EVAL_ROWS}))
+SELECT dataset, row_id, count(*) AS n_ids,
+       CAST(sum(CASE WHEN v.id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_unk,
+       md5(string_agg(CAST(coalesce(v.id, 1) AS VARCHAR), ',' ORDER BY pos)) AS ids_md5
+FROM t LEFT JOIN v USING (tok) GROUP BY dataset, row_id"""
+
+
+def pack_sql(block: int, batch_docs: int) -> str:
+    return f"""
+WITH d AS (SELECT source AS dataset, doc_id, string_split(text, ' ') AS ids FROM documents),
+o AS (SELECT *, (row_number() OVER (PARTITION BY dataset ORDER BY doc_id) - 1) // {batch_docs} AS batch_id,
+             CAST(len(ids) AS BIGINT) AS l FROM d),
+s AS (SELECT *, CAST(coalesce(sum(l) OVER (PARTITION BY dataset, batch_id ORDER BY doc_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+             CAST(sum(l) OVER (PARTITION BY dataset, batch_id) AS BIGINT) AS total FROM o),
+k AS (SELECT *, CASE WHEN total >= {block} THEN total // {block} * {block} ELSE total END AS keep FROM s),
+t AS (SELECT dataset, batch_id, start + p - 1 AS pos, tok, keep
+      FROM (SELECT dataset, batch_id, start, keep, unnest(ids) AS tok, generate_subscripts(ids, 1) AS p FROM k))
+SELECT dataset, CAST(batch_id AS BIGINT) AS batch_id, CAST(pos // {block} AS BIGINT) AS block_no,
+       count(*) AS n_tokens, md5(string_agg(tok, ' ' ORDER BY pos)) AS block_md5
+FROM t WHERE pos < keep GROUP BY ALL"""
+
+
+def task_batches_sql(rows: str, order: str, bs: int) -> str:
+    """rows(dataset, <order>) -> + batch_id, pos."""
+    return f"""
+WITH e AS ({rows}),
+per AS (SELECT dataset, min({order}) AS f, (count(*) + {bs - 1}) // {bs} AS nb FROM e GROUP BY dataset),
+off AS (SELECT dataset, sum(nb) OVER (ORDER BY f, dataset) - nb AS off FROM per),
+o AS (SELECT e.*, row_number() OVER (PARTITION BY dataset ORDER BY {order}) - 1 AS ord FROM e)
+SELECT o.* EXCLUDE (ord), CAST(off.off + o.ord // {bs} AS BIGINT) AS batch_id,
+       CAST(o.ord % {bs} AS BIGINT) AS pos
+FROM o JOIN off USING (dataset)"""
+
+
+def lm_losses_ctes(alpha: float, bs: int) -> str:
+    """ex(dataset,row_id,nll,n_tok), bl(dataset,batch_id,loss,n_rows,n_tok) on the eval rows."""
+    a = float(alpha)
+    return f"""{counts_ctes(alpha)},
+b AS ({task_batches_sql(f"SELECT dataset, row_id FROM ({EVAL_ROWS})", "row_id", bs)}),
+ex AS (SELECT x.dataset, x.row_id,
+              sum(ln(nt.N + {a} * vs.V) - ln(coalesce(cw.C, 0) + {a})) AS nll, count(*) AS n_tok
+       FROM (SELECT dataset, row_id, unnest({tok()}) AS tok FROM ({EVAL_ROWS})) x
+       LEFT JOIN cw USING (tok) CROSS JOIN nt CROSS JOIN vs GROUP BY ALL),
+l AS (SELECT b.dataset, b.batch_id, ex.row_id, ex.nll, ex.n_tok FROM b JOIN ex USING (dataset, row_id)),
+bl AS (SELECT dataset, batch_id, sum(nll) / sum(n_tok) AS loss, count(*) AS n_rows,
+              CAST(sum(n_tok) AS BIGINT) AS n_tok FROM l GROUP BY ALL)"""
