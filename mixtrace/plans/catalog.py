@@ -380,3 +380,52 @@ def q_lm_eval_loss(spark, sf):
     train, ev, model, v, n = _fitted(spark, sf)
     out = lm.eval_loss_full(model, ev, v, n, ALPHA)
     return out.select("eval_dataset", r6("loss").alias("loss"), "n_tokens")
+
+
+# ---------------------------------------------------------------- collation
+import hashlib  # noqa: E402
+
+from ..operators import collate  # noqa: E402
+from ..operators.ordinal import dense_ordinal  # noqa: E402
+
+COLLATE_MAX, COLLATE_BS = 64, 8
+SRC_MAX, TGT_MAX = 48, 16
+SEP_ID = int(hashlib.md5(collate.SEP_TEXT.encode()).hexdigest()[:8], 16) % 50_000 + 4
+
+
+def _pairs(spark, sf):
+    """User turn followed by the assistant turn (turn + 1), batches of 8 in (conv_id, turn) order."""
+    c = table(spark, sf, "conversations")
+    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+    a = c.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
+    p = u.join(a, ["conv_id", "turn"])
+    p = dense_ordinal(p, None, ["conv_id", "turn"], name="_ord")
+    return p.withColumn("batch_id", F.floor(F.col("_ord") / COLLATE_BS).cast("long")).drop("_ord")
+
+
+@register("collate_causal", O.collate_causal_sql(COLLATE_MAX, SEP_ID, COLLATE_BS))
+def q_collate_causal(spark, sf):
+    """Prompt ######## target, BOS + truncation to 64, last separator
+    cut out, prompt labels ignored, padded to the longest row of the batch."""
+    p = _pairs(spark, sf).withColumn(
+        "ids", collate.tokenize_causal(collate.causal_text("prompt", "target"), COLLATE_MAX)) \
+        .withColumn("has_target", F.col("target").isNotNull())
+    out = collate.collate_causal(p, "ids", "has_target", [SEP_ID])
+    return out.select("conv_id", "turn", "batch_id", ids_string("input_ids").alias("input_ids"),
+                      ids_string("attention_mask").alias("attention_mask"),
+                      ids_string("labels").alias("labels"), "sep_found")
+
+
+@register("collate_seq2seq", O.collate_seq2seq_sql(SRC_MAX, TGT_MAX, COLLATE_BS))
+def q_collate_seq2seq(spark, sf):
+    """Source (no specials, 48) and target (+EOS, 16) padded separately;
+    decoder inputs = shifted labels."""
+    p = (_pairs(spark, sf)
+         .withColumn("src", collate.tokenize_source("prompt", SRC_MAX))
+         .withColumn("tgt", collate.tokenize_target("target", TGT_MAX)))
+    out = collate.collate_seq2seq(p, "src", "tgt")
+    return out.select("conv_id", "turn", "batch_id", ids_string("input_ids").alias("input_ids"),
+                      ids_string("attention_mask").alias("attention_mask"),
+                      ids_string("labels").alias("labels"),
+                      ids_string("decoder_input_ids").alias("decoder_input_ids"))

@@ -187,3 +187,48 @@ ex AS (SELECT x.dataset, x.row_id,
 l AS (SELECT b.dataset, b.batch_id, ex.row_id, ex.nll, ex.n_tok FROM b JOIN ex USING (dataset, row_id)),
 bl AS (SELECT dataset, batch_id, sum(nll) / sum(n_tok) AS loss, count(*) AS n_rows,
               CAST(sum(n_tok) AS BIGINT) AS n_tok FROM l GROUP BY ALL)"""
+
+
+def hashed_sql(text: str, buckets: int = 50_000) -> str:
+    return (f"list_transform(string_split({text}, ' '), lambda w: CAST((('0x' || substr(md5(w), 1, 8))::BIGINT"
+            f" % {buckets} + 4) AS INTEGER))")
+
+
+PAIRS = """SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS target
+FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+WHERE u.role = 'user' AND a.role = 'assistant'"""
+
+
+def collate_causal_sql(max_len: int, sep_id: int, bs: int) -> str:
+    return f"""
+WITH pr AS ({PAIRS}),
+t AS (SELECT conv_id, turn, list_concat([2], ({hashed_sql("prompt || ' ######## ' || target")})[1:{max_len - 1}]) AS ids,
+             (row_number() OVER (ORDER BY conv_id, turn) - 1) // {bs} AS batch_id FROM pr),
+p AS (SELECT *, list_max(list_filter(range(1, len(ids) + 1), lambda i: ids[i] = {sep_id})) AS sp FROM t),
+s AS (SELECT *, CASE WHEN sp IS NULL THEN ids ELSE list_concat(ids[1:sp - 1], ids[sp + 1:]) END AS sids,
+             CASE WHEN sp IS NULL THEN list_transform(ids, lambda x: -100)
+                  ELSE list_concat(list_transform(range(sp - 1), lambda x: -100), ids[sp + 1:]) END AS lab FROM p),
+m AS (SELECT *, max(len(sids)) OVER (PARTITION BY batch_id) AS L FROM s)
+SELECT conv_id, turn, CAST(batch_id AS BIGINT) AS batch_id,
+       array_to_string(list_resize(sids, L, 0), ',') AS input_ids,
+       array_to_string(list_resize(list_transform(sids, lambda x: 1), L, 0), ',') AS attention_mask,
+       array_to_string(list_resize(lab, L, -100), ',') AS labels, sp IS NOT NULL AS sep_found
+FROM m"""
+
+
+def collate_seq2seq_sql(max_src: int, max_tgt: int, bs: int) -> str:
+    return f"""
+WITH pr AS ({PAIRS}),
+t AS (SELECT conv_id, turn, ({hashed_sql("prompt")})[1:{max_src}] AS src,
+             list_concat(({hashed_sql("target")})[1:{max_tgt - 1}], [3]) AS tgt,
+             (row_number() OVER (ORDER BY conv_id, turn) - 1) // {bs} AS batch_id FROM pr),
+m AS (SELECT *, max(len(src)) OVER (PARTITION BY batch_id) AS Ls,
+                max(len(tgt)) OVER (PARTITION BY batch_id) AS Lt FROM t),
+o AS (SELECT *, list_resize(tgt, Lt, -100) AS lab FROM m)
+SELECT conv_id, turn, CAST(batch_id AS BIGINT) AS batch_id,
+       array_to_string(list_resize(src, Ls, 0), ',') AS input_ids,
+       array_to_string(list_resize(list_transform(src, lambda x: 1), Ls, 0), ',') AS attention_mask,
+       array_to_string(lab, ',') AS labels,
+       array_to_string(list_concat([0], list_transform(lab[1:len(lab) - 1],
+                       lambda x: CASE WHEN x = -100 THEN 0 ELSE x END)), ',') AS decoder_input_ids
+FROM o"""
