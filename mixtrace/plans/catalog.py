@@ -429,3 +429,93 @@ def q_collate_seq2seq(spark, sf):
                       ids_string("attention_mask").alias("attention_mask"),
                       ids_string("labels").alias("labels"),
                       ids_string("decoder_input_ids").alias("decoder_input_ids"))
+
+
+# ---------------------------------------------------------------- unlearning and influence
+from ..operators import influence as U  # noqa: E402
+from ..operators.optim import Optim  # noqa: E402
+
+SGD_LR = 5.0
+
+
+def _rows(spark, sf):
+    return corpora.train_rows(spark, sf), corpora.eval_rows(spark, sf)
+
+
+def _infl(df, a="train_dataset", b="eval_dataset"):
+    return df.select(a, b, "step", r6("influence").alias("influence"))
+
+
+@register("unlearn_influence", O.unlearn_sql("untrac", "sgd", SGD_LR, steps=2, n_micro=2))
+def q_unlearn_influence(spark, sf):
+    """U8 UnTrac: every source unlearned for one epoch in 2 steps (sgd), loss
+    change on bench/toxic after each step."""
+    tr, ev = _rows(spark, sf)
+    _, infl = U.unlearn_influence(tr, ev, Optim("sgd", lr=SGD_LR), steps=2)
+    return _infl(infl)
+
+
+@register("unlearn_influence_inverse", O.unlearn_sql("inverse", "sgd", SGD_LR, steps=2, eval_on="train"))
+def q_unlearn_influence_inverse(spark, sf):
+    """U9 UnTrac-Inv: unlearn each evaluation set (whole set per step), loss
+    change on every training source; transposed to (train, eval)."""
+    tr, ev = _rows(spark, sf)
+    _, infl = U.unlearn_influence_inverse(tr, ev, Optim("sgd", lr=SGD_LR), steps=2)
+    return _infl(infl, "train_dataset", "eval_dataset")
+
+
+@register("unlearn_step", O.unlearn_sql("untrac", "sgd", SGD_LR, steps=1, n_micro=2,
+                                        eval_on="train", output="log"))
+def q_unlearn_step(spark, sf):
+    """One ascent step per source (first half of it); loss of every source
+    before and after - the unlearned source's own loss goes up."""
+    tr, evr = _rows(spark, sf)
+    tc = lm.token_counts(tr)
+    ev = tc.withColumnRenamed("dataset", "eval_dataset")
+    model = lm.fit_unigram(tc, lm.vocabulary(tc, lm.token_counts(evr)), ALPHA)
+    q, w = U.step_targets(U.micro_batch_counts(tr, 2))
+    log = U.unlearn_log(model, q, w, ev, 1, Optim("sgd", lr=SGD_LR))
+    return log.select("run_id", "step", "eval_dataset", "metric", r6("loss").alias("value"))
+
+
+@register("grad_accum_step", O.unlearn_sql("untrac", "sgd", SGD_LR, steps=2, n_micro=4, accum=2))
+def q_grad_accum_step(spark, sf):
+    """U4: 4 micro-batches per source, accumulated 2 per step."""
+    tr, ev = _rows(spark, sf)
+    _, infl = U.unlearn_influence(tr, ev, Optim("sgd", lr=SGD_LR), steps=2, n_micro=4, accum=2)
+    return _infl(infl)
+
+
+CLIP = 0.01
+
+
+@register("clip_step", O.unlearn_sql("untrac", "sgd", SGD_LR, steps=2, n_micro=2, clip=CLIP, output="log"))
+def q_clip_step(spark, sf):
+    """Global gradient-norm clipping per run (max_grad_norm 0.01); the log
+    carries the pre-clip norms."""
+    tr, ev = _rows(spark, sf)
+    train_counts = lm.token_counts(tr)
+    evc = lm.token_counts(ev).withColumnRenamed("dataset", "eval_dataset")
+    model = lm.fit_unigram(train_counts, lm.vocabulary(train_counts, evc), ALPHA)
+    q, w = U.step_targets(U.micro_batch_counts(tr, 2))
+    log = U.unlearn_log(model, q, w, evc, 2, Optim("sgd", lr=SGD_LR, max_grad_norm=CLIP), with_norms=True)
+    return log.select("run_id", "step", "eval_dataset", "metric", r6("loss").alias("value"))
+
+
+ADAM_LR = 0.01
+
+
+@register("adam_step", O.unlearn_sql("untrac", "adamw", ADAM_LR, steps=2, n_micro=2))
+def q_adam_step(spark, sf):
+    """AdamW (no weight decay) unlearning, 2 steps."""
+    tr, ev = _rows(spark, sf)
+    _, infl = U.unlearn_influence(tr, ev, Optim("adamw", lr=ADAM_LR), steps=2)
+    return _infl(infl)
+
+
+@register("adafactor_step", O.unlearn_sql("untrac", "adafactor", ADAM_LR, steps=2, n_micro=2, warmup=2))
+def q_adafactor_step(spark, sf):
+    """Adafactor (unfactored, fixed lr) with 2 warm-up steps."""
+    tr, ev = _rows(spark, sf)
+    _, infl = U.unlearn_influence(tr, ev, Optim("adafactor", lr=ADAM_LR, warmup_steps=2), steps=2)
+    return _infl(infl)

@@ -232,3 +232,92 @@ SELECT conv_id, turn, CAST(batch_id AS BIGINT) AS batch_id,
        array_to_string(list_concat([0], list_transform(lab[1:len(lab) - 1],
                        lambda x: CASE WHEN x = -100 THEN 0 ELSE x END)), ',') AS decoder_input_ids
 FROM o"""
+
+
+def unlearn_sql(kind: str = "untrac", opt: str = "sgd", lr: float = 5.0, steps: int = 2,
+                n_micro: int = 2, accum: int = 1, clip: float = 0.0, warmup: int = 0,
+                alpha: float = 1.0, eval_on: str = "eval", output: str = "influence",
+                beta1: float = 0.9, beta2: float = 0.999, eps: float = 1e-8) -> str:
+    """The unlearning loop unrolled as CTEs (one CTE chain per step).
+
+    kind: untrac (runs = training datasets, micro-batches = key-order slices)
+          or inverse (runs = evaluation sets, every step = the whole set).
+    eval_on: eval | train - which sets the losses are measured on.
+    output: influence (run, eval, step, influence) or log (run, step, eval, metric, loss).
+    """
+    r = repr
+    parts = [counts_ctes(alpha)]
+    parts.append(f"m0 AS (SELECT tok, ln(coalesce(cw.C, 0) + {r(float(alpha))}) AS theta FROM vocab LEFT JOIN cw USING (tok))")
+    if kind == "untrac":
+        parts.append("runs AS (SELECT DISTINCT dataset AS run_id FROM tc)")
+        parts.append(f"""mbrows AS (SELECT source AS run_id, text,
+            (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) * {n_micro}
+              // count(*) OVER (PARTITION BY source) AS b FROM documents)""")
+        parts.append(f"""mb AS (SELECT run_id, b, tok, count(*) AS cnt
+            FROM (SELECT run_id, b, unnest({tok()}) AS tok FROM mbrows) GROUP BY ALL)""")
+    else:
+        parts.append("runs AS (SELECT DISTINCT eval_dataset AS run_id FROM ec)")
+        parts.append(f"mb AS (SELECT eval_dataset AS run_id, s.b, tok, cnt FROM ec, (SELECT unnest(range({steps})) AS b) s)")
+    if eval_on == "eval":
+        parts.append("evalc AS (SELECT eval_dataset, tok, cnt FROM ec)")
+    else:
+        parts.append("evalc AS (SELECT dataset AS eval_dataset, tok, cnt FROM tc)")
+    parts.append("evn AS (SELECT eval_dataset, sum(cnt) AS n FROM evalc GROUP BY eval_dataset)")
+    parts.append("nb AS (SELECT run_id, b, sum(cnt) AS nb FROM mb GROUP BY ALL)")
+    parts.append(f"""q AS (SELECT run_id, b // {accum} + 1 AS step, tok, sum(cnt / nb) / {accum} AS q
+        FROM mb JOIN nb USING (run_id, b) GROUP BY ALL)""")
+    parts.append(f"w AS (SELECT run_id, b // {accum} + 1 AS step, count(*) / {accum} AS a FROM nb GROUP BY ALL)")
+    parts.append("p0 AS (SELECT run_id, tok, theta, 0.0 AS m, 0.0 AS v FROM runs CROSS JOIN m0)")
+    parts.append("z0 AS (SELECT run_id, ln(sum(exp(theta))) AS z FROM p0 GROUP BY run_id)")
+    for t in range(1, steps + 1):
+        lr_t = lr * min(1.0, t / max(1, warmup)) if warmup > 0 else lr
+        parts.append(f"""g{t} AS (SELECT p.run_id, p.tok, p.theta, p.m, p.v,
+            coalesce(w.a, 0) * exp(p.theta - z.z) - coalesce(q.q, 0) AS g
+            FROM p{t - 1} p JOIN z{t - 1} z USING (run_id)
+            LEFT JOIN w ON w.run_id = p.run_id AND w.step = {t}
+            LEFT JOIN q ON q.run_id = p.run_id AND q.tok = p.tok AND q.step = {t})""")
+        src = f"g{t}"
+        if clip > 0:
+            parts.append(f"""n{t} AS (SELECT run_id, sqrt(sum(g * g)) AS gn,
+                least(1.0, {r(float(clip))} / (sqrt(sum(g * g)) + 1e-06)) AS sc FROM g{t} GROUP BY run_id)""")
+            parts.append(f"gc{t} AS (SELECT g.run_id, g.tok, g.theta, g.m, g.v, g.g * n.sc AS g FROM g{t} g JOIN n{t} n USING (run_id))")
+            src = f"gc{t}"
+        if opt == "sgd":
+            parts.append(f"p{t} AS (SELECT run_id, tok, theta + {r(lr_t)} * g AS theta, m, v FROM {src})")
+        elif opt == "adamw":
+            bc1 = 1 - beta1 ** t
+            bc2s = (1 - beta2 ** t) ** 0.5
+            parts.append(f"""u{t} AS (SELECT run_id, tok, theta, {r(beta1)} * m + {r(1 - beta1)} * g AS m,
+                {r(beta2)} * v + {r(1 - beta2)} * g * g AS v FROM {src})""")
+            parts.append(f"""p{t} AS (SELECT run_id, tok,
+                theta + {r(lr_t)} * ((m / {r(bc1)}) / (sqrt(v) / {r(bc2s)} + {r(eps)})) AS theta, m, v FROM u{t})""")
+        else:
+            b2 = 1.0 - t ** -0.8
+            parts.append(f"""u{t} AS (SELECT run_id, tok, theta, m, g,
+                {r(b2)} * v + {r(1 - b2)} * (g * g + 1e-30) AS v FROM {src})""")
+            parts.append(f"rr{t} AS (SELECT run_id, sqrt(avg((g / sqrt(v)) * (g / sqrt(v)))) AS rms FROM u{t} GROUP BY run_id)")
+            parts.append(f"""p{t} AS (SELECT run_id, tok,
+                theta + {r(lr_t)} * ((g / sqrt(v)) / greatest(1.0, rms / 1.0)) AS theta, m, v
+                FROM u{t} JOIN rr{t} USING (run_id))""")
+        parts.append(f"z{t} AS (SELECT run_id, ln(sum(exp(theta))) AS z FROM p{t} GROUP BY run_id)")
+    for t in range(0, steps + 1):
+        parts.append(f"""l{t} AS (SELECT p.run_id, e.eval_dataset, {t} AS step,
+            z.z - sum(e.cnt * p.theta) / evn.n AS loss
+            FROM evalc e JOIN p{t} p USING (tok) JOIN z{t} z USING (run_id) JOIN evn USING (eval_dataset)
+            GROUP BY p.run_id, e.eval_dataset, z.z, evn.n)""")
+    allsteps = " UNION ALL ".join(f"SELECT * FROM l{t}" for t in range(0, steps + 1))
+    parts.append(f"lall AS ({allsteps})")
+    body = "WITH " + ",\n".join(parts)
+    if output == "influence":
+        rc, ec_ = ("train_dataset", "eval_dataset") if kind == "untrac" else ("eval_dataset", "train_dataset")
+        return body + f"""
+SELECT l.run_id AS {rc}, l.eval_dataset AS {ec_}, CAST(l.step AS BIGINT) AS step,
+       round(l.loss - b.loss, 6) AS influence
+FROM lall l JOIN l0 b USING (run_id, eval_dataset) WHERE l.step > 0"""
+    sel = """
+SELECT run_id, CAST(step AS BIGINT) AS step, eval_dataset, 'eval_loss' AS metric, round(loss, 6) AS value FROM lall"""
+    if clip > 0:
+        sel += "".join(f"""
+UNION ALL SELECT run_id, CAST({t} AS BIGINT), CAST(NULL AS VARCHAR), 'grad_norm', round(gn, 6) FROM n{t}"""
+                       for t in range(1, steps + 1))
+    return body + sel
