@@ -132,7 +132,7 @@ def unlearn_log(model: DataFrame, targets: DataFrame, weights: DataFrame,
 def influence_from_log(log: DataFrame, run_col: str = "train_dataset",
                        eval_col: str = "eval_dataset") -> DataFrame:
     """influence(run, e, step) = loss_e(step) - loss_e(step 0), steps >= 1."""
-    ev = log.filter(F.col("metric") == "eval_loss")
+    ev = log.filter((F.col("metric") == "eval_loss") & F.col("eval_dataset").isNotNull())
     base = ev.filter(F.col("step") == 0).select("run_id", "eval_dataset", F.col("loss").alias("_l0"))
     return (ev.filter(F.col("step") > 0).join(base, ["run_id", "eval_dataset"])
             .select(F.col("run_id").alias(run_col), F.col("eval_dataset").alias(eval_col), "step",

@@ -94,9 +94,13 @@ def run_eval_loss(params: DataFrame, logz: DataFrame, wide: DataFrame, names: li
     stack = ", ".join(f"'{n}', `{n}`" for n in names)
     long = sums.selectExpr(run, f"stack({len(names)}, {stack}) as (eval_dataset, s)")
     tot = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(float(totals[n])))])
-    return (long.join(F.broadcast(logz), run)
-            .select(run, "eval_dataset",
-                    (F.col("logz") - F.col("s") / tot[F.col("eval_dataset")]).alias("loss")))
+    per = long.withColumn("s", F.col("s") / tot[F.col("eval_dataset")])
+    # overall row (eval_dataset NULL): token mean over the union of the sets
+    grand = float(sum(totals[n] for n in names))
+    overall = sums.select(run, F.lit(None).cast("string").alias("eval_dataset"),
+                          (sum((F.col(f"`{n}`") for n in names), F.lit(0.0)) / grand).alias("s"))
+    return (per.unionByName(overall).join(F.broadcast(logz), run)
+            .select(run, "eval_dataset", (F.col("logz") - F.col("s")).alias("loss")))
 
 
 def eval_loss_full(model: DataFrame, eval_counts: DataFrame, vocab_size: int,

@@ -519,3 +519,90 @@ def q_adafactor_step(spark, sf):
     tr, ev = _rows(spark, sf)
     _, infl = U.unlearn_influence(tr, ev, Optim("adafactor", lr=ADAM_LR, warmup_steps=2), steps=2)
     return _infl(infl)
+
+
+# ---------------------------------------------------------------- read-out and run keys
+from ..operators import readout, runs  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+
+RO_STEPS = 2
+
+
+def _logs(spark, sf, inverse=False):
+    """Run UnTrac (or UnTrac-Inv), persist trainer-state JSON + baseline, scan them back."""
+    tr, ev = _rows(spark, sf)
+    opt = Optim("sgd", lr=SGD_LR)
+    if inverse:
+        log, _ = U.unlearn_influence_inverse(tr, ev, opt, steps=RO_STEPS)
+    else:
+        log, _ = U.unlearn_influence(tr, ev, opt, steps=RO_STEPS)
+    d = scratch_path(spark, "runs")
+    readout.write_trainer_state(log, f"{d}/state", steps_per_epoch=RO_STEPS)
+    readout.write_baseline(log, f"{d}/init")
+    return readout.log_scan(spark, f"{d}/state"), readout.baseline_scan(spark, f"{d}/init")
+
+
+def _ro(df, a="train_dataset", b="eval_dataset"):
+    return df.select(a, b, r6("epoch").alias("epoch"), r6("influence").alias("influence"))
+
+
+@register("log_scan", O.readout_sql("untrac", SGD_LR, RO_STEPS, "log"))
+def q_log_scan(spark, sf):
+    """Per-run trainer-state JSON written by the runs, scanned back long."""
+    lg, _ = _logs(spark, sf)
+    return lg.select("run_id", "step", r6("epoch").alias("epoch"), "metric", r6("value").alias("value"))
+
+
+@register("influence_log", O.readout_sql("untrac", SGD_LR, RO_STEPS, "influence"))
+def q_influence_log(spark, sf):
+    """eval_loss_* minus the baseline JSON, zero row at epoch 0."""
+    lg, base = _logs(spark, sf)
+    return _ro(readout.influence(lg, base, key="epoch"))
+
+
+@register("influence_inverse_log", O.readout_sql("inverse", SGD_LR, RO_STEPS, "influence"))
+def q_influence_inverse_log(spark, sf):
+    """UnTrac-Inv read-out, transposed (rows are training datasets)."""
+    lg, base = _logs(spark, sf, inverse=True)
+    return _ro(readout.influence(lg, base, key="epoch", inverse=True))
+
+
+@register("influence_single_metric", O.readout_sql("untrac", SGD_LR, RO_STEPS, "influence",
+                                                   prefix="eval_loss"))
+def q_influence_single_metric(spark, sf):
+    """One named metric (overall eval_loss) instead of the per-dataset prefix."""
+    lg, base = _logs(spark, sf)
+    return _ro(readout.influence(lg, base, key="epoch", prefix="eval_loss"))
+
+
+def source_labels(spark, sf):
+    """Dataset code -> label: the majority language of each source (ties: smallest)."""
+    from pyspark.sql.window import Window
+    c = table(spark, sf, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("source").orderBy(F.col("n").desc(), "lang")
+    return (c.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
+            .select(F.col("source").alias("dataset"), F.col("lang").alias("label")))
+
+
+@register("influence_labelled", O.readout_sql("untrac", SGD_LR, RO_STEPS, "labelled"))
+def q_influence_labelled(spark, sf):
+    """Plot-ready series for the 'bench' set with dataset labels."""
+    lg, base = _logs(spark, sf)
+    infl = readout.influence(lg, base, key="epoch")
+    s = readout.labelled_series(infl, source_labels(spark, sf), "bench")
+    return s.select("train_dataset", "label", r6("epoch").alias("epoch"), r6("influence").alias("influence"))
+
+
+ARGV_FMT = ("--unlearn --optim adafactor --max_grad_norm 0 --model_name_or_path model/lm_00 "
+            "--train_dir data/%s --dataset_names %s --eval_dir data/bench data/toxic --eval_steps 16 "
+            "--logging_steps 16 --save_strategy no --num_train_epochs 1 --learning_rate 1e-4 "
+            "--per_device_train_batch_size 2 --gradient_accumulation_steps 4")
+ARGV_SQL = ("SELECT DISTINCT source AS dataset, printf('" + ARGV_FMT + "', source, source) AS argv FROM documents")
+
+
+@register("run_key", O.run_key_sql(runs.DROP_ARGS, runs.ABBREVIATIONS, ARGV_SQL))
+def q_run_key(spark, sf):
+    """Run keys of the UnTrac runs, one per training source (manifest from the data)."""
+    m = (table(spark, sf, "documents").select(F.col("source").alias("dataset")).distinct()
+         .withColumn("argv", F.format_string(ARGV_FMT, F.col("dataset"), F.col("dataset"))))
+    return m.withColumn("run_key", runs.run_key("argv"))

@@ -305,7 +305,11 @@ def unlearn_sql(kind: str = "untrac", opt: str = "sgd", lr: float = 5.0, steps:
             z.z - sum(e.cnt * p.theta) / evn.n AS loss
             FROM evalc e JOIN p{t} p USING (tok) JOIN z{t} z USING (run_id) JOIN evn USING (eval_dataset)
             GROUP BY p.run_id, e.eval_dataset, z.z, evn.n)""")
-    allsteps = " UNION ALL ".join(f"SELECT * FROM l{t}" for t in range(0, steps + 1))
+        parts.append(f"""lo{t} AS (SELECT p.run_id, CAST(NULL AS VARCHAR) AS eval_dataset, {t} AS step,
+            z.z - sum(e.cnt * p.theta) / (SELECT sum(n) FROM evn) AS loss
+            FROM evalc e JOIN p{t} p USING (tok) JOIN z{t} z USING (run_id) GROUP BY p.run_id, z.z)""")
+    allsteps = " UNION ALL ".join(f"SELECT * FROM l{t} UNION ALL SELECT * FROM lo{t}"
+                                  for t in range(0, steps + 1))
     parts.append(f"lall AS ({allsteps})")
     body = "WITH " + ",\n".join(parts)
     if output == "influence":
@@ -321,3 +325,48 @@ SELECT run_id, CAST(step AS BIGINT) AS step, eval_dataset, 'eval_loss' AS metric
 UNION ALL SELECT run_id, CAST({t} AS BIGINT), CAST(NULL AS VARCHAR), 'grad_norm', round(gn, 6) FROM n{t}"""
                        for t in range(1, steps + 1))
     return body + sel
+
+
+def readout_sql(kind: str = "untrac", lr: float = 5.0, steps: int = 2, mode: str = "log",
+                prefix: str = "eval_loss_") -> str:
+    """Read-out twins on top of the unrolled loop's per-step losses ``lall``."""
+    eval_on = "eval" if kind == "untrac" else "train"
+    base = unlearn_sql(kind, "sgd", lr, steps=steps, n_micro=steps, eval_on=eval_on, output="log")
+    body = base[:base.index("\nSELECT run_id, CAST(step AS BIGINT)")]
+    name = "CASE WHEN eval_dataset IS NULL THEN 'eval_loss' ELSE 'eval_loss_' || eval_dataset END"
+    ep = f"CAST(step AS DOUBLE) / {float(steps)}"
+    if mode == "log":
+        return body + f"""
+SELECT run_id, CAST(step AS BIGINT) AS step, round({ep}, 6) AS epoch, {name} AS metric,
+       round(loss, 6) AS value FROM lall"""
+    if prefix.endswith("_"):
+        sel = f"SELECT run_id, replace({name}, '{prefix}', '') AS ed, {ep} AS epoch, loss FROM lall WHERE starts_with({name}, '{prefix}')"
+    else:
+        sel = f"SELECT run_id, {name} AS ed, {ep} AS epoch, loss FROM lall WHERE {name} = '{prefix}'"
+    a, b = ("train_dataset", "eval_dataset") if kind == "untrac" else ("eval_dataset", "train_dataset")
+    out = f""",
+sel AS ({sel}),
+bas AS (SELECT ed, loss AS b FROM sel WHERE epoch = 0 AND run_id = (SELECT min(run_id) FROM sel)),
+inf AS (SELECT s.run_id, s.ed, s.epoch, s.loss - bas.b AS influence FROM sel s JOIN bas USING (ed) WHERE s.epoch <> 0
+        UNION ALL SELECT DISTINCT run_id, ed, 0.0, 0.0 FROM sel)
+SELECT run_id AS {a}, ed AS {b}, round(epoch, 6) AS epoch, round(influence, 6) AS influence FROM inf"""
+    if mode == "labelled":
+        return body + out.replace(
+            f"SELECT run_id AS {a}, ed AS {b}, round(epoch, 6) AS epoch, round(influence, 6) AS influence FROM inf",
+            f""",
+lab AS (SELECT source AS dataset, arg_min(lang, (-n, lang)) AS label
+        FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source)
+SELECT i.run_id AS train_dataset, lab.label, round(i.epoch, 6) AS epoch, round(i.influence, 6) AS influence
+FROM inf i JOIN lab ON lab.dataset = i.run_id WHERE i.ed = 'bench'""").replace("FROM inf,\nlab", "FROM inf),\nlab", 1)
+    return body + out
+
+
+def run_key_sql(drop: list[str], abbr: list[tuple[str, str]], argv_sql: str) -> str:
+    pat = "^(" + "|".join(drop) + ")"
+    k = (f"array_to_string(list_transform(list_filter(list_transform(string_split({USTRIP.format(x='argv')}, '--')[2:],"
+         f" lambda p: CASE WHEN contains(p, '/') THEN string_split(p, '/')[-1] ELSE p END),"
+         f" lambda p: NOT regexp_matches(p, '{pat}')),"
+         f" lambda p: replace(replace({USTRIP.format(x='p')}, ' ', '='), 'model=', '')), '-')")
+    for a, b in abbr:
+        k = f"replace({k}, '{a}', '{b}')"
+    return f"SELECT dataset, argv, {k} AS run_key FROM ({argv_sql})"
