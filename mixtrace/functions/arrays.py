@@ -24,7 +24,8 @@ def last_subarray_pos(ids, sep: list[int]) -> Column:
     last_start = F.size(a) - F.lit(n) + 1
     starts = F.filter(F.sequence(F.lit(1), F.greatest(last_start, F.lit(1))),
                       lambda i: F.slice(a, i, n) == sep_arr)
-    return F.when(last_start >= 1, F.element_at(starts, -1))
+    # starts ascend, so the last hit is the maximum (NULL when there is none)
+    return F.when(last_start >= 1, F.array_max(starts))
 
 
 def pad_right(arr, length, value) -> Column:
