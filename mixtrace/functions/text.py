@@ -22,7 +22,7 @@ def word_tokens(text, pattern: str = WORD_SPLIT, lower: bool = True) -> Column:
     t = col(text)
     if lower:
         t = F.lower(t)
-    return F.filter(F.split(t, pattern), lambda x: x != F.lit(""))
+    return F.array_remove(F.split(t, pattern), "")
 
 
 def space_word_count(text) -> Column:

@@ -22,11 +22,11 @@ slices in key order, so one epoch covers the whole dataset whatever its size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD_SPLIT, word_tokens
-from ..session import cut, scratch_path
+from ..session import cut, scratch_path, spread
 from .models import lm
 from .optim import Optim, apply_update, clip_scale, gradient
 from .ordinal import dense_ordinal
@@ -35,10 +35,12 @@ from .ordinal import dense_ordinal
 def micro_batch_counts(rows: DataFrame, n_micro: int, by: str = "dataset", key: str = "row_id",
                        text: str = "text", pattern: str = WORD_SPLIT) -> DataFrame:
     """(run_id, b, tok, cnt): rows of each dataset cut into ``n_micro`` slices by key order."""
-    o = dense_ordinal(rows.select(by, key, text), by, [key], name="_ord")
+    # ordinal on the narrow key columns only; the text joins the slice ids once
+    o = dense_ordinal(rows.select(by, key), by, [key], name="_ord")
     n = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    o = o.join(F.broadcast(n), by).withColumn(
-        "b", F.floor(F.col("_ord") * n_micro / F.col("_n")).cast("long"))
+    o = o.join(F.broadcast(n), by).select(
+        by, key, F.floor(F.col("_ord") * n_micro / F.col("_n")).cast("long").alias("b"))
+    o = lm.join_checked(spread(rows.select(by, key, text)), o, [by, key])
     return (o.select(F.col(by).alias("run_id"), "b", F.explode(word_tokens(text, pattern)).alias("tok"))
             .groupBy("run_id", "b", "tok").agg(F.count(F.lit(1)).alias("cnt")))
 
@@ -67,68 +69,85 @@ def step_targets(mb: DataFrame, accum: int = 1):
     return q, w
 
 
-def _replicate(model: DataFrame, runs: list[str], partitions: int, with_state: bool) -> DataFrame:
+def _replicate(model: DataFrame, runs: list[str], with_state: bool) -> DataFrame:
+    """Initial parameters of every run: the fitted model repeated per run
+    (lazy; it becomes part of the first step's job)."""
     p = model.select("tok", "theta").withColumn(
         "run_id", F.explode(F.array(*[F.lit(r) for r in runs])))
     if with_state:
         p = p.withColumn("m", F.lit(0.0)).withColumn("v", F.lit(0.0))
-    return cut(p.repartition(partitions, "run_id", "tok"))
+    return p
+
+
+def _run_map(values: dict, run: str = "run_id") -> Column:
+    """Per-run scalar as a literal map lookup (one entry per run)."""
+    m = F.create_map(*[x for k, v in sorted(values.items()) for x in (F.lit(k), F.lit(float(v)))])
+    return m[F.col(run)]
 
 
 def unlearn_log(model: DataFrame, targets: DataFrame, weights: DataFrame,
                 eval_counts: DataFrame, steps: int, opt: Optim, eval_steps: int = 1,
                 sign: float = 1.0, extra_eval_steps: tuple[int, ...] = (),
                 with_norms: bool = False) -> DataFrame:
-    """U3-U9 loop: (run_id, step, eval_dataset, loss) for step 0 and every
-    scheduled step.  ``eval_counts`` is (eval_dataset, tok, cnt).
+    """U3-U9 loop: log (run_id, step, eval_dataset, metric, loss) for step 0
+    and every scheduled step.  ``eval_counts`` is (eval_dataset, tok, cnt);
+    rows with eval_dataset NULL are the overall loss over all sets.
 
-    With ``with_norms`` the log also carries per-run ``grad_norm``/``scale``
-    rows (metric column) - used to report clipping.
+    With ``with_norms`` the log also carries per-run pre-clip ``grad_norm``.
     """
     spark = model.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = sorted(r[0] for r in targets.select("run_id").distinct().collect())
     state = opt.name != "sgd"
-    targets = cut(targets.repartition(parts, "run_id", "tok"))
-    weights = cut(weights)
-    names = lm.eval_names(eval_counts)
-    wide = eval_counts.groupBy("tok").pivot("eval_dataset", names).agg(F.sum("cnt")).fillna(0, subset=names)
-    wide = cut(wide)
+    # per-step targets stored by step: each step reads only its own slice
+    tpath = scratch_path(spark, "targets")
+    targets.repartition("step", "run_id").write.partitionBy("step").parquet(tpath)
+    per_step = {r[0]: r[1] for r in spark.read.parquet(tpath).groupBy("step").count().collect()}
+    a_val = {(r[0], r[1]): r[2] for r in weights.collect()}   # one row per (run, step)
+    runs = sorted({k[0] for k in a_val})
     totals = {r[0]: r[1] for r in eval_counts.groupBy("eval_dataset").agg(F.sum("cnt")).collect()}
+    names = sorted(totals)
+    wide = cut(lm.eval_wide(eval_counts, names))
+    wide_small = lm.small_enough(wide, lm.BROADCAST_ROWS)
     log_path = scratch_path(spark, "unlearn-log")
 
-    params = _replicate(model, runs, parts, state)
-    logz = cut(lm.log_partition(params))
-
-    def write_eval(p, z, step):
-        lm.run_eval_loss(p, z, wide, names, totals).withColumn("step", F.lit(step).cast("long")) \
-            .withColumn("metric", F.lit("eval_loss")) \
-            .select("run_id", "step", "eval_dataset", "metric", "loss") \
-            .write.mode("append").parquet(log_path)
-
-    write_eval(params, logz, 0)
+    # step 0: every run starts from the same model - evaluate it once
+    s0 = lm.run_stats(model.select(F.lit("_").alias("run_id"), "tok", "theta"), wide, names, wide_small)["_"]
+    stats = {r: s0 for r in runs}
+    params = _replicate(model, runs, state)
+
+    def write_eval(st, step):
+        rows = []
+        grand = float(sum(totals[n] for n in names))
+        for run, (logz, sums) in st.items():
+            for n in names:
+                rows.append((run, step, n, "eval_loss", logz - sums[n] / float(totals[n])))
+            rows.append((run, step, None, "eval_loss", logz - sum(sums.values()) / grand))
+        spark.createDataFrame(rows, LOG_SCHEMA).write.mode("append").parquet(log_path)
+
+    write_eval(stats, 0)
     for t in range(1, steps + 1):
-        tq = targets.filter(F.col("step") == t).drop("step")
-        tw = weights.filter(F.col("step") == t).drop("step")
-        j = gradient(params, logz, tq, tw)
+        logz = _run_map({r: v[0] for r, v in stats.items()})
+        a = _run_map({r: a_val.get((r, t), 0.0) for r in runs})
+        tq = spark.read.parquet(tpath).filter(F.col("step") == t).drop("step")
+        j = gradient(params, logz, tq, a, per_step.get(t, 0) <= lm.BROADCAST_ROWS)
         if opt.max_grad_norm and opt.max_grad_norm > 0:
-            sc = cut(clip_scale(j, opt.max_grad_norm))
+            norms = {r[0]: r[1] for r in clip_scale(j, opt.max_grad_norm).select("run_id", "grad_norm").collect()}
             if with_norms:
-                (sc.select("run_id", F.lit(t).cast("long").alias("step"),
-                           F.lit(None).cast("string").alias("eval_dataset"),
-                           F.lit("grad_norm").alias("metric"), F.col("grad_norm").alias("loss"))
-                 .write.mode("append").parquet(log_path))
-            j = j.join(F.broadcast(sc.select("run_id", "scale")), "run_id") \
-                .withColumn("g", F.col("g") * F.col("scale")).drop("scale")
+                spark.createDataFrame([(r, t, None, "grad_norm", v) for r, v in norms.items()],
+                                      LOG_SCHEMA).write.mode("append").parquet(log_path)
+            scale = {r: min(1.0, opt.max_grad_norm / (v + 1e-6)) for r, v in norms.items()}
+            j = j.withColumn("g", F.col("g") * _run_map(scale))
         new = apply_update(j, opt, t, sign)
         cols = ["run_id", "tok", "theta"] + (["m", "v"] if state else [])
         params = cut(new.select(*cols))
-        logz = cut(lm.log_partition(params))
+        stats = lm.run_stats(params, wide, names, wide_small)
         if t % eval_steps == 0 or t in extra_eval_steps or t == steps:
-            write_eval(params, logz, t)
+            write_eval(stats, t)
     return spark.read.parquet(log_path)
 
 
+LOG_SCHEMA = "run_id string, step long, eval_dataset string, metric string, loss double"
+
+
 def influence_from_log(log: DataFrame, run_col: str = "train_dataset",
                        eval_col: str = "eval_dataset") -> DataFrame:
     """influence(run, e, step) = loss_e(step) - loss_e(step 0), steps >= 1."""
@@ -145,11 +164,12 @@ def unlearn_influence(train_rows: DataFrame, eval_rows: DataFrame, opt: Optim, s
     """U8 UnTrac: for every training dataset d, start from the model fitted on
     all training data, unlearn d (gradient ascent) for one epoch, and measure
     every evaluation set's loss.  Returns (log, influence)."""
-    train_counts = lm.token_counts(train_rows)
-    ev = lm.token_counts(eval_rows).withColumnRenamed("dataset", "eval_dataset")
+    # tokenise the training text once: per-slice counts, whole-dataset counts derive from them
+    mb = cut(micro_batch_counts(train_rows, n_micro or steps * accum))
+    train_counts = cut(mb.groupBy(F.col("run_id").alias("dataset"), "tok").agg(F.sum("cnt").alias("cnt")))
+    ev = cut(lm.token_counts(eval_rows).withColumnRenamed("dataset", "eval_dataset"))
     vocab = lm.vocabulary(train_counts, ev)
-    model = lm.fit_unigram(train_counts, vocab, alpha)
-    mb = micro_batch_counts(train_rows, n_micro or steps * accum)
+    model = cut(lm.fit_unigram(train_counts, vocab, alpha))
     q, w = step_targets(mb, accum)
     log = unlearn_log(model, q, w, ev, steps, opt, eval_steps)
     return log, influence_from_log(log)
@@ -161,10 +181,10 @@ def unlearn_influence_inverse(train_rows: DataFrame, eval_rows: DataFrame, opt:
     """U9 UnTrac-Inv: unlearn each *evaluation* set (the whole set every step)
     and measure the loss on every training dataset; the result is transposed
     so rows are (train_dataset, eval_dataset) like UnTrac's."""
-    train_counts = lm.token_counts(train_rows)
-    ev = lm.token_counts(eval_rows)
+    train_counts = cut(lm.token_counts(train_rows))
+    ev = cut(lm.token_counts(eval_rows))
     vocab = lm.vocabulary(train_counts, ev)
-    model = lm.fit_unigram(train_counts, vocab, alpha)
+    model = cut(lm.fit_unigram(train_counts, vocab, alpha))
     mb = whole_set_counts(ev, "dataset", steps)
     q, w = step_targets(mb, 1)
     log = unlearn_log(model, q, w, train_counts.withColumnRenamed("dataset", "eval_dataset"),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ...functions.text import WORD_SPLIT, word_tokens
-from ...session import small_enough
+from ...session import cut, small_enough, spread
 
 # Rows of a side that may be broadcast after a size check.
 BROADCAST_ROWS = 2_000_000
@@ -27,7 +27,7 @@ def token_counts(rows: DataFrame, by: str | list[str] = "dataset", text: str = "
                  pattern: str = WORD_SPLIT) -> DataFrame:
     """(by..., tok, cnt): explode once, partial aggregation map-side."""
     by = [by] if isinstance(by, str) else list(by)
-    return (rows.select(*by, F.explode(word_tokens(text, pattern)).alias("tok"))
+    return (spread(rows.select(*by, text)).select(*by, F.explode(word_tokens(text, pattern)).alias("tok"))
             .groupBy(*by, "tok").agg(F.count(F.lit(1)).alias("cnt")))
 
 
@@ -128,6 +128,8 @@ def influence_loo(train_counts: DataFrame, eval_counts: DataFrame, alpha: float
     of the per-dataset counts with the (small) evaluation vocabulary on ``tok``.
     Output: (train_dataset, eval_dataset, influence).
     """
+    # both count tables feed several jobs below: materialise them once
+    train_counts, eval_counts = cut(train_counts), cut(eval_counts)
     names = eval_names(eval_counts)
     if vocab_size is None:
         vocab_size = vocabulary(train_counts, eval_counts).count()
@@ -164,3 +166,20 @@ def example_losses(rows: DataFrame, model: DataFrame, logz: float, alpha: float
     nll = F.lit(float(logz)) - F.coalesce(F.col("theta"), F.log(F.lit(alpha)))
     return j.groupBy("dataset", key).agg(F.sum(nll).alias("nll"),
                                          F.count(F.lit(1)).cast("long").alias("n_tok"))
+
+
+def run_stats(params: DataFrame, wide: DataFrame, names: list[str], broadcast_wide: bool,
+              run: str = "run_id") -> dict:
+    """One pass over a parameter table: per run, logZ and sum_w c_e(w) theta_w
+    for every evaluation set e.  Returns {run: (logz, {e: sum})} - a few
+    numbers per run (the step's metrics), not data.
+
+    The evaluation counts are joined on ``tok`` (broadcast after a size check),
+    so the parameter table is never shuffled for evaluation.
+    """
+    w = F.broadcast(wide) if broadcast_wide else wide
+    j = params.select(run, "tok", "theta").join(w, "tok", "left")
+    agg = j.groupBy(run).agg(F.log(F.sum(F.exp("theta"))).alias("_logz"),
+                             *[F.sum(F.coalesce(F.col(f"`{n}`"), F.lit(0)) * F.col("theta")).alias(n)
+                               for n in names])
+    return {r[run]: (r["_logz"], {n: r[n] for n in names}) for r in agg.collect()}

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -67,27 +67,27 @@ def apply_update(j: DataFrame, opt: Optim, step: int, sign: float = 1.0,
         b2 = 1.0 - step ** opt.decay_rate
         v = F.lit(b2) * F.col("v") + F.lit(1 - b2) * (g * g + F.lit(opt.eps1))
         out = j.withColumn("v", v).withColumn("_u", g / F.sqrt(F.col("v")))
-        rms = out.groupBy(run).agg(F.sqrt(F.avg(F.col("_u") * F.col("_u"))).alias("_rms"))
-        out = (out.join(F.broadcast(rms), run)
-               .withColumn("_u", F.col("_u") / F.greatest(F.lit(1.0), F.col("_rms") / opt.clip_threshold))
-               .drop("_rms"))
+        # per-run RMS of the update: one aggregate, a number per run
+        rms = {r[0]: r[1] for r in
+               out.groupBy(run).agg(F.sqrt(F.avg(F.col("_u") * F.col("_u")))).collect()}
+        rms_col = F.create_map(*[x for k, v in sorted(rms.items()) for x in (F.lit(k), F.lit(float(v)))])[F.col(run)]
+        out = out.withColumn("_u", F.col("_u") / F.greatest(F.lit(1.0), rms_col / opt.clip_threshold))
     else:
         raise ValueError(opt.name)
     return out.withColumn("theta", F.col("theta") + F.lit(sign * lr) * F.col("_u")).drop("_u")
 
 
-def gradient(params: DataFrame, logz: DataFrame, targets: DataFrame, weights: DataFrame,
-             run: str = "run_id") -> DataFrame:
+def gradient(params: DataFrame, logz: Column, targets: DataFrame, a: Column,
+             broadcast_targets: bool, run: str = "run_id") -> DataFrame:
     """g = a * softmax(theta) - q for every parameter row (q = 0 off the batch).
 
     ``targets(run, tok, q)``: the step's normalised token counts (averaged over
-    accumulated micro-batches); ``weights(run, a)``: share of accumulated
-    micro-batches present in the step (1 unless the last step is partial).
+    accumulated micro-batches); ``logz`` and ``a`` (share of accumulated
+    micro-batches present in the step) are per-run scalars given as column
+    expressions (small literal maps keyed by run).
     """
-    from .models.lm import join_checked
-    j = join_checked(params, targets, [run, "tok"], "left")
-    j = j.join(F.broadcast(logz), run).join(F.broadcast(weights), run, "left")
-    g = (F.coalesce(F.col("a"), F.lit(0.0)) * F.exp(F.col("theta") - F.col("logz"))
+    t = F.broadcast(targets) if broadcast_targets else targets
+    j = params.join(t, [run, "tok"], "left")
+    g = (F.coalesce(a, F.lit(0.0)) * F.exp(F.col("theta") - logz)
          - F.coalesce(F.col("q"), F.lit(0.0)))
-    return j.withColumn("g", g).drop("q", "a", "logz")
-
+    return j.withColumn("g", g).drop("q")

@@ -35,9 +35,12 @@ def r6(c):
 
 
 def _counts(spark, sf):
-    train = lm.token_counts(corpora.train_rows(spark, sf))
-    ev = (lm.token_counts(corpora.eval_rows(spark, sf))
-          .withColumnRenamed("dataset", "eval_dataset"))
+    """Token counts of the training sources and evaluation sets, materialised
+    once in the checkpoint folder (each feeds several jobs)."""
+    from ..session import cut
+    train = cut(lm.token_counts(corpora.train_rows(spark, sf)))
+    ev = cut(lm.token_counts(corpora.eval_rows(spark, sf))
+             .withColumnRenamed("dataset", "eval_dataset"))
     return train, ev
 
 
@@ -283,11 +286,12 @@ EVAL_BS = 8
 
 
 def _fitted(spark, sf):
+    from ..session import cut
     train, ev = _counts(spark, sf)
     vocab = lm.vocabulary(train, ev)
     v = vocab.count()
     n = train.agg(F.sum("cnt")).first()[0]
-    model = lm.fit_unigram(train, vocab, ALPHA)
+    model = cut(lm.fit_unigram(train, vocab, ALPHA))
     return train, ev, model, v, n
 
 

@@ -82,3 +82,17 @@ def cut(df: DataFrame) -> DataFrame:
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Size check used before broadcasting a side whose size is data-dependent."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a CPU-heavy stage at least one task per core.
+
+    A small file can arrive in fewer splits than there are cores (row groups
+    bound the splits); then a round-robin repartition is cheap and pays off.
+    At scale the scan already has far more splits than cores and nothing is
+    added to the plan.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
