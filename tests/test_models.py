@@ -66,9 +66,9 @@ def test_gradient_finite_difference(spark):
                                    "run_id string, tok string, theta double")
     tq = spark.createDataFrame([("r", t, float(v)) for t, v in zip(toks, q) if v > 0],
                                "run_id string, tok string, q double")
-    tw = spark.createDataFrame([("r", 1.0)], "run_id string, a double")
     from mixtrace.operators.optim import gradient
-    g = {r.tok: r.g for r in gradient(params, lm.log_partition(params), tq, tw).collect()}
+    logz = lm.log_partition(params).first()["logz"]
+    g = {r.tok: r.g for r in gradient(params, F.lit(logz), tq, F.lit(1.0), True).collect()}
 
     def loss(th):
         return math.log(np.exp(th).sum()) - float((q * th).sum())
