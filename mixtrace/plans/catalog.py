@@ -610,3 +610,38 @@ def q_run_key(spark, sf):
     m = (table(spark, sf, "documents").select(F.col("source").alias("dataset")).distinct()
          .withColumn("argv", F.format_string(ARGV_FMT, F.col("dataset"), F.col("dataset"))))
     return m.withColumn("run_key", runs.run_key("argv"))
+
+
+# ---------------------------------------------------------------- classifier
+from ..operators.models import logreg  # noqa: E402
+
+LR_BUCKETS, LR_LR = 1024, 1.0
+
+
+def _labelled(spark, sf):
+    d = table(spark, sf, "documents")
+    lab = table(spark, sf, "labels").select("doc_id", F.col("toxic").cast("double").alias("y"))
+    return d.join(lab, "doc_id").select("doc_id", F.col("source").alias("dataset"), "lang", "text", "y")
+
+
+@register("lr_fit_step", O.logreg_sql(LR_BUCKETS, 1, LR_LR))
+def q_lr_fit_step(spark, sf):
+    """One full-batch gradient step of the toxic classifier from theta = 0."""
+    ld = _labelled(spark, sf)
+    X = logreg.features(ld, ["doc_id"], buckets=LR_BUCKETS)
+    th = logreg.fit(X, ld.select("doc_id", "y"), 1, LR_LR)
+    return th.select("f", r6("theta").alias("theta"))
+
+
+@register("unlearn_influence_lr", O.logreg_sql(LR_BUCKETS, 2, LR_LR, unlearn_steps=2))
+def q_unlearn_influence_lr(spark, sf):
+    """Classifier fitted in 2 steps; each source unlearned (2 ascent
+    steps); log-loss change on every language group of labelled documents."""
+    from ..session import cut as _cut
+    ld = _cut(_labelled(spark, sf))
+    X = _cut(logreg.features(ld, ["doc_id", "dataset", "lang"], buckets=LR_BUCKETS))
+    y = ld.select("doc_id", "y")
+    th = logreg.fit(X.select("doc_id", "f"), y, 2, LR_LR)
+    Xe = X.select(F.col("lang").alias("eval_dataset"), "doc_id", "f")
+    out = logreg.unlearn_influence(X.select("dataset", "doc_id", "f"), y, Xe, y, th, 2, LR_LR)
+    return out.select("train_dataset", "eval_dataset", "step", r6("influence").alias("influence"))

@@ -370,3 +370,47 @@ def run_key_sql(drop: list[str], abbr: list[tuple[str, str]], argv_sql: str) ->
     for a, b in abbr:
         k = f"replace({k}, '{a}', '{b}')"
     return f"SELECT dataset, argv, {k} AS run_key FROM ({argv_sql})"
+
+
+def logreg_sql(buckets: int, fit_steps: int, lr: float, unlearn_steps: int = 0) -> str:
+    """Logistic regression on hashed token buckets: fit by full-batch GD from 0;
+    with unlearn_steps > 0, per-source ascent and influence on language sets."""
+    r = repr
+    hb = (f"list_transform(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''),"
+          f" lambda w: CAST((('0x' || substr(md5(w), 1, 8))::BIGINT % {buckets}) AS INTEGER))")
+    parts = [f"ld AS (SELECT d.doc_id, d.source AS dataset, d.lang, d.text, CAST(l.toxic AS DOUBLE) AS y "
+             f"FROM documents d JOIN labels l USING (doc_id))",
+             f"x AS (SELECT DISTINCT doc_id, dataset, lang, f FROM (SELECT doc_id, dataset, lang, "
+             f"unnest(list_concat({hb}, [{buckets}])) AS f FROM ld))",
+             "n AS (SELECT count(*) AS n FROM ld)",
+             "th0 AS (SELECT DISTINCT f, 0.0 AS theta FROM x)"]
+    for t in range(1, fit_steps + 1):
+        parts.append(f"""z{t} AS (SELECT x.doc_id, sum(th.theta) AS z FROM x JOIN th{t - 1} th USING (f) GROUP BY x.doc_id)""")
+        parts.append(f"""e{t} AS (SELECT doc_id, 1.0 / (1.0 + exp(-z)) - y AS e FROM z{t} JOIN ld USING (doc_id))""")
+        parts.append(f"""g{t} AS (SELECT f, sum(e) / (SELECT n FROM n) AS g FROM x JOIN e{t} USING (doc_id) GROUP BY f)""")
+        parts.append(f"""th{t} AS (SELECT th.f, th.theta - {r(lr)} * coalesce(g.g, 0.0) AS theta
+                          FROM th{t - 1} th LEFT JOIN g{t} g USING (f))""")
+    if unlearn_steps == 0:
+        return "WITH " + ",\n".join(parts) + f"\nSELECT f, round(theta, 6) AS theta FROM th{fit_steps}"
+    parts.append("nd AS (SELECT dataset, count(*) AS n FROM ld GROUP BY dataset)")
+    parts.append(f"q0 AS (SELECT nd.dataset AS run_id, th.f, th.theta FROM nd CROSS JOIN th{fit_steps} th)")
+    for t in range(1, unlearn_steps + 1):
+        parts.append(f"""uz{t} AS (SELECT x.dataset AS run_id, x.doc_id, sum(q.theta) AS z
+            FROM x JOIN q{t - 1} q ON q.run_id = x.dataset AND q.f = x.f GROUP BY x.dataset, x.doc_id)""")
+        parts.append(f"""ue{t} AS (SELECT run_id, doc_id, 1.0 / (1.0 + exp(-z)) - y AS e FROM uz{t} JOIN ld USING (doc_id))""")
+        parts.append(f"""ug{t} AS (SELECT ue.run_id, x.f, sum(ue.e) / nd.n AS g FROM x JOIN ue{t} ue
+            ON ue.run_id = x.dataset AND ue.doc_id = x.doc_id JOIN nd ON nd.dataset = ue.run_id GROUP BY ue.run_id, x.f, nd.n)""")
+        parts.append(f"""q{t} AS (SELECT q.run_id, q.f, q.theta + {r(lr)} * coalesce(g.g, 0.0) AS theta
+            FROM q{t - 1} q LEFT JOIN ug{t} g ON g.run_id = q.run_id AND g.f = q.f)""")
+    for t in range(0, unlearn_steps + 1):
+        parts.append(f"""ls{t} AS (SELECT run_id, lang AS eval_dataset, {t} AS step,
+            avg(greatest(z, 0.0) + ln(1 + exp(-abs(z))) - y * z) AS loss
+            FROM (SELECT q.run_id, x.lang, x.doc_id, sum(q.theta) AS z FROM x JOIN q{t} q USING (f)
+                  GROUP BY q.run_id, x.lang, x.doc_id) JOIN (SELECT doc_id, y FROM ld) USING (doc_id)
+            GROUP BY run_id, lang)""")
+    allu = " UNION ALL ".join(f"SELECT * FROM ls{t}" for t in range(1, unlearn_steps + 1))
+    parts.append(f"lsa AS ({allu})")
+    return "WITH " + ",\n".join(parts) + """
+SELECT a.run_id AS train_dataset, a.eval_dataset, CAST(a.step AS BIGINT) AS step,
+       round(a.loss - b.loss, 6) AS influence
+FROM lsa a JOIN ls0 b ON b.run_id = a.run_id AND b.eval_dataset = a.eval_dataset"""
