@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def batch_loss(losses: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -85,7 +86,8 @@ def external_scorer(rows: DataFrame, load_model: Callable[[], Callable[[pd.DataF
     ``load_model`` runs once per partition (e.g. loads weights); the returned
     callable maps a pandas frame to one value per row.
     """
-    schema = rows.schema.add(out_col, "double")
+    # a new StructType: .add() would mutate the DataFrame's cached schema
+    schema = T.StructType(list(rows.schema.fields) + [T.StructField(out_col, T.DoubleType())])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_model()

@@ -183,3 +183,30 @@ def run_stats(params: DataFrame, wide: DataFrame, names: list[str], broadcast_wi
                              *[F.sum(F.coalesce(F.col(f"`{n}`"), F.lit(0)) * F.col("theta")).alias(n)
                                for n in names])
     return {r[run]: (r["_logz"], {n: r[n] for n in names}) for r in agg.collect()}
+
+
+def model_scorer(path: str, logz: float, alpha: float = 1.0):
+    """U11 helper: a scorer factory for ``evaluate.external_scorer``.
+
+    The model table ``(tok, theta)`` is read from ``path`` (the shared folder)
+    once per partition with pyarrow - the way a user model loads its weights -
+    and each row's token list is scored as a summed NLL.
+    """
+    def load():
+        import math
+
+        import pyarrow.dataset as ds
+        import pyarrow.fs as pafs
+        if path.startswith("file:"):
+            fs, p = pafs.LocalFileSystem(), path[len("file:"):]
+        else:
+            fs, p = pafs.FileSystem.from_uri(path)
+        t = ds.dataset(p, filesystem=fs, format="parquet").to_table(columns=["tok", "theta"])
+        theta = dict(zip(t.column("tok").to_pylist(), t.column("theta").to_pylist()))
+        unseen = math.log(alpha)
+
+        def score(pdf):
+            import pandas as pd
+            return pd.Series([sum(logz - theta.get(w, unseen) for w in toks) for toks in pdf["tokens"]])
+        return score
+    return load

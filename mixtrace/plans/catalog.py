@@ -645,3 +645,23 @@ def q_unlearn_influence_lr(spark, sf):
     Xe = X.select(F.col("lang").alias("eval_dataset"), "doc_id", "f")
     out = logreg.unlearn_influence(X.select("dataset", "doc_id", "f"), y, Xe, y, th, 2, LR_LR)
     return out.select("train_dataset", "eval_dataset", "step", r6("influence").alias("influence"))
+
+
+# ---------------------------------------------------------------- external scorer
+@register("external_scorer", f"WITH {O.lm_losses_ctes(ALPHA, EVAL_BS)} "
+          "SELECT dataset, row_id, round(nll, 6) AS nll, n_tok FROM ex")
+def q_external_scorer(spark, sf):
+    """The fitted model saved to the shared folder and used as a *user*
+    scorer through mapInPandas (weights loaded once per partition); scores
+    every evaluation row."""
+    import math
+    from ..functions.text import word_tokens
+    _, _, model, v, n = _fitted(spark, sf)
+    path = scratch_path(spark, "user-model")
+    model.select("tok", "theta").write.parquet(path)
+    rows = (corpora.eval_rows(spark, sf)
+            .select("dataset", "row_id", word_tokens("text").alias("tokens"))
+            .filter(F.size("tokens") > 0))
+    scored = evaluate.external_scorer(rows, lm.model_scorer(path, math.log(n + ALPHA * v), ALPHA))
+    return scored.select("dataset", "row_id", r6("nll").alias("nll"),
+                         F.size("tokens").cast("long").alias("n_tok"))
