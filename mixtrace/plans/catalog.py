@@ -665,3 +665,31 @@ def q_external_scorer(spark, sf):
     scored = evaluate.external_scorer(rows, lm.model_scorer(path, math.log(n + ALPHA * v), ALPHA))
     return scored.select("dataset", "row_id", r6("nll").alias("nll"),
                          F.size("tokens").cast("long").alias("n_tok"))
+
+
+# ---------------------------------------------------------------- sources and sinks
+from ..sources import tables as S  # noqa: E402
+
+
+@register("scan_union", """
+SELECT 'documents' AS corpus, 0 AS part_no, doc_id AS key, text FROM documents
+UNION ALL SELECT 'benchmark', 1, item_id, text FROM benchmark""")
+def q_scan_union(spark, sf):
+    """Two corpora as one table (UNION ALL, tagged, order recoverable
+    as (part_no, key))."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "text")
+    bench = table(spark, sf, "benchmark").select(F.col("item_id").alias("key"), "text")
+    return S.scan_union([docs, bench], tag="corpus", names=["documents", "benchmark"]) \
+        .select("corpus", "part_no", "key", "text")
+
+
+@register("save_and_scan", """
+SELECT source AS dataset, doc_id, n_chars FROM documents WHERE source IN ('src2', 'src7', 'src11')""")
+def q_save_and_scan(spark, sf):
+    """S3 then S4: save the corpus partitioned by dataset, read three dataset
+    directories back (partition pruning, no scan of the others)."""
+    d = table(spark, sf, "documents").select(F.col("source").alias("dataset"), "doc_id", "n_chars")
+    path = scratch_path(spark, "saved")
+    S.save(d, path, partition_by=["dataset"])
+    back = S.read_dirs(spark, [f"{path}/dataset={n}" for n in ("src2", "src7", "src11")], base_path=path)
+    return back.select(F.col("dataset").cast("string").alias("dataset"), "doc_id", "n_chars")

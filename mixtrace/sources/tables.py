@@ -41,9 +41,16 @@ def scan_union(frames: list[DataFrame], tag: str | None = None,
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def read_dirs(spark: SparkSession, dirs: list[str]) -> DataFrame:
-    """``concatenate_datasets([load_from_disk(d) for d in dirs])``."""
-    return spark.read.option("mergeSchema", "true").parquet(*dirs)
+def read_dirs(spark: SparkSession, dirs: list[str], base_path: str | None = None) -> DataFrame:
+    """``concatenate_datasets([load_from_disk(d) for d in dirs])``.
+
+    With ``base_path`` the partition columns encoded in the directory names
+    (``dataset=...``) are kept.
+    """
+    r = spark.read.option("mergeSchema", "true")
+    if base_path:
+        r = r.option("basePath", base_path)
+    return r.parquet(*dirs)
 
 
 def read_pairs_csv(spark: SparkSession, path: str) -> DataFrame:
