@@ -693,3 +693,15 @@ def q_save_and_scan(spark, sf):
     S.save(d, path, partition_by=["dataset"])
     back = S.read_dirs(spark, [f"{path}/dataset={n}" for n in ("src2", "src7", "src11")], base_path=path)
     return back.select(F.col("dataset").cast("string").alias("dataset"), "doc_id", "n_chars")
+
+
+@register("influence_loo_bigram", O.bigram_loo_sql(ALPHA))
+def q_influence_loo_bigram(spark, sf):
+    """U10 with the bigram model: exact leave-one-source-out influence."""
+    from ..session import cut as _cut
+    train, ev = _counts(spark, sf)
+    v = lm.vocabulary(train, ev).count()
+    tp = lm.bigram_counts(corpora.train_rows(spark, sf))
+    ep = lm.bigram_counts(corpora.eval_rows(spark, sf)).withColumnRenamed("dataset", "eval_dataset")
+    out = lm.influence_loo_bigram(tp, ep, v, ALPHA)
+    return out.select("train_dataset", "eval_dataset", r6("influence").alias("influence"))

@@ -414,3 +414,30 @@ def logreg_sql(buckets: int, fit_steps: int, lr: float, unlearn_steps: int = 0)
 SELECT a.run_id AS train_dataset, a.eval_dataset, CAST(a.step AS BIGINT) AS step,
        round(a.loss - b.loss, 6) AS influence
 FROM lsa a JOIN ls0 b ON b.run_id = a.run_id AND b.eval_dataset = a.eval_dataset"""
+
+
+def bigram_loo_sql(alpha: float = 1.0) -> str:
+    a = repr(float(alpha))
+    pairs = ("SELECT dataset, t[i] AS u, t[i + 1] AS v FROM (SELECT dataset, t, unnest(range(1, len(t))) AS i "
+             f"FROM (SELECT dataset, {tok()} AS t FROM (ROWS_SQL)))")
+    return f"""
+WITH {counts_ctes(alpha)},
+tp AS (SELECT dataset, u, v, count(*) AS cnt FROM ({pairs.replace('ROWS_SQL', TRAIN_ROWS)}) GROUP BY ALL),
+ep AS (SELECT dataset AS eval_dataset, u, v, count(*) AS cnt FROM ({pairs.replace('ROWS_SQL', EVAL_ROWS)}) GROUP BY ALL),
+cuv AS (SELECT u, v, sum(cnt) AS C FROM tp GROUP BY ALL),
+cu AS (SELECT u, sum(cnt) AS C FROM tp GROUP BY u),
+du AS (SELECT dataset, u, sum(cnt) AS cnt FROM tp GROUP BY ALL),
+eu AS (SELECT eval_dataset, u, sum(cnt) AS cnt FROM ep GROUP BY ALL),
+ds AS (SELECT DISTINCT dataset FROM tp),
+en AS (SELECT eval_dataset, sum(cnt) AS n FROM ep GROUP BY ALL),
+sa AS (SELECT du.dataset, eu.eval_dataset,
+              sum(eu.cnt * (ln(cu.C - du.cnt + {a} * vs.V) - ln(cu.C + {a} * vs.V))) AS s
+       FROM du JOIN eu USING (u) JOIN cu USING (u) CROSS JOIN vs GROUP BY ALL),
+sb AS (SELECT tp.dataset, ep.eval_dataset,
+              sum(ep.cnt * (ln(cuv.C - tp.cnt + {a}) - ln(cuv.C + {a}))) AS s
+       FROM tp JOIN ep USING (u, v) JOIN cuv USING (u, v) GROUP BY ALL)
+SELECT ds.dataset AS train_dataset, en.eval_dataset,
+       round((coalesce(sa.s, 0) - coalesce(sb.s, 0)) / en.n, 6) AS influence
+FROM ds CROSS JOIN en
+LEFT JOIN sa ON sa.dataset = ds.dataset AND sa.eval_dataset = en.eval_dataset
+LEFT JOIN sb ON sb.dataset = ds.dataset AND sb.eval_dataset = en.eval_dataset"""

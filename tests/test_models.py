@@ -103,3 +103,30 @@ def test_partition_count_independence(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     b = sorted(map(tuple, q(spark, SF001).collect()))
     assert a == b
+
+
+def test_bigram_loo_equals_refit(spark):
+    from collections import Counter
+    train, ev = _toy(spark)
+    tp = lm.bigram_counts(train)
+    ep = lm.bigram_counts(ev).withColumnRenamed("dataset", "eval_dataset")
+    V = 6
+    got = {(r.train_dataset, r.eval_dataset): r.influence
+           for r in lm.influence_loo_bigram(tp, ep, V, 1.0).collect()}
+    tr, er = [tuple(r) for r in train.collect()], [tuple(r) for r in ev.collect()]
+
+    def loss(drop):
+        c = Counter((a, b) for d, _, s in tr if d != drop for a, b in zip(s.split(), s.split()[1:]))
+        cu = Counter()
+        for (a, _), n in c.items():
+            cu[a] += n
+        out = {}
+        for e, _, s in er:
+            ps = list(zip(s.split(), s.split()[1:]))
+            out[e] = sum(math.log(cu[a] + V) - math.log(c[(a, b)] + 1.0) for a, b in ps) / len(ps)
+        return out
+    full = loss(None)
+    for d in "abc":
+        w = loss(d)
+        for e in "ef":
+            assert got[(d, e)] == pytest.approx(w[e] - full[e], abs=1e-12)
