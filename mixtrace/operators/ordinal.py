@@ -52,3 +52,31 @@ def window_ordinal(df: DataFrame, group: list[str] | str | None, order: list,
     group = [] if group is None else ([group] if isinstance(group, str) else list(group))
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
+
+
+def running_max(df: DataFrame, group: list[str] | str, order: list, value, name: str,
+                partitions: int | None = None) -> DataFrame:
+    """Add ``name`` = max of ``value`` over the rows of the same group up to
+    and including the current one in ``order`` (NULLs ignored).
+
+    Same split as ``dense_ordinal``: range partitions over (group, order), a
+    running max inside each (partition, group) chunk, and the carry from
+    earlier chunks of the group through a table of at most partitions +
+    groups rows.  A group holding most rows is spread over many tasks.
+    """
+    group = [group] if isinstance(group, str) else list(group)
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(g) for g in group] + [F.col(o) if isinstance(o, str) else o for o in order]
+    v = value if not isinstance(value, str) else F.col(value)
+    ranged = cut(df.withColumn("_v", v).repartitionByRange(n, *keys).sortWithinPartitions(*keys))
+    r = ranged.withColumn("_pid", F.spark_partition_id())
+    w_local = (Window.partitionBy("_pid", *group).orderBy(*order)
+               .rowsBetween(Window.unboundedPreceding, 0))
+    r = r.withColumn("_local", F.max("_v").over(w_local))
+    chunk = r.groupBy("_pid", *group).agg(F.max("_v").alias("_cm"))
+    w_prev = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    chunk = chunk.withColumn("_carry", F.max("_cm").over(w_prev)).drop("_cm")
+    out = join_checked(r, chunk, ["_pid", *group], max_rows=1_000_000)
+    return (out.withColumn(name, F.greatest(F.col("_local"), F.col("_carry")))
+            .drop("_pid", "_v", "_local", "_carry"))

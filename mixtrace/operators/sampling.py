@@ -26,9 +26,10 @@ from ..functions.text import md5_key
 from .models.lm import join_checked
 from .ordinal import dense_ordinal
 
-# Largest per-group remainder ranked with a windowed top-k; beyond it the
-# distributed ordinal is used.
-WINDOW_TOPK_MAX = 200_000
+# The windowed top-k keeps at most r rows per group and input partition
+# before the shuffle, so the final sort of one group sees up to
+# partitions x r rows; beyond this budget the distributed ordinal is used.
+WINDOW_TOPK_ROWS = 20_000_000
 
 
 def _by(by) -> list[str]:
@@ -62,7 +63,8 @@ def sample(df: DataFrame, k, by="dataset", key: str = "doc_id", seed=42, salt: s
     part = (j.filter(F.col("_r") > 0).withColumn("epoch", F.col("_q"))
             .withColumn("_h", order_key(seed, salt, by, F.col("epoch"), key)))
     r_max = spec.agg(F.max("_r")).first()[0] or 0
-    if method == "window" or (method == "auto" and r_max <= WINDOW_TOPK_MAX):
+    fits = r_max * max(1, part.rdd.getNumPartitions()) <= WINDOW_TOPK_ROWS
+    if method == "window" or (method == "auto" and fits):
         w = Window.partitionBy(*by).orderBy("_h", key)
         # literal bound first: Catalyst plans a partial top-k before the shuffle
         ranked = (part.withColumn("_rn", F.row_number().over(w))

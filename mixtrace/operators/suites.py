@@ -53,18 +53,22 @@ def minimal_pairs(pro: DataFrame, anti: DataFrame, k: int = 256, seed=42, key: s
 
 def qa_falsehoods(raw: DataFrame, k: int = 256, min_count: int = 128, seed=42,
                   key: str = "key") -> DataFrame:
-    """Raw ``(question, category, incorrect_answers ARRAY<STRING>, key)``.
+    """Raw ``(question, category, incorrect_answers ARRAY<STRING>, key)``,
+    or already long ``(question, category, answer, key)`` with a key per answer.
 
     relabel category -> one row per incorrect answer (both stripped) -> keep
     categories with at least ``min_count`` rows -> k per category.
     """
-    rows = raw.select(ustrip("question").alias("inputs_pretokenized"),
-                      relabel_category("category").alias("dataset"), key,
-                      F.posexplode("incorrect_answers").alias("answer_no", "answer"))
-    rows = rows.select("inputs_pretokenized",
-                       ustrip("answer").alias("targets_pretokenized"), "dataset",
-                       F.concat_ws(":", F.col(key).cast("string"),
-                                   F.col("answer_no").cast("string")).alias("pair_key"))
+    if "incorrect_answers" in raw.columns:
+        rows = raw.select("question", "category", key,
+                          F.posexplode("incorrect_answers").alias("answer_no", "answer"))
+        pair_key = F.concat_ws(":", F.col(key).cast("string"), F.col("answer_no").cast("string"))
+    else:
+        rows = raw
+        pair_key = F.col(key).cast("string")
+    rows = rows.select(ustrip("question").alias("inputs_pretokenized"),
+                       ustrip("answer").alias("targets_pretokenized"),
+                       relabel_category("category").alias("dataset"), pair_key.alias("pair_key"))
     big = (rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
            .filter(F.col("n") >= min_count).select("dataset"))
     rows = rows.join(F.broadcast(big), "dataset", "left_semi")

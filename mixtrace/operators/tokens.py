@@ -27,10 +27,11 @@ def vocab_build(rows: DataFrame, text: str = "text", max_size: int | None = None
     c = (rows.select(F.explode(word_tokens(text, pattern)).alias("tok"))
          .groupBy("tok").agg(F.count(F.lit(1)).alias("count"))
          .filter(F.col("count") >= min_count))
-    if max_size is not None:
-        # per-partition top-V then one merge of at most partitions x V rows
-        c = c.orderBy(F.col("count").desc(), "tok").limit(max_size)
+    # rank every counted token with the distributed ordinal (range partitions
+    # on (count desc, tok)); top-V is then a filter - no single-task merge
     v = dense_ordinal(c, None, [F.col("count").desc(), F.col("tok")], name="id")
+    if max_size is not None:
+        v = v.filter(F.col("id") < max_size)
     return v.withColumn("id", (F.col("id") + len(SPECIALS)).cast("int"))
 
 

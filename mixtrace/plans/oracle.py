@@ -100,15 +100,15 @@ COREF_ROWS = f"""SELECT array_to_string(string_split(x.line, ' '), ' ') AS input
 QA_RAW = """
 SELECT q.text AS question,
   (['Indexical Error: Time', 'Confusion: People', 'Misconceptions', 'Law', 'Health'])[q.conv_id % 5 + 1] AS category,
-  a.answers AS incorrect_answers,
-  CAST(q.conv_id AS VARCHAR) || ':' || CAST(q.turn AS VARCHAR) AS key
+  a.text AS answer,
+  CAST(q.conv_id AS VARCHAR) || ':' || CAST(q.turn AS VARCHAR) || ':' || CAST(a.turn AS VARCHAR) AS key
 FROM conversations q JOIN (
-  SELECT conv_id, q_turn, list(text ORDER BY turn) AS answers FROM (
+  SELECT * FROM (
     SELECT conv_id, turn, role, text,
            max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn
                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q_turn
     FROM conversations)
-  WHERE role = 'assistant' AND q_turn IS NOT NULL GROUP BY conv_id, q_turn) a
+  WHERE role = 'assistant' AND q_turn IS NOT NULL) a
 ON a.conv_id = q.conv_id AND a.q_turn = q.turn
 WHERE q.role = 'user'"""
 
@@ -116,12 +116,11 @@ USTRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 QA_ROWS = f"""
 SELECT {USTRIP.format(x='question')} AS inputs_pretokenized,
-       {USTRIP.format(x='ans')} AS targets_pretokenized,
+       {USTRIP.format(x='answer')} AS targets_pretokenized,
        CASE WHEN contains(category, 'Indexical Error') THEN 'indexical_error'
             WHEN contains(category, 'Confusion') THEN 'confusion' ELSE lower(category) END AS dataset,
-       key || ':' || CAST(answer_no AS VARCHAR) AS pair_key
-FROM (SELECT question, category, key, unnest(incorrect_answers) AS ans,
-             generate_subscripts(incorrect_answers, 1) - 1 AS answer_no FROM ({QA_RAW}))"""
+       key AS pair_key
+FROM ({QA_RAW})"""
 
 # The weighted-mixture fractions, in the reference's order,
 # applied to sources src0 .. src7.

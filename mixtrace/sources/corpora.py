@@ -66,21 +66,24 @@ QA_CATEGORIES = ["Indexical Error: Time", "Confusion: People", "Misconceptions",
 
 
 def qa_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B3 input: each user turn is a question; its incorrect answers are the
-    assistant turns that follow it up to the next user turn."""
-    from pyspark.sql.window import Window
+    """B3 input in long form: one row per (question, incorrect answer).
+
+    Each user turn is a question; its answers are the assistant turns that
+    follow it up to the next user turn.  The owning question of a turn is a
+    distributed running max of user-turn numbers (no per-conversation task),
+    and no per-question list is collected.  ``key`` = conv:question turn:answer turn.
+    """
+    from ..operators.ordinal import running_max
     c = table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    tagged = c.withColumn("q_turn", F.max(F.when(F.col("role") == "user", F.col("turn"))).over(w))
+    tagged = running_max(c, "conv_id", ["turn"],
+                         F.when(F.col("role") == "user", F.col("turn")), "q_turn")
     answers = (tagged.filter((F.col("role") == "assistant") & F.col("q_turn").isNotNull())
-               .groupBy("conv_id", "q_turn")
-               .agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("a")))
+               .select("conv_id", "q_turn", F.col("turn").alias("a_turn"), F.col("text").alias("answer")))
     qs = c.filter(F.col("role") == "user").select("conv_id", F.col("turn").alias("q_turn"),
                                                    F.col("text").alias("question"))
     cat = F.element_at(F.array(*[F.lit(x) for x in QA_CATEGORIES]),
                        (F.col("conv_id") % len(QA_CATEGORIES)).cast("int") + 1)
     return (qs.join(answers, ["conv_id", "q_turn"])
-            .select("question", cat.alias("category"),
-                    F.transform("a", lambda s: s["text"]).alias("incorrect_answers"),
-                    F.concat_ws(":", F.col("conv_id").cast("string"),
-                                F.col("q_turn").cast("string")).alias("key")))
+            .select("question", cat.alias("category"), "answer",
+                    F.concat_ws(":", F.col("conv_id").cast("string"), F.col("q_turn").cast("string"),
+                                F.col("a_turn").cast("string")).alias("key")))

@@ -93,3 +93,29 @@ def test_shuffle_keeps_batches_whole(spark):
                                     F.countDistinct("dataset").alias("d")).collect()
     assert all(r.n == 1 and r.d == 1 for r in per)
     assert s.count() == 15
+
+
+def test_running_max_matches_window(spark):
+    from pyspark.sql.window import Window
+    from mixtrace.operators.ordinal import running_max
+    rows = [(c, t, (t * 7 + c) % 3 == 0) for c in range(4) for t in range(30 if c == 0 else 5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, is_user boolean")
+    v = F.when(F.col("is_user"), F.col("turn"))
+    a = running_max(df, "conv_id", ["turn"], v, "q", partitions=6)
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    b = df.withColumn("q", F.max(v).over(w))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_qa_builder_array_input(spark):
+    from mixtrace.operators import suites
+    raw = spark.createDataFrame(
+        [(" Why? ", "Indexical Error: Time", [" a ", "b"], "q1"),
+         ("How", "Law", ["c"], "q2"),
+         ("What", "Confusion: People", ["d", "e", "f"], "q3")],
+        "question string, category string, incorrect_answers array<string>, key string")
+    out = suites.qa_falsehoods(raw, k=4, min_count=2).collect()
+    assert {r.dataset for r in out} == {"indexical_error", "confusion"}
+    assert len(out) == 8
+    assert {r.targets_pretokenized for r in out if r.dataset == "indexical_error"} == {"a", "b"}
+    assert {r.inputs_pretokenized for r in out if r.dataset == "indexical_error"} == {"Why?"}
