@@ -705,3 +705,18 @@ def q_influence_loo_bigram(spark, sf):
     ep = lm.bigram_counts(corpora.eval_rows(spark, sf)).withColumnRenamed("dataset", "eval_dataset")
     out = lm.influence_loo_bigram(tp, ep, v, ALPHA)
     return out.select("train_dataset", "eval_dataset", r6("influence").alias("influence"))
+
+
+PAIR_MAX = 32
+
+
+@register("collate_pairs", O.collate_pairs_sql(PAIR_MAX, COLLATE_BS))
+def q_collate_pairs(spark, sf):
+    """prediction/answer columns (reply and its first line) tokenised,
+    truncated to 32 and padded per batch; no labels."""
+    p = (_pairs(spark, sf)
+         .withColumn("preds", collate.tokenize_source("target", PAIR_MAX))
+         .withColumn("answers", collate.tokenize_source(F.split("target", "\n")[0], PAIR_MAX)))
+    out = collate.collate_pairs(p, "preds", "answers")
+    return out.select("conv_id", "turn", "batch_id", ids_string("preds").alias("preds"),
+                      ids_string("answers").alias("answers"))

@@ -440,3 +440,19 @@ SELECT ds.dataset AS train_dataset, en.eval_dataset,
 FROM ds CROSS JOIN en
 LEFT JOIN sa ON sa.dataset = ds.dataset AND sa.eval_dataset = en.eval_dataset
 LEFT JOIN sb ON sb.dataset = ds.dataset AND sb.eval_dataset = en.eval_dataset"""
+
+
+def collate_pairs_sql(max_len: int, bs: int) -> str:
+    """prediction = assistant reply, answer = its first line; both hashed,
+    truncated and padded per batch (no labels)."""
+    return f"""
+WITH pr AS ({PAIRS}),
+t AS (SELECT conv_id, turn, ({hashed_sql("target")})[1:{max_len}] AS preds,
+             ({hashed_sql("string_split(target, chr(10))[1]")})[1:{max_len}] AS answers,
+             (row_number() OVER (ORDER BY conv_id, turn) - 1) // {bs} AS batch_id FROM pr),
+m AS (SELECT *, max(len(preds)) OVER (PARTITION BY batch_id) AS Lp,
+                max(len(answers)) OVER (PARTITION BY batch_id) AS La FROM t)
+SELECT conv_id, turn, CAST(batch_id AS BIGINT) AS batch_id,
+       array_to_string(list_resize(preds, Lp, 0), ',') AS preds,
+       array_to_string(list_resize(answers, La, 0), ',') AS answers
+FROM m"""
