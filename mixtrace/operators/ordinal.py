@@ -19,8 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut
-from .models.lm import join_checked
+from ..session import cut, small_enough
 
 
 def dense_ordinal(df: DataFrame, group: list[str] | str | None, order: list,
@@ -41,11 +40,21 @@ def dense_ordinal(df: DataFrame, group: list[str] | str | None, order: list,
                                                 F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*group).orderBy("_pid") if group else Window.orderBy("_pid")
     stats = stats.withColumn("_before", F.sum("_n").over(w) - F.col("_n")).drop("_n")
-    out = join_checked(with_id, stats, ["_pid", *group], max_rows=1_000_000)
+    out = _join_back(with_id, stats, group)
     return (out.withColumn(name, F.col("_mid") - F.col("_first") + F.col("_before"))
             .drop("_pid", "_mid", "_first", "_before"))
 
 
+def _join_back(rows: DataFrame, stats: DataFrame, group: list[str]) -> DataFrame:
+    """Join the per-(partition, group) table back; NULL groups match NULL groups."""
+    ren = stats.select(F.col("_pid").alias("_s_pid"), *[F.col(g).alias(f"_s_{g}") for g in group],
+                       *[c for c in stats.columns if c != "_pid" and c not in group])
+    cond = [F.col("_pid") == F.col("_s_pid")] + [F.col(g).eqNullSafe(F.col(f"_s_{g}")) for g in group]
+    small = F.broadcast(ren) if small_enough(ren, 1_000_000) else ren
+    out = rows.join(small, cond, "inner")
+    return out.drop("_s_pid", *[f"_s_{g}" for g in group])
+
+
 def window_ordinal(df: DataFrame, group: list[str] | str | None, order: list,
                    name: str = "ordinal") -> DataFrame:
     """Same result with one window; for inputs whose groups are known to be small."""
@@ -77,6 +86,6 @@ def running_max(df: DataFrame, group: list[str] | str, order: list, value, name:
     chunk = r.groupBy("_pid", *group).agg(F.max("_v").alias("_cm"))
     w_prev = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     chunk = chunk.withColumn("_carry", F.max("_cm").over(w_prev)).drop("_cm")
-    out = join_checked(r, chunk, ["_pid", *group], max_rows=1_000_000)
+    out = _join_back(r, chunk, group)
     return (out.withColumn(name, F.greatest(F.col("_local"), F.col("_carry")))
             .drop("_pid", "_v", "_local", "_carry"))

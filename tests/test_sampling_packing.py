@@ -119,3 +119,9 @@ def test_qa_builder_array_input(spark):
     assert len(out) == 8
     assert {r.targets_pretokenized for r in out if r.dataset == "indexical_error"} == {"a", "b"}
     assert {r.inputs_pretokenized for r in out if r.dataset == "indexical_error"} == {"Why?"}
+
+
+def test_dense_ordinal_null_group(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "dataset string, doc_id long")
+    got = sorted((r.dataset or "", r.o) for r in dense_ordinal(df, "dataset", ["doc_id"], "o").collect())
+    assert got == [("", 0), ("", 1), ("a", 0)]
