@@ -20,7 +20,7 @@ from ...functions.text import WORD_SPLIT, word_tokens
 from ...session import cut, small_enough, spread
 
 # Rows of a side that may be broadcast after a size check.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def token_counts(rows: DataFrame, by: str | list[str] = "dataset", text: str = "text",

@@ -125,3 +125,21 @@ def test_dense_ordinal_null_group(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "dataset string, doc_id long")
     got = sorted((r.dataset or "", r.o) for r in dense_ordinal(df, "dataset", ["doc_id"], "o").collect())
     assert got == [("", 0), ("", 1), ("a", 0)]
+
+
+def test_sample_properties(spark):
+    """Exactly k rows per non-empty group; each row appears floor(k/N) or ceil(k/N) times."""
+    from hypothesis import given, settings, strategies as st
+
+    @settings(max_examples=8, deadline=None)
+    @given(st.dictionaries(st.sampled_from("abcd"), st.integers(1, 9), min_size=1, max_size=3),
+           st.integers(0, 25))
+    def check(sizes, k):
+        df = _groups(spark, sizes)
+        out = sampling.sample(df, k, key="doc_id", method="ordinal" if k % 2 else "window").collect()
+        per = Counter(r.dataset for r in out)
+        for g, n in sizes.items():
+            assert per.get(g, 0) == k
+            mult = Counter(r.doc_id for r in out if r.dataset == g)
+            assert all(k // n <= mult.get(i, 0) <= -(-k // n) for i in range(n))
+    check()
