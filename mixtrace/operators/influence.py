@@ -69,14 +69,27 @@ def step_targets(mb: DataFrame, accum: int = 1):
     return q, w
 
 
+# Parameter rows per partition of the per-run parameter table.
+PARAM_ROWS_PER_PARTITION = 1_000_000
+
+
 def _replicate(model: DataFrame, runs: list[str], with_state: bool) -> DataFrame:
     """Initial parameters of every run: the fitted model repeated per run
-    (lazy; it becomes part of the first step's job)."""
+    (lazy; it becomes part of the first step's job).
+
+    The partition count is set from the state size (runs x vocabulary), not
+    inherited: AQE may have coalesced the small model table into one
+    partition, which would make every later step a single task.
+    """
+    spark = model.sparkSession
+    rows = model.count() * len(runs)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+            spark.sparkContext.defaultParallelism, -(-rows // PARAM_ROWS_PER_PARTITION))
     p = model.select("tok", "theta").withColumn(
         "run_id", F.explode(F.array(*[F.lit(r) for r in runs])))
     if with_state:
         p = p.withColumn("m", F.lit(0.0)).withColumn("v", F.lit(0.0))
-    return p
+    return p.repartition(n, "run_id", "tok")
 
 
 def _run_map(values: dict, run: str = "run_id") -> Column:

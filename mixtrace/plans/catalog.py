@@ -720,3 +720,16 @@ def q_collate_pairs(spark, sf):
     out = collate.collate_pairs(p, "preds", "answers")
     return out.select("conv_id", "turn", "batch_id", ids_string("preds").alias("preds"),
                       ids_string("answers").alias("answers"))
+
+
+EPOCH_STEPS, EPOCH_EVAL = 8, 4
+
+
+@register("unlearn_influence_epoch", O.unlearn_sql("untrac", "sgd", SGD_LR, steps=EPOCH_STEPS,
+                                                   n_micro=EPOCH_STEPS, eval_steps=EPOCH_EVAL))
+def q_unlearn_influence_epoch(spark, sf):
+    """U8 + E8: one epoch in 8 slices per source, evaluated every 4 steps."""
+    tr, ev = _rows(spark, sf)
+    _, infl = U.unlearn_influence(tr, ev, Optim("sgd", lr=SGD_LR), steps=EPOCH_STEPS,
+                                  eval_steps=EPOCH_EVAL)
+    return _infl(infl)

@@ -236,7 +236,8 @@ FROM o"""
 def unlearn_sql(kind: str = "untrac", opt: str = "sgd", lr: float = 5.0, steps: int = 2,
                 n_micro: int = 2, accum: int = 1, clip: float = 0.0, warmup: int = 0,
                 alpha: float = 1.0, eval_on: str = "eval", output: str = "influence",
-                beta1: float = 0.9, beta2: float = 0.999, eps: float = 1e-8) -> str:
+                beta1: float = 0.9, beta2: float = 0.999, eps: float = 1e-8,
+                eval_steps: int = 1) -> str:
     """The unlearning loop unrolled as CTEs (one CTE chain per step).
 
     kind: untrac (runs = training datasets, micro-batches = key-order slices)
@@ -299,7 +300,8 @@ def unlearn_sql(kind: str = "untrac", opt: str = "sgd", lr: float = 5.0, steps:
                 theta + {r(lr_t)} * ((g / sqrt(v)) / greatest(1.0, rms / 1.0)) AS theta, m, v
                 FROM u{t} JOIN rr{t} USING (run_id))""")
         parts.append(f"z{t} AS (SELECT run_id, ln(sum(exp(theta))) AS z FROM p{t} GROUP BY run_id)")
-    for t in range(0, steps + 1):
+    evals = [t for t in range(0, steps + 1) if t == 0 or t % eval_steps == 0 or t == steps]
+    for t in evals:
         parts.append(f"""l{t} AS (SELECT p.run_id, e.eval_dataset, {t} AS step,
             z.z - sum(e.cnt * p.theta) / evn.n AS loss
             FROM evalc e JOIN p{t} p USING (tok) JOIN z{t} z USING (run_id) JOIN evn USING (eval_dataset)
@@ -307,8 +309,7 @@ def unlearn_sql(kind: str = "untrac", opt: str = "sgd", lr: float = 5.0, steps:
         parts.append(f"""lo{t} AS (SELECT p.run_id, CAST(NULL AS VARCHAR) AS eval_dataset, {t} AS step,
             z.z - sum(e.cnt * p.theta) / (SELECT sum(n) FROM evn) AS loss
             FROM evalc e JOIN p{t} p USING (tok) JOIN z{t} z USING (run_id) GROUP BY p.run_id, z.z)""")
-    allsteps = " UNION ALL ".join(f"SELECT * FROM l{t} UNION ALL SELECT * FROM lo{t}"
-                                  for t in range(0, steps + 1))
+    allsteps = " UNION ALL ".join(f"SELECT * FROM l{t} UNION ALL SELECT * FROM lo{t}" for t in evals)
     parts.append(f"lall AS ({allsteps})")
     body = "WITH " + ",\n".join(parts)
     if output == "influence":
