@@ -110,9 +110,11 @@ def unlearn_log(model: DataFrame, targets: DataFrame, weights: DataFrame,
     """
     spark = model.sparkSession
     state = opt.name != "sgd"
-    # per-step targets stored by step: each step reads only its own slice
+    # per-step targets stored by step: each step reads only its own slice.
+    # Range partitioning keeps steps contiguous (about partitions + steps
+    # files) and splits a hot (step, run) over several tasks by token.
     tpath = scratch_path(spark, "targets")
-    targets.repartition("step", "run_id").write.partitionBy("step").parquet(tpath)
+    targets.repartitionByRange("step", "run_id", "tok").write.partitionBy("step").parquet(tpath)
     per_step = {r[0]: r[1] for r in spark.read.parquet(tpath).groupBy("step").count().collect()}
     a_val = {(r[0], r[1]): r[2] for r in weights.collect()}   # one row per (run, step)
     runs = sorted({k[0] for k in a_val})
