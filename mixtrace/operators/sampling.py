@@ -9,7 +9,8 @@ The permutation is stateless: the order key is ``md5(seed:group:epoch:key)``,
 so a sample is reproducible, independent of partitioning, and can be written
 in SQL.  A different ``salt`` per call site replaces a shared generator.
 
-Plan shape: group sizes are one aggregate (a row per group, broadcast); full
+Plan shape: group sizes are one aggregate (a row per group, materialised
+once and broadcast); full
 epochs are an ``explode(sequence)`` (the output itself); only the last,
 partial epoch needs a ranking, done with a per-partition top-k before the
 shuffle when ``k`` is small, or with the distributed ordinal otherwise.  No
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import md5_key
+from ..session import cut
 from .models.lm import join_checked
 from .ordinal import dense_ordinal
 
@@ -55,8 +57,10 @@ def sample(df: DataFrame, k, by="dataset", key: str = "doc_id", seed=42, salt: s
         spec = n.withColumn("_k", F.lit(k).cast("long"))
     else:
         spec = n.join(k.select(*by, F.col("k").cast("long").alias("_k")), by, "inner")
-    spec = (spec.withColumn("_q", F.floor(F.col("_k") / F.col("_n")).cast("long"))
-            .withColumn("_r", (F.col("_k") % F.col("_n")).cast("long")))
+    # one row per group, materialised once: the remainder bound below and
+    # both epoch branches read it instead of re-aggregating the input
+    spec = cut(spec.withColumn("_q", F.floor(F.col("_k") / F.col("_n")).cast("long"))
+               .withColumn("_r", (F.col("_k") % F.col("_n")).cast("long")))
     j = join_checked(df, spec.select(*by, "_q", "_r"), by)
     full = (j.filter(F.col("_q") > 0)
             .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_q") - 1))))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import coref_class, join_tokens, relabel_category, space_word_count, ustrip
+from ..session import cut
 from .sampling import sample
 
 
@@ -69,6 +70,8 @@ def qa_falsehoods(raw: DataFrame, k: int = 256, min_count: int = 128, seed=42,
     rows = rows.select(ustrip("question").alias("inputs_pretokenized"),
                        ustrip("answer").alias("targets_pretokenized"),
                        relabel_category("category").alias("dataset"), pair_key.alias("pair_key"))
+    # the rows feed the threshold count and the sampler's passes: build them once
+    rows = cut(rows)
     big = (rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
            .filter(F.col("n") >= min_count).select("dataset"))
     rows = rows.join(F.broadcast(big), "dataset", "left_semi")
