@@ -127,9 +127,10 @@ def influence_loo(train_counts: DataFrame, eval_counts: DataFrame, alpha: float
     Only tokens shared by d and e enter the sum, so the work is one equi-join
     of the per-dataset counts with the (small) evaluation vocabulary on ``tok``.
     Output: (train_dataset, eval_dataset, influence).
+
+    Both count tables feed several jobs here (names, vocabulary, totals, the
+    join): pass them materialised (``session.cut``), as the catalogue does.
     """
-    # both count tables feed several jobs below: materialise them once
-    train_counts, eval_counts = cut(train_counts), cut(eval_counts)
     names = eval_names(eval_counts)
     if vocab_size is None:
         vocab_size = vocabulary(train_counts, eval_counts).count()
