@@ -1,10 +1,12 @@
 """UnTrac, UnTrac-Inv and leave-dataset-out influence.
 
 One Spark job family runs *all* runs at once: the parameter table holds
-``(run_id, tok, theta, m, v)`` for every run (run = the dataset being
+``(run_id, tok, theta, n, m, v)`` for every run (run = the dataset being
 unlearned), hash-partitioned by ``(run_id, tok)`` and checkpointed into the
 shared folder after every step, so lineage never grows and a lost executor
-only costs the current step.  Per step:
+only costs the current step.  Tokens a run never trains on and no evaluation
+set counts are collapsed, exactly, into one row per initial value with a
+multiplicity ``n`` (see ``_initial_params``).  Per step:
 
 1. ``logZ`` per run: one partial/final aggregate (a row per run, broadcast);
 2. gradient: params LEFT JOIN the step's normalised batch counts on
@@ -73,23 +75,48 @@ def step_targets(mb: DataFrame, accum: int = 1):
 PARAM_ROWS_PER_PARTITION = 1_000_000
 
 
-def _replicate(model: DataFrame, runs: list[str], with_state: bool) -> DataFrame:
-    """Initial parameters of every run: the fitted model repeated per run
-    (lazy; it becomes part of the first step's job).
-
-    The partition count is set from the state size (runs x vocabulary), not
-    inherited: AQE may have coalesced the small model table into one
-    partition, which would make every later step a single task.
+def _initial_params(model: DataFrame, active_train: DataFrame, eval_toks: DataFrame,
+                    runs: list[str], with_state: bool, est_rows: int) -> DataFrame:
+    """Initial parameters of every run, ``(run_id, tok, theta, n[, m, v])``.
+
+    Exact compression of the runs x vocabulary table: a token that is in no
+    step target of run r and in no evaluation set only moves through per-run
+    scalars (logZ, clip scale, update RMS), so all such tokens that start
+    from the same theta - the same training count - stay equal for the
+    whole run.  They become one row per (run, count) with multiplicity ``n``
+    (``tok`` NULL, so it joins no target and no evaluation count); every
+    per-run aggregate weights rows by ``n``.  Class sizes are
+    ``#tokens with that count - #active tokens of the run with that count``,
+    so the runs x vocabulary product is never formed: the table grows with
+    the (run, token) pairs the data holds, not with runs x vocabulary.
+
+    Active pairs are hash-partitioned by token once: that exchange serves the
+    de-duplication and the join with the model.  The partition count comes
+    from ``est_rows`` (an upper bound of the active pairs), not from the
+    inputs: AQE may have coalesced the small inputs into one partition, which
+    would make every later step a single task.
     """
     spark = model.sparkSession
-    rows = model.count() * len(runs)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-            spark.sparkContext.defaultParallelism, -(-rows // PARAM_ROWS_PER_PARTITION))
-    p = model.select("tok", "theta").withColumn(
-        "run_id", F.explode(F.array(*[F.lit(r) for r in runs])))
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                  spark.sparkContext.defaultParallelism, -(-est_rows // PARAM_ROWS_PER_PARTITION))
+    run_col = F.explode(F.array(*[F.lit(r) for r in runs])).alias("run_id")
+    active = (active_train.select("run_id", "tok")
+              .unionByName(eval_toks.select(run_col, "tok"))
+              .repartition(n_parts, "tok").distinct())
+    m = model.select("tok", "count", "theta")
+    act = cut(active.join(m, "tok"))
+    per_count = m.groupBy("count").agg(F.first("theta").alias("theta"),
+                                       F.count(F.lit(1)).alias("_N"))
+    per_run = act.groupBy("run_id", "count").agg(F.count(F.lit(1)).alias("_A"))
+    classes = (per_count.select(run_col, "count", "theta", "_N")
+               .join(per_run, ["run_id", "count"], "left")
+               .select("run_id", F.lit(None).cast("string").alias("tok"), "theta",
+                       (F.col("_N") - F.coalesce(F.col("_A"), F.lit(0))).alias("n"))
+               .filter(F.col("n") > 0))
+    p = act.select("run_id", "tok", "theta", F.lit(1).cast("long").alias("n")).unionByName(classes)
     if with_state:
         p = p.withColumn("m", F.lit(0.0)).withColumn("v", F.lit(0.0))
-    return p.repartition(n, "run_id", "tok")
+    return p
 
 
 def _run_map(values: dict, run: str = "run_id") -> Column:
@@ -127,7 +154,8 @@ def unlearn_log(model: DataFrame, targets: DataFrame, weights: DataFrame,
     # step 0: every run starts from the same model - evaluate it once
     s0 = lm.run_stats(model.select(F.lit("_").alias("run_id"), "tok", "theta"), wide, names, wide_small)["_"]
     stats = {r: s0 for r in runs}
-    params = _replicate(model, runs, state)
+    est = sum(per_step.values()) + len(runs) * wide.count()
+    params = _initial_params(model, spark.read.parquet(tpath), wide, runs, state, est)
 
     def write_eval(st, step):
         rows = []
@@ -152,7 +180,7 @@ def unlearn_log(model: DataFrame, targets: DataFrame, weights: DataFrame,
             scale = {r: min(1.0, opt.max_grad_norm / (v + 1e-6)) for r, v in norms.items()}
             j = j.withColumn("g", F.col("g") * _run_map(scale))
         new = apply_update(j, opt, t, sign)
-        cols = ["run_id", "tok", "theta"] + (["m", "v"] if state else [])
+        cols = ["run_id", "tok", "theta", "n"] + (["m", "v"] if state else [])
         params = cut(new.select(*cols))
         stats = lm.run_stats(params, wide, names, wide_small)
         if t % eval_steps == 0 or t in extra_eval_steps or t == steps:

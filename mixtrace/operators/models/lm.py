@@ -172,15 +172,17 @@ def example_losses(rows: DataFrame, model: DataFrame, logz: float, alpha: float
 def run_stats(params: DataFrame, wide: DataFrame, names: list[str], broadcast_wide: bool,
               run: str = "run_id") -> dict:
     """One pass over a parameter table: per run, logZ and sum_w c_e(w) theta_w
-    for every evaluation set e.  Returns {run: (logz, {e: sum})} - a few
+    for every evaluation set e (rows weighted by a multiplicity ``n`` when
+    the table has one; such rows have no evaluation count).  Returns {run: (logz, {e: sum})} - a few
     numbers per run (the step's metrics), not data.
 
     The evaluation counts are joined on ``tok`` (broadcast after a size check),
     so the parameter table is never shuffled for evaluation.
     """
     w = F.broadcast(wide) if broadcast_wide else wide
-    j = params.select(run, "tok", "theta").join(w, "tok", "left")
-    agg = j.groupBy(run).agg(F.log(F.sum(F.exp("theta"))).alias("_logz"),
+    n = F.col("n") if "n" in params.columns else F.lit(1)
+    j = params.select(run, "tok", "theta", n.alias("_n")).join(w, "tok", "left")
+    agg = j.groupBy(run).agg(F.log(F.sum(F.col("_n") * F.exp("theta"))).alias("_logz"),
                              *[F.sum(F.coalesce(F.col(f"`{n}`"), F.lit(0)) * F.col("theta")).alias(n)
                                for n in names])
     return {r[run]: (r["_logz"], {n: r[n] for n in names}) for r in agg.collect()}

@@ -40,9 +40,15 @@ class Optim:
         return self.lr
 
 
+def mult(df: DataFrame) -> Column:
+    """Row multiplicity: a parameter row may stand for ``n`` equal parameters
+    (see ``influence._initial_params``); plain tables count each row once."""
+    return F.col("n") if "n" in df.columns else F.lit(1)
+
+
 def clip_scale(j: DataFrame, max_norm: float, run: str = "run_id") -> DataFrame:
     """(run, grad_norm, scale) with scale = min(1, c / (||g|| + 1e-6))."""
-    return (j.groupBy(run).agg(F.sqrt(F.sum(F.col("g") * F.col("g"))).alias("grad_norm"))
+    return (j.groupBy(run).agg(F.sqrt(F.sum(mult(j) * F.col("g") * F.col("g"))).alias("grad_norm"))
             .withColumn("scale", F.least(F.lit(1.0), F.lit(max_norm) / (F.col("grad_norm") + F.lit(1e-6)))))
 
 
@@ -69,7 +75,8 @@ def apply_update(j: DataFrame, opt: Optim, step: int, sign: float = 1.0,
         out = j.withColumn("v", v).withColumn("_u", g / F.sqrt(F.col("v")))
         # per-run RMS of the update: one aggregate, a number per run
         rms = {r[0]: r[1] for r in
-               out.groupBy(run).agg(F.sqrt(F.avg(F.col("_u") * F.col("_u")))).collect()}
+               out.groupBy(run).agg(F.sqrt(F.sum(mult(out) * F.col("_u") * F.col("_u"))
+                                           / F.sum(mult(out)))).collect()}
         rms_col = F.create_map(*[x for k, v in sorted(rms.items()) for x in (F.lit(k), F.lit(float(v)))])[F.col(run)]
         out = out.withColumn("_u", F.col("_u") / F.greatest(F.lit(1.0), rms_col / opt.clip_threshold))
     else:

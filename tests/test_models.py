@@ -130,3 +130,71 @@ def test_bigram_loo_equals_refit(spark):
         w = loss(d)
         for e in "ef":
             assert got[(d, e)] == pytest.approx(w[e] - full[e], abs=1e-12)
+
+
+def _brute_unlearn(train, ev, opt, steps, n_micro, alpha=1.0):
+    """Uncompressed reference: every run holds the whole vocabulary."""
+    import numpy as np
+    vocab = sorted({w for _, _, s in train + ev for w in s.split()})
+    idx = {w: i for i, w in enumerate(vocab)}
+
+    def counts(words):
+        c = np.zeros(len(vocab))
+        for w in words:
+            c[idx[w]] += 1
+        return c
+    theta0 = np.log(counts([w for _, _, s in train for w in s.split()]) + alpha)
+    evc = {e: counts([w for d, _, s in ev if d == e for w in s.split()]) for e, _, _ in ev}
+
+    def lse(th):
+        mx = th.max()
+        return mx + math.log(np.exp(th - mx).sum())
+
+    def losses(th):
+        return {e: lse(th) - float(c @ th) / c.sum() for e, c in evc.items()}
+    out = {}
+    for d in sorted({d for d, _, _ in train}):
+        rows = sorted((r, s) for dd, r, s in train if dd == d)
+        slices = [[] for _ in range(n_micro)]
+        for o, (_, s) in enumerate(rows):
+            slices[o * n_micro // len(rows)].extend(s.split())
+        th, v = theta0.copy(), np.zeros(len(vocab))
+        out[(d, 0)] = losses(th)
+        for t in range(1, steps + 1):
+            q = counts(slices[t - 1]) / len(slices[t - 1])
+            g = np.exp(th - lse(th)) - q
+            if opt.max_grad_norm:
+                g = g * min(1.0, opt.max_grad_norm / (math.sqrt((g * g).sum()) + 1e-6))
+            if opt.name == "sgd":
+                u = g
+            else:
+                b2 = 1.0 - t ** opt.decay_rate
+                v = b2 * v + (1 - b2) * (g * g + opt.eps1)
+                u = g / np.sqrt(v)
+                u = u / max(1.0, math.sqrt((u * u).mean()) / opt.clip_threshold)
+            th = th + opt.lr_at(t) * u
+            out[(d, t)] = losses(th)
+    return out
+
+
+@pytest.mark.parametrize("opt", [Optim("sgd", lr=0.5, max_grad_norm=0.05),
+                                 Optim("adafactor", lr=0.05)])
+def test_compressed_params_equal_brute_force(spark, opt):
+    """Tokens a run never trains on and no evaluation set counts are collapsed
+    by count class; the losses must equal the full runs x vocabulary loop."""
+    train = [("a", 1, "p q r s"), ("a", 2, "t u p"), ("b", 3, "v w x"), ("b", 4, "y z v"),
+             ("c", 5, "p v k"), ("c", 6, "m n o")]
+    ev = [("e", 1, "p v m zz"), ("f", 2, "q y")]
+    schema = "dataset string, row_id long, text string"
+    tr, er = spark.createDataFrame(train, schema), spark.createDataFrame(ev, schema)
+    tc = lm.token_counts(tr)
+    ec = lm.token_counts(er).withColumnRenamed("dataset", "eval_dataset")
+    model = lm.fit_unigram(tc, lm.vocabulary(tc, ec), 1.0)
+    q, w = U.step_targets(U.micro_batch_counts(tr, 2))
+    log = U.unlearn_log(model, q, w, ec, 2, opt)
+    got = {(r.run_id, r.step, r.eval_dataset): r.loss for r in log.collect() if r.eval_dataset}
+    want = _brute_unlearn(train, ev, opt, 2, 2)
+    assert len(got) == 3 * 3 * 2
+    for (d, t), per in want.items():
+        for e, val in per.items():
+            assert got[(d, t, e)] == pytest.approx(val, abs=1e-9)
