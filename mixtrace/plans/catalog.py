@@ -648,15 +648,25 @@ def q_unlearn_influence_lr(spark, sf):
 
 
 # ---------------------------------------------------------------- external scorer
+# Model rows a task may hold in memory (the scorer loads the whole model).
+SCORER_MAX_ROWS = 2_000_000
+
+
 @register("external_scorer", f"WITH {O.lm_losses_ctes(ALPHA, EVAL_BS)} "
           "SELECT dataset, row_id, round(nll, 6) AS nll, n_tok FROM ex")
 def q_external_scorer(spark, sf):
     """The fitted model saved to the shared folder and used as a *user*
     scorer through mapInPandas (weights loaded once per partition); scores
-    every evaluation row."""
+    every evaluation row.  Every task holds the whole model, so this path is
+    taken only below a checked size; beyond it the same scores come from the
+    distributed token join."""
     import math
     from ..functions.text import word_tokens
+    from ..session import small_enough
     _, _, model, v, n = _fitted(spark, sf)
+    if not small_enough(model, SCORER_MAX_ROWS):
+        ex = lm.example_losses(corpora.eval_rows(spark, sf), model, math.log(n + ALPHA * v), ALPHA)
+        return ex.select("dataset", "row_id", r6("nll").alias("nll"), "n_tok")
     path = scratch_path(spark, "user-model")
     model.select("tok", "theta").write.parquet(path)
     rows = (corpora.eval_rows(spark, sf)
