@@ -69,13 +69,23 @@ def sample_counts(n_rows: DataFrame, max_col: str = "max_samples") -> DataFrame:
     return n_rows.withColumn("samples", F.least(F.col("n_rows"), F.coalesce(F.col(max_col), F.col("n_rows"))))
 
 
+# Rows one pandas group of the metrics hook may hold (checked before running).
+METRICS_GROUP_ROWS = 1_000_000
+
+
 def with_metrics(batched: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
-                 by: str = "dataset") -> DataFrame:
+                 by: str = "dataset", max_group_rows: int = METRICS_GROUP_ROWS) -> DataFrame:
     """Optional metrics hook, one pandas frame per dataset group.
 
     Only for metrics that are not expressible as aggregates; the group is one
-    evaluation set (hundreds of rows in the reference's suites).
+    evaluation set (hundreds of rows in the reference's suites).  A group is
+    held whole in one task, so the largest group is checked first; beyond
+    the bound the metric has to be written as an aggregate.
     """
+    largest = batched.groupBy(by).count().agg(F.max("count")).first()[0] or 0
+    if largest > max_group_rows:
+        raise ValueError(f"metrics hook: a '{by}' group has {largest} rows (> {max_group_rows}); "
+                         "express the metric as an aggregate instead")
     return batched.groupBy(by).applyInPandas(fn, schema)
 
 

@@ -55,6 +55,8 @@ def test_metrics_hook(spark):
         return pd.DataFrame({"dataset": [pdf.dataset.iloc[0]], "m": [pdf.v.max()]})
     got = {r.dataset: r.m for r in evaluate.with_metrics(df, fn, "dataset string, m double").collect()}
     assert got == {"a": 3.0, "b": 2.0}
+    with pytest.raises(ValueError):
+        evaluate.with_metrics(df, fn, "dataset string, m double", max_group_rows=1)
 
 
 def test_example_and_token_weighting(spark):
