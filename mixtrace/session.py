@@ -33,6 +33,9 @@ def get_spark(master: str | None = None, partitions: int | None = None,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # superseded checkpoints (per-step parameter tables) are deleted once
+        # nothing references them, so iterative jobs do not fill the folder
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
