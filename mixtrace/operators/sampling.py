@@ -82,9 +82,32 @@ def sample(df: DataFrame, k, by="dataset", key: str = "doc_id", seed=42, salt: s
 
 def sample_rows(df: DataFrame, k: int, key: str, seed=42, salt: str = "",
                 method: str = "auto") -> DataFrame:
-    """M6: ``max_train_samples`` / ``max_eval_samples``: k over the whole table."""
-    g = df.withColumn("_all", F.lit("all"))
-    return sample(g, k, by="_all", key=key, seed=seed, salt=salt, method=method).drop("_all")
+    """M6: ``max_train_samples`` / ``max_eval_samples``: k over the whole table.
+
+    The whole table is one group (named ``all`` in the order key): its size is
+    one count, so the epochs are literals and no spec table is joined.  The
+    partial epoch is a top-r by order key - a per-partition top-r before the
+    merge when r is small, the distributed ordinal otherwise.
+    """
+    cols = df.columns
+    n = df.count()
+    if n == 0 or k <= 0:
+        return df.withColumn("epoch", F.lit(0).cast("long")).filter(F.lit(False))
+    q, r = divmod(int(k), n)
+    out = None
+    if q > 0:
+        out = df.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q - 1).cast("long"))))
+    if r > 0:
+        part = (df.withColumn("epoch", F.lit(q).cast("long"))
+                .withColumn("_h", md5_key(F.lit(f"{seed}{salt}"), F.lit("all"), F.col("epoch"), key)))
+        fits = r * max(1, part.rdd.getNumPartitions()) <= WINDOW_TOPK_ROWS
+        if method == "window" or (method == "auto" and fits):
+            ranked = part.orderBy("_h", key).limit(r)
+        else:
+            ranked = dense_ordinal(part, None, ["_h", key], name="_rn").filter(F.col("_rn") < r)
+        ranked = ranked.select(*cols, "epoch")
+        out = ranked if out is None else out.select(*cols, "epoch").unionByName(ranked)
+    return out.select(*cols, "epoch")
 
 
 def fractions_to_counts(fractions: DataFrame, total: int, by: str = "dataset",

@@ -143,3 +143,19 @@ def test_sample_properties(spark):
             mult = Counter(r.doc_id for r in out if r.dataset == g)
             assert all(k // n <= mult.get(i, 0) <= -(-k // n) for i in range(n))
     check()
+
+
+@pytest.mark.parametrize("k", [3, 7, 17])
+def test_sample_rows_equals_grouped_sample(spark, k):
+    """Whole-table sampling (literal epochs, no spec join) draws the same rows
+    as the grouped sampler over a single 'all' group, on both ranking paths."""
+    from mixtrace.operators import sampling
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(7)], "doc_id long, text string")
+    ref = sampling.sample(df.withColumn("_all", F.lit("all")), k, by="_all", key="doc_id",
+                          seed=42, salt="x").drop("_all")
+    want = sorted((r.doc_id, r.epoch) for r in ref.collect())
+    assert len(want) == k
+    for method in ("window", "ordinal"):
+        got = sampling.sample_rows(df, k, key="doc_id", seed=42, salt="x", method=method)
+        assert got.columns == ["doc_id", "text", "epoch"]
+        assert sorted((r.doc_id, r.epoch) for r in got.collect()) == want
