@@ -743,3 +743,54 @@ def q_unlearn_influence_epoch(spark, sf):
     _, infl = U.unlearn_influence(tr, ev, Optim("sgd", lr=SGD_LR), steps=EPOCH_STEPS,
                                   eval_steps=EPOCH_EVAL)
     return _infl(infl)
+
+
+# ---------------------------------------------------------------- CSV pairs, pass-through, metrics hook
+@register("pairs_csv", f"""
+SELECT prompt AS inputs, target AS labels, 'conversations' AS dataset FROM ({O.PAIRS})""")
+def q_pairs_csv(spark, sf):
+    """S2 + K15/K16: conversation prompt/reply pairs written as CSV to the
+    shared folder, read back with the pair reader (quoted commas, quotes and
+    line breaks inside values), then collated in text-only mode."""
+    c = table(spark, sf, "conversations")
+    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("inputs_pretokenized"))
+    a = c.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("targets_pretokenized"))
+    pairs = u.join(a, ["conv_id", "turn"]).withColumn("dataset", F.lit("conversations"))
+    path = scratch_path(spark, "pairs-csv")
+    S.save_pairs_csv(pairs, path)
+    return collate.text_only(S.read_pairs_csv(spark, path))
+
+
+@register("pass_through_encoded", f"""
+SELECT dataset, n_ids, ids_md5 FROM ({O.encode_sql(VOCAB_MAX, VOCAB_MIN)})""")
+def q_pass_through_encoded(spark, sf):
+    """Rows that already hold ``input_ids`` (the encoded evaluation rows)
+    skip tokenising; only the model inputs and the dataset tag ride along."""
+    enc = tokens.encode(corpora.eval_rows(spark, sf), _vocab(spark, sf), ["dataset", "row_id"])
+    out = collate.pass_through(enc.withColumnRenamed("ids", "input_ids"))
+    return out.select("dataset", F.size("input_ids").cast("long").alias("n_ids"),
+                      F.md5(ids_string("input_ids")).alias("ids_md5"))
+
+
+def _set_metrics(pdf):
+    """Per-evaluation-set metrics computed in pandas (the E10 hook's callable)."""
+    import pandas as pd
+    per_tok = pdf["nll"] / pdf["n_tok"]
+    return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]],
+                         "max_loss": [round(float(per_tok.max()), 6)],
+                         "median_loss": [round(float(per_tok.median()), 6)]})
+
+
+@register("metrics_hook", f"""
+WITH {O.lm_losses_ctes(ALPHA, EVAL_BS)}
+SELECT dataset, round(max(nll / n_tok), 6) AS max_loss, round(median(nll / n_tok), 6) AS median_loss
+FROM ex GROUP BY dataset""")
+def q_metrics_hook(spark, sf):
+    """An optional metrics callable over each evaluation set's example
+    losses (applyInPandas, one group per set after a size check)."""
+    import math
+    _, _, model, v, n = _fitted(spark, sf)
+    ex = lm.example_losses(corpora.eval_rows(spark, sf), model, math.log(n + ALPHA * v), ALPHA)
+    return evaluate.with_metrics(ex, _set_metrics,
+                                 "dataset string, max_loss double, median_loss double")

@@ -60,6 +60,16 @@ def read_pairs_csv(spark: SparkSession, path: str) -> DataFrame:
             .csv(path))
 
 
+def save_pairs_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """S2 counterpart: write prompt/target pairs in the CSV dialect that
+    ``read_pairs_csv`` reads (header, double-quote quoting and escaping,
+    whitespace kept, empty strings distinct from NULL)."""
+    (df.select(*[f.name for f in PAIR_SCHEMA.fields]).write.mode(mode)
+     .option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
+
+
 def save(df: DataFrame, path: str, partition_by: list[str] | None = None,
          mode: str = "overwrite") -> None:
     """Parquet sink, partitioned so that dataset/run filters prune."""
