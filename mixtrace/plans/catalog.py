@@ -794,3 +794,15 @@ def q_metrics_hook(spark, sf):
     ex = lm.example_losses(corpora.eval_rows(spark, sf), model, math.log(n + ALPHA * v), ALPHA)
     return evaluate.with_metrics(ex, _set_metrics,
                                  "dataset string, max_loss double, median_loss double")
+
+
+@register("model_snapshot", ORACLE["lm_fit"])
+def q_model_snapshot(spark, sf):
+    """The fitted parameters saved as a snapshot (partitioned by run and
+    step in the shared folder) and step 0 read back with partition pruning."""
+    from ..operators import runs as R
+    _, _, model, _, _ = _fitted(spark, sf)
+    path = scratch_path(spark, "snapshots")
+    R.save_snapshot(model.withColumn("run_id", F.lit("full")), path, 0)
+    back = R.load_snapshot(spark, path, 0).filter(F.col("run_id") == "full")
+    return back.select("tok", "count", r6("theta").alias("theta"))
