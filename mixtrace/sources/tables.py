@@ -63,7 +63,8 @@ def read_pairs_csv(spark: SparkSession, path: str) -> DataFrame:
 def save_pairs_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """S2 counterpart: write prompt/target pairs in the CSV dialect that
     ``read_pairs_csv`` reads (header, double-quote quoting and escaping,
-    whitespace kept, empty strings distinct from NULL)."""
+    whitespace kept).  An empty string reads back as NULL, like any empty
+    CSV field in the reference's loader."""
     (df.select(*[f.name for f in PAIR_SCHEMA.fields]).write.mode(mode)
      .option("header", True).option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)

@@ -68,3 +68,21 @@ def test_pairs_csv(spark):
     rows = read_pairs_csv(spark, f"{d}/x.csv").collect()
     assert rows[0].inputs_pretokenized == "a, b"
     assert rows[1].targets_pretokenized == "008"
+
+
+def test_pairs_csv_roundtrip_keeps_values(spark):
+    """save_pairs_csv -> read_pairs_csv returns every value unchanged; an
+    empty field (empty string or NULL) reads as NULL."""
+    from mixtrace.sources.tables import PAIR_SCHEMA, read_pairs_csv, save_pairs_csv
+    rows = [('say "hi", then go', "  padded  ", "d1"),
+            ("two\nlines", "a,b,c", "d1"),
+            ("", None, "d2"),
+            ('""', "tail\\", "d2")]
+    df = spark.createDataFrame(rows, PAIR_SCHEMA)
+    path = tempfile.mkdtemp(prefix="mixtrace-csv-rt-") + "/pairs"
+    save_pairs_csv(df, path)
+    def key(t):
+        return tuple((x is None, x or "") for x in t)
+    got = sorted((tuple(r) for r in read_pairs_csv(spark, path).collect()), key=key)
+    want = [tuple(None if x == "" else x for x in t) for t in rows]
+    assert got == sorted(want, key=key)
