@@ -2,16 +2,16 @@
 
 One Spark job family runs *all* runs at once: the parameter table holds
 ``(run_id, tok, theta, n, m, v)`` for every run (run = the dataset being
-unlearned), hash-partitioned by ``(run_id, tok)`` and checkpointed into the
-shared folder after every step, so lineage never grows and a lost executor
+unlearned), hash-partitioned by token and checkpointed into the shared
+folder after every step, so lineage never grows and a lost executor
 only costs the current step.  Tokens a run never trains on and no evaluation
 set counts are collapsed, exactly, into one row per initial value with a
 multiplicity ``n`` (see ``_initial_params``).  Per step:
 
 1. ``logZ`` per run: one partial/final aggregate (a row per run, broadcast);
 2. gradient: params LEFT JOIN the step's normalised batch counts on
-   ``(run_id, tok)`` - the params side keeps its partitioning, only the (much
-   smaller) batch side moves;
+   ``(run_id, tok)`` - the batch side is broadcast after a size check, so the
+   params do not move; a step too large to broadcast is a shuffle join;
 3. optional per-run norm / RMS aggregates (clipping, Adafactor);
 4. update expressions; checkpoint;
 5. when scheduled, losses on the evaluation sets via an equi-join on ``tok``

@@ -75,8 +75,10 @@ def cut(df: DataFrame) -> DataFrame:
 
     Reliable checkpoint (not a local one): the files live in the shared folder,
     so a lost executor does not force a recomputation from the source scans.
-    Output partitioning is kept, so a later join on the same key does not
-    shuffle again.
+    The partition count is kept; the hash partitioning is not (under AQE the
+    checkpointed plan reports an unknown partitioning), so a later shuffle
+    join on the same keys shuffles both sides again - broadcast joins, the
+    common case in the loops, are unaffected.
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
