@@ -198,3 +198,30 @@ def test_compressed_params_equal_brute_force(spark, opt):
     for (d, t), per in want.items():
         for e, val in per.items():
             assert got[(d, t, e)] == pytest.approx(val, abs=1e-9)
+
+
+def test_initial_params_compression_invariants(spark):
+    """Per run the multiplicities add up to the vocabulary; every evaluation
+    token and every token the run trains on is its own row; the table is
+    smaller than runs x vocabulary."""
+    train = [("a", 1, "p q r s"), ("a", 2, "t u p"), ("b", 3, "v w x"), ("b", 4, "y z v"),
+             ("c", 5, "p v k"), ("c", 6, "m n o")]
+    ev = [("e", 1, "p v m zz"), ("f", 2, "q y")]
+    schema = "dataset string, row_id long, text string"
+    tr, er = spark.createDataFrame(train, schema), spark.createDataFrame(ev, schema)
+    tc = lm.token_counts(tr)
+    ec = lm.token_counts(er).withColumnRenamed("dataset", "eval_dataset")
+    model = lm.fit_unigram(tc, lm.vocabulary(tc, ec), 1.0)
+    V = model.count()
+    q, _ = U.step_targets(U.micro_batch_counts(tr, 2))
+    wide = lm.eval_wide(ec, ["e", "f"])
+    runs = ["a", "b", "c"]
+    p = U._initial_params(model, q, wide, runs, False, 100).collect()
+    assert len(p) < len(runs) * V
+    eval_toks = {w for _, _, s in ev for w in s.split()}
+    for r in runs:
+        rows = [x for x in p if x.run_id == r]
+        assert sum(x.n for x in rows) == V
+        own = {w for d, _, s in train if d == r for w in s.split()}
+        assert {x.tok for x in rows if x.tok is not None} == own | eval_toks
+        assert all(x.n == 1 for x in rows if x.tok is not None)
