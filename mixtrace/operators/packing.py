@@ -23,20 +23,24 @@ from .ordinal import dense_ordinal
 
 def pack(seqs: DataFrame, ids: str = "input_ids", block_size: int = 1024,
          batch_docs: int = 1000, by: str = "dataset", order: str = "doc_id") -> DataFrame:
-    """(by, batch_id, block_no, input_ids, labels) from ``(by, order, ids ARRAY<...>)``."""
+    """(by, batch_id, block_no, input_ids, labels) from ``(by, order, ids ARRAY<...>)``.
+
+    One shuffle of the documents: the offset windows run over
+    ``(by, batch_id)`` with the id arrays attached (a window group is one
+    batch, at most ``batch_docs`` documents, and spills when large); the
+    tokens are exploded after it, and the block grouping reuses that hash
+    partitioning, so no token is shuffled before its block is formed.
+    """
     docs = dense_ordinal(seqs.select(by, order, ids), by, [order], name="_ord")
     docs = (docs.withColumn("batch_id", F.floor(F.col("_ord") / batch_docs).cast("long"))
             .withColumn("_len", F.size(ids).cast("long")))
     wb = Window.partitionBy(by, "batch_id")
     w_ord = wb.orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1)
-    lens = (docs.select(by, "batch_id", "_ord", "_len")
-            .withColumn("_start", F.coalesce(F.sum("_len").over(w_ord), F.lit(0)))
-            .withColumn("_total", F.sum("_len").over(wb)))
     b = F.lit(block_size)
+    docs = (docs.withColumn("_start", F.coalesce(F.sum("_len").over(w_ord), F.lit(0)))
+            .withColumn("_total", F.sum("_len").over(wb)))
     keep = F.when(F.col("_total") >= b, F.floor(F.col("_total") / b) * b).otherwise(F.col("_total"))
-    lens = lens.withColumn("_keep", keep).select(by, "batch_id", "_ord", "_start", "_keep")
-    toks = docs.select(by, "batch_id", "_ord", F.posexplode(ids).alias("_p", "_t"))
-    pos = (toks.join(lens, [by, "batch_id", "_ord"])
+    pos = (docs.select(by, "batch_id", "_start", keep.alias("_keep"), F.posexplode(ids).alias("_p", "_t"))
            .withColumn("_pos", F.col("_start") + F.col("_p"))
            .filter(F.col("_pos") < F.col("_keep"))
            .withColumn("block_no", F.floor(F.col("_pos") / b).cast("long")))
