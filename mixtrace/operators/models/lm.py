@@ -81,28 +81,6 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
     return big.join(small, on, how)
 
 
-def run_eval_loss(params: DataFrame, logz: DataFrame, wide: DataFrame, names: list[str],
-                  totals: dict[str, int], run: str = "run_id") -> DataFrame:
-    """U2 for many runs: (run, eval_dataset, loss).
-
-    loss_e(run) = logZ_run - sum_w c_e(w) theta_run,w / |e|.
-    ``wide`` holds only evaluation tokens; the parameter table is not shuffled
-    when ``wide`` fits the broadcast check.
-    """
-    j = join_checked(params.select(run, "tok", "theta"), wide, "tok")
-    sums = j.groupBy(run).agg(*[F.sum(F.col(n) * F.col("theta")).alias(n) for n in names])
-    stack = ", ".join(f"'{n}', `{n}`" for n in names)
-    long = sums.selectExpr(run, f"stack({len(names)}, {stack}) as (eval_dataset, s)")
-    tot = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(float(totals[n])))])
-    per = long.withColumn("s", F.col("s") / tot[F.col("eval_dataset")])
-    # overall row (eval_dataset NULL): token mean over the union of the sets
-    grand = float(sum(totals[n] for n in names))
-    overall = sums.select(run, F.lit(None).cast("string").alias("eval_dataset"),
-                          (sum((F.col(f"`{n}`") for n in names), F.lit(0.0)) / grand).alias("s"))
-    return (per.unionByName(overall).join(F.broadcast(logz), run)
-            .select(run, "eval_dataset", (F.col("logz") - F.col("s")).alias("loss")))
-
-
 def eval_loss_full(model: DataFrame, eval_counts: DataFrame, vocab_size: int,
                    n_train: int, alpha: float = 1.0) -> DataFrame:
     """U2 for the fitted model: (eval_dataset, loss, n_tokens)."""
