@@ -148,13 +148,14 @@ def unlearn_log(model: DataFrame, targets: DataFrame, weights: DataFrame,
     totals = {r[0]: r[1] for r in eval_counts.groupBy("eval_dataset").agg(F.sum("cnt")).collect()}
     names = sorted(totals)
     wide = cut(lm.eval_wide(eval_counts, names))
-    wide_small = lm.small_enough(wide, lm.BROADCAST_ROWS)
+    wide_rows = wide.count()   # materialised: a count of the checkpoint
+    wide_small = wide_rows <= lm.BROADCAST_ROWS
     log_path = scratch_path(spark, "unlearn-log")
 
     # step 0: every run starts from the same model - evaluate it once
     s0 = lm.run_stats(model.select(F.lit("_").alias("run_id"), "tok", "theta"), wide, names, wide_small)["_"]
     stats = {r: s0 for r in runs}
-    est = sum(per_step.values()) + len(runs) * wide.count()
+    est = sum(per_step.values()) + len(runs) * wide_rows
     params = _initial_params(model, spark.read.parquet(tpath), wide, runs, state, est)
 
     def write_eval(st, step):
