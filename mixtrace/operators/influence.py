@@ -34,15 +34,36 @@ from .optim import Optim, apply_update, clip_scale, gradient
 from .ordinal import dense_ordinal
 
 
+# Slices per dataset up to which a row finds its slice in a broadcast array
+# of slice starts (datasets x slices entries) instead of a join on the key.
+SLICE_LOOKUP_MAX = 4096
+
+
 def micro_batch_counts(rows: DataFrame, n_micro: int, by: str = "dataset", key: str = "row_id",
                        text: str = "text", pattern: str = WORD_SPLIT) -> DataFrame:
-    """(run_id, b, tok, cnt): rows of each dataset cut into ``n_micro`` slices by key order."""
-    # ordinal on the narrow key columns only; the text joins the slice ids once
+    """(run_id, b, tok, cnt): rows of each dataset cut into ``n_micro`` slices by key order.
+
+    The ordinal runs on the narrow key columns only.  Slices are contiguous
+    key ranges, so each is known by its first key: with up to
+    ``SLICE_LOOKUP_MAX`` slices, a per-dataset sorted array of slice starts
+    (bounded by datasets x slices) is broadcast and every text row finds its
+    slice where it is read - the text is never shuffled.  Beyond that the
+    slice ids are joined on the key.
+    """
     o = dense_ordinal(rows.select(by, key), by, [key], name="_ord")
     n = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     o = o.join(F.broadcast(n), by).select(
-        by, key, F.floor(F.col("_ord") * n_micro / F.col("_n")).cast("long").alias("b"))
-    o = lm.join_checked(spread(rows.select(by, key, text)), o, [by, key])
+        by, key, "_ord", "_n", F.floor(F.col("_ord") * n_micro / F.col("_n")).cast("long").alias("b"))
+    texts = spread(rows.select(by, key, text))
+    if n_micro <= SLICE_LOOKUP_MAX:
+        prev_b = F.floor((F.col("_ord") - 1) * n_micro / F.col("_n")).cast("long")
+        starts = (o.filter((F.col("_ord") == 0) | (prev_b != F.col("b")))
+                  .groupBy(by).agg(F.array_sort(F.collect_list(F.struct(key, "b"))).alias("_s")))
+        below = F.size(F.filter("_s", lambda s: s[key] <= F.col(key)))
+        o = (texts.join(F.broadcast(starts), by)
+             .select(by, text, F.element_at("_s", below)["b"].alias("b")))
+    else:
+        o = lm.join_checked(texts, o.select(by, key, "b"), [by, key])
     return (o.select(F.col(by).alias("run_id"), "b", F.explode(word_tokens(text, pattern)).alias("tok"))
             .groupBy("run_id", "b", "tok").agg(F.count(F.lit(1)).alias("cnt")))
 

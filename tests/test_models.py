@@ -225,3 +225,16 @@ def test_initial_params_compression_invariants(spark):
         own = {w for d, _, s in train if d == r for w in s.split()}
         assert {x.tok for x in rows if x.tok is not None} == own | eval_toks
         assert all(x.n == 1 for x in rows if x.tok is not None)
+
+
+@pytest.mark.parametrize("n_micro", [1, 2, 3, 7])
+def test_slice_lookup_equals_key_join(spark, n_micro, monkeypatch):
+    """Slice ids from the broadcast array of slice starts equal the ones joined
+    on the key, also with more slices than rows (empty slices)."""
+    train = [("a", 1, "p q"), ("a", 5, "r"), ("a", 9, "s t"), ("a", 12, "u"), ("a", 20, "p"),
+             ("b", 3, "v w"), ("b", 4, "x")]
+    tr = spark.createDataFrame(train, "dataset string, row_id long, text string")
+    got = sorted(map(tuple, U.micro_batch_counts(tr, n_micro).collect()))
+    monkeypatch.setattr(U, "SLICE_LOOKUP_MAX", 0)
+    want = sorted(map(tuple, U.micro_batch_counts(tr, n_micro).collect()))
+    assert got == want
