@@ -238,3 +238,15 @@ def test_slice_lookup_equals_key_join(spark, n_micro, monkeypatch):
     monkeypatch.setattr(U, "SLICE_LOOKUP_MAX", 0)
     want = sorted(map(tuple, U.micro_batch_counts(tr, n_micro).collect()))
     assert got == want
+
+
+def test_user_scorer_equals_token_join(spark, monkeypatch):
+    """The mapInPandas user-scorer path and the token-join path that
+    replaces it beyond the model-size bound give the same scores."""
+    import mixtrace.plans.catalog as C
+    key = ["dataset", "row_id"]
+    a = C.QUERIES["external_scorer"](spark, SF001).toPandas().sort_values(key).reset_index(drop=True)
+    monkeypatch.setattr(C, "SCORER_MAX_ROWS", 1)
+    b = C.QUERIES["external_scorer"](spark, SF001).toPandas().sort_values(key).reset_index(drop=True)
+    assert len(a) > 0 and list(a.columns) == list(b.columns)
+    assert a.equals(b)
