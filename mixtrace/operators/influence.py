@@ -35,8 +35,10 @@ from .ordinal import dense_ordinal
 
 
 # Slices per dataset up to which a row finds its slice in a broadcast array
-# of slice starts (datasets x slices entries) instead of a join on the key.
+# of slice starts instead of a join on the key, and the bound on the
+# broadcast's total entries (datasets x slices), checked before use.
 SLICE_LOOKUP_MAX = 4096
+SLICE_LOOKUP_ENTRIES = 4_000_000
 
 
 def micro_batch_counts(rows: DataFrame, n_micro: int, by: str = "dataset", key: str = "row_id",
@@ -46,7 +48,8 @@ def micro_batch_counts(rows: DataFrame, n_micro: int, by: str = "dataset", key:
     The ordinal runs on the narrow key columns only.  Slices are contiguous
     key ranges, so each is known by its first key: with up to
     ``SLICE_LOOKUP_MAX`` slices, a per-dataset sorted array of slice starts
-    (bounded by datasets x slices) is broadcast and every text row finds its
+    (datasets x slices entries, checked against ``SLICE_LOOKUP_ENTRIES``) is
+    broadcast and every text row finds its
     slice where it is read - the text is never shuffled.  Beyond that the
     slice ids are joined on the key.
     """
@@ -55,7 +58,7 @@ def micro_batch_counts(rows: DataFrame, n_micro: int, by: str = "dataset", key:
     o = o.join(F.broadcast(n), by).select(
         by, key, "_ord", "_n", F.floor(F.col("_ord") * n_micro / F.col("_n")).cast("long").alias("b"))
     texts = spread(rows.select(by, key, text))
-    if n_micro <= SLICE_LOOKUP_MAX:
+    if n_micro <= SLICE_LOOKUP_MAX and lm.small_enough(n, SLICE_LOOKUP_ENTRIES // n_micro):
         prev_b = F.floor((F.col("_ord") - 1) * n_micro / F.col("_n")).cast("long")
         starts = (o.filter((F.col("_ord") == 0) | (prev_b != F.col("b")))
                   .groupBy(by).agg(F.array_sort(F.collect_list(F.struct(key, "b"))).alias("_s")))
