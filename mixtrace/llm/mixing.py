@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut
-from .common import pick, positional
+from .common import WORD_RE, pick, positional
 
 SEED = 42
 WEIGHTS = (5, 2, 1)
@@ -39,13 +39,8 @@ GROUP = 4096
 
 
 def n_words(text: Column) -> Column:
-    """Words of the contract, without building them; NULL: 0.
-
-    A word ends where a character that is no white space is followed by white
-    space or the end.  Mapping every white space to one blank first and
-    dropping the others' content keeps this on two string functions.
-    """
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Words of the contract; NULL: 0."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -112,20 +107,18 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The mixture itself: every row of ``docs`` as often as the plan says,
-    with its own columns.  Rows that agree on (doc_id, source, size) share
-    their copies' sum, dealt to them in any order."""
+    with its own columns.  Rows that share (doc_id, source) share their copies
+    evenly.  The texts are shuffled once, for the join with the plan."""
     plain, at, names = positional(docs)
-    p = plan(docs, weights, most, seed).filter(F.col("copies") > 0)
-    keys = ["doc_id", "source", "size"]
-    # equal keys get numbers on both sides, so repeated rows stay apart
-    number = Window.partitionBy(*keys).orderBy(F.lit(0))
-    p = p.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "copies",
-                 F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("copies").desc())).alias("_k_n"))
-    d = plain.select("*", F.col(at["doc_id"]).alias("doc_id"), F.col(at["source"]).alias("source"),
-                     n_words(F.col(at["text"])).alias("size"))
-    d = d.withColumn("_n", F.row_number().over(number))
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_n") == F.col("_k_n")]
-    out = d.join(p, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    p = plan(docs, weights, most, seed).groupBy(F.struct("doc_id", "source").alias("_k")).agg(
+        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).filter("_copies > 0")
+    # a struct equals another whose NULL fields are NULL too
+    d = plain.withColumn("_key", F.struct(F.col(at["doc_id"]).alias("doc_id"), F.col(at["source"]).alias("source")))
+    out = d.join(p, F.col("_key") == F.col("_k"))
+    rank = F.row_number().over(Window.partitionBy("_key").orderBy(at["doc_id"]))  # the join's own partitioning
+    copies = F.floor(F.col("_copies") / F.col("_rows")) + F.when(rank <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
+    out = out.withColumn("_n", copies.cast("int")).filter("_n > 0")
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     return out.select(*[f"_{i}" for i in range(len(names))]).toDF(*names)
 
 

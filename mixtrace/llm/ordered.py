@@ -29,9 +29,10 @@ def range_of(key: Column, bounds: list[int]) -> Column:
 
     @F.pandas_udf(T.IntegerType())
     def find(ids: pd.Series) -> pd.Series:
-        null = ids.isna()
-        at = np.searchsorted(edges, ids.fillna(0).to_numpy(np.int64, na_value=0), side="right")
-        at[null.to_numpy()] = 0
+        null = ids.isna().to_numpy()
+        at = np.searchsorted(edges, np.where(null, "0", ids.to_numpy()).astype(np.int64), side="right")
+        at[null] = 0
         return pd.Series(at, dtype="int32")
 
-    return find(key) if bounds else F.lit(0)
+    # nullable longs reach pandas as floats, which lose digits: as text they don't
+    return find(key.cast("string")) if bounds else F.lit(0)

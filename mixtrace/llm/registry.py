@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sentencepiece_codec, simhash, substring, token_files
-from .common import table
+from . import (chunks, language, mixing, neighbours, quality, sentencepiece_codec, simhash, substring, token_files,
+               toxicity)
+from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -60,3 +61,41 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     """Removes every repeated window of 50 words from all documents."""
     return substring.digests(table(spark, sf, "documents"))
+
+
+@register("op1_language")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document, learnt from the rows that aren't held out."""
+    docs = table(spark, sf, "documents")
+    model = language.fit(docs.filter(~held_out("doc_id")))
+    return language.identify(docs, model, spans=False).withColumn("held_out", held_out("doc_id"))
+
+
+@register("op2_quality")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf, "documents")
+    out = quality.score(docs, quality.fit(docs, table(spark, sf, "labels")))
+    return out.withColumns({"held_out": held_out("doc_id"),
+                            "predicted": F.when(F.col("score") >= quality.GOOD, 1).otherwise(0)})
+
+
+@register("op8_toxicity")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    """Expected toxicity grade of every document; toxic: P(grade > 0) >= 0.5."""
+    docs = table(spark, sf, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+    return out.withColumns({"held_out": held_out("doc_id"),
+                            "predicted": F.when(F.col("score") >= 0.5, 1).otherwise(0)})
+
+
+@register("op6_fingerprints")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return chunks.compare(table(spark, sf, "documents"))
+
+
+@register("op7_neighbours")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector."""
+    return neighbours.search(table(spark, sf, "embeddings"))

@@ -248,6 +248,21 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         run, "doc_id long, ids array<int>, spans array<struct<start:long,end:long>>, decoded string")
 
 
+def encode_ids(docs: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, n_tokens, ids array<int> (with the end id): what training reads."""
+
+    def run(batches):
+        m = model(model_path)
+        for b in slices(batches, "text"):
+            ids = m.ids([t or "" for t in b.column("text").to_pylist()])
+            edge = np.append(0, np.cumsum([len(x) for x in ids]))
+            lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(edge)), lists], ["doc_id", "n_tokens", "ids"])
+
+    return pick(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(
+        run, "doc_id long, n_tokens long, ids array<int>")
+
+
 def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
     """The digests of ``encode``'s columns, for tables whose ids would not be
     kept: doc_id, n_tokens, ids_sha256, decoded_sha256, and n_spanned, the

@@ -180,13 +180,13 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, distance: int = DISTANCE) -> D
 
 
 def keep_first(docs: DataFrame, k: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id (of
-    rows that share it, one), with all columns of ``docs``."""
+    """One document of each component, the one with the smallest doc_id, with
+    all columns of ``docs``; of rows that share a doc_id (NULL too), the one with
+    the smallest text.  The texts are shuffled once."""
     plain, at, names = positional(docs)
     ids = near_dedup(docs, k, distance)
-    kept = (ids.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_key"))
-            .distinct())
-    out = plain.join(kept, F.col(at["doc_id"]).eqNullSafe(F.col("_key")), "left_semi")
-    # rows that share a doc_id are told apart by their text
-    w = Window.partitionBy(at["doc_id"]).orderBy(at["text"])
-    return out.withColumn("_row", F.row_number().over(w)).filter("_row = 1").drop("_row").toDF(*names)
+    kept = ids.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id").alias("_k")).distinct()
+    d = plain.withColumn("_key", F.struct(F.col(at["doc_id"]).cast("long").alias("doc_id")))
+    out = d.join(kept, F.col("_key") == F.col("_k"), "left_semi")
+    w = Window.partitionBy("_key").orderBy(at["text"])  # the join's own partitioning
+    return out.withColumn("_row", F.row_number().over(w)).filter("_row = 1").drop("_row", "_key").toDF(*names)
