@@ -12,11 +12,14 @@ reaches ``RECALL``.
 Largest inner product is nearest distance once every vector gets one more
 coordinate, sqrt(M^2 - |x|^2) with M the greatest norm, and the query a zero.
 
-Rows of a leaf and the queries that visit it meet in blocks of at most
-``BLOCK`` rows and queries, cut by hashes, so a leaf that holds a third of the
-table (equal vectors can't be split) is many tasks.  A block selects its best
-rows by matrix product; the scores returned, and ties, are computed pair by
-pair in double precision in a fixed order, so equal vectors have equal scores.
+Leaves next to each other in the tree share a shard of about ``BLOCK`` rows; a
+leaf that holds more (equal vectors can't be split) is cut by a hash into
+shards of its own.  A query goes to each shard that holds leaves it visits,
+once, with those leaves, and brings back its k best there.  Queries of a shard
+are cut by a hash into blocks of about ``BLOCK`` too, so neither side of a
+task is unbounded.  Rows are chosen by matrix product; the scores returned, and
+ties, are computed pair by pair in double precision in a fixed order, so equal
+vectors have equal scores.
 
 Defined cases: vectors that are NULL, empty, zero, hold NULL or non-finite
 components, or have another length than most, and rows without vec_id take no
@@ -46,8 +49,8 @@ SAMPLE = 20_000
 BRANCH = 8
 LEAF = 256
 PROBES = 256
-RECALL = 0.96
-BLOCK = 2048
+RECALL = 0.95
+BLOCK = 16_384
 ROUNDS = 8
 
 
@@ -190,6 +193,14 @@ def _top(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: in
     return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
 
 
+def _best(rows: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """The k best of each query among (query, id, score, ...); ties to the smaller id."""
+    order = np.lexsort((rows[1], -rows[2], rows[0]))
+    rows = tuple(c[order] for c in rows)
+    keep = np.arange(len(order)) - np.searchsorted(rows[0], rows[0]) < k
+    return tuple(c[keep] for c in rows)
+
+
 def _calibrate(index: DataFrame, probes: np.ndarray, probe_ids: np.ndarray, tree: Tree, k: int, recall: float) -> int:
     """Leaves to visit. Probes are a bounded number of rows; each batch of the
     table sends its k best for each, and a partial top-k merges them."""
@@ -199,19 +210,17 @@ def _calibrate(index: DataFrame, probes: np.ndarray, probe_ids: np.ndarray, tree
         q, q_id = shared.value
         best = None
         for b in batches:
+            if not b.num_rows:
+                continue
             x, x_id = _matrix(b.column("v")), b.column("id").to_numpy()
             leaf = b.column("leaf").to_numpy()
             i, j, s = _top(q, q_id, x, x_id, k)
-            new = (i, x_id[j], leaf[j], s)
-            best = new if best is None else tuple(map(np.concatenate, zip(best, new)))
-            order = np.lexsort((best[1], -best[3], best[0]))
-            best = tuple(c[order] for c in best)
-            keep = np.arange(len(order)) - np.searchsorted(best[0], best[0]) < k
-            best = tuple(c[keep] for c in best)
+            new = (i, x_id[j], s, leaf[j])
+            best = _best(new if best is None else tuple(map(np.concatenate, zip(best, new))), k)
         if best is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], ["q", "id", "leaf", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], ["q", "id", "s", "leaf"])
 
-    found = index.mapInArrow(run, "q long, id long, leaf long, s double")
+    found = index.mapInArrow(run, "q long, id long, s double, leaf long")
     w = Window.partitionBy("q").orderBy(F.col("s").desc(), "id")
     found = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("q", "leaf").collect()
     aimed = tree.aim(probes)
@@ -261,43 +270,75 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_i
     if n <= 4 * k * visits:
         visits = tree.leaves  # so few rows that leaves could hold fewer than k
 
-    def walk(batches):
+    # leaf -> first shard, number of shards: as many rows as leaves, which the sample bounds
+    rows_of = np.zeros(tree.leaves, np.int64)
+    for r in index.groupBy("leaf").count().collect():
+        rows_of[r["leaf"]] = r["count"]
+    base, parts, at, held = [], [], -1, BLOCK
+    for size in rows_of.tolist():
+        cuts = max(1, -(-size // BLOCK))
+        if cuts > 1 or held + size > BLOCK:
+            at, held = at + 1, 0
+        base.append(at)
+        parts.append(cuts)
+        at, held = at + cuts - 1, BLOCK if cuts > 1 else held + size
+    homes = spark.sparkContext.broadcast((np.array(base), np.array(parts)))
+
+    def deal(batches):
+        first, cuts = homes.value
         for b in batches:
             if b.num_rows:
-                t = shared.value
-                lists = [t.visit(q, visits) for q in t.aim(_matrix(b.column("v")))]
-                at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int64)), b.column("id").take(pa.array(at)),
-                                                  b.column("v").take(pa.array(at))], ["leaf", "id", "v"])
+                leaf = b.column("leaf").to_numpy()
+                shard = first[leaf] + b.column("h").to_numpy() % cuts[leaf]
+                yield pa.RecordBatch.from_arrays([pa.array(shard), *[b.column(c) for c in ("leaf", "id", "v")]],
+                                                 ["shard", "leaf", "id", "v"])
 
+    def walk(batches):
+        t, (first, cuts) = shared.value, homes.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            row, shard, leaves = [], [], []
+            for i, q in enumerate(t.aim(_matrix(b.column("v")))):
+                to: dict[int, list[int]] = {}
+                for leaf in t.visit(q, visits):
+                    for k in range(cuts[leaf]):
+                        to.setdefault(int(first[leaf]) + k, []).append(leaf)
+                row.extend([i] * len(to))
+                shard.extend(to)
+                leaves.extend(to.values())
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard, pa.int64()), pa.array(leaves, pa.list_(pa.int64())), b.column("id").take(take), b.column("v").take(take)],
+                ["shard", "leaves", "id", "v"])
+
+    # queries are spread out first: walking the tree is their work
     queries = index.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    path = scratch_path(spark, "vector-queries")
-    queries.mapInArrow(walk, "leaf long, id long, v array<double>").write.parquet(path)
-    queries = spark.read.schema("leaf long, id long, v array<double>").parquet(path)
-
-    def blocks(df: DataFrame) -> DataFrame:
-        """leaf, blocks: as many rows as leaves, which the sample bounds."""
-        return df.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-
-    n_rows, n_queries = blocks(index), blocks(queries)
-    cuts = F.broadcast(n_rows.withColumnRenamed("blocks", "xb").join(n_queries.withColumnRenamed("blocks", "qb"), "leaf"))
-    digit = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
-    every_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    x = (index.join(cuts, "leaf").withColumn("x", digit("xb")).withColumn("q", every_of("qb"))
-         .select("leaf", "x", "q", "id", "v"))
-    q = (queries.join(cuts, "leaf").withColumn("q", digit("qb")).withColumn("x", every_of("xb"))
-         .select("leaf", "x", "q", "id", "v"))
+    path, ddl = scratch_path(spark, "vector-queries"), "shard long, leaves array<long>, id long, v array<double>"
+    queries.repartition(partitions(spark)).mapInArrow(walk, ddl).write.parquet(path)
+    queries = spark.read.schema(ddl).parquet(path)
+    blocks = queries.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    h = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    x = (index.withColumn("h", h).mapInArrow(deal, "shard long, leaf long, id long, v array<double>")
+         .join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+         .select("shard", "block", "leaf", "id", "v"))
+    q = (queries.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+         .select("shard", "block", "leaves", "id", "v"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = [[t.column(c).combine_chunks() for c in ("id", "v")] for t in (left, right)]
-        (xi, xv), (qi, qv) = parts
-        if not len(xi) or not len(qi):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        qi, xi = qi.to_numpy(), xi.to_numpy()
-        i, j, s = _top(_matrix(qv), qi, _matrix(xv), xi, k)
-        return pa.table({"query_id": qi[i], "vec_id": xi[j], "score": s})
-
-    keys = ["leaf", "x", "q"]
+        x, x_id, leaf = _matrix(left.column("v").combine_chunks()), left.column("id").to_numpy(), left.column("leaf").to_numpy()
+        v, q_id = _matrix(right.column("v").combine_chunks()), right.column("id").to_numpy()
+        lists = right.column("leaves").combine_chunks()
+        which, wanted = np.repeat(np.arange(len(q_id)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for n in np.unique(leaf) if len(q_id) else ():
+            rows, asks = np.flatnonzero(leaf == n), which[wanted == n]
+            if len(asks):
+                i, j, s = _top(v[asks], q_id[asks], x[rows], x_id[rows], k)
+                best = _best(tuple(map(np.concatenate, zip(best, (asks[i], x_id[rows[j]], s)))), k)
+        return pa.table({"query_id": q_id[best[0]], "vec_id": best[1], "score": best[2]})
+
+    keys = ["shard", "block"]
     found = x.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
