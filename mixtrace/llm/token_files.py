@@ -49,13 +49,15 @@ MAGIC = b"WVM1"
 #: Bytes of a plane's block before compression.
 BLOCK = 1 << 15
 #: Ids of a shard, about.
-SHARD_IDS = 8_000_000
-#: Units and pre-tokens kept per worker.
-CACHED_UNITS = 700_000
+SHARD_IDS = 4_000_000
+#: White-space units, and pre-tokens, kept per worker (together under 200 MB).
+CACHED_UNITS, CACHED_TOKENS = 400_000, 600_000
 #: Pre-token rule the unit cache knows (fixed value: the tokenizer file's own).
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Below this code point a character is its own NFC form and lower-cases by itself.
-SIMPLE = 0x180
+SIMPLE = "\u0180"
+#: ASCII marks that end a unit as one pre-token after letters (no apostrophe: it starts some).
+MARKS = b".,;:!?*&%$#|)"
 
 
 class Encoder:
@@ -83,7 +85,7 @@ class Encoder:
                         and rule[0].get("behavior") == "Removed" and steps == ["NFC", "Replace", "Lowercase"]
                         and not any(t.get("normalized") or any(c.isspace() for c in t["content"])
                                     for t in spec.get("added_tokens") or []))
-        self.special = sorted({t["content"][0] for t in spec.get("added_tokens") or []})
+        self.special = {t["content"][0] for t in spec.get("added_tokens") or []}
         self.pre = regex.compile(PRE_TOKENS)
         self.units: dict[bytes, bytes] = {}
         self.tokens: dict[str, bytes] = {}
@@ -94,14 +96,19 @@ class Encoder:
 
     def _learn(self, units: list[bytes]) -> None:
         """Puts the ids of new units into the cache."""
-        odd, simple = [], []
+        odd, simple, special = [], [], self.special
         for u in units:
+            word = u.rstrip(MARKS)
+            s = word.decode().lower()
+            if s.isalpha() and (s.isascii() or max(s) < SIMPLE):  # letters, then a run of marks
+                simple.append((u, (s, u[len(word):].decode()) if len(word) < len(u) else (s,)))
+                continue
             s = u.decode()
-            if max(s) < chr(SIMPLE) and s.isprintable() and not any(c in s for c in self.special):
+            if max(s) < SIMPLE and s.isprintable() and special.isdisjoint(s):
                 simple.append((u, self.pre.findall(s.lower())))
             else:
                 odd.append((u, s))
-        new = list({p for _, ps in simple for p in ps}.difference(self.tokens))
+        new = list(set().union(*[ps for _, ps in simple]).difference(self.tokens))
         if new:
             ids = np.asarray(self.lib.encode_batch_fast(["\n".join(new)], add_special_tokens=False)[0].ids, np.int64)
             stop = np.flatnonzero(self.ends[ids]) + 1
@@ -121,7 +128,7 @@ class Encoder:
             return [x + self.end for x in self._whole(texts)]
         if len(self.units) > CACHED_UNITS:
             self.units.clear()
-        if len(self.tokens) > CACHED_UNITS:
+        if len(self.tokens) > CACHED_TOKENS:
             self.tokens.clear()
         split = [t.encode().split() for t in texts]
         new = list(set().union(*split).difference(self.units))
@@ -292,7 +299,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | N
 
     def tokenise(batches):
         e = encoder(tokenizer_path, end_id)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 << 20):
             ids = e.encode([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("doc_id"), pa.array(ids, pa.binary())],
                                              ["shard", "doc_id", "ids"])
