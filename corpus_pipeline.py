@@ -5,7 +5,7 @@ written as Parquet to the shared folder and read again as the next one's docs;
 all but the last return the columns of ``documents``.
 
 1. language ID: rows without a language (no letters, or its label covers less
-   than half of the words) go;
+   than 0.3 of the words) go;
 2. SimHash near-dedup: one document of each component stays;
 3. substring dedup: repeated windows of 50 words leave the texts;
 4. mixing: documents are repeated or left out to meet the sources' targets;
