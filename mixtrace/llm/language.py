@@ -46,7 +46,7 @@ SCRIPT_SHARE = 0.02
 #: Words kept per worker.
 CACHED_WORDS = 400_000
 #: Below this share a document is rejected by ``keep``.
-LEAST = 0.5
+LEAST = 0.3
 
 #: First code points of script ranges (Unicode blocks), and the script.
 SCRIPTS = (

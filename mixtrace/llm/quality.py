@@ -4,8 +4,9 @@ One dictionary is trained on text labelled good, one on text labelled bad.  A
 text is cut into pieces of ``PIECE`` bytes, each compressed by itself with
 either, so that a long text can't learn its own language and hide what the
 dictionaries know of it.  The difference of the compressed sizes over the
-text's size is the evidence; a logistic curve, fitted on labelled documents
-that the dictionaries have not seen, turns it into a probability.
+text's size is the evidence; a logistic curve over it and over the text's
+shortness (a few bytes say little), fitted on labelled documents that the
+dictionaries have not seen, turns it into a probability.
 
 Training reads a bounded sample: about ``MOST_DOCS`` labelled documents of each
 class (by a hash; all, if there are fewer).  Half of them, at most ``PIECES``
@@ -41,13 +42,20 @@ GOOD = 0.7
 
 @dataclass
 class Model:
-    """Raw dictionaries (empty: none) and the curve score = 1 / (1 + exp(-(a + b x)))."""
+    """Raw dictionaries (empty: none) and the curve score = 1 / (1 + exp(-(a + b x + c s))),
+    x the evidence and s the shortness."""
 
     good: bytes
     bad: bytes
     raw: tuple[bool, bool]
     a: float
     b: float
+    c: float = 0.0
+
+
+def shortness(size: int) -> float:
+    """1 for an empty text, towards 0 for a long one: how little its evidence says."""
+    return 1 / (1 + size / 128)
 
 
 class _Sizes:
@@ -77,8 +85,9 @@ class _Sizes:
             diff += len(bad(piece)) - len(good(piece))
         return diff / len(data)
 
-    def score(self, x: float) -> float:
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.model.a + self.model.b * x))))
+    def score(self, x: float, size: int) -> float:
+        m = self.model
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, m.a + m.b * x + m.c * shortness(size)))))
 
 
 def _dictionary(samples: list[bytes]) -> tuple[bytes, bool]:
@@ -97,21 +106,20 @@ def _dictionary(samples: list[bytes]) -> tuple[bytes, bool]:
         return b"".join(samples)[-DICTIONARY:], True
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of y on x by Newton steps, slightly regularised."""
-    a, b = 0.0, 0.0
+def _curve(x: np.ndarray, s: np.ndarray, y: np.ndarray) -> list[float]:
+    """Logistic regression of y on (1, x, s) by Newton steps, slightly regularised."""
     scale = float(x.std()) or 1.0
-    z = x / scale
+    m = np.column_stack([np.ones(len(x)), x / scale, s])
+    ridge = np.array([1e-3, 1e-2, 1e-1])
+    theta = np.zeros(3)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a + b * z, -30, 30)))
-        g = np.array([(p - y).sum() + 1e-3 * a, ((p - y) * z).sum() + 1e-2 * b])
-        w = p * (1 - p)
-        h = np.array([[w.sum() + 1e-3, (w * z).sum()], [(w * z).sum(), (w * z * z).sum() + 1e-2]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
+        p = 1 / (1 + np.exp(-np.clip(m @ theta, -30, 30)))
+        h = (m * (p * (1 - p))[:, None]).T @ m + np.diag(ridge)
+        step = np.linalg.solve(h, m.T @ (p - y) + ridge * theta)
+        theta -= step
         if abs(step).max() < 1e-8:
             break
-    return float(a), float(b / scale)
+    return [float(theta[0]), float(theta[1] / scale), float(theta[2])]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_DOCS, seed: int = 2) -> Model:
@@ -150,18 +158,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     def measure(batches):
         sizes = _Sizes(shared.value)
         for b in slices(batches, "text"):
+            texts = b.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([sizes.evidence(t) for t in b.column("text").to_pylist()], pa.float64()), b.column("y")], ["x", "y"])
+                [pa.array([sizes.evidence(t) for t in texts], pa.float64()),
+                 pa.array([shortness(len(t.encode())) for t in texts], pa.float64()), b.column("y")], ["x", "s", "y"])
 
-    seen = texts.filter(half == 1).select("text", "y").mapInArrow(measure, "x double, y int").toArrow()
-    x, y = seen.column("x").to_numpy(), seen.column("y").to_numpy()
+    seen = texts.filter(half == 1).select("text", "y").mapInArrow(measure, "x double, s double, y int").toArrow()
+    x, short, y = (seen.column(c).to_numpy() for c in ("x", "s", "y"))
     if len(set(y.tolist())) < 2:
         return model
-    order = np.lexsort((y, x))
-    a, b = _curve(x[order], y[order].astype(float))
+    order = np.lexsort((y, short, x))
+    a, b, c = _curve(x[order], short[order], y[order].astype(float))
     # the sample's classes are level; their true shares move the curve
     mine = float(y.mean())
-    return Model(good, bad, (raw_good, raw_bad), a + prior - math.log(mine / (1 - mine)), b)
+    return Model(good, bad, (raw_good, raw_bad), a + prior - math.log(mine / (1 - mine)), b, c)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -171,9 +181,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         sizes = _Sizes(shared.value)
         for b in slices(batches, "text"):
-            x = [sizes.evidence(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(x, pa.float64()), pa.array([sizes.score(v) for v in x], pa.float64())],
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            x = [sizes.evidence(t) for t in texts]
+            scores = [sizes.score(v, len(t.encode())) for v, t in zip(x, texts)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x, pa.float64()), pa.array(scores, pa.float64())],
                 ["doc_id", "evidence", "score"])
 
     rows = pick(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text")

@@ -39,7 +39,7 @@ MOST_DOCS = 6000
 Z = 4.0
 SEEN = 3
 TERMS = 2000
-STEPS = 400
+STEPS = 1500
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
