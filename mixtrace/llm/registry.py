@@ -82,11 +82,9 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("op8_toxicity")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
-    """Expected toxicity grade of every document; toxic: P(grade > 0) >= 0.5."""
+    """Expected toxicity grade of every document."""
     docs = table(spark, sf, "documents")
-    out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
-    return out.withColumns({"held_out": held_out("doc_id"),
-                            "predicted": F.when(F.col("score") >= 0.5, 1).otherwise(0)})
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels"))).withColumn("held_out", held_out("doc_id"))
 
 
 @register("op6_fingerprints")

@@ -5,9 +5,9 @@ ordered thresholds, x the terms (lower-cased words of letters) present in the
 text.  Expected severity is the sum over k of P(grade > k).
 
 Grades may be given (``fit``: a column of 0..K-1).  Where labels only say toxic
-or not, ``graded`` makes three ordered grades of them: 0 not toxic, 1 toxic
-with one of the terms that the training labels single out (or none), 2 toxic
-with two or more different ones.
+or not, three ordered grades are made of them: 0 not toxic, 1 toxic with at
+most one of the terms that toxic sample documents hold ``TELLING`` times as often
+as others, 2 toxic with two or more different ones.
 
 Terms enter the model if their presence differs between grade 0 and the others
 by more than ``Z`` standard errors, in at least ``SEEN`` toxic sample documents; they are
@@ -39,6 +39,7 @@ MOST_DOCS = 6000
 Z = 4.0
 SEEN = 3
 TERMS = 2000
+TELLING = 10
 STEPS = 1500
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -50,6 +51,8 @@ class Model:
 
     weights: dict[str, float] = field(default_factory=dict)
     thresholds: tuple[float, ...] = ()
+    #: Severity from which a text is called toxic: the cut with the fewest errors in the sample.
+    flag: float = 0.5
 
     def above(self, terms: set[str]) -> list[float]:
         """P(grade > k) for every k."""
@@ -61,9 +64,8 @@ def terms_of(text: str | None) -> set[str]:
     return set(_WORD.findall(text.lower())) if text else set()
 
 
-def _counts(sample: DataFrame) -> tuple[dict[str, tuple[int, int]], int, int]:
-    """Terms -> documents of class 0 and of the others, for terms in at least
-    SEEN documents that aren't class 0; and the classes' sizes."""
+def _terms(sample: DataFrame) -> dict[str, bool]:
+    """The model's terms, and whether each is telling."""
 
     def run(batches):
         for b in slices(batches, "text"):
@@ -79,7 +81,7 @@ def _counts(sample: DataFrame) -> tuple[dict[str, tuple[int, int]], int, int]:
     pooled = (F.col("n0") + F.col("n1") + 1) / (n0 + n1 + 2)
     z = (p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / (n0 + 1) + 1 / (n1 + 1)))
     best = top.withColumn("z", z).filter(F.abs("z") >= Z).orderBy(F.abs("z").desc(), "term").limit(TERMS).collect()
-    return {r.term: r.z for r in best}, n0, n1
+    return {r.term: (r.n1 + 0.5) / (n1 + 1) >= TELLING * (r.n0 + 0.5) / (n0 + 1) for r in best}
 
 
 def _rows(sample: DataFrame, terms: list[str]) -> tuple[list[list[int]], np.ndarray]:
@@ -146,8 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", grades: int |
     """Learns from labels of rows that aren't held out.  ``grades``: the label
     is a grade below that; None: it is 0 or 1, and three grades are made."""
     sample, shares = _sample(docs, labels, label, most, seed)
-    z, n0, n1 = _counts(sample)
-    terms = sorted(z)
+    telling = _terms(sample)
+    terms = sorted(telling)
     if not terms:
         n = sum(shares.values())
         top = grades or 3
@@ -158,22 +160,31 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", grades: int |
     weight = np.array([true[k] / max(1, (y == k).sum()) for k in y.tolist()])  # the classes' true shares
     if grades is None:
         grades = 3
-        toxic = np.array([sum(z[terms[t]] > 0 for t in r) for r in rows])
-        y = np.where(y > 0, np.where(toxic >= 2, 2, 1), 0)
+        hits = np.array([sum(telling[terms[t]] for t in r) for r in rows])
+        y = np.where(y > 0, np.where(hits >= 2, 2, 1), 0)
     w, cuts = fit_rows(rows, y, weight, len(terms), grades)
-    return Model(dict(zip(terms, w.tolist())), tuple(cuts.tolist()))
+    model = Model(dict(zip(terms, w.tolist())), tuple(cuts.tolist()))
+    # errors of every cut between neighbouring severities, from below all to above all
+    severity = np.array([sum(model.above({terms[t] for t in r})) for r in rows])
+    order = np.argsort(severity, kind="stable")
+    s, bad = severity[order], np.where(y[order] > 0, weight[order], -weight[order])
+    wrong = np.append(0, np.cumsum(bad))  # toxic below the cut less clean below it
+    edge = np.concatenate([[0.0], (s[1:] + s[:-1]) / 2, [float(grades)]])
+    edge[1:-1][s[1:] == s[:-1]] = np.nan  # no cut between equals
+    model.flag = float(edge[np.nanargmin(np.where(np.isnan(edge), np.nan, wrong))])
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, severity (expected grade), score (P(grade > 0)), grade (the
-    likeliest), n_terms (model terms found)."""
+    likeliest), n_terms (model terms found), predicted (1: toxic)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS weights
-    ddl = "doc_id long, severity double, score double, grade int, n_terms int"
+    ddl = "doc_id long, severity double, score double, grade int, n_terms int, predicted int"
 
     def run(batches):
         m = shared.value
         for b in slices(batches, "text"):
-            out = ([], [], [], [])
+            out = ([], [], [], [], [])
             for text in b.column("text").to_pylist():
                 terms = terms_of(text)
                 p = m.above(terms)
@@ -182,8 +193,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 out[1].append(p[0] if p else 0.0)
                 out[2].append(max(range(len(each)), key=lambda k: each[k]))
                 out[3].append(len(terms & m.weights.keys()))
+                out[4].append(int(bool(p) and sum(p) >= m.flag))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(out[0], pa.float64()), pa.array(out[1], pa.float64()),
-                 pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], ["doc_id", "severity", "score", "grade", "n_terms"])
+                 *[pa.array(x, pa.int32()) for x in out[2:]]], ["doc_id", "severity", "score", "grade", "n_terms", "predicted"])
 
     return pick(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, ddl)
