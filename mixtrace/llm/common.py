@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -87,6 +88,19 @@ def arrow_schema(ddl: list[tuple[str, pa.DataType]]) -> pa.Schema:
     return pa.schema(ddl)
 
 
+_owner: list = ["", lambda: None]
+
+
+def claim(name: str, drop=lambda: None) -> None:
+    """Called by a task that is about to fill a cache of its worker process:
+    workers are used again by later stages, and only the last operator's cache
+    may stay.  ``drop`` empties the caller's own, once another one comes."""
+    if _owner[0] != name:
+        _owner[1]()
+        gc.collect()
+    _owner[:] = [name, drop]
+
+
 class UnitCache(dict):
     """``cache[unit]`` computes a missing value with ``make`` and keeps it;
     ``trim`` empties the cache once it holds ``most`` values, so that its

@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, positional, sample_per_class, slices
+from .common import claim, pick, positional, sample_per_class, slices
 
 BUCKETS = 1 << 16
 NGRAMS = (2, 3, 4)
@@ -44,7 +44,7 @@ FLOOR = -6.0
 #: Share of a language's words that makes a script one of its own.
 SCRIPT_SHARE = 0.02
 #: Words kept per worker.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 #: Below this share a document is rejected by ``keep``.
 LEAST = 0.3
 
@@ -216,6 +216,7 @@ class _Labeller:
     """A model with its bounded word table, once per task."""
 
     def __init__(self, model: Model):
+        claim("language", self.clear)
         self.model = model
         self.clear()
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut
-from .common import partitions, pick, positional, slices
+from .common import claim, partitions, pick, positional, slices
 from .components import components
 
 SHINGLE = 3
@@ -75,6 +75,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long)."""
 
     def run(batches):
+        claim("simhash")
         for b in slices(batches, "text"):
             fp = np.array([fingerprint(t, k) for t in b.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut, scratch_path
-from .common import partitions, pick, slices
+from .common import claim, partitions, pick, slices
 from .ordered import range_bounds, range_of
 
 MAGIC = b"WVM1"
@@ -138,13 +138,18 @@ class Encoder:
         return [b"".join([units[u] for u in x]) + end for x in split]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def _load(path: str, end_id: int) -> Encoder:
+    return Encoder(path, end_id)
+
+
 def encoder(path: str, end_id: int) -> Encoder:
     """Loaded once per Python worker; one thread, the task's own."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path, end_id)
+    claim("token files", _load.cache_clear)
+    return _load(path, end_id)
 
 
 def build(ids: np.ndarray, bits: int, docs: bytes) -> bytes:
