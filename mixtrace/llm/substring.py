@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import UnitCache, pick, positional, slices
+from .common import UnitCache, claim, pick, positional, slices
 
 WINDOW = 50
 _M = (1 << 64) - 1
@@ -74,9 +74,16 @@ def _power_tables(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return _powers
 
 
+def _drop() -> None:
+    global _words
+    _words = None
+    _powers.clear()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     global _words
     if _words is None:
+        claim("substring", _drop)
         from xxhash import xxh64_intdigest
 
         _words = UnitCache(xxh64_intdigest)
@@ -204,15 +211,16 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     occ = _kept_table(_occurrences(docs, window), "paths")
     anchors = occ.groupBy("m").agg(F.min("doc").alias("low"), F.max("doc").alias("high"),
                                    F.min("s1").alias("sa"), F.max("s1").alias("sb")).filter("low < high")
-    anchors = anchors.select("m", "low", (F.col("sa") != F.col("sb")).alias("branches"))
+    # joins with written tables: AQE splits hot keys of plain sort-merge joins only
+    anchors = _kept_table(anchors.select("m", "low", (F.col("sa") != F.col("sb")).alias("branches")), "anchors")
     hit = _kept_table(occ.join(anchors, "m").filter("branches or doc > low"), "repeated-paths")
     plain = hit.filter("not branches").select(
         "doc", "at", F.expr("shiftleft(1L, cast(shiftright(at, 32) & 31 as int)) - 1").alias("mask"))
     wanted = hit.filter("branches").groupBy("s1", "s2").agg(F.min("doc").alias("low"), F.min_by("at", "doc").alias("at"))
     wins = _kept_table(_windows(docs, wanted, window), "branch-windows")
-    first = wins.groupBy("w1", "w2").agg(F.min("low").alias("first"))
-    lows = (wins.join(first, ["w1", "w2"]).groupBy("s1", "s2")
-            .agg(F.collect_list(F.struct("i", "first")).alias("firsts")))
+    first = _kept_table(wins.groupBy("w1", "w2").agg(F.min("low").alias("first")), "windows")
+    lows = _kept_table(wins.join(first, ["w1", "w2"]).groupBy("s1", "s2")
+                       .agg(F.collect_list(F.struct("i", "first")).alias("firsts")), "path-windows")
     branch = (hit.filter("branches").join(lows, ["s1", "s2"])
               .select("doc", "at", F.expr("aggregate(firsts, 0L, (a, x) -> if(x.first < doc, a | shiftleft(1L, cast(x.i as int)), a))")
                       .alias("mask")).filter("mask != 0"))
