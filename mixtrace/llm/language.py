@@ -227,6 +227,8 @@ class _Labeller:
     def label(self, texts: list[str | None]):
         """For each text: word labels, and whether each word had evidence."""
         words = [words_of(t) if t else [] for t in texts]
+        if not self.model.langs:
+            return [(w, np.zeros(len(w), np.int64), np.zeros(len(w), bool)) for w in words]
         if len(self.at) > CACHED_WORDS:
             self.clear()
         new = list(set().union(*words).difference(self.at))

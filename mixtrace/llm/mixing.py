@@ -62,9 +62,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     s = (s.withColumn("_pool", (total - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))).cast("double"))
          .withColumn("_weights", F.sum("weight").over(rest)))
     # the first source in this order whose share is not above its stop sets the level
+    s = s.withColumn("_at", F.row_number().over(ratio))
     s = s.withColumn("_open", F.col("_pool") * F.col("weight") <= most * F.col("source_size") * F.col("_weights"))
-    first = F.min(F.when(F.col("_open"), F.struct(F.col("source_size") / F.col("weight"), F.col("_pool"),
-                                                  F.col("_weights")))).over(Window.partitionBy())
+    first = F.min(F.when(F.col("_open"), F.struct("_at", "_pool", "_weights"))).over(Window.partitionBy())
     s = s.withColumn("_first", first)
     level = F.col("_first._pool") * F.col("weight") / F.col("_first._weights")
     stop = (most * F.col("source_size")).cast("double")
@@ -138,10 +138,11 @@ s as (
 p as (
   select *, ((sum(source_size) over ()) - {most} * coalesce(sum(source_size) over (
               order by source_size / weight, source is null, source rows between unbounded preceding and 1 preceding), 0))::double as pool,
-         sum(weight) over (order by source_size / weight, source is null, source rows between current row and unbounded following) as weights
+         sum(weight) over (order by source_size / weight, source is null, source rows between current row and unbounded following) as weights,
+         row_number() over (order by source_size / weight, source is null, source) as pos
   from s),
 f as (
-  select arg_min(pool, source_size / weight) as pool, arg_min(weights, source_size / weight) as weights
+  select arg_min(pool, pos) as pool, arg_min(weights, pos) as weights
   from p where pool * weight <= {most} * source_size * weights),
 t as (
   select p.source, p.source_size,
