@@ -1,4 +1,4 @@
-"""UnTrac, UnTrac-Inv and leave-dataset-out influence.
+"""forward unlearning, inverse unlearning and leave-dataset-out influence.
 
 One Spark job family runs *all* runs at once: the parameter table holds
 ``(run_id, tok, theta, n, m, v)`` for every run (run = the dataset being
@@ -72,7 +72,7 @@ def micro_batch_counts(rows: DataFrame, n_micro: int, by: str = "dataset", key:
 
 
 def whole_set_counts(counts: DataFrame, by: str, steps: int) -> DataFrame:
-    """(run_id, b, tok, cnt) where every step sees the whole set (UnTrac-Inv)."""
+    """(run_id, b, tok, cnt) where every step sees the whole set (inverse unlearning)."""
     return counts.select(F.col(by).alias("run_id"), "tok", "cnt",
                          F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))).alias("b"))
 
@@ -229,7 +229,7 @@ def influence_from_log(log: DataFrame, run_col: str = "train_dataset",
 def unlearn_influence(train_rows: DataFrame, eval_rows: DataFrame, opt: Optim, steps: int = 2,
                       n_micro: int | None = None, accum: int = 1, alpha: float = 1.0,
                       eval_steps: int = 1) -> tuple[DataFrame, DataFrame]:
-    """U8 UnTrac: for every training dataset d, start from the model fitted on
+    """U8 forward unlearning: for every training dataset d, start from the model fitted on
     all training data, unlearn d (gradient ascent) for one epoch, and measure
     every evaluation set's loss.  Returns (log, influence)."""
     # tokenise the training text once: per-slice counts, whole-dataset counts derive from them
@@ -246,9 +246,9 @@ def unlearn_influence(train_rows: DataFrame, eval_rows: DataFrame, opt: Optim, s
 def unlearn_influence_inverse(train_rows: DataFrame, eval_rows: DataFrame, opt: Optim,
                               steps: int = 2, alpha: float = 1.0,
                               eval_steps: int = 1) -> tuple[DataFrame, DataFrame]:
-    """U9 UnTrac-Inv: unlearn each *evaluation* set (the whole set every step)
+    """U9 inverse unlearning: unlearn each *evaluation* set (the whole set every step)
     and measure the loss on every training dataset; the result is transposed
-    so rows are (train_dataset, eval_dataset) like UnTrac's."""
+    so rows are (train_dataset, eval_dataset) like the forward ones."""
     train_counts = cut(lm.token_counts(train_rows))
     ev = cut(lm.token_counts(eval_rows))
     vocab = lm.vocabulary(train_counts, ev)

@@ -12,6 +12,8 @@ exact optimum of the loss on the smoothed counts, so "training" is one
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,10 +53,27 @@ def fit_unigram(train_counts: DataFrame, vocab: DataFrame, alpha: float = 1.0) -
 def log_partition(params: DataFrame, run: str = "run_id") -> DataFrame:
     """(run, logz): ln sum exp(theta) per run; one row per run (tiny, broadcast later).
 
-    theta stays in a few units of ln(count) (no overflow of exp), so the sum is
-    taken directly in one partial+final aggregation.
+    exp is taken relative to a multiple of ``STRIDE`` near theta, so a diverging
+    run doesn't overflow; a run has a handful of such strides.
     """
-    return params.groupBy(run).agg(F.log(F.sum(F.exp("theta"))).alias("logz"))
+    part = (params.groupBy(run, stride("theta").alias("_s"))
+            .agg(F.log(F.sum(F.exp(F.col("theta") - stride("theta")))).alias("_l")))
+    x = part.groupBy(run).agg(F.collect_list(F.col("_s") + F.col("_l")).alias("_x"))
+    top = F.array_max("_x")
+    return x.select(run, (top + F.log(F.aggregate("_x", F.lit(0.0), lambda a, v: a + F.exp(v - top)))).alias("logz"))
+
+
+STRIDE = 500.0
+
+
+def stride(theta: str):
+    """The multiple of STRIDE at or below theta."""
+    return F.floor(F.col(theta) / STRIDE) * STRIDE
+
+
+def quoted(name: str):
+    """A column by name, whatever characters the name holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def eval_names(eval_counts: DataFrame, col: str = "eval_dataset") -> list[str]:
@@ -70,7 +89,7 @@ def eval_wide(eval_counts: DataFrame, names: list[str], col: str = "eval_dataset
     from an equi-join on ``tok`` - no cross product of runs and sets.
     """
     w = eval_counts.groupBy("tok").pivot(col, names).agg(F.sum("cnt"))
-    return w.fillna(0, subset=names)
+    return w.select("tok", *[F.coalesce(quoted(n), F.lit(0)).alias(n) for n in names])
 
 
 def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
@@ -121,11 +140,10 @@ def influence_loo(train_counts: DataFrame, eval_counts: DataFrame, alpha: float
     a = F.lit(alpha)
     delta = F.log(F.col("C") - F.col("cnt") + a) - F.log(F.col("C") + a)
     shared = (join_checked(tc, wide, "tok")
-              .groupBy("dataset").agg(*[F.sum(F.col(n) * delta).alias(n) for n in names]))
-    stack = ", ".join(f"'{n}', `{n}`" for n in names)
-    wide_d = per_d.join(shared, "dataset", "left").fillna(0.0, subset=names)
-    long = wide_d.selectExpr("dataset", "n_d",
-                             f"stack({len(names)}, {stack}) as (eval_dataset, b)")
+              .groupBy("dataset").agg(*[F.sum(quoted(n) * delta).alias(f"_e{i}") for i, n in enumerate(names)]))
+    each = F.array(*[F.struct(F.lit(n).alias("eval_dataset"), F.coalesce(F.col(f"_e{i}"), F.lit(0.0)).alias("b"))
+                     for i, n in enumerate(names)])
+    long = per_d.join(shared, "dataset", "left").select("dataset", "n_d", F.inline(each))
     tot = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(float(totals[n])))])
     nv = float(n_tot) + alpha * vocab_size
     infl = (F.log(F.lit(nv) - F.col("n_d")) - F.log(F.lit(nv))
@@ -160,10 +178,19 @@ def run_stats(params: DataFrame, wide: DataFrame, names: list[str], broadcast_wi
     w = F.broadcast(wide) if broadcast_wide else wide
     n = F.col("n") if "n" in params.columns else F.lit(1)
     j = params.select(run, "tok", "theta", n.alias("_n")).join(w, "tok", "left")
-    agg = j.groupBy(run).agg(F.log(F.sum(F.col("_n") * F.exp("theta"))).alias("_logz"),
-                             *[F.sum(F.coalesce(F.col(f"`{n}`"), F.lit(0)) * F.col("theta")).alias(n)
-                               for n in names])
-    return {r[run]: (r["_logz"], {n: r[n] for n in names}) for r in agg.collect()}
+    agg = j.groupBy(run, stride("theta").alias("_s")).agg(
+        F.log(F.sum(F.col("_n") * F.exp(F.col("theta") - stride("theta")))).alias("_l"),
+        *[F.sum(F.coalesce(quoted(n), F.lit(0)) * F.col("theta")).alias(f"_e{i}") for i, n in enumerate(names)])
+    parts: dict = {}
+    for r in agg.collect():  # a handful of rows per run
+        parts.setdefault(r[run], []).append(r)
+    out = {}
+    for key, rows in parts.items():
+        x = [r["_s"] + r["_l"] for r in rows]
+        top = max(x)
+        out[key] = (top + math.log(sum(math.exp(v - top) for v in x)),
+                    {n: sum(r[f"_e{i}"] for r in rows) for i, n in enumerate(names)})
+    return out
 
 
 def model_scorer(path: str, logz: float, alpha: float = 1.0):

@@ -67,7 +67,7 @@ def run_losses(Xe: DataFrame, ye: DataFrame, params: DataFrame, key: str = "doc_
 
 def unlearn_influence(Xt: DataFrame, yt: DataFrame, Xe: DataFrame, ye: DataFrame,
                       theta0: DataFrame, steps: int, lr: float, key: str = "doc_id") -> DataFrame:
-    """UnTrac for the classifier: (train_dataset, eval_dataset, step, influence).
+    """forward unlearning for the classifier: (train_dataset, eval_dataset, step, influence).
 
     ``Xt``: (dataset, key, f) training features; ``Xe``: (eval_dataset, key, f).
     Each run d takes ``steps`` full-batch ascent steps on d's rows.

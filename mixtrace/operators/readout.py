@@ -16,7 +16,26 @@ from pyspark.sql import functions as F
 from ..functions.text import strip_prefix
 from .models.lm import join_checked
 
-LOG_SCHEMA = "struct<log_history: array<map<string, double>>>"
+#: Values are read as text and cast, so one that is no number erases nothing else.
+LOG_SCHEMA = "struct<log_history: array<map<string, string>>>"
+
+
+def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row per file (a document may span lines); partition values stay text."""
+    reader = spark.read.schema(schema)
+    reader = reader.option("basePath", path) if "run_id" in schema else reader
+    return (reader.text(path, wholetext=True)
+            .withColumn("_file", F.input_file_name()))
+
+
+def _or_fail(parsed):
+    """The parsed value; a document that holds none is an error, not an empty log."""
+    return F.coalesce(parsed, F.raise_error(F.concat(F.lit("unreadable JSON document: "), F.col("_file"))))
+
+
+def _numbers(m):
+    """The numeric entries of a map of texts."""
+    return F.map_filter(F.transform_values(m, lambda k, v: v.try_cast("double")), lambda k, v: v.isNotNull())
 
 
 def write_trainer_state(log: DataFrame, path: str, steps_per_epoch: float) -> None:
@@ -61,9 +80,9 @@ def log_scan(spark: SparkSession, path: str, subset: str = "eval_loss") -> DataF
     """S5 + R1 + R2: (run_id, step, epoch, metric, value) of the entries that
     carry ``subset``; metrics absent from an entry simply have no row (the
     long form of dropping all-null columns)."""
-    raw = spark.read.option("basePath", path).text(path)
-    e = (raw.select(F.col("run_id").cast("string").alias("run_id"),
-                    F.explode(F.from_json("value", LOG_SCHEMA)["log_history"]).alias("e"))
+    raw = _documents(spark, path, "value string, run_id string")
+    history = _or_fail(F.from_json("value", LOG_SCHEMA)["log_history"])
+    e = (raw.select("run_id", F.explode(history).alias("e")).withColumn("e", _numbers("e"))
          .filter(F.col("e")[subset].isNotNull()))
     return e.select("run_id", F.col("e")["step"].cast("long").alias("step"),
                     F.col("e")["epoch"].alias("epoch"),
@@ -72,8 +91,8 @@ def log_scan(spark: SparkSession, path: str, subset: str = "eval_loss") -> DataF
 
 def baseline_scan(spark: SparkSession, path: str) -> DataFrame:
     """Flat JSON object -> (metric, value) rows."""
-    raw = spark.read.text(path)
-    return raw.select(F.explode(F.from_json("value", "map<string, double>")).alias("metric", "value"))
+    raw = _documents(spark, path, "value string")
+    return raw.select(F.explode(_numbers(_or_fail(F.from_json("value", "map<string, string>")))).alias("metric", "value"))
 
 
 def influence(log: DataFrame, baseline: DataFrame, key: str = "epoch", prefix: str = "eval_loss_",
@@ -85,7 +104,7 @@ def influence(log: DataFrame, baseline: DataFrame, key: str = "epoch", prefix: s
     ``eval_dataset`` is that name (R9, the intended behaviour).  Each value
     minus the baseline of the same name; every (run, dataset) also gets key 0
     with influence 0 (replacing a logged key 0).  ``inverse`` swaps the roles
-    (UnTrac-Inv: runs are evaluation sets).
+    (inverse unlearning: runs are evaluation sets).
     """
     if prefix.endswith("_"):
         sel = log.filter(F.col("metric").startswith(prefix)) \

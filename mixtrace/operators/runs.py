@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import col, ustrip
 
@@ -61,5 +62,9 @@ def save_snapshot(params: DataFrame, path: str, step: int) -> None:
 
 
 def load_snapshot(spark, path: str, step: int) -> DataFrame:
-    """Read one step of a snapshot back (partition pruning on ``step``)."""
-    return spark.read.parquet(path).filter(F.col("step") == step).drop("step")
+    """Read one step of a snapshot back (partition pruning on ``step``).  Run
+    ids are text: the folder ``run_id=01`` is not the run 1."""
+    schema = spark.read.parquet(path).schema
+    for f in schema.fields:
+        f.dataType = T.StringType() if f.name == "run_id" else T.LongType() if f.name == "step" else f.dataType
+    return spark.read.schema(schema).parquet(path).filter(F.col("step") == step).drop("step")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import md5_key
-from ..session import cut
+from ..session import cut, shuffle_width
 from .models.lm import join_checked
 from .ordinal import dense_ordinal
 
@@ -67,7 +67,7 @@ def sample(df: DataFrame, k, by="dataset", key: str = "doc_id", seed=42, salt: s
     part = (j.filter(F.col("_r") > 0).withColumn("epoch", F.col("_q"))
             .withColumn("_h", order_key(seed, salt, by, F.col("epoch"), key)))
     r_max = spec.agg(F.max("_r")).first()[0] or 0
-    fits = r_max * max(1, part.rdd.getNumPartitions()) <= WINDOW_TOPK_ROWS
+    fits = r_max * shuffle_width(part) <= WINDOW_TOPK_ROWS
     if method == "window" or (method == "auto" and fits):
         w = Window.partitionBy(*by).orderBy("_h", key)
         # literal bound first: Catalyst plans a partial top-k before the shuffle
@@ -100,7 +100,7 @@ def sample_rows(df: DataFrame, k: int, key: str, seed=42, salt: str = "",
     if r > 0:
         part = (df.withColumn("epoch", F.lit(q).cast("long"))
                 .withColumn("_h", md5_key(F.lit(f"{seed}{salt}"), F.lit("all"), F.col("epoch"), key)))
-        fits = r * max(1, part.rdd.getNumPartitions()) <= WINDOW_TOPK_ROWS
+        fits = r * shuffle_width(part) <= WINDOW_TOPK_ROWS
         if method == "window" or (method == "auto" and fits):
             ranked = part.orderBy("_h", key).limit(r)
         else:

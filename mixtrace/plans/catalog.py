@@ -450,9 +450,9 @@ def _infl(df, a="train_dataset", b="eval_dataset"):
     return df.select(a, b, "step", r6("influence").alias("influence"))
 
 
-@register("unlearn_influence", O.unlearn_sql("untrac", "sgd", SGD_LR, steps=2, n_micro=2))
+@register("unlearn_influence", O.unlearn_sql("forward", "sgd", SGD_LR, steps=2, n_micro=2))
 def q_unlearn_influence(spark, sf):
-    """U8 UnTrac: every source unlearned for one epoch in 2 steps (sgd), loss
+    """U8 forward unlearning: every source unlearned for one epoch in 2 steps (sgd), loss
     change on bench/toxic after each step."""
     tr, ev = _rows(spark, sf)
     _, infl = U.unlearn_influence(tr, ev, Optim("sgd", lr=SGD_LR), steps=2)
@@ -461,14 +461,14 @@ def q_unlearn_influence(spark, sf):
 
 @register("unlearn_influence_inverse", O.unlearn_sql("inverse", "sgd", SGD_LR, steps=2, eval_on="train"))
 def q_unlearn_influence_inverse(spark, sf):
-    """U9 UnTrac-Inv: unlearn each evaluation set (whole set per step), loss
+    """U9 inverse unlearning: unlearn each evaluation set (whole set per step), loss
     change on every training source; transposed to (train, eval)."""
     tr, ev = _rows(spark, sf)
     _, infl = U.unlearn_influence_inverse(tr, ev, Optim("sgd", lr=SGD_LR), steps=2)
     return _infl(infl, "train_dataset", "eval_dataset")
 
 
-@register("unlearn_step", O.unlearn_sql("untrac", "sgd", SGD_LR, steps=1, n_micro=2,
+@register("unlearn_step", O.unlearn_sql("forward", "sgd", SGD_LR, steps=1, n_micro=2,
                                         eval_on="train", output="log"))
 def q_unlearn_step(spark, sf):
     """One ascent step per source (first half of it); loss of every source
@@ -482,7 +482,7 @@ def q_unlearn_step(spark, sf):
     return log.select("run_id", "step", "eval_dataset", "metric", r6("loss").alias("value"))
 
 
-@register("grad_accum_step", O.unlearn_sql("untrac", "sgd", SGD_LR, steps=2, n_micro=4, accum=2))
+@register("grad_accum_step", O.unlearn_sql("forward", "sgd", SGD_LR, steps=2, n_micro=4, accum=2))
 def q_grad_accum_step(spark, sf):
     """U4: 4 micro-batches per source, accumulated 2 per step."""
     tr, ev = _rows(spark, sf)
@@ -493,7 +493,7 @@ def q_grad_accum_step(spark, sf):
 CLIP = 0.01
 
 
-@register("clip_step", O.unlearn_sql("untrac", "sgd", SGD_LR, steps=2, n_micro=2, clip=CLIP, output="log"))
+@register("clip_step", O.unlearn_sql("forward", "sgd", SGD_LR, steps=2, n_micro=2, clip=CLIP, output="log"))
 def q_clip_step(spark, sf):
     """Global gradient-norm clipping per run (max_grad_norm 0.01); the log
     carries the pre-clip norms."""
@@ -509,7 +509,7 @@ def q_clip_step(spark, sf):
 ADAM_LR = 0.01
 
 
-@register("adam_step", O.unlearn_sql("untrac", "adamw", ADAM_LR, steps=2, n_micro=2))
+@register("adam_step", O.unlearn_sql("forward", "adamw", ADAM_LR, steps=2, n_micro=2))
 def q_adam_step(spark, sf):
     """AdamW (no weight decay) unlearning, 2 steps."""
     tr, ev = _rows(spark, sf)
@@ -517,7 +517,7 @@ def q_adam_step(spark, sf):
     return _infl(infl)
 
 
-@register("adafactor_step", O.unlearn_sql("untrac", "adafactor", ADAM_LR, steps=2, n_micro=2, warmup=2))
+@register("adafactor_step", O.unlearn_sql("forward", "adafactor", ADAM_LR, steps=2, n_micro=2, warmup=2))
 def q_adafactor_step(spark, sf):
     """Adafactor (unfactored, fixed lr) with 2 warm-up steps."""
     tr, ev = _rows(spark, sf)
@@ -533,7 +533,7 @@ RO_STEPS = 2
 
 
 def _logs(spark, sf, inverse=False):
-    """Run UnTrac (or UnTrac-Inv), persist trainer-state JSON + baseline, scan them back."""
+    """Run forward (or inverse) unlearning, persist trainer-state JSON + baseline, scan them back."""
     tr, ev = _rows(spark, sf)
     opt = Optim("sgd", lr=SGD_LR)
     if inverse:
@@ -550,14 +550,14 @@ def _ro(df, a="train_dataset", b="eval_dataset"):
     return df.select(a, b, r6("epoch").alias("epoch"), r6("influence").alias("influence"))
 
 
-@register("log_scan", O.readout_sql("untrac", SGD_LR, RO_STEPS, "log"))
+@register("log_scan", O.readout_sql("forward", SGD_LR, RO_STEPS, "log"))
 def q_log_scan(spark, sf):
     """Per-run trainer-state JSON written by the runs, scanned back long."""
     lg, _ = _logs(spark, sf)
     return lg.select("run_id", "step", r6("epoch").alias("epoch"), "metric", r6("value").alias("value"))
 
 
-@register("influence_log", O.readout_sql("untrac", SGD_LR, RO_STEPS, "influence"))
+@register("influence_log", O.readout_sql("forward", SGD_LR, RO_STEPS, "influence"))
 def q_influence_log(spark, sf):
     """eval_loss_* minus the baseline JSON, zero row at epoch 0."""
     lg, base = _logs(spark, sf)
@@ -566,12 +566,12 @@ def q_influence_log(spark, sf):
 
 @register("influence_inverse_log", O.readout_sql("inverse", SGD_LR, RO_STEPS, "influence"))
 def q_influence_inverse_log(spark, sf):
-    """UnTrac-Inv read-out, transposed (rows are training datasets)."""
+    """Inverse unlearning read-out, transposed (rows are training datasets)."""
     lg, base = _logs(spark, sf, inverse=True)
     return _ro(readout.influence(lg, base, key="epoch", inverse=True))
 
 
-@register("influence_single_metric", O.readout_sql("untrac", SGD_LR, RO_STEPS, "influence",
+@register("influence_single_metric", O.readout_sql("forward", SGD_LR, RO_STEPS, "influence",
                                                    prefix="eval_loss"))
 def q_influence_single_metric(spark, sf):
     """One named metric (overall eval_loss) instead of the per-dataset prefix."""
@@ -588,7 +588,7 @@ def source_labels(spark, sf):
             .select(F.col("source").alias("dataset"), F.col("lang").alias("label")))
 
 
-@register("influence_labelled", O.readout_sql("untrac", SGD_LR, RO_STEPS, "labelled"))
+@register("influence_labelled", O.readout_sql("forward", SGD_LR, RO_STEPS, "labelled"))
 def q_influence_labelled(spark, sf):
     """Plot-ready series for the 'bench' set with dataset labels."""
     lg, base = _logs(spark, sf)
@@ -606,7 +606,7 @@ ARGV_SQL = ("SELECT DISTINCT source AS dataset, printf('" + ARGV_FMT + "', sourc
 
 @register("run_key", O.run_key_sql(runs.DROP_ARGS, runs.ABBREVIATIONS, ARGV_SQL))
 def q_run_key(spark, sf):
-    """Run keys of the UnTrac runs, one per training source (manifest from the data)."""
+    """Run keys of the forward unlearning runs, one per training source (manifest from the data)."""
     m = (table(spark, sf, "documents").select(F.col("source").alias("dataset")).distinct()
          .withColumn("argv", F.format_string(ARGV_FMT, F.col("dataset"), F.col("dataset"))))
     return m.withColumn("run_key", runs.run_key("argv"))
@@ -735,7 +735,7 @@ def q_collate_pairs(spark, sf):
 EPOCH_STEPS, EPOCH_EVAL = 8, 4
 
 
-@register("unlearn_influence_epoch", O.unlearn_sql("untrac", "sgd", SGD_LR, steps=EPOCH_STEPS,
+@register("unlearn_influence_epoch", O.unlearn_sql("forward", "sgd", SGD_LR, steps=EPOCH_STEPS,
                                                    n_micro=EPOCH_STEPS, eval_steps=EPOCH_EVAL))
 def q_unlearn_influence_epoch(spark, sf):
     """U8 + E8: one epoch in 8 slices per source, evaluated every 4 steps."""

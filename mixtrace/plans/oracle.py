@@ -233,14 +233,14 @@ SELECT conv_id, turn, CAST(batch_id AS BIGINT) AS batch_id,
 FROM o"""
 
 
-def unlearn_sql(kind: str = "untrac", opt: str = "sgd", lr: float = 5.0, steps: int = 2,
+def unlearn_sql(kind: str = "forward", opt: str = "sgd", lr: float = 5.0, steps: int = 2,
                 n_micro: int = 2, accum: int = 1, clip: float = 0.0, warmup: int = 0,
                 alpha: float = 1.0, eval_on: str = "eval", output: str = "influence",
                 beta1: float = 0.9, beta2: float = 0.999, eps: float = 1e-8,
                 eval_steps: int = 1) -> str:
     """The unlearning loop unrolled as CTEs (one CTE chain per step).
 
-    kind: untrac (runs = training datasets, micro-batches = key-order slices)
+    kind: forward (runs = training datasets, micro-batches = key-order slices)
           or inverse (runs = evaluation sets, every step = the whole set).
     eval_on: eval | train - which sets the losses are measured on.
     output: influence (run, eval, step, influence) or log (run, step, eval, metric, loss).
@@ -248,7 +248,7 @@ def unlearn_sql(kind: str = "untrac", opt: str = "sgd", lr: float = 5.0, steps:
     r = repr
     parts = [counts_ctes(alpha)]
     parts.append(f"m0 AS (SELECT tok, ln(coalesce(cw.C, 0) + {r(float(alpha))}) AS theta FROM vocab LEFT JOIN cw USING (tok))")
-    if kind == "untrac":
+    if kind == "forward":
         parts.append("runs AS (SELECT DISTINCT dataset AS run_id FROM tc)")
         parts.append(f"""mbrows AS (SELECT source AS run_id, text,
             (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) * {n_micro}
@@ -313,7 +313,7 @@ def unlearn_sql(kind: str = "untrac", opt: str = "sgd", lr: float = 5.0, steps:
     parts.append(f"lall AS ({allsteps})")
     body = "WITH " + ",\n".join(parts)
     if output == "influence":
-        rc, ec_ = ("train_dataset", "eval_dataset") if kind == "untrac" else ("eval_dataset", "train_dataset")
+        rc, ec_ = ("train_dataset", "eval_dataset") if kind == "forward" else ("eval_dataset", "train_dataset")
         return body + f"""
 SELECT l.run_id AS {rc}, l.eval_dataset AS {ec_}, CAST(l.step AS BIGINT) AS step,
        round(l.loss - b.loss, 6) AS influence
@@ -327,10 +327,10 @@ UNION ALL SELECT run_id, CAST({t} AS BIGINT), CAST(NULL AS VARCHAR), 'grad_norm'
     return body + sel
 
 
-def readout_sql(kind: str = "untrac", lr: float = 5.0, steps: int = 2, mode: str = "log",
+def readout_sql(kind: str = "forward", lr: float = 5.0, steps: int = 2, mode: str = "log",
                 prefix: str = "eval_loss_") -> str:
     """Read-out twins on top of the unrolled loop's per-step losses ``lall``."""
-    eval_on = "eval" if kind == "untrac" else "train"
+    eval_on = "eval" if kind == "forward" else "train"
     base = unlearn_sql(kind, "sgd", lr, steps=steps, n_micro=steps, eval_on=eval_on, output="log")
     body = base[:base.index("\nSELECT run_id, CAST(step AS BIGINT)")]
     name = "CASE WHEN eval_dataset IS NULL THEN 'eval_loss' ELSE 'eval_loss_' || eval_dataset END"
@@ -343,7 +343,7 @@ SELECT run_id, CAST(step AS BIGINT) AS step, round({ep}, 6) AS epoch, {name} AS
         sel = f"SELECT run_id, replace({name}, '{prefix}', '') AS ed, {ep} AS epoch, loss FROM lall WHERE starts_with({name}, '{prefix}')"
     else:
         sel = f"SELECT run_id, {name} AS ed, {ep} AS epoch, loss FROM lall WHERE {name} = '{prefix}'"
-    a, b = ("train_dataset", "eval_dataset") if kind == "untrac" else ("eval_dataset", "train_dataset")
+    a, b = ("train_dataset", "eval_dataset") if kind == "forward" else ("eval_dataset", "train_dataset")
     out = f""",
 sel AS ({sel}),
 bas AS (SELECT ed, loss AS b FROM sel WHERE epoch = 0 AND run_id = (SELECT min(run_id) FROM sel)),

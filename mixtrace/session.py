@@ -54,9 +54,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
+        if current.startswith("file:") and not sc.master.startswith("local"):
+            raise RuntimeError(f"spark.checkpoint.dir is a machine-local folder on a cluster: {current}")
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
-        return current.rstrip("/")
+        return sc.getCheckpointDir().rstrip("/")
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...)")
     path = tempfile.mkdtemp(prefix="mixtrace-ckpt-")
@@ -92,12 +94,18 @@ def small_enough(df: DataFrame, max_rows: int) -> bool:
 def spread(df: DataFrame) -> DataFrame:
     """Give a CPU-heavy stage at least one task per core.
 
-    A small file can arrive in fewer splits than there are cores (row groups
-    bound the splits); then a round-robin repartition is cheap and pays off.
-    At scale the scan already has far more splits than cores and nothing is
-    added to the plan.
+    A table of fewer files than cores may hold fewer row groups than cores,
+    which bound the tasks that have rows; then a round-robin repartition pays
+    off.  At scale a table has far more files and nothing is added to the
+    plan.  Only the file list is looked at; nothing is executed.
     """
     want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    if len(df.inputFiles()) < want:
         return df.repartition(want)
     return df
+
+
+def shuffle_width(df: DataFrame) -> int:
+    """How many tasks at least feed a shuffle of ``df``, without running it."""
+    spark = df.sparkSession
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
