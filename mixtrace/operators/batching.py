@@ -51,7 +51,20 @@ def eval_schedule(steps: DataFrame, eval_steps: int, denser: bool = False,
     return steps.filter(cond)
 
 
+#: Steps that one row of ``run_steps`` generates.
+STEP_CHUNK = 65_536
+
+
 def run_steps(spark: SparkSession, per_run: DataFrame, run: str = "run_id",
               n: str = "n_steps") -> DataFrame:
-    """(run, step) for step = 1..n_steps of each run."""
-    return per_run.select(run, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long"))).alias("step"))
+    """(run, step) for step = 1..n_steps of each run (none when n_steps < 1).
+
+    Steps are generated in chunks of ``STEP_CHUNK``, spread over the tasks, so
+    no row holds an array as long as a run.
+    """
+    last = F.floor((F.col(n) - 1) / STEP_CHUNK)
+    chunks = (per_run.filter(F.col(n) >= 1)
+              .select(run, n, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_k"))
+              .repartition(run, "_k"))
+    first = F.col("_k") * STEP_CHUNK
+    return chunks.select(run, F.explode(F.sequence(first + 1, F.least(first + STEP_CHUNK, F.col(n)))).alias("step"))

@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .models.lm import join_checked
+from .ordinal import dense_ordinal
+
 
 def batch_loss(losses: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Mean NLL over the non-ignored tokens of each batch (+ batch row count)."""
@@ -69,24 +72,36 @@ def sample_counts(n_rows: DataFrame, max_col: str = "max_samples") -> DataFrame:
     return n_rows.withColumn("samples", F.least(F.col("n_rows"), F.coalesce(F.col(max_col), F.col("n_rows"))))
 
 
-# Rows one pandas group of the metrics hook may hold (checked before running).
-METRICS_GROUP_ROWS = 1_000_000
+def with_metrics(losses: DataFrame, metrics: list[Column], by: str = "dataset",
+                 partial: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+                 schema: str | None = None) -> DataFrame:
+    """Optional metrics hook, one row of ``metrics`` (aggregates) per set.
+
+    A Python metric is given as ``partial``: it maps one Arrow batch of rows to
+    a few partial rows of ``schema`` (``by`` among them), which ``metrics`` then
+    merge.  So no task ever holds an evaluation set, whatever its size.
+    """
+    if partial is not None:
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                yield partial(pdf)
+        losses = losses.mapInPandas(run, schema)
+    return losses.groupBy(by).agg(*metrics)
 
 
-def with_metrics(batched: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
-                 by: str = "dataset", max_group_rows: int = METRICS_GROUP_ROWS) -> DataFrame:
-    """Optional metrics hook, one pandas frame per dataset group.
+def exact_median(losses: DataFrame, value: Column, by: str = "dataset", key: str = "row_id",
+                 name: str = "median") -> DataFrame:
+    """(by, name): the exact median of ``value`` per set, NULLs ignored.
 
-    Only for metrics that are not expressible as aggregates; the group is one
-    evaluation set (hundreds of rows in the reference's suites).  A group is
-    held whole in one task, so the largest group is checked first; beyond
-    the bound the metric has to be written as an aggregate.
+    The middle rows are found by their distributed ordinal, so a set holding
+    most rows is never sorted or collected in one task.
     """
-    largest = batched.groupBy(by).count().agg(F.max("count")).first()[0] or 0
-    if largest > max_group_rows:
-        raise ValueError(f"metrics hook: a '{by}' group has {largest} rows (> {max_group_rows}); "
-                         "express the metric as an aggregate instead")
-    return batched.groupBy(by).applyInPandas(fn, schema)
+    v = losses.select(by, key, value.alias("_v")).filter(F.col("_v").isNotNull())
+    o = dense_ordinal(v, by, ["_v", key], name="_ord")
+    n = v.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    mid = join_checked(o, n, by).filter(
+        (F.col("_ord") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_ord") == F.floor(F.col("_n") / 2)))
+    return mid.groupBy(by).agg(F.avg("_v").alias(name))
 
 
 def external_scorer(rows: DataFrame, load_model: Callable[[], Callable[[pd.DataFrame], pd.Series]],

@@ -2,11 +2,10 @@
 
 One Spark job family runs *all* runs at once: the parameter table holds
 ``(run_id, tok, theta, n, m, v)`` for every run (run = the dataset being
-unlearned), hash-partitioned by token and checkpointed into the shared
-folder after every step, so lineage never grows and a lost executor
-only costs the current step.  Tokens a run never trains on and no evaluation
-set counts are collapsed, exactly, into one row per initial value with a
-multiplicity ``n`` (see ``_initial_params``).  Per step:
+unlearned), checkpointed into the shared folder after every step, so lineage
+never grows and a lost executor only costs the current step.  Tokens a run
+never trains on are collapsed, exactly, into one row per initial value with
+a multiplicity ``n`` (see ``_initial_params``).  Per step:
 
 1. ``logZ`` per run: one partial/final aggregate (a row per run, broadcast);
 2. gradient: params LEFT JOIN the step's normalised batch counts on
@@ -71,10 +70,40 @@ def micro_batch_counts(rows: DataFrame, n_micro: int, by: str = "dataset", key:
             .groupBy("run_id", "b", "tok").agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def whole_set_counts(counts: DataFrame, by: str, steps: int) -> DataFrame:
-    """(run_id, b, tok, cnt) where every step sees the whole set (inverse unlearning)."""
-    return counts.select(F.col(by).alias("run_id"), "tok", "cnt",
-                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))).alias("b"))
+def batch_weighted_counts(rows: DataFrame, batch_rows: int, mean_of_batches: bool = False,
+                          by: str = "dataset", key: str = "row_id", text: str = "text",
+                          pattern: str = WORD_SPLIT) -> DataFrame:
+    """(by, tok, cnt): token counts weighted by the batch their row falls in.
+
+    Batches are ``batch_rows`` consecutive rows of a dataset in key order (the
+    last may be smaller).  A token of a batch with ``n`` rows and ``T`` tokens
+    counts ``n / T``, so ``logZ - sum(cnt * theta) / sum(cnt)`` is the
+    batch-weighted loss of E4: each batch's token mean, once per row.  With
+    ``mean_of_batches`` it counts ``1 / (T * B)``, ``B`` the dataset's batches:
+    the mean of the micro-batch means (U4 with the whole set accumulated).
+    Batches without tokens have no loss and are left out.  ``key`` is unique
+    within a dataset; NULL texts have no tokens.
+
+    Row sizes, ordinals and weights are computed on narrow rows; the text
+    meets its weight in one join (broadcast after a size check) and counts are
+    aggregated map-side.
+    """
+    texts = spread(rows.select(by, key, text))
+    n_tok = F.coalesce(F.greatest(F.size(word_tokens(text, pattern)), F.lit(0)), F.lit(0))
+    o = dense_ordinal(texts.select(by, key, n_tok.alias("_t")), by, [key], name="_ord") \
+        .withColumn("_b", F.floor(F.col("_ord") / batch_rows))
+    per = (o.groupBy(by, "_b").agg(F.sum("_t").alias("_T"), F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_T") > 0))
+    if mean_of_batches:
+        total = per.groupBy(by).agg(F.count(F.lit(1)).alias("_batches"))
+        per = lm.join_checked(per, total, by)
+        weight = F.lit(1.0) / (F.col("_T") * F.col("_batches"))
+    else:
+        weight = F.col("_n") / F.col("_T")
+    w = cut(o.join(per.select(by, "_b", weight.alias("_w")), [by, "_b"]).select(by, key, "_w"))
+    return (lm.join_checked(texts, w, [by, key])
+            .select(by, "_w", F.explode(word_tokens(text, pattern)).alias("tok"))
+            .groupBy(by, "tok").agg(F.sum("_w").alias("cnt")))
 
 
 def step_targets(mb: DataFrame, accum: int = 1):
@@ -99,20 +128,24 @@ def step_targets(mb: DataFrame, accum: int = 1):
 PARAM_ROWS_PER_PARTITION = 1_000_000
 
 
-def _initial_params(model: DataFrame, active_train: DataFrame, eval_toks: DataFrame,
-                    runs: list[str], with_state: bool, est_rows: int) -> DataFrame:
-    """Initial parameters of every run, ``(run_id, tok, theta, n[, m, v])``.
+def _initial_params(model: DataFrame, active_train: DataFrame, wide: DataFrame, names: list[str],
+                    runs: list[str], with_state: bool, est_rows: int,
+                    wide_small: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Initial parameters of every run, ``(run_id, tok, _c, theta, n[, m, v])``,
+    and the evaluation counts of their classes, ``(run_id, _c, _e0, ...)``.
 
     Exact compression of the runs x vocabulary table: a token that is in no
-    step target of run r and in no evaluation set only moves through per-run
-    scalars (logZ, clip scale, update RMS), so all such tokens that start
-    from the same theta - the same training count - stay equal for the
-    whole run.  They become one row per (run, count) with multiplicity ``n``
-    (``tok`` NULL, so it joins no target and no evaluation count); every
-    per-run aggregate weights rows by ``n``.  Class sizes are
+    step target of run r only moves through per-run scalars (logZ, clip scale,
+    update RMS), so all such tokens that start from the same theta - the
+    same training count - stay equal for the whole run.  They become one row
+    per (run, count) with multiplicity ``n`` (``tok`` NULL, ``_c`` the count);
+    every per-run aggregate weights rows by ``n``.  Class sizes are
     ``#tokens with that count - #active tokens of the run with that count``,
-    so the runs x vocabulary product is never formed: the table grows with
-    the (run, token) pairs the data holds, not with runs x vocabulary.
+    and the part of an evaluation loss that falls on a class is theta times
+    ``evaluation counts of all tokens with that count - those of the run's
+    active tokens``.  So neither the runs x vocabulary nor the runs x
+    evaluation vocabulary product is ever formed: the table holds the (run,
+    token) pairs the run trains on, plus runs x distinct training counts.
 
     Active pairs are hash-partitioned by token once: that exchange serves the
     de-duplication and the join with the model.  The partition count comes
@@ -124,23 +157,36 @@ def _initial_params(model: DataFrame, active_train: DataFrame, eval_toks: DataFr
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                   spark.sparkContext.defaultParallelism, -(-est_rows // PARAM_ROWS_PER_PARTITION))
     run_col = F.explode(F.array(*[F.lit(r) for r in runs])).alias("run_id")
-    active = (active_train.select("run_id", "tok")
-              .unionByName(eval_toks.select(run_col, "tok"))
-              .repartition(n_parts, "tok").distinct())
+    active = active_train.select("run_id", "tok").repartition(n_parts, "tok").distinct()
     m = model.select("tok", "count", "theta")
-    act = cut(active.join(m, "tok"))
+    act = cut(active.join(m, "tok", "left"))
+    lost = act.filter(F.col("theta").isNull()).limit(1).collect()
+    if lost:
+        raise ValueError(f"the model has no parameter for the target token {lost[0]['tok']!r}")
+    w = F.broadcast(wide) if wide_small else wide
+    cols = [f"_e{i}" for i in range(len(names))]
+    sums = [F.sum(c).alias(c) for c in cols]
     per_count = m.groupBy("count").agg(F.first("theta").alias("theta"),
                                        F.count(F.lit(1)).alias("_N"))
     per_run = act.groupBy("run_id", "count").agg(F.count(F.lit(1)).alias("_A"))
     classes = (per_count.select(run_col, "count", "theta", "_N")
                .join(per_run, ["run_id", "count"], "left")
-               .select("run_id", F.lit(None).cast("string").alias("tok"), "theta",
+               .select("run_id", "count", "theta",
                        (F.col("_N") - F.coalesce(F.col("_A"), F.lit(0))).alias("n"))
                .filter(F.col("n") > 0))
-    p = act.select("run_id", "tok", "theta", F.lit(1).cast("long").alias("n")).unionByName(classes)
+    e_all = m.join(w, "tok").groupBy("count").agg(*sums)
+    e_act = (act.join(w, "tok").groupBy("run_id", "count").agg(*sums)
+             .select("run_id", "count", *[F.col(c).alias(f"_a{c}") for c in cols]))
+    rest = (classes.select("run_id", "count").join(e_all, "count").join(e_act, ["run_id", "count"], "left")
+            .select("run_id", F.col("count").alias("_c"),
+                    *[(F.col(c) - F.coalesce(F.col(f"_a{c}"), F.lit(0))).alias(c) for c in cols]))
+    none = F.lit(None)
+    p = (act.select("run_id", "tok", none.cast("long").alias("_c"), "theta", F.lit(1).cast("long").alias("n"))
+         .unionByName(classes.select("run_id", none.cast("string").alias("tok"),
+                                     F.col("count").alias("_c"), "theta", "n")))
     if with_state:
         p = p.withColumn("m", F.lit(0.0)).withColumn("v", F.lit(0.0))
-    return p
+    return p, cut(rest)
 
 
 def _run_map(values: dict, run: str = "run_id") -> Column:
@@ -154,33 +200,44 @@ def unlearn_log(model: DataFrame, targets: DataFrame, weights: DataFrame,
                 sign: float = 1.0, extra_eval_steps: tuple[int, ...] = (),
                 with_norms: bool = False) -> DataFrame:
     """U3-U9 loop: log (run_id, step, eval_dataset, metric, loss) for step 0
-    and every scheduled step.  ``eval_counts`` is (eval_dataset, tok, cnt);
-    rows with eval_dataset NULL are the overall loss over all sets.
+    and every scheduled step.  ``eval_counts`` is (eval_dataset, tok, cnt),
+    plain counts (token mean) or ``batch_weighted_counts`` (E4); rows with
+    eval_dataset NULL are the overall loss over all sets.  ``targets`` and
+    ``weights`` without a ``step`` column serve every step; targets of steps
+    beyond ``steps`` raise.
 
     With ``with_norms`` the log also carries per-run pre-clip ``grad_norm``.
     """
     spark = model.sparkSession
     state = opt.name != "sgd"
-    # per-step targets stored by step: each step reads only its own slice.
-    # Range partitioning keeps steps contiguous (about partitions + steps
-    # files) and splits a hot (step, run) over several tasks by token.
-    tpath = scratch_path(spark, "targets")
-    targets.repartitionByRange("step", "run_id", "tok").write.partitionBy("step").parquet(tpath)
-    per_step = {r[0]: r[1] for r in spark.read.parquet(tpath).groupBy("step").count().collect()}
-    a_val = {(r[0], r[1]): r[2] for r in weights.collect()}   # one row per (run, step)
+    if "step" in targets.columns:
+        # per-step targets stored by step: each step reads only its own slice.
+        # Range partitioning keeps steps contiguous (about partitions + steps
+        # files) and splits a hot (step, run) over several tasks by token.
+        tpath = scratch_path(spark, "targets")
+        targets.repartitionByRange("step", "run_id", "tok").write.partitionBy("step").parquet(tpath)
+        every = spark.read.parquet(tpath)
+        per_step = {r[0]: r[1] for r in every.groupBy("step").count().collect()}
+        a_val = {(r[0], r[1]): r[2] for r in weights.collect()}   # one row per (run, step)
+        if max(per_step, default=0) > steps:
+            raise ValueError(f"the targets hold {max(per_step)} steps, more than the {steps} to run")
+    else:
+        # one target for every step (inverse unlearning): stored once
+        every = cut(targets)
+        per_step = dict.fromkeys(range(1, steps + 1), every.count())
+        a_val = {(r[0], t): r[1] for r in weights.collect() for t in range(1, steps + 1)}
     runs = sorted({k[0] for k in a_val})
     totals = {r[0]: r[1] for r in eval_counts.groupBy("eval_dataset").agg(F.sum("cnt")).collect()}
     names = sorted(totals)
     wide = cut(lm.eval_wide(eval_counts, names))
-    wide_rows = wide.count()   # materialised: a count of the checkpoint
-    wide_small = wide_rows <= lm.BROADCAST_ROWS
+    wide_small = lm.few_cells(wide, wide.count())   # materialised: a count of the checkpoint
     log_path = scratch_path(spark, "unlearn-log")
 
     # step 0: every run starts from the same model - evaluate it once
     s0 = lm.run_stats(model.select(F.lit("_").alias("run_id"), "tok", "theta"), wide, names, wide_small)["_"]
     stats = {r: s0 for r in runs}
-    est = sum(per_step.values()) + len(runs) * wide_rows
-    params = _initial_params(model, spark.read.parquet(tpath), wide, runs, state, est)
+    params, rest = _initial_params(model, every, wide, names, runs, state, sum(per_step.values()), wide_small)
+    rest_small = lm.few_cells(rest, rest.count())
 
     def write_eval(st, step):
         rows = []
@@ -195,7 +252,7 @@ def unlearn_log(model: DataFrame, targets: DataFrame, weights: DataFrame,
     for t in range(1, steps + 1):
         logz = _run_map({r: v[0] for r, v in stats.items()})
         a = _run_map({r: a_val.get((r, t), 0.0) for r in runs})
-        tq = spark.read.parquet(tpath).filter(F.col("step") == t).drop("step")
+        tq = every.filter(F.col("step") == t).drop("step") if "step" in every.columns else every
         j = gradient(params, logz, tq, a, per_step.get(t, 0) <= lm.BROADCAST_ROWS)
         if opt.max_grad_norm and opt.max_grad_norm > 0:
             norms = {r[0]: r[1] for r in clip_scale(j, opt.max_grad_norm).select("run_id", "grad_norm").collect()}
@@ -205,9 +262,9 @@ def unlearn_log(model: DataFrame, targets: DataFrame, weights: DataFrame,
             scale = {r: min(1.0, opt.max_grad_norm / (v + 1e-6)) for r, v in norms.items()}
             j = j.withColumn("g", F.col("g") * _run_map(scale))
         new = apply_update(j, opt, t, sign)
-        cols = ["run_id", "tok", "theta", "n"] + (["m", "v"] if state else [])
+        cols = ["run_id", "tok", "_c", "theta", "n"] + (["m", "v"] if state else [])
         params = cut(new.select(*cols))
-        stats = lm.run_stats(params, wide, names, wide_small)
+        stats = lm.run_stats(params, wide, names, wide_small, rest, rest_small)
         if t % eval_steps == 0 or t in extra_eval_steps or t == steps:
             write_eval(stats, t)
     return spark.read.parquet(log_path)
@@ -226,47 +283,59 @@ def influence_from_log(log: DataFrame, run_col: str = "train_dataset",
                     (F.col("loss") - F.col("_l0")).alias("influence")))
 
 
+# Rows of an evaluation batch and of an inverse run's micro-batch (Fixed
+# values: the evaluation batch size and the per-device training batch size).
+EVAL_BATCH = 8
+INVERSE_BATCH = 2
+
+
+def fit(train_rows: DataFrame, eval_rows: DataFrame, n_micro: int, accum: int = 1,
+        alpha: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(model, targets, weights) of the forward runs.  The training text is tokenised
+    once: per-slice counts, from which whole-dataset counts derive."""
+    mb = cut(micro_batch_counts(train_rows, n_micro))
+    train_counts = cut(mb.groupBy(F.col("run_id").alias("dataset"), "tok").agg(F.sum("cnt").alias("cnt")))
+    vocab = lm.vocabulary(train_counts, lm.token_counts(eval_rows))
+    model = cut(lm.fit_unigram(train_counts, vocab, alpha))
+    return (model, *step_targets(mb, accum))
+
+
+def eval_weights(rows: DataFrame, eval_batch: int = EVAL_BATCH) -> DataFrame:
+    """(eval_dataset, tok, cnt) of the batch-weighted loss (E4), materialised."""
+    return cut(batch_weighted_counts(rows, eval_batch).withColumnRenamed("dataset", "eval_dataset"))
+
+
 def unlearn_influence(train_rows: DataFrame, eval_rows: DataFrame, opt: Optim, steps: int = 2,
                       n_micro: int | None = None, accum: int = 1, alpha: float = 1.0,
-                      eval_steps: int = 1) -> tuple[DataFrame, DataFrame]:
+                      eval_steps: int = 1, eval_batch: int = EVAL_BATCH) -> tuple[DataFrame, DataFrame]:
     """U8 forward unlearning: for every training dataset d, start from the model fitted on
     all training data, unlearn d (gradient ascent) for one epoch, and measure
-    every evaluation set's loss.  Returns (log, influence)."""
-    # tokenise the training text once: per-slice counts, whole-dataset counts derive from them
-    mb = cut(micro_batch_counts(train_rows, n_micro or steps * accum))
-    train_counts = cut(mb.groupBy(F.col("run_id").alias("dataset"), "tok").agg(F.sum("cnt").alias("cnt")))
-    ev = cut(lm.token_counts(eval_rows).withColumnRenamed("dataset", "eval_dataset"))
-    vocab = lm.vocabulary(train_counts, ev)
-    model = cut(lm.fit_unigram(train_counts, vocab, alpha))
-    q, w = step_targets(mb, accum)
-    log = unlearn_log(model, q, w, ev, steps, opt, eval_steps)
+    every evaluation set's batch-weighted loss.  More slices than ``steps`` can
+    take run as further steps.  Returns (log, influence)."""
+    n_micro = n_micro or steps * accum
+    steps = max(steps, -(-n_micro // accum))
+    model, q, w = fit(train_rows, eval_rows, n_micro, accum, alpha)
+    log = unlearn_log(model, q, w, eval_weights(eval_rows, eval_batch), steps, opt, eval_steps)
     return log, influence_from_log(log)
 
 
 def unlearn_influence_inverse(train_rows: DataFrame, eval_rows: DataFrame, opt: Optim,
-                              steps: int = 2, alpha: float = 1.0,
-                              eval_steps: int = 1) -> tuple[DataFrame, DataFrame]:
-    """U9 inverse unlearning: unlearn each *evaluation* set (the whole set every step)
-    and measure the loss on every training dataset; the result is transposed
-    so rows are (train_dataset, eval_dataset) like the forward ones."""
+                              steps: int = 2, alpha: float = 1.0, eval_steps: int = 1,
+                              batch_rows: int = INVERSE_BATCH,
+                              eval_batch: int = EVAL_BATCH) -> tuple[DataFrame, DataFrame]:
+    """U9 inverse unlearning: unlearn each *evaluation* set (every step accumulates the
+    whole set in micro-batches of ``batch_rows``) and measure the loss on every
+    training dataset; the result is transposed so rows are (train_dataset,
+    eval_dataset) like the forward ones."""
     train_counts = cut(lm.token_counts(train_rows))
-    ev = cut(lm.token_counts(eval_rows))
-    vocab = lm.vocabulary(train_counts, ev)
-    model = cut(lm.fit_unigram(train_counts, vocab, alpha))
-    mb = whole_set_counts(ev, "dataset", steps)
-    q, w = step_targets(mb, 1)
-    log = unlearn_log(model, q, w, train_counts.withColumnRenamed("dataset", "eval_dataset"),
-                      steps, opt, eval_steps)
+    q = cut(batch_weighted_counts(eval_rows, batch_rows, mean_of_batches=True)
+            .select(F.col("dataset").alias("run_id"), "tok", F.col("cnt").alias("q")))
+    model = cut(lm.fit_unigram(train_counts, lm.vocabulary(train_counts, q), alpha))
+    w = q.select("run_id", F.lit(1.0).alias("a")).distinct()
+    log = unlearn_log(model, q, w, eval_weights(train_rows, eval_batch), steps, opt, eval_steps)
     return log, influence_from_log(log, run_col="eval_dataset", eval_col="train_dataset")
 
 
-def correlation(a: DataFrame, b: DataFrame, keys=("train_dataset", "eval_dataset")) -> float:
-    """Report only: Pearson correlation of two influence tables on their keys."""
-    j = a.select(*keys, F.col("influence").alias("x")).join(
-        b.select(*keys, F.col("influence").alias("y")), list(keys))
-    r = j.agg(F.corr("x", "y")).first()[0]
-    return float("nan") if r is None else r
-
-
 __all__ = ["micro_batch_counts", "step_targets", "unlearn_log", "unlearn_influence",
-           "unlearn_influence_inverse", "influence_from_log", "correlation"]
+           "unlearn_influence_inverse", "influence_from_log",
+           "batch_weighted_counts", "eval_weights", "fit"]

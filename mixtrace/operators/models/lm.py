@@ -23,6 +23,8 @@ from ...session import cut, small_enough, spread
 
 # Rows of a side that may be broadcast after a size check.
 BROADCAST_ROWS = 1_000_000
+# ... and its rows x columns, for tables whose width grows with the evaluation sets.
+BROADCAST_CELLS = 8_000_000
 
 
 def token_counts(rows: DataFrame, by: str | list[str] = "dataset", text: str = "text",
@@ -82,14 +84,18 @@ def eval_names(eval_counts: DataFrame, col: str = "eval_dataset") -> list[str]:
 
 
 def eval_wide(eval_counts: DataFrame, names: list[str], col: str = "eval_dataset") -> DataFrame:
-    """(tok, <name>...) one count column per evaluation set, 0 when absent.
+    """(tok, _e0, _e1, ...) one count column per evaluation set, in the order of
+    ``names``; 0 when absent.  Columns are named by position, so a set may have any name.
 
     Pivot with explicit values: one row per evaluation token, so joining it
     with a run-partitioned parameter table yields every (run, eval set) pair
     from an equi-join on ``tok`` - no cross product of runs and sets.
     """
-    w = eval_counts.groupBy("tok").pivot(col, names).agg(F.sum("cnt"))
-    return w.select("tok", *[F.coalesce(quoted(n), F.lit(0)).alias(n) for n in names])
+    if not names:
+        return eval_counts.select("tok").distinct()
+    at = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(col)) - 1
+    w = eval_counts.withColumn("_at", at).groupBy("tok").pivot("_at", list(range(len(names)))).agg(F.sum("cnt"))
+    return w.select("tok", *[F.coalesce(quoted(str(i)), F.lit(0)).alias(f"_e{i}") for i in range(len(names))])
 
 
 def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
@@ -140,7 +146,7 @@ def influence_loo(train_counts: DataFrame, eval_counts: DataFrame, alpha: float
     a = F.lit(alpha)
     delta = F.log(F.col("C") - F.col("cnt") + a) - F.log(F.col("C") + a)
     shared = (join_checked(tc, wide, "tok")
-              .groupBy("dataset").agg(*[F.sum(quoted(n) * delta).alias(f"_e{i}") for i, n in enumerate(names)]))
+              .groupBy("dataset").agg(*[F.sum(F.col(f"_e{i}") * delta).alias(f"_e{i}") for i in range(len(names))]))
     each = F.array(*[F.struct(F.lit(n).alias("eval_dataset"), F.coalesce(F.col(f"_e{i}"), F.lit(0.0)).alias("b"))
                      for i, n in enumerate(names)])
     long = per_d.join(shared, "dataset", "left").select("dataset", "n_d", F.inline(each))
@@ -165,11 +171,18 @@ def example_losses(rows: DataFrame, model: DataFrame, logz: float, alpha: float
                                          F.count(F.lit(1)).cast("long").alias("n_tok"))
 
 
+def few_cells(df: DataFrame, rows: int) -> bool:
+    """Whether a table of ``rows`` rows is small enough to broadcast, its width counted."""
+    return rows <= BROADCAST_ROWS and rows * len(df.columns) <= BROADCAST_CELLS
+
+
 def run_stats(params: DataFrame, wide: DataFrame, names: list[str], broadcast_wide: bool,
+              rest: DataFrame | None = None, broadcast_rest: bool = False,
               run: str = "run_id") -> dict:
     """One pass over a parameter table: per run, logZ and sum_w c_e(w) theta_w
     for every evaluation set e (rows weighted by a multiplicity ``n`` when
-    the table has one; such rows have no evaluation count).  Returns {run: (logz, {e: sum})} - a few
+    the table has one).  Rows of a class (``tok`` NULL, ``_c``) find the class's
+    evaluation counts in ``rest`` (run, _c, _e0, ...).  Returns {run: (logz, {e: sum})} - a few
     numbers per run (the step's metrics), not data.
 
     The evaluation counts are joined on ``tok`` (broadcast after a size check),
@@ -177,10 +190,17 @@ def run_stats(params: DataFrame, wide: DataFrame, names: list[str], broadcast_wi
     """
     w = F.broadcast(wide) if broadcast_wide else wide
     n = F.col("n") if "n" in params.columns else F.lit(1)
-    j = params.select(run, "tok", "theta", n.alias("_n")).join(w, "tok", "left")
+    cols = [f"_e{i}" for i in range(len(names))]
+    e = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in cols]
+    j = (params.filter(F.col("tok").isNotNull()).select(run, "tok", "theta", n.alias("_n"))
+         .join(w, "tok", "left").select(run, "theta", "_n", *e))
+    if rest is not None:
+        r = F.broadcast(rest) if broadcast_rest else rest
+        j = j.unionByName(params.filter(F.col("tok").isNull()).select(run, "_c", "theta", n.alias("_n"))
+                          .join(r, [run, "_c"], "left").select(run, "theta", "_n", *e))
     agg = j.groupBy(run, stride("theta").alias("_s")).agg(
         F.log(F.sum(F.col("_n") * F.exp(F.col("theta") - stride("theta")))).alias("_l"),
-        *[F.sum(F.coalesce(quoted(n), F.lit(0)) * F.col("theta")).alias(f"_e{i}") for i, n in enumerate(names)])
+        *[F.sum(F.col(c) * F.col("theta")).alias(c) for c in cols])
     parts: dict = {}
     for r in agg.collect():  # a handful of rows per run
         parts.setdefault(r[run], []).append(r)
@@ -196,9 +216,10 @@ def run_stats(params: DataFrame, wide: DataFrame, names: list[str], broadcast_wi
 def model_scorer(path: str, logz: float, alpha: float = 1.0):
     """U11 helper: a scorer factory for ``evaluate.external_scorer``.
 
-    The model table ``(tok, theta)`` is read from ``path`` (the shared folder)
-    once per partition with pyarrow - the way a user model loads its weights -
-    and each row's token list is scored as a summed NLL.
+    The model lies under ``path`` (the shared folder) in folders ``shard=K`` of a
+    bounded number of tokens.  Rows are ``(shard, tok, n)``; a task holds the
+    weights of one shard at a time, read with pyarrow when the shard changes,
+    and scores a row as ``n`` times the token's NLL.
     """
     def load():
         import math
@@ -209,13 +230,24 @@ def model_scorer(path: str, logz: float, alpha: float = 1.0):
             fs, p = pafs.LocalFileSystem(), path[len("file:"):]
         else:
             fs, p = pafs.FileSystem.from_uri(path)
-        t = ds.dataset(p, filesystem=fs, format="parquet").to_table(columns=["tok", "theta"])
-        theta = dict(zip(t.column("tok").to_pylist(), t.column("theta").to_pylist()))
         unseen = math.log(alpha)
+        held: dict = {}
+
+        def weights(shard):
+            if shard not in held:
+                held.clear()
+                t = ds.dataset(f"{p}/shard={shard}", filesystem=fs, format="parquet") \
+                    .to_table(columns=["tok", "theta"])
+                held[shard] = dict(zip(t.column("tok").to_pylist(), t.column("theta").to_pylist()))
+            return held[shard]
 
         def score(pdf):
             import pandas as pd
-            return pd.Series([sum(logz - theta.get(w, unseen) for w in toks) for toks in pdf["tokens"]])
+            out = pd.Series(0.0, index=pdf.index)
+            for shard, part in pdf.groupby("shard", sort=True):
+                theta = weights(shard)
+                out.loc[part.index] = part["n"] * (logz - part["tok"].map(lambda w: theta.get(w, unseen)))
+            return out
         return score
     return load
 

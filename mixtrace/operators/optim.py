@@ -34,9 +34,10 @@ class Optim:
     clip_threshold: float = 1.0    # Adafactor update RMS clip
 
     def lr_at(self, step: int) -> float:
-        """Constant with linear warm-up."""
+        """Constant with linear warm-up; the schedule starts at 0, so the
+        first of the warm-up updates (``step`` = 1) moves nothing."""
         if self.warmup_steps > 0:
-            return self.lr * min(1.0, step / max(1, self.warmup_steps))
+            return self.lr * min(1.0, (step - 1) / self.warmup_steps)
         return self.lr
 
 

@@ -37,9 +37,13 @@ def vocab_build(rows: DataFrame, text: str = "text", max_size: int | None = None
 
 def encode(rows: DataFrame, vocab: DataFrame, key: list[str] | str, text: str = "text",
            pattern: str = WORD_SPLIT) -> DataFrame:
-    """(key..., ids ARRAY<INT>): unknown tokens -> <unk>; one group per row."""
+    """(key..., ids ARRAY<INT>): unknown tokens -> <unk>; one group per row.
+
+    The compact rows are distributed by key before they are exploded: with a
+    broadcast vocabulary the regrouping then needs no exchange of tokens.
+    """
     key = [key] if isinstance(key, str) else list(key)
-    toks = rows.select(*key, F.posexplode(word_tokens(text, pattern)).alias("pos", "tok"))
+    toks = rows.select(*key, text).repartition(*key).select(*key, F.posexplode(word_tokens(text, pattern)).alias("pos", "tok"))
     j = join_checked(toks, vocab.select("tok", "id"), "tok", "left")
     return (j.groupBy(*key)
             .agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))))

@@ -117,19 +117,18 @@ def q_max_samples(spark, sf):
     return sampling.sample_rows(_docs(spark, sf), 100, key="doc_id", seed=SEED, salt="m6")
 
 
+@register("mixture_equal", O.sample_sql("SELECT source AS dataset, doc_id FROM documents", ["dataset"],
+                                        "doc_id", ["dataset", "doc_id"], k=60, seed=SEED, salt="equal"))
+def q_mixture_equal(spark, sf):
+    """M7: equal mixture, 60 rows from every source."""
+    return sampling.equal_mixture(_docs(spark, sf), 60, seed=SEED)
+
+
 EIGHT = [f"src{i}" for i in range(8)]
 EIGHT_SQL = "SELECT source AS dataset, doc_id FROM documents WHERE source IN (" + \
     ", ".join(f"'{s}'" for s in EIGHT) + ")"
 
 
-@register("mixture_equal", O.sample_sql(EIGHT_SQL, ["dataset"], "doc_id", ["dataset", "doc_id"],
-                                        k=60, seed=SEED, salt="equal"))
-def q_mixture_equal(spark, sf):
-    """M7: equal mixture, 60 rows from each of 8 sources."""
-    d = selection.include(_docs(spark, sf), EIGHT)
-    return sampling.equal_mixture(d, 60, seed=SEED)
-
-
 WEIGHTED_TOTAL = 400
 _FRAC_SQL = " UNION ALL ".join(
     f"SELECT '{d}' AS dataset, CAST(floor({WEIGHTED_TOTAL} * {f}) AS BIGINT) AS k"
@@ -214,7 +213,7 @@ QA_MIN = 45  # drops one category at sf0.01 (health, 42 pairs)
     f"GROUP BY dataset HAVING count(*) >= {QA_MIN})", ["dataset"], "pair_key",
     ["inputs_pretokenized", "targets_pretokenized", "dataset", "pair_key"], k=256, seed=SEED, salt="qa"))
 def q_qa_suite(spark, sf):
-    """B3 (T3, T4, T5, T7, HAVING count >= 80, M4)."""
+    """B3 (T3, T4, T5, T7, HAVING count >= 45, M4)."""
     return suites.qa_falsehoods(corpora.qa_raw(spark, sf), min_count=QA_MIN, seed=SEED)
 
 
@@ -222,23 +221,24 @@ def q_qa_suite(spark, sf):
 from ..functions.arrays import ids_string  # noqa: E402
 from ..operators import batching, evaluate, packing, tokens  # noqa: E402
 
-VOCAB_MAX, VOCAB_MIN = 5000, 2
-
-
-def _vocab(spark, sf):
-    return tokens.vocab_build(corpora.train_rows(spark, sf), max_size=VOCAB_MAX, min_count=VOCAB_MIN)
+def _encoded(spark, sf):
+    """Training and evaluation rows encoded with the training corpora's whole vocabulary."""
+    from ..session import cut
+    rows = corpora.train_rows(spark, sf).unionByName(corpora.eval_rows(spark, sf))
+    return tokens.encode(rows, cut(tokens.vocab_build(corpora.train_rows(spark, sf))), ["dataset", "row_id"])
 
 
-@register("vocab_build", O.vocab_sql(VOCAB_MAX, VOCAB_MIN))
+@register("vocab_build", O.vocab_sql())
 def q_vocab_build(spark, sf):
-    """K1: vocabulary job, top 5000 tokens seen at least twice, dense ids."""
-    return _vocab(spark, sf)
+    """K1: vocabulary job, every token of the training corpora, dense ids."""
+    return tokens.vocab_build(corpora.train_rows(spark, sf))
 
 
-@register("encode", O.encode_sql(VOCAB_MAX, VOCAB_MIN))
+@register("encode", O.encode_sql())
 def q_encode(spark, sf):
-    """K1: encode the evaluation rows with the vocabulary; <unk> fallback."""
-    enc = tokens.encode(corpora.eval_rows(spark, sf), _vocab(spark, sf), ["dataset", "row_id"])
+    """K1: encode the training corpora and the evaluation rows with the
+    vocabulary of the training corpora; <unk> fallback."""
+    enc = _encoded(spark, sf)
     return enc.select("dataset", "row_id", F.size("ids").cast("long").alias("n_ids"),
                       F.size(F.filter("ids", lambda x: x == tokens.UNK_ID)).cast("long").alias("n_unk"),
                       F.md5(ids_string("ids")).alias("ids_md5"))
@@ -398,20 +398,23 @@ SEP_ID = int(hashlib.md5(collate.SEP_TEXT.encode()).hexdigest()[:8], 16) % 50_00
 
 
 def _pairs(spark, sf):
-    """User turn followed by the assistant turn (turn + 1), batches of 8 in (conv_id, turn) order."""
+    """Every user turn with the assistant turn that follows it (turn + 1; NULL
+    when none does), batches of 8 in (conv_id, turn) order."""
     c = table(spark, sf, "conversations")
     u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
     a = c.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
-    p = u.join(a, ["conv_id", "turn"])
-    p = dense_ordinal(p, None, ["conv_id", "turn"], name="_ord")
-    return p.withColumn("batch_id", F.floor(F.col("_ord") / COLLATE_BS).cast("long")).drop("_ord")
+    # the ordinal sees the narrow keys; the texts join afterwards
+    o = dense_ordinal(u.select("conv_id", "turn"), None, ["conv_id", "turn"], name="_ord")
+    b = o.select("conv_id", "turn", F.floor(F.col("_ord") / COLLATE_BS).cast("long").alias("batch_id"))
+    return u.join(a, ["conv_id", "turn"], "left").join(b, ["conv_id", "turn"])
 
 
 @register("collate_causal", O.collate_causal_sql(COLLATE_MAX, SEP_ID, COLLATE_BS))
 def q_collate_causal(spark, sf):
-    """Prompt ######## target, BOS + truncation to 64, last separator
-    cut out, prompt labels ignored, padded to the longest row of the batch."""
+    """Prompt ######## target (the prompt alone without a target), BOS +
+    truncation to 64, last separator cut out, prompt labels ignored, padded to
+    the longest row of the batch."""
     p = _pairs(spark, sf).withColumn(
         "ids", collate.tokenize_causal(collate.causal_text("prompt", "target"), COLLATE_MAX)) \
         .withColumn("has_target", F.col("target").isNotNull())
@@ -423,11 +426,11 @@ def q_collate_causal(spark, sf):
 
 @register("collate_seq2seq", O.collate_seq2seq_sql(SRC_MAX, TGT_MAX, COLLATE_BS))
 def q_collate_seq2seq(spark, sf):
-    """Source (no specials, 48) and target (+EOS, 16) padded separately;
-    decoder inputs = shifted labels."""
+    """Source (no specials, 48) and target (+EOS, 16; empty when a turn
+    has no reply) padded separately; decoder inputs = shifted labels."""
     p = (_pairs(spark, sf)
          .withColumn("src", collate.tokenize_source("prompt", SRC_MAX))
-         .withColumn("tgt", collate.tokenize_target("target", TGT_MAX)))
+         .withColumn("tgt", collate.tokenize_target(F.coalesce("target", F.lit("")), TGT_MAX)))
     out = collate.collate_seq2seq(p, "src", "tgt")
     return out.select("conv_id", "turn", "batch_id", ids_string("input_ids").alias("input_ids"),
                       ids_string("attention_mask").alias("attention_mask"),
@@ -447,7 +450,8 @@ def _rows(spark, sf):
 
 
 def _infl(df, a="train_dataset", b="eval_dataset"):
-    return df.select(a, b, "step", r6("influence").alias("influence"))
+    # + 0.0: no negative zero
+    return df.select(a, b, "step", (r6("influence") + F.lit(0.0)).alias("influence"))
 
 
 @register("unlearn_influence", O.unlearn_sql("forward", "sgd", SGD_LR, steps=2, n_micro=2))
@@ -461,24 +465,22 @@ def q_unlearn_influence(spark, sf):
 
 @register("unlearn_influence_inverse", O.unlearn_sql("inverse", "sgd", SGD_LR, steps=2, eval_on="train"))
 def q_unlearn_influence_inverse(spark, sf):
-    """U9 inverse unlearning: unlearn each evaluation set (whole set per step), loss
-    change on every training source; transposed to (train, eval)."""
+    """U9 inverse unlearning: unlearn each evaluation set (the whole set
+    accumulated per step in micro-batches of 2), loss change on every training
+    source; transposed to (train, eval)."""
     tr, ev = _rows(spark, sf)
     _, infl = U.unlearn_influence_inverse(tr, ev, Optim("sgd", lr=SGD_LR), steps=2)
     return _infl(infl, "train_dataset", "eval_dataset")
 
 
-@register("unlearn_step", O.unlearn_sql("forward", "sgd", SGD_LR, steps=1, n_micro=2,
+@register("unlearn_step", O.unlearn_sql("forward", "sgd", SGD_LR, steps=1, n_micro=1,
                                         eval_on="train", output="log"))
 def q_unlearn_step(spark, sf):
-    """One ascent step per source (first half of it); loss of every source
+    """One ascent step per source on the whole of it; loss of every source
     before and after - the unlearned source's own loss goes up."""
-    tr, evr = _rows(spark, sf)
-    tc = lm.token_counts(tr)
-    ev = tc.withColumnRenamed("dataset", "eval_dataset")
-    model = lm.fit_unigram(tc, lm.vocabulary(tc, lm.token_counts(evr)), ALPHA)
-    q, w = U.step_targets(U.micro_batch_counts(tr, 2))
-    log = U.unlearn_log(model, q, w, ev, 1, Optim("sgd", lr=SGD_LR))
+    tr, ev = _rows(spark, sf)
+    model, q, w = U.fit(tr, ev, 1, alpha=ALPHA)
+    log = U.unlearn_log(model, q, w, U.eval_weights(tr), 1, Optim("sgd", lr=SGD_LR))
     return log.select("run_id", "step", "eval_dataset", "metric", r6("loss").alias("value"))
 
 
@@ -498,11 +500,9 @@ def q_clip_step(spark, sf):
     """Global gradient-norm clipping per run (max_grad_norm 0.01); the log
     carries the pre-clip norms."""
     tr, ev = _rows(spark, sf)
-    train_counts = lm.token_counts(tr)
-    evc = lm.token_counts(ev).withColumnRenamed("dataset", "eval_dataset")
-    model = lm.fit_unigram(train_counts, lm.vocabulary(train_counts, evc), ALPHA)
-    q, w = U.step_targets(U.micro_batch_counts(tr, 2))
-    log = U.unlearn_log(model, q, w, evc, 2, Optim("sgd", lr=SGD_LR, max_grad_norm=CLIP), with_norms=True)
+    model, q, w = U.fit(tr, ev, 2, alpha=ALPHA)
+    log = U.unlearn_log(model, q, w, U.eval_weights(ev), 2, Optim("sgd", lr=SGD_LR, max_grad_norm=CLIP),
+                        with_norms=True)
     return log.select("run_id", "step", "eval_dataset", "metric", r6("loss").alias("value"))
 
 
@@ -648,33 +648,32 @@ def q_unlearn_influence_lr(spark, sf):
 
 
 # ---------------------------------------------------------------- external scorer
-# Model rows a task may hold in memory (the scorer loads the whole model).
-SCORER_MAX_ROWS = 2_000_000
+# Tokens of one shard of the model; the scorer holds one shard in memory.
+SCORER_SHARD = 1_000_000
 
 
 @register("external_scorer", f"WITH {O.lm_losses_ctes(ALPHA, EVAL_BS)} "
           "SELECT dataset, row_id, round(nll, 6) AS nll, n_tok FROM ex")
 def q_external_scorer(spark, sf):
-    """The fitted model saved to the shared folder and used as a *user*
-    scorer through mapInPandas (weights loaded once per partition); scores
-    every evaluation row.  Every task holds the whole model, so this path is
-    taken only below a checked size; beyond it the same scores come from the
-    distributed token join."""
+    """The fitted model saved to the shared folder in shards by token and
+    used as a *user* scorer through mapInPandas; scores every evaluation row.
+    Rows become (row, token, count) ordered by shard: range partitions split a
+    hot shard over tasks, and a task loads one shard's weights at a time."""
     import math
     from ..functions.text import word_tokens
-    from ..session import small_enough
     _, _, model, v, n = _fitted(spark, sf)
-    if not small_enough(model, SCORER_MAX_ROWS):
-        ex = lm.example_losses(corpora.eval_rows(spark, sf), model, math.log(n + ALPHA * v), ALPHA)
-        return ex.select("dataset", "row_id", r6("nll").alias("nll"), "n_tok")
+    n_shards = max(1, -(-v // SCORER_SHARD))
+    shard = F.pmod(F.xxhash64("tok"), F.lit(n_shards)).alias("shard")
     path = scratch_path(spark, "user-model")
-    model.select("tok", "theta").write.parquet(path)
-    rows = (corpora.eval_rows(spark, sf)
-            .select("dataset", "row_id", word_tokens("text").alias("tokens"))
-            .filter(F.size("tokens") > 0))
-    scored = evaluate.external_scorer(rows, lm.model_scorer(path, math.log(n + ALPHA * v), ALPHA))
-    return scored.select("dataset", "row_id", r6("nll").alias("nll"),
-                         F.size("tokens").cast("long").alias("n_tok"))
+    model.select("tok", "theta", shard).repartition(n_shards, "shard").write.partitionBy("shard").parquet(path)
+    key = ["dataset", "row_id"]
+    toks = (corpora.eval_rows(spark, sf).select(*key, F.explode(word_tokens("text")).alias("tok"))
+            .groupBy(*key, "tok").agg(F.count(F.lit(1)).alias("n"))
+            .select(*key, "tok", "n", shard)
+            .repartitionByRange("shard", *key).sortWithinPartitions("shard"))
+    scored = evaluate.external_scorer(toks, lm.model_scorer(path, math.log(n + ALPHA * v), ALPHA))
+    return (scored.groupBy(*key).agg(F.sum("nll").alias("nll"), F.sum("n").alias("n_tok"))
+            .select(*key, r6("nll").alias("nll"), F.col("n_tok").cast("long").alias("n_tok")))
 
 
 # ---------------------------------------------------------------- sources and sinks
@@ -722,11 +721,11 @@ PAIR_MAX = 32
 
 @register("collate_pairs", O.collate_pairs_sql(PAIR_MAX, COLLATE_BS))
 def q_collate_pairs(spark, sf):
-    """prediction/answer columns (reply and its first line) tokenised,
+    """prediction/answer columns (the prompt and the whole reply) tokenised,
     truncated to 32 and padded per batch; no labels."""
     p = (_pairs(spark, sf)
-         .withColumn("preds", collate.tokenize_source("target", PAIR_MAX))
-         .withColumn("answers", collate.tokenize_source(F.split("target", "\n")[0], PAIR_MAX)))
+         .withColumn("preds", collate.tokenize_source("prompt", PAIR_MAX))
+         .withColumn("answers", collate.tokenize_source(F.coalesce("target", F.lit("")), PAIR_MAX)))
     out = collate.collate_pairs(p, "preds", "answers")
     return out.select("conv_id", "turn", "batch_id", ids_string("preds").alias("preds"),
                       ids_string("answers").alias("answers"))
@@ -751,35 +750,32 @@ SELECT prompt AS inputs, target AS labels, 'conversations' AS dataset FROM ({O.P
 def q_pairs_csv(spark, sf):
     """S2 + K15/K16: conversation prompt/reply pairs written as CSV to the
     shared folder, read back with the pair reader (quoted commas, quotes and
-    line breaks inside values), then collated in text-only mode."""
+    line breaks inside values; a turn without a reply has no label), then collated in text-only mode."""
     c = table(spark, sf, "conversations")
     u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("inputs_pretokenized"))
     a = c.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("targets_pretokenized"))
-    pairs = u.join(a, ["conv_id", "turn"]).withColumn("dataset", F.lit("conversations"))
+    pairs = u.join(a, ["conv_id", "turn"], "left").withColumn("dataset", F.lit("conversations"))
     path = scratch_path(spark, "pairs-csv")
     S.save_pairs_csv(pairs, path)
     return collate.text_only(S.read_pairs_csv(spark, path))
 
 
 @register("pass_through_encoded", f"""
-SELECT dataset, n_ids, ids_md5 FROM ({O.encode_sql(VOCAB_MAX, VOCAB_MIN)})""")
+SELECT dataset, n_ids, ids_md5 FROM ({O.encode_sql()})""")
 def q_pass_through_encoded(spark, sf):
-    """Rows that already hold ``input_ids`` (the encoded evaluation rows)
-    skip tokenising; only the model inputs and the dataset tag ride along."""
-    enc = tokens.encode(corpora.eval_rows(spark, sf), _vocab(spark, sf), ["dataset", "row_id"])
-    out = collate.pass_through(enc.withColumnRenamed("ids", "input_ids"))
+    """Rows that already hold ``input_ids`` (the encoded rows) skip
+    tokenising; only the model inputs and the dataset tag ride along."""
+    out = collate.pass_through(_encoded(spark, sf).withColumnRenamed("ids", "input_ids"))
     return out.select("dataset", F.size("input_ids").cast("long").alias("n_ids"),
                       F.md5(ids_string("input_ids")).alias("ids_md5"))
 
 
-def _set_metrics(pdf):
-    """Per-evaluation-set metrics computed in pandas (the E10 hook's callable)."""
+def _longest(pdf):
+    """Partial rows of a user metric: per set, the largest token loss of one batch."""
     import pandas as pd
-    per_tok = pdf["nll"] / pdf["n_tok"]
-    return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]],
-                         "max_loss": [round(float(per_tok.max()), 6)],
-                         "median_loss": [round(float(per_tok.median()), 6)]})
+    worst = (pdf["nll"] / pdf["n_tok"]).groupby(pdf["dataset"]).max()
+    return pd.DataFrame({"dataset": worst.index, "v": worst.values})
 
 
 @register("metrics_hook", f"""
@@ -787,13 +783,17 @@ WITH {O.lm_losses_ctes(ALPHA, EVAL_BS)}
 SELECT dataset, round(max(nll / n_tok), 6) AS max_loss, round(median(nll / n_tok), 6) AS median_loss
 FROM ex GROUP BY dataset""")
 def q_metrics_hook(spark, sf):
-    """An optional metrics callable over each evaluation set's example
-    losses (applyInPandas, one group per set after a size check)."""
+    """Metrics over each evaluation set's example losses - a user callable
+    over Arrow batches merged by an aggregate, and the exact median."""
     import math
+    from ..session import cut
     _, _, model, v, n = _fitted(spark, sf)
-    ex = lm.example_losses(corpora.eval_rows(spark, sf), model, math.log(n + ALPHA * v), ALPHA)
-    return evaluate.with_metrics(ex, _set_metrics,
-                                 "dataset string, max_loss double, median_loss double")
+    ex = cut(lm.example_losses(corpora.eval_rows(spark, sf), model, math.log(n + ALPHA * v), ALPHA))
+    top = evaluate.with_metrics(ex, [F.max("v").alias("max_loss")], partial=_longest,
+                                schema="dataset string, v double")
+    med = evaluate.exact_median(ex, F.col("nll") / F.col("n_tok"), name="median_loss")
+    return (top.join(med, "dataset")
+            .select("dataset", r6("max_loss").alias("max_loss"), r6("median_loss").alias("median_loss")))
 
 
 @register("model_snapshot", ORACLE["lm_fit"])

@@ -95,7 +95,7 @@ COREF_ROWS = f"""SELECT array_to_string(string_split(x.line, ' '), ' ') AS input
      list_has_any(string_split(line, ' '), ['the', 'that']) AS f,
      list_has_any(string_split(line, ' '), ['and', 'of']) AS m,
      CAST(doc_id AS VARCHAR) || ':' || CAST(line_no AS VARCHAR) AS key
-   FROM ({DOC_LINES}) WHERE lang = 'en') x"""
+   FROM ({DOC_LINES})) x"""
 
 QA_RAW = """
 SELECT q.text AS question,
@@ -127,19 +127,18 @@ FROM ({QA_RAW})"""
 MIXTURE_FRACTIONS = [0.30, 0.20, 0.15, 0.10, 0.10, 0.05, 0.05, 0.05]
 
 
-def vocab_sql(max_size: int, min_count: int) -> str:
+def vocab_sql() -> str:
     return f"""
 SELECT tok, count, CAST(row_number() OVER (ORDER BY count DESC, tok) - 1 + 4 AS INTEGER) AS id
 FROM (SELECT tok, count(*) AS count FROM (SELECT unnest({tok()}) AS tok FROM documents)
-      GROUP BY tok HAVING count(*) >= {min_count})
-QUALIFY row_number() OVER (ORDER BY count DESC, tok) <= {max_size}"""
+      GROUP BY tok)"""
 
 
-def encode_sql(max_size: int, min_count: int) -> str:
+def encode_sql() -> str:
     return f"""
-WITH v AS ({vocab_sql(max_size, min_count)}),
+WITH v AS ({vocab_sql()}),
 t AS (SELECT dataset, row_id, unnest({tok()}) AS tok, generate_subscripts({tok()}, 1) AS pos
-      FROM ({EVAL_ROWS}))
+      FROM ({TRAIN_ROWS} UNION ALL {EVAL_ROWS}))
 SELECT dataset, row_id, count(*) AS n_ids,
        CAST(sum(CASE WHEN v.id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_unk,
        md5(string_agg(CAST(coalesce(v.id, 1) AS VARCHAR), ',' ORDER BY pos)) AS ids_md5
@@ -194,24 +193,27 @@ def hashed_sql(text: str, buckets: int = 50_000) -> str:
 
 
 PAIRS = """SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS target
-FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-WHERE u.role = 'user' AND a.role = 'assistant'"""
+FROM conversations u LEFT JOIN conversations a
+  ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+WHERE u.role = 'user'"""
 
 
 def collate_causal_sql(max_len: int, sep_id: int, bs: int) -> str:
     return f"""
 WITH pr AS ({PAIRS}),
-t AS (SELECT conv_id, turn, list_concat([2], ({hashed_sql("prompt || ' ######## ' || target")})[1:{max_len - 1}]) AS ids,
+t AS (SELECT conv_id, turn, target IS NOT NULL AS has,
+             list_concat([2], ({hashed_sql("coalesce(prompt || ' ######## ' || target, prompt)")})[1:{max_len - 1}]) AS ids,
              (row_number() OVER (ORDER BY conv_id, turn) - 1) // {bs} AS batch_id FROM pr),
-p AS (SELECT *, list_max(list_filter(range(1, len(ids) + 1), lambda i: ids[i] = {sep_id})) AS sp FROM t),
-s AS (SELECT *, CASE WHEN sp IS NULL THEN ids ELSE list_concat(ids[1:sp - 1], ids[sp + 1:]) END AS sids,
-             CASE WHEN sp IS NULL THEN list_transform(ids, lambda x: -100)
+p AS (SELECT *, list_max(list_filter(range(1, len(ids) + 1), lambda i: ids[i] = {sep_id})) AS sp,
+             bool_or(has) OVER (PARTITION BY batch_id) AS mode FROM t),
+s AS (SELECT *, CASE WHEN sp IS NULL OR NOT mode THEN ids ELSE list_concat(ids[1:sp - 1], ids[sp + 1:]) END AS sids,
+             CASE WHEN NOT mode THEN ids WHEN sp IS NULL THEN list_transform(ids, lambda x: -100)
                   ELSE list_concat(list_transform(range(sp - 1), lambda x: -100), ids[sp + 1:]) END AS lab FROM p),
 m AS (SELECT *, max(len(sids)) OVER (PARTITION BY batch_id) AS L FROM s)
 SELECT conv_id, turn, CAST(batch_id AS BIGINT) AS batch_id,
        array_to_string(list_resize(sids, L, 0), ',') AS input_ids,
        array_to_string(list_resize(list_transform(sids, lambda x: 1), L, 0), ',') AS attention_mask,
-       array_to_string(list_resize(lab, L, -100), ',') AS labels, sp IS NOT NULL AS sep_found
+       array_to_string(list_resize(lab, L, -100), ',') AS labels, CASE WHEN mode THEN sp IS NOT NULL END AS sep_found
 FROM m"""
 
 
@@ -219,7 +221,7 @@ def collate_seq2seq_sql(max_src: int, max_tgt: int, bs: int) -> str:
     return f"""
 WITH pr AS ({PAIRS}),
 t AS (SELECT conv_id, turn, ({hashed_sql("prompt")})[1:{max_src}] AS src,
-             list_concat(({hashed_sql("target")})[1:{max_tgt - 1}], [3]) AS tgt,
+             list_concat(({hashed_sql("coalesce(target, '')")})[1:{max_tgt - 1}], [3]) AS tgt,
              (row_number() OVER (ORDER BY conv_id, turn) - 1) // {bs} AS batch_id FROM pr),
 m AS (SELECT *, max(len(src)) OVER (PARTITION BY batch_id) AS Ls,
                 max(len(tgt)) OVER (PARTITION BY batch_id) AS Lt FROM t),
@@ -237,11 +239,14 @@ def unlearn_sql(kind: str = "forward", opt: str = "sgd", lr: float = 5.0, steps:
                 n_micro: int = 2, accum: int = 1, clip: float = 0.0, warmup: int = 0,
                 alpha: float = 1.0, eval_on: str = "eval", output: str = "influence",
                 beta1: float = 0.9, beta2: float = 0.999, eps: float = 1e-8,
-                eval_steps: int = 1) -> str:
+                eval_steps: int = 1, eval_batch: int = 8, batch_rows: int = 2) -> str:
     """The unlearning loop unrolled as CTEs (one CTE chain per step).
 
     kind: forward (runs = training datasets, micro-batches = key-order slices)
-          or inverse (runs = evaluation sets, every step = the whole set).
+          or inverse (runs = evaluation sets, every step = the mean over all
+          micro-batches of ``batch_rows`` rows of the set).
+    The loss of a set is the mean over its batches of ``eval_batch`` rows of
+    the batch's token mean, weighted by the batch's rows.
     eval_on: eval | train - which sets the losses are measured on.
     output: influence (run, eval, step, influence) or log (run, step, eval, metric, loss).
     """
@@ -257,20 +262,32 @@ def unlearn_sql(kind: str = "forward", opt: str = "sgd", lr: float = 5.0, steps:
             FROM (SELECT run_id, b, unnest({tok()}) AS tok FROM mbrows) GROUP BY ALL)""")
     else:
         parts.append("runs AS (SELECT DISTINCT eval_dataset AS run_id FROM ec)")
-        parts.append(f"mb AS (SELECT eval_dataset AS run_id, s.b, tok, cnt FROM ec, (SELECT unnest(range({steps})) AS b) s)")
-    if eval_on == "eval":
-        parts.append("evalc AS (SELECT eval_dataset, tok, cnt FROM ec)")
-    else:
-        parts.append("evalc AS (SELECT dataset AS eval_dataset, tok, cnt FROM tc)")
+        parts.append(f"""mbrows AS (SELECT dataset AS run_id, text,
+            (row_number() OVER (PARTITION BY dataset ORDER BY row_id) - 1) // {batch_rows} AS b FROM ({EVAL_ROWS}))""")
+        parts.append(f"""mb AS (SELECT run_id, b, tok, count(*) AS cnt
+            FROM (SELECT run_id, b, unnest({tok()}) AS tok FROM mbrows) GROUP BY ALL)""")
+    parts.append(f"""evr AS (SELECT dataset, {tok()} AS toks,
+        (row_number() OVER (PARTITION BY dataset ORDER BY row_id) - 1) // {eval_batch} AS b
+        FROM ({EVAL_ROWS if eval_on == "eval" else TRAIN_ROWS}))""")
+    parts.append("evw AS (SELECT dataset, b, count(*) / sum(len(toks)) AS w FROM evr GROUP BY ALL HAVING sum(len(toks)) > 0)")
+    parts.append("""evalc AS (SELECT dataset AS eval_dataset, tok, sum(w) AS cnt
+        FROM (SELECT evr.dataset, evw.w, unnest(toks) AS tok FROM evr JOIN evw USING (dataset, b)) GROUP BY ALL)""")
     parts.append("evn AS (SELECT eval_dataset, sum(cnt) AS n FROM evalc GROUP BY eval_dataset)")
     parts.append("nb AS (SELECT run_id, b, sum(cnt) AS nb FROM mb GROUP BY ALL)")
-    parts.append(f"""q AS (SELECT run_id, b // {accum} + 1 AS step, tok, sum(cnt / nb) / {accum} AS q
-        FROM mb JOIN nb USING (run_id, b) GROUP BY ALL)""")
-    parts.append(f"w AS (SELECT run_id, b // {accum} + 1 AS step, count(*) / {accum} AS a FROM nb GROUP BY ALL)")
+    if kind == "forward":
+        parts.append(f"""q AS (SELECT run_id, b // {accum} + 1 AS step, tok, sum(cnt / nb) / {accum} AS q
+            FROM mb JOIN nb USING (run_id, b) GROUP BY ALL)""")
+        parts.append(f"w AS (SELECT run_id, b // {accum} + 1 AS step, count(*) / {accum} AS a FROM nb GROUP BY ALL)")
+    else:
+        every = f"(SELECT unnest(range(1, {steps + 1})) AS step) s"
+        parts.append(f"""q AS (SELECT qq.*, s.step FROM (SELECT run_id, tok, sum(cnt / nb / n_b) AS q
+            FROM mb JOIN nb USING (run_id, b) JOIN (SELECT run_id, count(*) AS n_b FROM nb GROUP BY run_id) USING (run_id)
+            GROUP BY ALL) qq, {every})""")
+        parts.append(f"w AS (SELECT r.run_id, s.step, 1.0 AS a FROM (SELECT DISTINCT run_id FROM nb) r, {every})")
     parts.append("p0 AS (SELECT run_id, tok, theta, 0.0 AS m, 0.0 AS v FROM runs CROSS JOIN m0)")
     parts.append("z0 AS (SELECT run_id, ln(sum(exp(theta))) AS z FROM p0 GROUP BY run_id)")
     for t in range(1, steps + 1):
-        lr_t = lr * min(1.0, t / max(1, warmup)) if warmup > 0 else lr
+        lr_t = lr * min(1.0, (t - 1) / warmup) if warmup > 0 else lr
         parts.append(f"""g{t} AS (SELECT p.run_id, p.tok, p.theta, p.m, p.v,
             coalesce(w.a, 0) * exp(p.theta - z.z) - coalesce(q.q, 0) AS g
             FROM p{t - 1} p JOIN z{t - 1} z USING (run_id)
@@ -316,7 +333,7 @@ def unlearn_sql(kind: str = "forward", opt: str = "sgd", lr: float = 5.0, steps:
         rc, ec_ = ("train_dataset", "eval_dataset") if kind == "forward" else ("eval_dataset", "train_dataset")
         return body + f"""
 SELECT l.run_id AS {rc}, l.eval_dataset AS {ec_}, CAST(l.step AS BIGINT) AS step,
-       round(l.loss - b.loss, 6) AS influence
+       round(l.loss - b.loss, 6) + 0.0 AS influence
 FROM lall l JOIN l0 b USING (run_id, eval_dataset) WHERE l.step > 0"""
     sel = """
 SELECT run_id, CAST(step AS BIGINT) AS step, eval_dataset, 'eval_loss' AS metric, round(loss, 6) AS value FROM lall"""
@@ -444,12 +461,12 @@ LEFT JOIN sb ON sb.dataset = ds.dataset AND sb.eval_dataset = en.eval_dataset"""
 
 
 def collate_pairs_sql(max_len: int, bs: int) -> str:
-    """prediction = assistant reply, answer = its first line; both hashed,
-    truncated and padded per batch (no labels)."""
+    """prediction = prompt, answer = the whole reply; both hashed, truncated
+    and padded per batch (no labels)."""
     return f"""
 WITH pr AS ({PAIRS}),
-t AS (SELECT conv_id, turn, ({hashed_sql("target")})[1:{max_len}] AS preds,
-             ({hashed_sql("string_split(target, chr(10))[1]")})[1:{max_len}] AS answers,
+t AS (SELECT conv_id, turn, ({hashed_sql("prompt")})[1:{max_len}] AS preds,
+             ({hashed_sql("coalesce(target, '')")})[1:{max_len}] AS answers,
              (row_number() OVER (ORDER BY conv_id, turn) - 1) // {bs} AS batch_id FROM pr),
 m AS (SELECT *, max(len(preds)) OVER (PARTITION BY batch_id) AS Lp,
                 max(len(answers)) OVER (PARTITION BY batch_id) AS La FROM t)

@@ -41,17 +41,17 @@ def toxic_prompt_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``prompt_label`` = the document's toxic label (NULL when unlabelled)."""
     d = table(spark, sf_dir, "documents")
     lab = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("prompt_label"))
-    lines = d.select("doc_id", F.col("lang").alias("group"),
-                     F.posexplode(F.split("text", "\n")).alias("line_no", "generation"))
-    return (lines.join(lab, "doc_id", "left")
-            .withColumn("key", F.concat_ws(":", F.col("doc_id").cast("string"),
+    labelled = d.select("doc_id", "lang", "text").join(lab, "doc_id", "left")
+    lines = labelled.select("doc_id", F.col("lang").alias("group"), "prompt_label",
+                            F.posexplode(F.split("text", "\n")).alias("line_no", "generation"))
+    return (lines.withColumn("key", F.concat_ws(":", F.col("doc_id").cast("string"),
                                            F.col("line_no").cast("string"))))
 
 
 def minimal_pair_raw(spark: SparkSession, sf_dir: str):
-    """B2 inputs: English document lines as space-split token lists; even
-    ``doc_id`` -> pro table, odd -> anti table."""
-    d = table(spark, sf_dir, "documents").filter(F.col("lang") == "en")
+    """B2 inputs: document lines as space-split token lists; even ``doc_id`` ->
+    pro table, odd -> anti table."""
+    d = table(spark, sf_dir, "documents")
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     rows = lines.select("doc_id", F.split("line", " ").alias("tokens"),
                         F.concat_ws(":", F.col("doc_id").cast("string"),

@@ -201,9 +201,10 @@ def test_compressed_params_equal_brute_force(spark, opt):
 
 
 def test_initial_params_compression_invariants(spark):
-    """Per run the multiplicities add up to the vocabulary; every evaluation
-    token and every token the run trains on is its own row; the table is
-    smaller than runs x vocabulary."""
+    """Per run the multiplicities add up to the vocabulary; exactly the tokens
+    the run trains on are their own rows, evaluation tokens are not; the table
+    has no more rows than (run, token) pairs plus classes, and classes and
+    active tokens together hold every evaluation count."""
     train = [("a", 1, "p q r s"), ("a", 2, "t u p"), ("b", 3, "v w x"), ("b", 4, "y z v"),
              ("c", 5, "p v k"), ("c", 6, "m n o")]
     ev = [("e", 1, "p v m zz"), ("f", 2, "q y")]
@@ -212,19 +213,97 @@ def test_initial_params_compression_invariants(spark):
     tc = lm.token_counts(tr)
     ec = lm.token_counts(er).withColumnRenamed("dataset", "eval_dataset")
     model = lm.fit_unigram(tc, lm.vocabulary(tc, ec), 1.0)
-    V = model.count()
+    V, n_counts = model.count(), model.select("count").distinct().count()
     q, _ = U.step_targets(U.micro_batch_counts(tr, 2))
     wide = lm.eval_wide(ec, ["e", "f"])
     runs = ["a", "b", "c"]
-    p = U._initial_params(model, q, wide, runs, False, 100).collect()
-    assert len(p) < len(runs) * V
-    eval_toks = {w for _, _, s in ev for w in s.split()}
+    p, rest = U._initial_params(model, q, wide, ["e", "f"], runs, False, 100)
+    p, rest = p.collect(), rest.collect()
+    pairs = {(d, w) for d, _, s in train for w in s.split()}
+    assert len(p) <= len(pairs) + len(runs) * n_counts
+    assert len(rest) == sum(x.tok is None for x in p)
     for r in runs:
         rows = [x for x in p if x.run_id == r]
         assert sum(x.n for x in rows) == V
-        own = {w for d, _, s in train if d == r for w in s.split()}
-        assert {x.tok for x in rows if x.tok is not None} == own | eval_toks
+        own = {w for d, w in pairs if d == r}
+        assert {x.tok for x in rows if x.tok is not None} == own
         assert all(x.n == 1 for x in rows if x.tok is not None)
+        for i, e in enumerate("ef"):
+            words = [w for d, _, s in ev if d == e for w in s.split()]
+            assert sum(x[f"_e{i}"] for x in rest if x.run_id == r) == sum(w not in own for w in words)
+
+
+def _weights(rows, batch_rows, mean_of_batches=False):
+    """Brute force of ``batch_weighted_counts``."""
+    out = {}
+    for d in {r[0] for r in rows}:
+        mine = [(s or "").split() for _, _, s in sorted(r for r in rows if r[0] == d)]
+        batches = [mine[i:i + batch_rows] for i in range(0, len(mine), batch_rows)]
+        batches = [b for b in batches if any(b)]
+        for b in batches:
+            toks = [w for r in b for w in r]
+            for w in toks:
+                x = 1 / (len(toks) * len(batches)) if mean_of_batches else len(b) / len(toks)
+                out[(d, w)] = out.get((d, w), 0.0) + x
+    return out
+
+
+@pytest.mark.parametrize("mean_of_batches", [False, True])
+@pytest.mark.parametrize("batch_rows", [1, 2, 5])
+def test_batch_weighted_counts(spark, batch_rows, mean_of_batches):
+    rows = [("a", 1, "p q"), ("a", 2, ""), ("a", 3, "p p r"), ("a", 7, "s"), ("b", 4, ""), ("b", 9, "x y z")]
+    df = spark.createDataFrame(rows, "dataset string, row_id long, text string")
+    got = {(r.dataset, r.tok): r.cnt for r in U.batch_weighted_counts(df, batch_rows, mean_of_batches).collect()}
+    assert got == pytest.approx(_weights(rows, batch_rows, mean_of_batches))
+    nulls = spark.createDataFrame([("a", 1, None), ("a", 2, "p")], df.schema)
+    assert [r.cnt for r in U.batch_weighted_counts(nulls, 2).collect()] == [2.0]
+
+
+def test_inverse_equals_brute_force(spark):
+    """U9 over the whole runs x vocabulary table in NumPy: micro-batches of 2
+    accumulated per step, batch-weighted losses of every training set."""
+    import numpy as np
+    train = [("a", 1, "p q r s"), ("a", 2, "t u p"), ("b", 3, "v w x"), ("b", 4, "y z v"), ("c", 5, "p v k")]
+    ev = [("e", 1, "p v m zz"), ("e", 2, "q"), ("e", 5, "v v"), ("f", 2, "q y")]
+    schema = "dataset string, row_id long, text string"
+    _, infl = U.unlearn_influence_inverse(spark.createDataFrame(train, schema), spark.createDataFrame(ev, schema),
+                                          Optim("sgd", lr=0.5), steps=2)
+    got = {(r.eval_dataset, r.train_dataset, r.step): r.influence for r in infl.collect()}
+    vocab = sorted({w for _, _, s in train + ev for w in s.split()})
+    counts = np.array([sum(s.split().count(w) for _, _, s in train) for w in vocab], float)
+    cw, q = _weights(train, 8), _weights(ev, 2, True)
+
+    def loss(th, d):
+        c = np.array([cw.get((d, w), 0.0) for w in vocab])
+        return math.log(np.exp(th).sum()) - float(c @ th) / c.sum()
+    assert len(got) == 2 * 3 * 2
+    for e in "ef":
+        th0 = np.log(counts + 1.0)
+        th = th0.copy()
+        for t in (1, 2):
+            th = th + 0.5 * (np.exp(th) / np.exp(th).sum() - np.array([q.get((e, w), 0.0) for w in vocab]))
+            for d in "abc":
+                assert got[(e, d, t)] == pytest.approx(loss(th, d) - loss(th0, d), abs=1e-9)
+
+
+def test_no_slice_is_left_out(spark):
+    """More slices than steps x accumulation run as further steps; targets
+    beyond the steps and tokens without a parameter raise."""
+    schema = "dataset string, row_id long, text string"
+    tr = spark.createDataFrame([("a", i, f"p{i} q") for i in range(4)], schema)
+    ev = spark.createDataFrame([("e", 1, "p0 p3")], schema)
+    _, infl = U.unlearn_influence(tr, ev, Optim("sgd", lr=0.5), steps=1, n_micro=4, accum=2)
+    assert {r.step for r in infl.collect()} == {1, 2}
+    model, q, w = U.fit(tr, ev, 4)
+    with pytest.raises(ValueError, match="4 steps"):
+        U.unlearn_log(model, q, w, U.eval_weights(ev), 2, Optim("sgd"))
+    with pytest.raises(ValueError, match="no parameter"):
+        U.unlearn_log(model.filter("tok <> 'q'"), q, w, U.eval_weights(ev), 4, Optim("sgd"))
+
+
+def test_warm_up_starts_at_zero():
+    opt = Optim("sgd", lr=2.0, warmup_steps=4)
+    assert [opt.lr_at(t) for t in (1, 2, 3, 4, 5, 6)] == [0.0, 0.5, 1.0, 1.5, 2.0, 2.0]
 
 
 @pytest.mark.parametrize("n_micro", [1, 2, 3, 7])
@@ -240,13 +319,18 @@ def test_slice_lookup_equals_key_join(spark, n_micro, monkeypatch):
     assert got == want
 
 
-def test_user_scorer_equals_token_join(spark, monkeypatch):
-    """The mapInPandas user-scorer path and the token-join path that
-    replaces it beyond the model-size bound give the same scores."""
+def test_user_scorer_shards(spark, monkeypatch):
+    """A model cut into many shards gives the scores of one shard and of
+    the token join."""
     import mixtrace.plans.catalog as C
     key = ["dataset", "row_id"]
     a = C.QUERIES["external_scorer"](spark, SF001).toPandas().sort_values(key).reset_index(drop=True)
-    monkeypatch.setattr(C, "SCORER_MAX_ROWS", 1)
+    monkeypatch.setattr(C, "SCORER_SHARD", 5000)
     b = C.QUERIES["external_scorer"](spark, SF001).toPandas().sort_values(key).reset_index(drop=True)
-    assert len(a) > 0 and list(a.columns) == list(b.columns)
-    assert a.equals(b)
+    assert len(a) > 0 and a.equals(b)
+    _, _, model, v, n = C._fitted(spark, SF001)
+    assert v > 3 * 5000
+    ex = lm.example_losses(C.corpora.eval_rows(spark, SF001), model, math.log(n + v)).toPandas()
+    ex = ex.sort_values(key).reset_index(drop=True)
+    assert a["n_tok"].tolist() == ex["n_tok"].tolist()
+    assert a["nll"].tolist() == pytest.approx(ex["nll"].tolist(), abs=1e-6)

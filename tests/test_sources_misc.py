@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from mixtrace.operators import evaluate, runs, selection
+from mixtrace.operators import batching, evaluate, runs, selection
 from mixtrace.sources import tables
 
 
@@ -49,14 +49,25 @@ def test_label_lookup_missing_raises(spark):
 
 
 def test_metrics_hook(spark):
-    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0)], "dataset string, v double")
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"dataset": [pdf.dataset.iloc[0]], "m": [pdf.v.max()]})
-    got = {r.dataset: r.m for r in evaluate.with_metrics(df, fn, "dataset string, m double").collect()}
-    assert got == {"a": 3.0, "b": 2.0}
-    with pytest.raises(ValueError):
-        evaluate.with_metrics(df, fn, "dataset string, m double", max_group_rows=1)
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 3.0), ("a", 3, 3.0), ("b", 1, 2.0), ("b", 2, 5.0), ("c", 1, None)],
+                               "dataset string, row_id long, v double")
+
+    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.groupby("dataset", as_index=False)["v"].max().rename(columns={"v": "m"})
+    got = {r.dataset: r.m for r in evaluate.with_metrics(df, [F.max("m").alias("m")], partial=partial,
+                                                         schema="dataset string, m double").collect()}
+    assert got["a"] == 3.0 and got["b"] == 5.0
+    plain = evaluate.with_metrics(df, [F.max("v").alias("top"), F.count("v").alias("n")])
+    assert {(r.dataset, r.top, r.n) for r in plain.collect()} == {("a", 3.0, 3), ("b", 5.0, 2), ("c", None, 0)}
+    med = evaluate.exact_median(df, F.col("v"))
+    assert {(r.dataset, r["median"]) for r in med.collect()} == {("a", 3.0), ("b", 3.5)}
+
+
+def test_run_steps_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(batching, "STEP_CHUNK", 4)
+    per = spark.createDataFrame([("a", 9), ("b", 4), ("c", 0), ("d", 1)], "run_id string, n_steps long")
+    got = sorted(map(tuple, batching.run_steps(spark, per).collect()))
+    assert got == [("a", i) for i in range(1, 10)] + [("b", i) for i in range(1, 5)] + [("d", 1)]
 
 
 def test_example_and_token_weighting(spark):
