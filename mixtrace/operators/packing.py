@@ -6,10 +6,11 @@ concatenated; if the total is at least ``block_size`` the remainder is
 dropped and the rest cut into blocks, otherwise the batch yields one short
 block (an empty batch yields none).  Blocks never span batches or datasets.
 
-Plan: instead of collecting a whole batch into one array (unbounded: many
-long documents), every token gets its position inside its batch from a
-prefix sum of document lengths, and tokens are grouped by
-``(dataset, batch, block)`` - each group holds at most ``block_size`` tokens.
+Plan: ordinals and the prefix sums of lengths are computed on narrow
+``(dataset, key, length)`` rows.  Each document then meets its start inside
+the batch (broadcast after a size check, a join on the key beyond), is sliced
+into its pieces of blocks where it stands, and the pieces are grouped by
+``(dataset, batch, block)`` - at most ``block_size`` tokens a group.
 """
 
 from __future__ import annotations
@@ -18,34 +19,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut, small_enough
 from .ordinal import dense_ordinal
 
+# Documents up to which the starts are broadcast (five narrow columns a row).
+BROADCAST_DOCS = 500_000
+
 
 def pack(seqs: DataFrame, ids: str = "input_ids", block_size: int = 1024,
          batch_docs: int = 1000, by: str = "dataset", order: str = "doc_id") -> DataFrame:
-    """(by, batch_id, block_no, input_ids, labels) from ``(by, order, ids ARRAY<...>)``.
+    """(by, batch_id, block_no, input_ids, labels, attention_mask) from
+    ``(by, order, ids ARRAY<...>)``; ``order`` is unique within a dataset.
 
-    One shuffle of the documents: the offset windows run over
-    ``(by, batch_id)`` with the id arrays attached (a window group is one
-    batch, at most ``batch_docs`` documents, and spills when large); the
-    tokens are exploded after it, and the block grouping reuses that hash
-    partitioning, so no token is shuffled before its block is formed.
+    The arrays cross the network as pieces of blocks: once, or twice when the
+    starts are too many to broadcast.  NULL and empty arrays add no tokens but
+    count as documents of their batch.
     """
-    docs = dense_ordinal(seqs.select(by, order, ids), by, [order], name="_ord")
-    docs = (docs.withColumn("batch_id", F.floor(F.col("_ord") / batch_docs).cast("long"))
-            .withColumn("_len", F.size(ids).cast("long")))
+    b = F.lit(block_size)
+    size = F.coalesce(F.greatest(F.size(ids), F.lit(0)), F.lit(0)).cast("long")
+    docs = dense_ordinal(seqs.select(by, order, size.alias("_len")), by, [order], name="_ord")
+    docs = docs.withColumn("batch_id", F.floor(F.col("_ord") / batch_docs).cast("long"))
     wb = Window.partitionBy(by, "batch_id")
     w_ord = wb.orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1)
-    b = F.lit(block_size)
     docs = (docs.withColumn("_start", F.coalesce(F.sum("_len").over(w_ord), F.lit(0)))
             .withColumn("_total", F.sum("_len").over(wb)))
     keep = F.when(F.col("_total") >= b, F.floor(F.col("_total") / b) * b).otherwise(F.col("_total"))
-    pos = (docs.select(by, "batch_id", "_start", keep.alias("_keep"), F.posexplode(ids).alias("_p", "_t"))
-           .withColumn("_pos", F.col("_start") + F.col("_p"))
-           .filter(F.col("_pos") < F.col("_keep"))
-           .withColumn("block_no", F.floor(F.col("_pos") / b).cast("long")))
-    blocks = (pos.groupBy(by, "batch_id", "block_no")
-              .agg(F.sort_array(F.collect_list(F.struct("_pos", "_t"))).alias("_b"))
-              .withColumn("input_ids", F.transform("_b", lambda s: s["_t"]))
+    starts = cut(docs.select(F.col(by).alias("_by"), F.col(order).alias("_order"), "batch_id", "_start",
+                             F.least(F.col("_start") + F.col("_len"), keep).alias("_end"))
+                 .filter(F.col("_start") < F.col("_end")))
+    side = F.broadcast(starts) if small_enough(starts, BROADCAST_DOCS) else starts
+    j = seqs.select(by, order, ids).join(
+        side, F.col(by).eqNullSafe(F.col("_by")) & F.col(order).eqNullSafe(F.col("_order")))
+
+    def piece(n):
+        first = F.greatest(F.col("_start"), n * b)
+        last = F.least(F.col("_end"), (n + 1) * b)
+        return F.struct(n.alias("block_no"), first.alias("_pos"),
+                        F.slice(ids, (first - F.col("_start") + 1).cast("int"),
+                                (last - first).cast("int")).alias("_ids"))
+
+    numbers = F.sequence(F.floor(F.col("_start") / b), F.floor((F.col("_end") - 1) / b))
+    pieces = j.select(by, "batch_id", F.explode(F.transform(numbers, piece)).alias("_p")) \
+        .select(by, "batch_id", "_p.*")
+    blocks = (pieces.groupBy(by, "batch_id", "block_no")
+              .agg(F.sort_array(F.collect_list(F.struct("_pos", "_ids"))).alias("_b"))
+              .withColumn("input_ids", F.flatten(F.transform("_b", lambda s: s["_ids"])))
               .drop("_b"))
-    return blocks.withColumn("labels", F.col("input_ids"))
+    return (blocks.withColumn("labels", F.col("input_ids"))
+            .withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids"))))

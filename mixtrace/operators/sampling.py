@@ -10,11 +10,12 @@ so a sample is reproducible, independent of partitioning, and can be written
 in SQL.  A different ``salt`` per call site replaces a shared generator.
 
 Plan shape: group sizes are one aggregate (a row per group, materialised
-once and broadcast); full
-epochs are an ``explode(sequence)`` (the output itself); only the last,
-partial epoch needs a ranking, done with a per-partition top-k before the
-shuffle when ``k`` is small, or with the distributed ordinal otherwise.  No
-group is ever sorted in one task.
+once and broadcast).  The last, partial epoch is known by its last order key:
+ranking runs on the narrow key columns only - a per-partition top-k before the
+shuffle when ``k`` is small, the distributed ordinal otherwise - and leaves
+one row per group.  The rows themselves are never shuffled: where they are
+read, each compares its order key with its group's last one and is emitted
+once per epoch it is drawn in.  ``key`` is unique within a group.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from ..session import cut, shuffle_width
 from .models.lm import join_checked
 from .ordinal import dense_ordinal
 
-# The windowed top-k keeps at most r rows per group and input partition
+# The windowed top-k keeps at most r narrow rows per group and input partition
 # before the shuffle, so the final sort of one group sees up to
 # partitions x r rows; beyond this budget the distributed ordinal is used.
-WINDOW_TOPK_ROWS = 20_000_000
+WINDOW_TOPK_ROWS = 2_000_000
 
 
 def _by(by) -> list[str]:
@@ -57,27 +58,33 @@ def sample(df: DataFrame, k, by="dataset", key: str = "doc_id", seed=42, salt: s
         spec = n.withColumn("_k", F.lit(k).cast("long"))
     else:
         spec = n.join(k.select(*by, F.col("k").cast("long").alias("_k")), by, "inner")
-    # one row per group, materialised once: the remainder bound below and
-    # both epoch branches read it instead of re-aggregating the input
+    # one row per group, materialised once: every step below reads it instead
+    # of re-aggregating the input
     spec = cut(spec.withColumn("_q", F.floor(F.col("_k") / F.col("_n")).cast("long"))
-               .withColumn("_r", (F.col("_k") % F.col("_n")).cast("long")))
-    j = join_checked(df, spec.select(*by, "_q", "_r"), by)
-    full = (j.filter(F.col("_q") > 0)
-            .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_q") - 1))))
-    part = (j.filter(F.col("_r") > 0).withColumn("epoch", F.col("_q"))
-            .withColumn("_h", order_key(seed, salt, by, F.col("epoch"), key)))
+               .withColumn("_r", (F.col("_k") % F.col("_n")).cast("long"))
+               .select(*by, "_q", "_r"))
+    # order key of the partial epoch, whose number is the count of full ones
+    pos = F.struct(order_key(seed, salt, by, F.col("_q"), key).alias("_h"), F.col(key).alias("_id"))
     r_max = spec.agg(F.max("_r")).first()[0] or 0
-    fits = r_max * shuffle_width(part) <= WINDOW_TOPK_ROWS
-    if method == "window" or (method == "auto" and fits):
-        w = Window.partitionBy(*by).orderBy("_h", key)
-        # literal bound first: Catalyst plans a partial top-k before the shuffle
-        ranked = (part.withColumn("_rn", F.row_number().over(w))
-                  .filter(F.col("_rn") <= F.lit(max(int(r_max), 1)))
-                  .filter(F.col("_rn") <= F.col("_r")))
-    else:
-        ranked = (dense_ordinal(part, by, ["_h", key], name="_rn")
-                  .filter(F.col("_rn") < F.col("_r")))
-    return full.select(*cols, "epoch").unionByName(ranked.select(*cols, "epoch"))
+    drawn = F.lit(0)
+    if r_max > 0:
+        part = (join_checked(df.select(*dict.fromkeys([*by, key])), spec, by)
+                .filter(F.col("_r") > 0).select(*by, "_r", pos.alias("_pos")))
+        if method == "window" or (method == "auto" and r_max * shuffle_width(part) <= WINDOW_TOPK_ROWS):
+            w = Window.partitionBy(*by).orderBy("_pos")
+            # literal bound first: Catalyst plans a partial top-k before the shuffle
+            last = (part.withColumn("_rn", F.row_number().over(w))
+                    .filter(F.col("_rn") <= F.lit(int(r_max)))
+                    .filter(F.col("_rn") == F.col("_r")))
+        else:
+            last = (dense_ordinal(part, by, ["_pos"], name="_rn")
+                    .filter(F.col("_rn") == F.col("_r") - 1))
+        spec = cut(spec.join(last.select(*by, F.col("_pos").alias("_last")), by, "left"))
+        drawn = F.when(pos <= F.col("_last"), 1).otherwise(0)
+    times = F.col("_q") + drawn
+    return (join_checked(df, spec, by).filter(times > 0)
+            .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
+            .select(*cols, "epoch"))
 
 
 def sample_rows(df: DataFrame, k: int, key: str, seed=42, salt: str = "",
@@ -86,28 +93,30 @@ def sample_rows(df: DataFrame, k: int, key: str, seed=42, salt: str = "",
 
     The whole table is one group (named ``all`` in the order key): its size is
     one count, so the epochs are literals and no spec table is joined.  The
-    partial epoch is a top-r by order key - a per-partition top-r before the
-    merge when r is small, the distributed ordinal otherwise.
+    last order key of the partial epoch comes from the narrow keys - a
+    per-partition top-r before the merge when r is small, the distributed
+    ordinal otherwise - and the rows are compared with it where they are read.
     """
     cols = df.columns
     n = df.count()
     if n == 0 or k <= 0:
         return df.withColumn("epoch", F.lit(0).cast("long")).filter(F.lit(False))
     q, r = divmod(int(k), n)
-    out = None
-    if q > 0:
-        out = df.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q - 1).cast("long"))))
+    times = F.lit(q).cast("long")
     if r > 0:
-        part = (df.withColumn("epoch", F.lit(q).cast("long"))
-                .withColumn("_h", md5_key(F.lit(f"{seed}{salt}"), F.lit("all"), F.col("epoch"), key)))
-        fits = r * shuffle_width(part) <= WINDOW_TOPK_ROWS
-        if method == "window" or (method == "auto" and fits):
-            ranked = part.orderBy("_h", key).limit(r)
+        pos = F.struct(md5_key(F.lit(f"{seed}{salt}"), F.lit("all"), F.lit(q).cast("long"), key).alias("_h"),
+                       F.col(key).alias("_id"))
+        part = df.select(pos.alias("_pos"))
+        if method == "window" or (method == "auto" and r * shuffle_width(part) <= WINDOW_TOPK_ROWS):
+            last = part.orderBy("_pos").limit(r).agg(F.max("_pos").alias("_pos"))
         else:
-            ranked = dense_ordinal(part, None, ["_h", key], name="_rn").filter(F.col("_rn") < r)
-        ranked = ranked.select(*cols, "epoch")
-        out = ranked if out is None else out.select(*cols, "epoch").unionByName(ranked)
-    return out.select(*cols, "epoch")
+            last = dense_ordinal(part, None, ["_pos"], name="_rn").filter(F.col("_rn") == r - 1)
+        h, i = last.select("_pos.*").first()
+        kind = df.schema[key].dataType
+        times = times + F.when(pos <= F.struct(F.lit(h).alias("_h"), F.lit(i).cast(kind).alias("_id")), 1).otherwise(0)
+    return (df.filter(times > 0)
+            .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
+            .select(*cols, "epoch"))
 
 
 def fractions_to_counts(fractions: DataFrame, total: int, by: str = "dataset",
