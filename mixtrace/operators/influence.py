@@ -198,7 +198,7 @@ def _run_map(values: dict, run: str = "run_id") -> Column:
 def unlearn_log(model: DataFrame, targets: DataFrame, weights: DataFrame,
                 eval_counts: DataFrame, steps: int, opt: Optim, eval_steps: int = 1,
                 sign: float = 1.0, extra_eval_steps: tuple[int, ...] = (),
-                with_norms: bool = False) -> DataFrame:
+                with_norms: bool = False, with_lr: bool = False) -> DataFrame:
     """U3-U9 loop: log (run_id, step, eval_dataset, metric, loss) for step 0
     and every scheduled step.  ``eval_counts`` is (eval_dataset, tok, cnt),
     plain counts (token mean) or ``batch_weighted_counts`` (E4); rows with
@@ -206,7 +206,9 @@ def unlearn_log(model: DataFrame, targets: DataFrame, weights: DataFrame,
     ``weights`` without a ``step`` column serve every step; targets of steps
     beyond ``steps`` raise.
 
-    With ``with_norms`` the log also carries per-run pre-clip ``grad_norm``.
+    With ``with_norms`` the log also carries per-run pre-clip ``grad_norm``,
+    with ``with_lr`` the learning rate ``eval_lr`` that the schedule stands at
+    (the next update's) at every evaluation.
     """
     spark = model.sparkSession
     state = opt.name != "sgd"
@@ -246,6 +248,8 @@ def unlearn_log(model: DataFrame, targets: DataFrame, weights: DataFrame,
             for n in names:
                 rows.append((run, step, n, "eval_loss", logz - sums[n] / float(totals[n])))
             rows.append((run, step, None, "eval_loss", logz - sum(sums.values()) / grand))
+            if with_lr:
+                rows.append((run, step, None, "eval_lr", float(opt.lr_at(step + 1))))
         spark.createDataFrame(rows, LOG_SCHEMA).write.mode("append").parquet(log_path)
 
     write_eval(stats, 0)

@@ -44,12 +44,12 @@ def pack(seqs: DataFrame, ids: str = "input_ids", block_size: int = 1024,
     docs = (docs.withColumn("_start", F.coalesce(F.sum("_len").over(w_ord), F.lit(0)))
             .withColumn("_total", F.sum("_len").over(wb)))
     keep = F.when(F.col("_total") >= b, F.floor(F.col("_total") / b) * b).otherwise(F.col("_total"))
-    starts = cut(docs.select(F.col(by).alias("_by"), F.col(order).alias("_order"), "batch_id", "_start",
+    starts = cut(docs.select(F.col(by).alias("_s_by"), F.col(order).alias("_s_order"), "batch_id", "_start",
                              F.least(F.col("_start") + F.col("_len"), keep).alias("_end"))
                  .filter(F.col("_start") < F.col("_end")))
     side = F.broadcast(starts) if small_enough(starts, BROADCAST_DOCS) else starts
     j = seqs.select(by, order, ids).join(
-        side, F.col(by).eqNullSafe(F.col("_by")) & F.col(order).eqNullSafe(F.col("_order")))
+        side, F.col(by).eqNullSafe(F.col("_s_by")) & F.col(order).eqNullSafe(F.col("_s_order")))
 
     def piece(n):
         first = F.greatest(F.col("_start"), n * b)
@@ -65,5 +65,10 @@ def pack(seqs: DataFrame, ids: str = "input_ids", block_size: int = 1024,
               .agg(F.sort_array(F.collect_list(F.struct("_pos", "_ids"))).alias("_b"))
               .withColumn("input_ids", F.flatten(F.transform("_b", lambda s: s["_ids"])))
               .drop("_b"))
+    return model_inputs(blocks)
+
+
+def model_inputs(blocks: DataFrame) -> DataFrame:
+    """``labels`` equal to the ids, and a mask of ones: blocks hold no padding."""
     return (blocks.withColumn("labels", F.col("input_ids"))
             .withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids"))))

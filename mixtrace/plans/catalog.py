@@ -495,14 +495,15 @@ def q_grad_accum_step(spark, sf):
 CLIP = 0.01
 
 
-@register("clip_step", O.unlearn_sql("forward", "sgd", SGD_LR, steps=2, n_micro=2, clip=CLIP, output="log"))
+@register("clip_step", O.unlearn_sql("forward", "sgd", SGD_LR, steps=2, n_micro=2, clip=CLIP, output="log",
+                                     lr_rows=True))
 def q_clip_step(spark, sf):
-    """Global gradient-norm clipping per run (max_grad_norm 0.01); the log
-    carries the pre-clip norms."""
+    """Global gradient-norm clipping per run (max_grad_norm 0.01); the log
+    carries the pre-clip norms and the learning rate."""
     tr, ev = _rows(spark, sf)
     model, q, w = U.fit(tr, ev, 2, alpha=ALPHA)
     log = U.unlearn_log(model, q, w, U.eval_weights(ev), 2, Optim("sgd", lr=SGD_LR, max_grad_norm=CLIP),
-                        with_norms=True)
+                        with_norms=True, with_lr=True)
     return log.select("run_id", "step", "eval_dataset", "metric", r6("loss").alias("value"))
 
 
@@ -624,29 +625,42 @@ def _labelled(spark, sf):
     return d.join(lab, "doc_id").select("doc_id", F.col("source").alias("dataset"), "lang", "text", "y")
 
 
+def _lr_rows(spark, sf):
+    """(doc_id, dataset, eval_dataset = language, fs, y) of the labelled documents, materialised."""
+    from ..session import cut
+    ld = _labelled(spark, sf).withColumnRenamed("lang", "eval_dataset")
+    return cut(logreg.features(ld, ["doc_id", "dataset", "eval_dataset", "y"], buckets=LR_BUCKETS))
+
+
 @register("lr_fit_step", O.logreg_sql(LR_BUCKETS, 1, LR_LR))
 def q_lr_fit_step(spark, sf):
-    """One full-batch gradient step of the toxic classifier from theta = 0."""
-    ld = _labelled(spark, sf)
-    X = logreg.features(ld, ["doc_id"], buckets=LR_BUCKETS)
-    th = logreg.fit(X, ld.select("doc_id", "y"), 1, LR_LR)
-    return th.select("f", r6("theta").alias("theta"))
+    """One full-batch gradient step of the toxic classifier from theta = 0
+    (the buckets that occur)."""
+    X = _lr_rows(spark, sf)
+    th = logreg.fit(X, 1, LR_LR, LR_BUCKETS)
+    seen = X.select(F.explode("fs").alias("f")).distinct()
+    return th.join(seen, "f", "left_semi").select("f", r6("theta").alias("theta"))
 
 
 @register("unlearn_influence_lr", O.logreg_sql(LR_BUCKETS, 2, LR_LR, unlearn_steps=2))
 def q_unlearn_influence_lr(spark, sf):
     """Classifier fitted in 2 steps; each source unlearned (2 ascent
     steps); log-loss change on every language group of labelled documents."""
-    from ..session import cut as _cut
-    ld = _cut(_labelled(spark, sf))
-    X = _cut(logreg.features(ld, ["doc_id", "dataset", "lang"], buckets=LR_BUCKETS))
-    y = ld.select("doc_id", "y")
-    th = logreg.fit(X.select("doc_id", "f"), y, 2, LR_LR)
-    Xe = X.select(F.col("lang").alias("eval_dataset"), "doc_id", "f")
-    out = logreg.unlearn_influence(X.select("dataset", "doc_id", "f"), y, Xe, y, th, 2, LR_LR)
+    X = _lr_rows(spark, sf)
+    th = logreg.fit(X, 2, LR_LR, LR_BUCKETS)
+    out = logreg.unlearn_influence(X, X, th, 2, LR_LR, LR_BUCKETS)
     return out.select("train_dataset", "eval_dataset", "step", r6("influence").alias("influence"))
 
 
+@register("influence_loo_lr", O.logreg_loo_sql(LR_BUCKETS, 2, LR_LR))
+def q_influence_loo_lr(spark, sf):
+    """Each source left out, the classifier refitted in 2 steps on the others;
+    log-loss change on every language group against the fit on all."""
+    X = _lr_rows(spark, sf)
+    out = logreg.influence_loo(X, X, 2, LR_LR, LR_BUCKETS)
+    return out.select("train_dataset", "eval_dataset", r6("influence").alias("influence"))
+
+
 # ---------------------------------------------------------------- external scorer
 # Tokens of one shard of the model; the scorer holds one shard in memory.
 SCORER_SHARD = 1_000_000
@@ -806,3 +820,47 @@ def q_model_snapshot(spark, sf):
     R.save_snapshot(model.withColumn("run_id", F.lit("full")), path, 0)
     back = R.load_snapshot(spark, path, 0).filter(F.col("run_id") == "full")
     return back.select("tok", "count", r6("theta").alias("theta"))
+
+
+# ---------------------------------------------------------------- corpus builder end to end
+from ..operators import corpus  # noqa: E402
+
+# Documents drawn from some sources before packing; the others are taken whole.
+DOC_SPEC = [("src1", 40), ("src3", 10), ("src5", 120)]
+DOC_SPEC_SQL = " UNION ALL ".join(f"SELECT '{d}' AS dataset, CAST({k} AS BIGINT) AS k" for d, k in DOC_SPEC)
+BLOCKS_EACH, BLOCKS_TOTAL = 12, 200
+BLOCKS_SPEC_SQL = " UNION ALL ".join(
+    f"SELECT '{d}' AS dataset, CAST(floor({float(BLOCKS_TOTAL)!r} * {f!r}::DOUBLE) AS BIGINT) AS k"
+    for d, f in zip(EIGHT, O.MIXTURE_FRACTIONS))
+
+
+def _corpus(spark, sf, k, doc_counts=None):
+    """The builder's blocks saved by dataset and scanned again."""
+    d = table(spark, sf, "documents").select(F.col("source").alias("dataset"), "doc_id", "text")
+    b = corpus.corpus_blocks(d, k, tokens.hashed_ids(F.split("text", " ")), doc_counts,
+                             PACK_BLOCK, PACK_BATCH, SEED)
+    path = scratch_path(spark, "corpus")
+    S.save(b, path, partition_by=["dataset"])
+    back = S.read_dirs(spark, [path], base_path=path)
+    return back.select(F.col("dataset").cast("string").alias("dataset"), "index", "epoch",
+                       F.size("input_ids").cast("long").alias("n_tokens"),
+                       F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_attended"),
+                       F.md5(ids_string("input_ids")).alias("block_md5"))
+
+
+@register("corpus_blocks_equal", O.corpus_sql(PACK_BLOCK, PACK_BATCH, SEED, doc_spec=DOC_SPEC_SQL, k=BLOCKS_EACH))
+def q_corpus_blocks_equal(spark, sf):
+    """Documents sampled where a source is listed,
+    hashed, packed, 12 blocks of every source, saved and scanned."""
+    n = table(spark, sf, "documents").groupBy(F.col("source").alias("dataset")).agg(F.count(F.lit(1)).alias("n"))
+    spec = spark.createDataFrame(DOC_SPEC, "dataset string, k long")
+    counts = n.join(F.broadcast(spec), "dataset", "left").select("dataset", F.coalesce("k", "n").alias("k"))
+    return _corpus(spark, sf, BLOCKS_EACH, counts)
+
+
+@register("corpus_blocks_weighted", O.corpus_sql(PACK_BLOCK, PACK_BATCH, SEED, spec=BLOCKS_SPEC_SQL))
+def q_corpus_blocks_weighted(spark, sf):
+    """All documents hashed, packed and numbered, 200
+    blocks drawn by the weighted mixture's fractions, saved and scanned."""
+    fr = spark.createDataFrame(list(zip(EIGHT, O.MIXTURE_FRACTIONS)), "dataset string, frac double")
+    return _corpus(spark, sf, sampling.fractions_to_counts(fr, BLOCKS_TOTAL))

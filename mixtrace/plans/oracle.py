@@ -145,22 +145,44 @@ SELECT dataset, row_id, count(*) AS n_ids,
 FROM t LEFT JOIN v USING (tok) GROUP BY dataset, row_id"""
 
 
-def pack_sql(block: int, batch_docs: int) -> str:
+def pack_sql(block: int, batch_docs: int, order: str = "doc_id", sep: str = " ",
+             rows: str = "SELECT source AS dataset, doc_id, string_split(text, ' ') AS ids FROM documents") -> str:
     return f"""
-WITH d AS (SELECT source AS dataset, doc_id, string_split(text, ' ') AS ids FROM documents),
-o AS (SELECT *, (row_number() OVER (PARTITION BY dataset ORDER BY doc_id) - 1) // {batch_docs} AS batch_id,
+WITH d AS ({rows}),
+o AS (SELECT *, (row_number() OVER (PARTITION BY dataset ORDER BY {order}) - 1) // {batch_docs} AS batch_id,
              CAST(len(ids) AS BIGINT) AS l FROM d),
-s AS (SELECT *, CAST(coalesce(sum(l) OVER (PARTITION BY dataset, batch_id ORDER BY doc_id
+s AS (SELECT *, CAST(coalesce(sum(l) OVER (PARTITION BY dataset, batch_id ORDER BY {order}
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
              CAST(sum(l) OVER (PARTITION BY dataset, batch_id) AS BIGINT) AS total FROM o),
 k AS (SELECT *, CASE WHEN total >= {block} THEN total // {block} * {block} ELSE total END AS keep FROM s),
 t AS (SELECT dataset, batch_id, start + p - 1 AS pos, tok, keep
       FROM (SELECT dataset, batch_id, start, keep, unnest(ids) AS tok, generate_subscripts(ids, 1) AS p FROM k))
 SELECT dataset, CAST(batch_id AS BIGINT) AS batch_id, CAST(pos // {block} AS BIGINT) AS block_no,
-       count(*) AS n_tokens, md5(string_agg(tok, ' ' ORDER BY pos)) AS block_md5
+       count(*) AS n_tokens, md5(string_agg(CAST(tok AS VARCHAR), '{sep}' ORDER BY pos)) AS block_md5
 FROM t WHERE pos < keep GROUP BY ALL"""
 
 
+def corpus_sql(block: int, batch_docs: int, seed=42, doc_spec: str | None = None,
+               k: int | None = None, spec: str | None = None) -> str:
+    """Documents (sampled by ``doc_spec``, all of a source it lacks) hashed, packed,
+    numbered, and ``k`` blocks a source or by ``spec`` drawn."""
+    rows = "SELECT source AS dataset, doc_id FROM documents"
+    docs = f"SELECT dataset, doc_id, 0 AS epoch FROM ({rows})"
+    if doc_spec is not None:
+        docs = sample_sql(rows, ["dataset"], "doc_id", ["dataset", "doc_id"], seed=seed, salt="corpus", spec=f"""
+            SELECT a.dataset, coalesce(b.k, a.n) AS k
+            FROM (SELECT source AS dataset, count(*) AS n FROM documents GROUP BY source) a
+            LEFT JOIN ({doc_spec}) b ON b.dataset = a.dataset""")
+    seqs = (f"SELECT x.dataset, x.epoch, x.doc_id, {hashed_sql('d.text')} AS ids "
+            f"FROM ({docs}) x JOIN documents d ON d.doc_id = x.doc_id")
+    blocks = pack_sql(block, batch_docs, "epoch, doc_id", ",", seqs)
+    numbered = f"""SELECT dataset, n_tokens, n_tokens AS n_attended, block_md5,
+        CAST(row_number() OVER (PARTITION BY dataset ORDER BY batch_id, block_no) - 1 AS BIGINT) AS index
+        FROM ({blocks})"""
+    return sample_sql(numbered, ["dataset"], "index", ["dataset", "index", "n_tokens", "n_attended", "block_md5"],
+                      k=k, spec=spec, seed=seed, salt="blocks")
+
+
 def task_batches_sql(rows: str, order: str, bs: int) -> str:
     """rows(dataset, <order>) -> + batch_id, pos."""
     return f"""
@@ -239,7 +261,8 @@ def unlearn_sql(kind: str = "forward", opt: str = "sgd", lr: float = 5.0, steps:
                 n_micro: int = 2, accum: int = 1, clip: float = 0.0, warmup: int = 0,
                 alpha: float = 1.0, eval_on: str = "eval", output: str = "influence",
                 beta1: float = 0.9, beta2: float = 0.999, eps: float = 1e-8,
-                eval_steps: int = 1, eval_batch: int = 8, batch_rows: int = 2) -> str:
+                eval_steps: int = 1, eval_batch: int = 8, batch_rows: int = 2,
+                lr_rows: bool = False) -> str:
     """The unlearning loop unrolled as CTEs (one CTE chain per step).
 
     kind: forward (runs = training datasets, micro-batches = key-order slices)
@@ -341,6 +364,11 @@ SELECT run_id, CAST(step AS BIGINT) AS step, eval_dataset, 'eval_loss' AS metric
         sel += "".join(f"""
 UNION ALL SELECT run_id, CAST({t} AS BIGINT), CAST(NULL AS VARCHAR), 'grad_norm', round(gn, 6) FROM n{t}"""
                        for t in range(1, steps + 1))
+    if lr_rows:
+        rate = {t: lr * min(1.0, t / warmup) if warmup > 0 else lr for t in evals}
+        sel += "".join(f"""
+UNION ALL SELECT run_id, CAST({t} AS BIGINT), CAST(NULL AS VARCHAR), 'eval_lr', round(CAST({v!r} AS DOUBLE), 6) FROM runs"""
+                       for t, v in rate.items())
     return body + sel
 
 
@@ -433,6 +461,32 @@ SELECT a.run_id AS train_dataset, a.eval_dataset, CAST(a.step AS BIGINT) AS step
 FROM lsa a JOIN ls0 b ON b.run_id = a.run_id AND b.eval_dataset = a.eval_dataset"""
 
 
+def logreg_loo_sql(buckets: int, steps: int, lr: float) -> str:
+    """Each source's refit on the other sources' rows against the fit on all rows:
+    difference of the mean log-losses on the language sets."""
+    r = repr
+    body = logreg_sql(buckets, steps, lr).rsplit("\nSELECT", 1)[0]
+    parts = ["nd AS (SELECT dataset, (SELECT n FROM n) - count(*) AS n FROM ld WHERE dataset IS NOT NULL GROUP BY dataset)",
+             "q0 AS (SELECT nd.dataset AS run_id, th.f, 0.0 AS theta FROM nd CROSS JOIN th0 th)"]
+    for t in range(1, steps + 1):
+        parts.append(f"""oz{t} AS (SELECT q.run_id, x.doc_id, sum(q.theta) AS z FROM x JOIN q{t - 1} q
+            ON q.f = x.f AND x.dataset IS DISTINCT FROM q.run_id GROUP BY q.run_id, x.doc_id)""")
+        parts.append(f"""oe{t} AS (SELECT run_id, doc_id, 1.0 / (1.0 + exp(-z)) - y AS e FROM oz{t} JOIN ld USING (doc_id))""")
+        parts.append(f"""og{t} AS (SELECT oe.run_id, x.f, sum(oe.e) / nd.n AS g FROM x JOIN oe{t} oe USING (doc_id)
+            JOIN nd ON nd.dataset = oe.run_id GROUP BY oe.run_id, x.f, nd.n)""")
+        parts.append(f"""q{t} AS (SELECT q.run_id, q.f, q.theta - {r(lr)} * coalesce(g.g, 0.0) AS theta
+            FROM q{t - 1} q LEFT JOIN og{t} g ON g.run_id = q.run_id AND g.f = q.f)""")
+    parts.append(f"""allp AS (SELECT run_id, f, theta FROM q{steps}
+        UNION ALL SELECT CAST(NULL AS VARCHAR), f, theta FROM th{steps})""")
+    parts.append("""ls AS (SELECT run_id, lang, avg(greatest(z, 0.0) + ln(1 + exp(-abs(z))) - y * z) AS loss
+        FROM (SELECT p.run_id, x.lang, x.doc_id, sum(p.theta) AS z FROM x JOIN allp p USING (f)
+              GROUP BY p.run_id, x.lang, x.doc_id) JOIN (SELECT doc_id, y FROM ld) USING (doc_id)
+        GROUP BY run_id, lang)""")
+    return body + ",\n" + ",\n".join(parts) + """
+SELECT a.run_id AS train_dataset, a.lang AS eval_dataset, round(a.loss - b.loss, 6) AS influence
+FROM ls a JOIN ls b ON b.run_id IS NULL AND b.lang = a.lang WHERE a.run_id IS NOT NULL"""
+
+
 def bigram_loo_sql(alpha: float = 1.0) -> str:
     a = repr(float(alpha))
     pairs = ("SELECT dataset, t[i] AS u, t[i + 1] AS v FROM (SELECT dataset, t, unnest(range(1, len(t))) AS i "
