@@ -22,7 +22,7 @@ Defined cases: NULL and empty texts have fingerprint zero and link like any
 other; fewer than three words are one shingle; NULL doc_ids take part but a
 component's id is the smallest that isn't NULL (NULL if there is none);
 repeated rows are repeated in the result; extra columns are ignored
-(``keep_first``: kept).
+(``keep_first``: kept, and one row of each component stays).
 """
 
 from __future__ import annotations
@@ -31,9 +31,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import cut
 from .common import claim, partitions, pick, positional, slices
@@ -71,17 +70,23 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     return int(((2 * count > len(h)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long)."""
+def _marked(rows: DataFrame, k: int, ddl: str) -> DataFrame:
+    """The columns of ``ddl``, and fp (the bits of the text's fingerprint as a signed long)."""
+    names = [c.split()[0] for c in ddl.split(", ")]
 
     def run(batches):
         claim("simhash")
         for b in slices(batches, "text"):
             fp = np.array([fingerprint(t, k) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(fp.view(np.int64))], [*names, "fp"])
+
+    return rows.mapInArrow(run, f"{ddl}, fp long")
 
+
+def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a signed long)."""
     rows = pick(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text")
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return _marked(rows, k, "doc_id long")
 
 
 @lru_cache(maxsize=4)
@@ -166,28 +171,37 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _named(marked: DataFrame, low: Column, distance: int) -> DataFrame:
+    """fp, low (of the fingerprint's rows), component (its smallest fingerprint)."""
+    n = partitions(marked.sparkSession)
+    distinct = cut(marked.groupBy("fp").agg(low.alias("low")).repartition(n))
+    reach = components(links(distinct, distance))
+    named = distinct.join(reach.withColumnRenamed("node", "fp"), "fp", "left")
+    return named.withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_dedup(docs: DataFrame, k: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id that links reach)."""
     marked = cut(fingerprints(docs, k))
-    n = partitions(docs.sparkSession)
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low")).repartition(n))
-    reach = components(links(distinct, distance))
-    # a component's id comes from documents, its name above from fingerprints
-    named = distinct.join(reach.withColumnRenamed("node", "fp"), "fp", "left")
-    named = named.withColumn("component", F.coalesce("component", "fp"))
+    # a component's id comes from documents, its name from fingerprints
+    named = _named(marked, F.min("doc_id"), distance)
     low = named.groupBy("component").agg(F.min("low").alias("component_id"))
     table = named.join(low, "component").select("fp", "component_id")
     return marked.join(table, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, k: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with
-    all columns of ``docs``; of rows that share a doc_id (NULL too), the one with
-    the smallest text.  The texts are shuffled once."""
+    """One row of each component, with all columns of ``docs``: the one with the
+    smallest doc_id (NULL last), of rows that share it the one with the smallest
+    (fp, hash of the row).  Rows are told apart by 128 bits over all columns but
+    maps, so only exact repeats of that row go with it; they go before the texts
+    are shuffled, which is once."""
     plain, at, names = positional(docs)
-    ids = near_dedup(docs, k, distance)
-    kept = ids.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id").alias("_k")).distinct()
-    d = plain.withColumn("_key", F.struct(F.col(at["doc_id"]).cast("long").alias("doc_id")))
-    out = d.join(kept, F.col("_key") == F.col("_k"), "left_semi")
-    w = Window.partitionBy("_key").orderBy(at["text"])  # the join's own partitioning
-    return out.withColumn("_row", F.row_number().over(w)).filter("_row = 1").drop("_row", "_key").toDF(*names)
+    whole = [c for c, kind in plain.dtypes if "map<" not in kind and "variant" not in kind]
+    plain = plain.withColumns({f"_h{i}": F.xxhash64(F.lit(i), *whole) for i in (1, 2)})
+    rows = plain.select(F.col(at["doc_id"]).cast("long").alias("doc_id"), F.col(at["text"]).alias("text"), "_h1", "_h2")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "_h1", "_h2")
+    named = _named(cut(_marked(rows, k, "doc_id long, _h1 long, _h2 long")), F.min(order), distance)
+    kept = named.groupBy("component").agg(F.min("low").alias("low")).select("low._h1", "low._h2")
+    out = plain.dropDuplicates(["_h1", "_h2"]).join(kept, ["_h1", "_h2"], "left_semi")
+    return out.drop("_h1", "_h2").toDF(*names)

@@ -196,6 +196,20 @@ def test_simhash_equals_brute_force(docs, rows, empty):
     assert simhash.near_dedup(empty).count() == 0
 
 
+def test_keep_first_keeps_one_row_of_each_component(spark):
+    rng = random.Random(8)
+    a, b, *clean = [" ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(80)) for _ in range(8)]
+    rows = [(None, t, "s") for t in clean] + [(None, clean[0], "s"), (7, a, "s"), (9, a, "s"), (3, b, "s"), (7, b, "s"), (3, b, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("m", F.create_map(F.lit("x"), F.lit(1)))
+    kept = simhash.keep_first(docs.repartition(4))
+    assert kept.columns == docs.columns
+    want = [("", t) for t in clean] + [(7, a), (3, b)]
+    assert sorted((str(r.doc_id or ""), r.text) for r in kept.collect()) == sorted((str(i), t) for i, t in want)
+    # copies whose ids are all the same: one stays, the same however rows are dealt
+    same = spark.createDataFrame([(5, a, s) for s in "pqrs"], "doc_id long, text string, source string")
+    assert len({tuple(simhash.keep_first(same.repartition(n)).collect()) for n in (1, 3)}) == 1
+
+
 def test_covering_anchors_miss_no_link(spark):
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(40)]
