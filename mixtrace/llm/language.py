@@ -111,8 +111,9 @@ class Model:
     allowed: np.ndarray
     common: int
 
-    def score(self, words: list[str]) -> np.ndarray:
-        """Bounded log posteriors, (words, langs); all zero: no evidence."""
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bounded log posteriors, (words, langs), and whether each word has
+        evidence: its script is that of a learned language."""
         owner, bucket = features(words)
         s = np.zeros((len(words), len(self.langs)))
         for k in range(len(self.langs)):
@@ -124,8 +125,9 @@ class Model:
         s -= s.max(axis=1, keepdims=True)
         s -= np.log(np.exp(s).sum(axis=1, keepdims=True))
         s = np.maximum(s, FLOOR)
-        s[~known.any(axis=1)] = 0.0
-        return s.astype(np.float32)
+        evidence = known.any(axis=1)
+        s[~evidence] = 0.0
+        return s.astype(np.float32), evidence
 
 
 def fit(rows: DataFrame, most: int = MOST_DOCS, seed: int = 1) -> Model:
@@ -223,6 +225,7 @@ class _Labeller:
     def clear(self):
         self.at: dict[str, int] = {}
         self.table = np.zeros((0, len(self.model.langs)), np.float32)
+        self.known = np.zeros(0, bool)
 
     def label(self, texts: list[str | None]):
         """For each text: word labels, and whether each word had evidence."""
@@ -234,11 +237,11 @@ class _Labeller:
         new = list(set().union(*words).difference(self.at))
         if new:
             self.at.update(zip(new, range(len(self.table), len(self.table) + len(new))))
-            self.table = np.concatenate([self.table, self.model.score(new)])
+            scores, known = self.model.score(new)
+            self.table, self.known = np.concatenate([self.table, scores]), np.concatenate([self.known, known])
         ids = np.fromiter((self.at[w] for x in words for w in x), np.int64)
         edges = np.cumsum([len(w) for w in words])
-        scores = self.table[ids]
-        labels, known = viterbi(scores, edges), (scores != 0).any(axis=1)
+        labels, known = viterbi(self.table[ids], edges), self.known[ids]
         return zip(words, np.split(labels, edges[:-1]), np.split(known, edges[:-1]))
 
 

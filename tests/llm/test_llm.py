@@ -314,6 +314,16 @@ def test_language(spark, empty):
     assert [s.lang for s in spans][0] == "en" and [s.lang for s in spans][-1] == "de"
 
 
+def test_one_language(spark):
+    rows = [(i, "plain words of one language " + prose(random.Random(i), 20), "en") for i in range(8)]
+    docs = spark.createDataFrame(rows + [(8, "日本語", None), (9, "12", None)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    got = {r.doc_id: r for r in language.identify(docs, model).collect()}
+    assert model.langs == ["en"] and all(got[i].lang_pred == "en" and got[i].score == 1 for i in range(8))
+    assert got[8].score == 0 and got[9].lang_pred == "und"
+    assert {r.doc_id for r in language.keep(docs, model).collect()} == set(range(8))
+
+
 def auc(scores, y):
     s, y = np.asarray(scores), np.asarray(y)
     return np.mean((s[y == 1][:, None] > s[y == 0][None, :]) + 0.5 * (s[y == 1][:, None] == s[y == 0][None, :]))
