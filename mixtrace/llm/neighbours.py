@@ -7,7 +7,8 @@ its leaf.  A query walks the tree best bin first: a priority queue holds the
 nodes seen, nearest centre first, and leaves are visited in that order.  How
 many leaves is calibrated: true neighbours of ``PROBES`` rows are found by
 brute force, and visits are widened until the share of them in visited leaves
-reaches ``RECALL``.
+reaches ``RECALL``.  Leaves can be small, so a query goes on past that many
+until those it visits hold k rows besides all rows of its own id.
 
 Largest inner product is nearest distance once every vector gets one more
 coordinate, sqrt(M^2 - |x|^2) with M the greatest norm, and the query a zero.
@@ -91,14 +92,16 @@ class Tree:
             todo = np.concatenate(nxt) if nxt else np.zeros(0, np.int64)
         return np.asarray(self.leaf)[node]
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves of one aimed query, best bin first."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def visit(self, q: np.ndarray, most: int, rows_of: np.ndarray | None = None, need: int = 0) -> list[int]:
+        """The first ``most`` leaves of one aimed query, best bin first; with
+        ``rows_of`` (rows of each leaf) more, until they hold ``need`` rows."""
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or rows_of is not None and held < need):
             _, n = heapq.heappop(queue)
             kids = self.children[n]
             if not kids:
                 out.append(self.leaf[n])
+                held += int(rows_of[self.leaf[n]]) if rows_of is not None else 0
                 continue
             d = ((self.centres[kids] - q) ** 2).sum(axis=1)
             for x in zip(d.tolist(), kids):
@@ -268,7 +271,7 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_i
     index = spark.read.schema("leaf long, id long, v array<double>").parquet(path)
     visits = _calibrate(index, asked, asked_ids, tree, k, recall) if len(asked) else tree.leaves
     if n <= 4 * k * visits:
-        visits = tree.leaves  # so few rows that leaves could hold fewer than k
+        visits = tree.leaves  # so few rows that all can be met
 
     # leaf -> first shard, number of shards: as many rows as leaves, which the sample bounds
     rows_of = np.zeros(tree.leaves, np.int64)
@@ -282,10 +285,10 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_i
         base.append(at)
         parts.append(cuts)
         at, held = at + cuts - 1, BLOCK if cuts > 1 else held + size
-    homes = spark.sparkContext.broadcast((np.array(base), np.array(parts)))
+    homes = spark.sparkContext.broadcast((np.array(base), np.array(parts), rows_of))
 
     def deal(batches):
-        first, cuts = homes.value
+        first, cuts, _ = homes.value
         for b in batches:
             if b.num_rows:
                 leaf = b.column("leaf").to_numpy()
@@ -294,16 +297,16 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_i
                                                  ["shard", "leaf", "id", "v"])
 
     def walk(batches):
-        t, (first, cuts) = shared.value, homes.value
+        t, (first, cuts, sizes) = shared.value, homes.value
         for b in batches:
             if not b.num_rows:
                 continue
             row, shard, leaves = [], [], []
-            for i, q in enumerate(t.aim(_matrix(b.column("v")))):
+            for i, (q, own) in enumerate(zip(t.aim(_matrix(b.column("v"))), b.column("own").to_pylist())):
                 to: dict[int, list[int]] = {}
-                for leaf in t.visit(q, visits):
-                    for k in range(cuts[leaf]):
-                        to.setdefault(int(first[leaf]) + k, []).append(leaf)
+                for leaf in t.visit(q, visits, sizes, k + own):
+                    for part in range(cuts[leaf]):
+                        to.setdefault(int(first[leaf]) + part, []).append(leaf)
                 row.extend([i] * len(to))
                 shard.extend(to)
                 leaves.extend(to.values())
@@ -313,7 +316,7 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_i
                 ["shard", "leaves", "id", "v"])
 
     # queries are spread out first: walking the tree is their work
-    queries = index.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    queries = index.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("own"))
     path, ddl = scratch_path(spark, "vector-queries"), "shard long, leaves array<long>, id long, v array<double>"
     queries.repartition(partitions(spark)).mapInArrow(walk, ddl).write.parquet(path)
     queries = spark.read.schema(ddl).parquet(path)

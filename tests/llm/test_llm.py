@@ -398,6 +398,18 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
     assert neighbours.search(few.limit(0)).count() == 0
 
 
+def test_neighbours_of_small_leaves(spark):
+    """Outliers whose leaf holds fewer rows than k."""
+    rng = np.random.default_rng(5)
+    centre = np.eye(16)
+    x = np.concatenate([centre[np.arange(4200) % 7], centre[[15, 15, 15]]]) + 1e-3 * rng.normal(size=(4203, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(4200, x[4200].tolist())] * 12  # 4200 asks, with copies of its own
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=10).collect()
+    found = [r for r in got if r.query_id == 4200]
+    assert {r.query_id for r in got} == set(range(0, 4201, 20)) and len(got) == 10 * 211
+    assert {r.vec_id for r in found if r.rank <= 2} == {4201, 4202} and 4200 not in {r.vec_id for r in found}
+
+
 def test_pipeline_keeps_columns_and_matches_stages(spark, tmp_path):
     import corpus_pipeline as cp
 
