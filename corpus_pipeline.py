@@ -9,7 +9,8 @@ all but the last return the columns of ``documents``.
 2. SimHash near-dedup: one document of each component stays;
 3. substring dedup: repeated windows of 50 words leave the texts;
 4. mixing: documents are repeated or left out to meet the sources' targets;
-5. SentencePiece: the ids of every text, with the end id.
+5. SentencePiece: the ids of every text, with the end id, their byte spans and
+   the text decoded from them.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode_ids(docs, registry.tokenizer("piece_bpe_32k.model"))
+    return sentencepiece_codec.encode(docs, registry.tokenizer("piece_bpe_32k.model"))
 
 
 STAGES = [

@@ -233,24 +233,25 @@ SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, ids array<int> (with the end id), spans array<struct<start,end>>
-    (byte offsets in the UTF-8 text), text decoded from the ids."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())),
-                        ("spans", pa.list_(SPAN)), ("decoded", pa.string())])
+    """doc_id, n_tokens, ids array<int> (with the end id), spans
+    array<struct<start,end>> (byte offsets in the UTF-8 text), text decoded from the ids."""
 
     def run(batches):
         m = model(model_path)
-        for b in slices(batches, "text"):
-            rows = []
+        for b in slices(batches, "text", 1 << 19):  # spans are many times a text
             texts = [t or "" for t in b.column("text").to_pylist()]
-            for text, ids in zip(texts, m.ids(texts)):
-                span = m.spans(text, ids)
-                rows.append((ids, [{"start": int(a), "end": int(z)} for a, z in span], m.sp.decode(ids.tolist())))
+            ids = m.ids(texts)
+            edge = pa.array(np.append(0, np.cumsum([len(x) for x in ids])), pa.int32())
+            span = np.concatenate([m.spans(t, x) for t, x in zip(texts, ids)]).astype(np.int64)
+            pair = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(span[:, i])) for i in (0, 1)], fields=list(SPAN))
+            back = m.sp.decode([x.tolist() for x in ids], num_threads=1)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *[pa.array(c, t) for c, t in zip(zip(*rows), schema.types[1:])]], schema=schema)
+                [b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),
+                 pa.ListArray.from_arrays(edge, pa.array(np.concatenate(ids))), pa.ListArray.from_arrays(edge, pair),
+                 pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "spans", "decoded"])
 
     return pick(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(
-        run, "doc_id long, ids array<int>, spans array<struct<start:long,end:long>>, decoded string")
+        run, "doc_id long, n_tokens long, ids array<int>, spans array<struct<start:long,end:long>>, decoded string")
 
 
 def encode_ids(docs: DataFrame, model_path: str) -> DataFrame:

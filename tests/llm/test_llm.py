@@ -410,6 +410,18 @@ def test_neighbours_of_small_leaves(spark):
     assert {r.vec_id for r in found if r.rank <= 2} == {4201, 4202} and 4200 not in {r.vec_id for r in found}
 
 
+def test_pipeline_ends_with_spans_and_decoded_text(spark):
+    import corpus_pipeline as cp
+
+    rows = [(1, "größe of  it"), (None, None)]
+    got = {r.doc_id: r for r in cp.STAGES[-1][1](spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    sp = sentencepiece_codec.model(registry.tokenizer("piece_bpe_32k.model")).sp
+    for i, text in rows:
+        raw = (text or "").encode()
+        assert got[i].ids == sp.encode(text or "", add_eos=True) and got[i].n_tokens == len(got[i].ids) == len(got[i].spans)
+        assert got[i].decoded == sp.decode(got[i].ids) and b"".join(raw[s.start:s.end] for s in got[i].spans) == raw
+
+
 def test_pipeline_keeps_columns_and_matches_stages(spark, tmp_path):
     import corpus_pipeline as cp
 
