@@ -210,9 +210,10 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     window that starts at word pos + i and also starts in a smaller document."""
     occ = _kept_table(_occurrences(docs, window), "paths")
     anchors = occ.groupBy("m").agg(F.min("doc").alias("low"), F.max("doc").alias("high"),
-                                   F.min("s1").alias("sa"), F.max("s1").alias("sb")).filter("low < high")
+                                   *[f(s).alias(f"{s}_{f.__name__}") for s in ("s1", "s2") for f in (F.min, F.max)]).filter("low < high")
+    branches = (F.col("s1_min") != F.col("s1_max")) | (F.col("s2_min") != F.col("s2_max"))
     # joins with written tables: AQE splits hot keys of plain sort-merge joins only
-    anchors = _kept_table(anchors.select("m", "low", (F.col("sa") != F.col("sb")).alias("branches")), "anchors")
+    anchors = _kept_table(anchors.select("m", "low", branches.alias("branches")), "anchors")
     hit = _kept_table(occ.join(anchors, "m").filter("branches or doc > low"), "repeated-paths")
     plain = hit.filter("not branches").select(
         "doc", "at", F.expr("shiftleft(1L, cast(shiftright(at, 32) & 31 as int)) - 1").alias("mask"))

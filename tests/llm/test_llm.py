@@ -171,6 +171,13 @@ def test_substring_rows_sharing_an_id(spark):
     assert got == [(-1, 0), (5, 0), (5, 0), (5, 0), (7, 60)]
 
 
+def test_substring_paths_differ_by_either_hash(docs, monkeypatch):
+    want = sorted(substring.digests(docs).collect())
+    made = substring._occurrences
+    monkeypatch.setattr(substring, "_occurrences", lambda *a: made(*a).withColumn("s1", F.lit(0).cast("long")))
+    assert sorted(substring.digests(docs).collect()) == want
+
+
 def brute_fingerprint(t):
     import xxhash
 
