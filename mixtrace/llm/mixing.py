@@ -77,6 +77,12 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -
     """doc_id, source, size, source_size, target, copies (checkpointed narrow rows)."""
     rows = pick(docs, "doc_id", "source", "text").select(
         "doc_id", "source", n_words(F.col("text")).alias("size"))
+    return _plan(rows, weights, most, seed)
+
+
+def _plan(rows: DataFrame, weights, most: int, seed: int, text: tuple[str, ...] = ()) -> DataFrame:
+    """``plan`` of doc_id, source, size; ``text`` names a hash of the text, which
+    orders and slices rows that share an id (NULL ids all have one ``_h``)."""
     rows = cut(rows.withColumn("_h", unit_hash(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     same = F.col("source").eqNullSafe(F.col("_source"))
     # one row per (source, size); its hash slices keep equal sizes from filling one task
@@ -85,7 +91,13 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -
     unit = 1 << 32
     sliced = rows.join(level.select(F.col("source").alias("_source"), F.col("size").alias("_size"), "_slices"),
                        same & (F.col("size") == F.col("_size"))).drop("_source", "_size")
-    sliced = cut(sliced.withColumn("_slice", F.floor(F.col("_h") * F.col("_slices") / F.lit(float(unit)))).drop("_slices"))
+    piece = F.floor(F.col("_h") * F.col("_slices") / F.lit(float(unit)))
+    for c in text:  # rows without an id lie between the hashes below and above theirs, in slices of their own
+        none, at = F.col("doc_id").isNull(), unit_hash(F.lit(str(seed)), F.lit(""))
+        place = F.when(none, 1).when(F.col("_h") <= at, 0).otherwise(2)
+        part = F.when(none, F.floor(F.pmod(c, F.lit(unit)) * F.col("_slices") / F.lit(float(unit)))).otherwise(F.lit(0))
+        piece = F.struct(piece.alias("h"), place.alias("place"), part.alias("part"))
+    sliced = cut(sliced.withColumn("_slice", piece).drop("_slices"))
     groups = sliced.groupBy("source", "size", "_slice").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("source").orderBy("size", "_slice").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
@@ -96,26 +108,31 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -
               .select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("_slice").alias("_part"),
                       "_before", "source_size", "target", "_u"))
     ranked = sliced.join(groups, same & (F.col("size") == F.col("_size")) & (F.col("_slice") == F.col("_part")))
-    inner = Window.partitionBy("source", "size", "_slice").orderBy("_h", "doc_id")
+    inner = Window.partitionBy("source", "size", "_slice").orderBy("_h", "doc_id", *text)
     rank = F.col("_before") + F.row_number().over(inner)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     ranked = ranked.withColumn("_rank", rank.cast("double")).withColumn("_rate", rate)
     copies = (F.floor(F.col("_rate") * F.col("_rank") + F.col("_u"))
               - F.floor(F.col("_rate") * (F.col("_rank") - 1) + F.col("_u")))
-    return ranked.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return ranked.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), *text)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The mixture itself: every row of ``docs`` as often as the plan says,
-    with its own columns.  Rows that share (doc_id, source) share their copies
-    evenly.  The texts are shuffled once, for the join with the plan."""
+    with its own columns.  Only rows that share doc_id, source and text share
+    their copies, evenly, the odd ones by a hash of the row.  The texts are
+    shuffled once, for the join with the plan."""
     plain, at, names = positional(docs)
-    p = plan(docs, weights, most, seed).groupBy(F.struct("doc_id", "source").alias("_k")).agg(
+    text = F.xxhash64(at["text"])
+    rows = plain.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["source"]).alias("source"),
+                        n_words(F.col(at["text"])).alias("size"), text.alias("_t"))
+    p = _plan(rows, weights, most, seed, ("_t",)).groupBy(F.struct("doc_id", "source", "_t").alias("_k")).agg(
         F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).filter("_copies > 0")
     # a struct equals another whose NULL fields are NULL too
-    d = plain.withColumn("_key", F.struct(F.col(at["doc_id"]).alias("doc_id"), F.col(at["source"]).alias("source")))
+    d = plain.withColumn("_key", F.struct(F.col(at["doc_id"]).alias("doc_id"), F.col(at["source"]).alias("source"), text.alias("_t")))
     out = d.join(p, F.col("_key") == F.col("_k"))
-    rank = F.row_number().over(Window.partitionBy("_key").orderBy(at["doc_id"]))  # the join's own partitioning
+    whole = [c for c, kind in plain.dtypes if "map<" not in kind and "variant" not in kind]
+    rank = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*whole)))  # the join's own partitioning
     copies = F.floor(F.col("_copies") / F.col("_rows")) + F.when(rank <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
     out = out.withColumn("_n", copies.cast("int")).filter("_n > 0")
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))

@@ -278,6 +278,20 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.mix(twice).count() == mixing.plan(twice).agg(F.sum("copies")).first()[0]
 
 
+def test_mixed_rows_without_ids_keep_their_sizes(spark):
+    rows = [(None, f"w{i}", "b", i) for i in range(20)] + [(None, f"v{i} " * 1000, "b", i) for i in range(20)]
+    rows += [(i, "x " * 1000, "a", i) for i in range(15)] + [(None, "y " * 500, "b", i) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").coalesce(1)
+    planned = {}
+    for r in mixing.plan(docs).collect():
+        planned[r.source, r.size] = planned.get((r.source, r.size), 0) + r.copies
+    got, again = ([(r.source, r.text, r.n) for r in mixing.mix(d).collect()] for d in (docs, docs.repartition(3)))
+    counted = {}
+    for source, text, _ in got:
+        counted[source, len(words(text))] = counted.get((source, len(words(text))), 0) + 1
+    assert counted == {k: n for k, n in planned.items() if n} and sorted(got) == sorted(again)
+
+
 def test_targets_are_the_resharing(spark):
     rng = random.Random(9)
     for _ in range(6):
