@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chunks, language, mixing, neighbours, quality, sentencepiece_codec, simhash, substring, token_files,
-               toxicity)
+from . import (alignment, chunks, decontamination, language, lexical, mixing, neighbours, quality, sentencepiece_codec,
+               simhash, substring, token_files, toxicity)
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,21 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     """The 20 nearest found of every twentieth vector."""
     return neighbours.search(table(spark, sf, "embeddings"))
+
+
+@register("op11_lexical_search", lexical.oracle_sql())
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """The 10 best documents of every benchmark item."""
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@register("op12_alignment")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups and links of every document's tokens under two tokenizers."""
+    return alignment.score(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+@register("op13_decontamination", decontamination.oracle_sql())
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark words in every document."""
+    return decontamination.report(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("items")
