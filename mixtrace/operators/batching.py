@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import md5_key
+from ..session import cut
+from .joins import same_keys
+from .models.lm import BROADCAST_ROWS
 from .ordinal import dense_ordinal
 
 # Extra evaluation steps of the denser schedule.
@@ -17,7 +20,8 @@ def task_batches(df: DataFrame, batch_size: int = 8, by: str = "dataset",
                  order: str = "row_id") -> DataFrame:
     """Batches never mix datasets; datasets in first-appearance order, rows
     in ``order``; the last partial batch of a dataset is kept; ``batch_id`` is
-    global.  Adds ``batch_id`` and ``pos`` (position in batch).
+    global.  Adds ``batch_id`` and ``pos`` (position in batch).  Rows of a NULL
+    dataset are a dataset too.
 
     Per-row work is the distributed ordinal; the batch offsets are an
     exclusive prefix sum over one row per dataset.
@@ -26,8 +30,8 @@ def task_batches(df: DataFrame, batch_size: int = 8, by: str = "dataset",
     per = (df.groupBy(by).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"))
            .withColumn("_nb", F.ceil(F.col("_n") / batch_size).cast("long")))
     w = Window.orderBy("_first", by)  # one row per dataset
-    per = per.withColumn("_off", F.sum("_nb").over(w) - F.col("_nb")).select(by, "_off")
-    return (o.join(F.broadcast(per), by)
+    per = cut(per.withColumn("_off", F.sum("_nb").over(w) - F.col("_nb")).select(by, "_off"))
+    return (same_keys(o, per, by, broadcast=BROADCAST_ROWS)
             .withColumn("batch_id", (F.col("_off") + F.floor(F.col("_ord") / batch_size)).cast("long"))
             .withColumn("pos", (F.col("_ord") % batch_size).cast("long"))
             .drop("_off", "_ord"))

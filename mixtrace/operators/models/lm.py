@@ -12,14 +12,13 @@ exact optimum of the loss on the smoothed counts, so "training" is one
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ...functions.text import WORD_SPLIT, word_tokens
 from ...session import cut, small_enough, spread
+from ..joins import same_keys
 
 # Rows of a side that may be broadcast after a size check.
 BROADCAST_ROWS = 1_000_000
@@ -176,41 +175,43 @@ def few_cells(df: DataFrame, rows: int) -> bool:
     return rows <= BROADCAST_ROWS and rows * len(df.columns) <= BROADCAST_CELLS
 
 
-def run_stats(params: DataFrame, wide: DataFrame, names: list[str], broadcast_wide: bool,
-              rest: DataFrame | None = None, broadcast_rest: bool = False,
-              run: str = "run_id") -> dict:
-    """One pass over a parameter table: per run, logZ and sum_w c_e(w) theta_w
-    for every evaluation set e (rows weighted by a multiplicity ``n`` when
-    the table has one).  Rows of a class (``tok`` NULL, ``_c``) find the class's
-    evaluation counts in ``rest`` (run, _c, _e0, ...).  Returns {run: (logz, {e: sum})} - a few
-    numbers per run (the step's metrics), not data.
+def run_state(params: DataFrame, runs: DataFrame, wide: DataFrame | None = None, n_sets: int = 0,
+              broadcast_wide: bool = False, rest: DataFrame | None = None, broadcast_rest: bool = False,
+              run: str = "run_id") -> DataFrame:
+    """One pass over a parameter table: a row per run that has parameters, with
+    logz, ``e`` (array of sum_w c_e(w) theta_w for every evaluation set e; NULL
+    without ``wide``) and the run's own columns in ``runs``.
 
-    The evaluation counts are joined on ``tok`` (broadcast after a size check),
-    so the parameter table is never shuffled for evaluation.
+    Rows are weighted by a multiplicity ``n`` when the table has one; rows of a
+    class (``tok`` NULL, ``_c``) find the class's evaluation counts in ``rest``
+    (run, _c, _e0, ...).  The evaluation counts are joined on ``tok`` (broadcast
+    after a size check), so the parameter table is not shuffled: what crosses
+    the network is a partial sum per run and task.  exp is taken relative to a
+    multiple of ``STRIDE``, as in ``log_partition``.
     """
-    w = F.broadcast(wide) if broadcast_wide else wide
     n = F.col("n") if "n" in params.columns else F.lit(1)
-    cols = [f"_e{i}" for i in range(len(names))]
-    e = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in cols]
-    j = (params.filter(F.col("tok").isNotNull()).select(run, "tok", "theta", n.alias("_n"))
-         .join(w, "tok", "left").select(run, "theta", "_n", *e))
-    if rest is not None:
-        r = F.broadcast(rest) if broadcast_rest else rest
-        j = j.unionByName(params.filter(F.col("tok").isNull()).select(run, "_c", "theta", n.alias("_n"))
-                          .join(r, [run, "_c"], "left").select(run, "theta", "_n", *e))
-    agg = j.groupBy(run, stride("theta").alias("_s")).agg(
+    cols = [f"_e{i}" for i in range(n_sets)] if wide is not None else []
+    j = params.select(run, "theta", n.alias("_n"))
+    if cols:
+        e = [F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in cols]
+        w = F.broadcast(wide) if broadcast_wide else wide
+        j = (params.filter(F.col("tok").isNotNull()).select(run, "tok", "theta", n.alias("_n"))
+             .join(w, "tok", "left").select(run, "theta", "_n", *e))
+        if rest is not None:
+            r = params.filter(F.col("tok").isNull()).select(run, "_c", "theta", n.alias("_n"))
+            j = j.unionByName(same_keys(r, rest, [run, "_c"], "left", broadcast_rest).select(run, "theta", "_n", *e))
+    part = j.groupBy(run, stride("theta").alias("_s")).agg(
         F.log(F.sum(F.col("_n") * F.exp(F.col("theta") - stride("theta")))).alias("_l"),
         *[F.sum(F.col(c) * F.col("theta")).alias(c) for c in cols])
-    parts: dict = {}
-    for r in agg.collect():  # a handful of rows per run
-        parts.setdefault(r[run], []).append(r)
-    out = {}
-    for key, rows in parts.items():
-        x = [r["_s"] + r["_l"] for r in rows]
-        top = max(x)
-        out[key] = (top + math.log(sum(math.exp(v - top) for v in x)),
-                    {n: sum(r[f"_e{i}"] for r in rows) for i, n in enumerate(names)})
-    return out
+    part = part.select(run, (F.col("_s") + F.col("_l")).alias("_x"), *cols)
+    own = [c for c in runs.columns if c != run]
+    both = part.unionByName(runs, allowMissingColumns=True).groupBy(run).agg(
+        F.collect_list("_x").alias("_x"), *[F.sum(c).alias(c) for c in cols],
+        *[F.first(c, ignorenulls=True).alias(c) for c in own])
+    top = F.array_max("_x")
+    logz = top + F.log(F.aggregate("_x", F.lit(0.0), lambda a, v: a + F.exp(v - top)))
+    e = F.array(*cols) if cols else F.lit(None).cast("array<double>")
+    return both.filter(F.size("_x") > 0).select(run, logz.alias("logz"), e.alias("e"), *own)
 
 
 def model_scorer(path: str, logz: float, alpha: float = 1.0):
@@ -281,22 +282,23 @@ def influence_loo_bigram(train_pairs: DataFrame, eval_pairs: DataFrame, vocab_si
     totals = {r[0]: r[1] for r in eval_pairs.groupBy("eval_dataset").agg(F.sum("cnt")).collect()}
     names = sorted(totals)
     a, av = F.lit(alpha), F.lit(alpha * vocab_size)
-    wp = eval_pairs.groupBy("u", "v").pivot("eval_dataset", names).agg(F.sum("cnt")).fillna(0, subset=names)
-    wc = eval_pairs.groupBy("u").pivot("eval_dataset", names).agg(F.sum("cnt")).fillna(0, subset=names)
+    at = (F.array_position(F.array(*[F.lit(n) for n in names]), F.col("eval_dataset")) - 1).alias("_at")
+    cols = [f"_e{i}" for i in range(len(names))]  # by position: a set may have any name
+
+    def wide(keys: list[str]) -> DataFrame:
+        w = eval_pairs.select(*keys, at, "cnt").groupBy(*keys).pivot("_at", list(range(len(names)))).agg(F.sum("cnt"))
+        return w.select(*keys, *[F.coalesce(quoted(str(i)), F.lit(0)).alias(c) for i, c in enumerate(cols)])
+
     tp = train_pairs.withColumn("C", F.sum("cnt").over(Window.partitionBy("u", "v")))
     tcx = train_pairs.groupBy("dataset", "u").agg(F.sum("cnt").alias("cnt"))
     tcx = tcx.withColumn("C", F.sum("cnt").over(Window.partitionBy("u")))
     da = F.log(F.col("C") - F.col("cnt") + av) - F.log(F.col("C") + av)
     db = F.log(F.col("C") - F.col("cnt") + a) - F.log(F.col("C") + a)
-    ta = join_checked(tcx, wc, "u").groupBy("dataset").agg(*[F.sum(F.col(f"`{n}`") * da).alias(n) for n in names])
-    tb = join_checked(tp, wp, ["u", "v"]).groupBy("dataset").agg(*[F.sum(F.col(f"`{n}`") * db).alias(n) for n in names])
-    per_d = train_pairs.select("dataset").distinct()
-    stack = ", ".join(f"'{n}', `{n}`" for n in names)
-    la = per_d.join(ta, "dataset", "left").fillna(0.0, subset=names) \
-        .selectExpr("dataset", f"stack({len(names)}, {stack}) as (eval_dataset, sa)")
-    lb = per_d.join(tb, "dataset", "left").fillna(0.0, subset=names) \
-        .selectExpr("dataset", f"stack({len(names)}, {stack}) as (eval_dataset, sb)")
-    tot = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(float(totals[n])))])
-    return (la.join(lb, ["dataset", "eval_dataset"])
-            .select(F.col("dataset").alias("train_dataset"), "eval_dataset",
-                    ((F.col("sa") - F.col("sb")) / tot[F.col("eval_dataset")]).alias("influence")))
+    # one row per dataset: what its contexts add, less what its pairs take
+    ta = join_checked(tcx, wide(["u"]), "u").select("dataset", *[(F.col(c) * da).alias(c) for c in cols])
+    tb = join_checked(tp, wide(["u", "v"]), ["u", "v"]).select("dataset", *[(-F.col(c) * db).alias(c) for c in cols])
+    none = train_pairs.select("dataset", *[F.lit(0.0).alias(c) for c in cols])
+    per = none.unionByName(ta).unionByName(tb).groupBy("dataset").agg(*[F.sum(c).alias(c) for c in cols])
+    each = F.array(*[F.struct(F.lit(n).alias("eval_dataset"), (F.col(c) / float(totals[n])).alias("influence"))
+                     for n, c in zip(names, cols)])
+    return per.select(F.col("dataset").alias("train_dataset"), F.inline(each))

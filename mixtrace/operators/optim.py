@@ -2,7 +2,8 @@
 
 A step sees, per row, ``theta`` (and optimizer state ``m``, ``v``), the
 gradient ``g`` and the step number; per-run scalars (gradient norm, update
-RMS) are small aggregates joined back by ``run_id``.  Unlearning negates the
+RMS) are aggregates with a row per run, joined back by ``run_id``: none of
+them passes through the driver.  Unlearning negates the
 loss, i.e. it moves along ``+update`` (``sign = +1``); learning uses -1.
 
 Formulas follow the published algorithms: Adam with decoupled weight decay
@@ -18,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import same_keys
+
 
 @dataclass(frozen=True)
 class Optim:
@@ -40,6 +43,12 @@ class Optim:
             return self.lr * min(1.0, (step - 1) / self.warmup_steps)
         return self.lr
 
+    def lr_after(self, step: Column) -> Column:
+        """The learning rate of the update after ``step``."""
+        if self.warmup_steps > 0:
+            return F.lit(self.lr) * F.least(F.lit(1.0), step / self.warmup_steps)
+        return F.lit(float(self.lr))
+
 
 def mult(df: DataFrame) -> Column:
     """Row multiplicity: a parameter row may stand for ``n`` equal parameters
@@ -54,8 +63,9 @@ def clip_scale(j: DataFrame, max_norm: float, run: str = "run_id") -> DataFrame:
 
 
 def apply_update(j: DataFrame, opt: Optim, step: int, sign: float = 1.0,
-                 run: str = "run_id") -> DataFrame:
-    """New (theta, m, v) from rows holding theta, m, v, g."""
+                 run: str = "run_id", few_runs: bool = True) -> DataFrame:
+    """New (theta, m, v) from rows holding theta, m, v, g.  ``few_runs``:
+    a row per run may be broadcast."""
     lr = opt.lr_at(step)
     g = F.col("g")
     if opt.name == "sgd":
@@ -74,12 +84,10 @@ def apply_update(j: DataFrame, opt: Optim, step: int, sign: float = 1.0,
         b2 = 1.0 - step ** opt.decay_rate
         v = F.lit(b2) * F.col("v") + F.lit(1 - b2) * (g * g + F.lit(opt.eps1))
         out = j.withColumn("v", v).withColumn("_u", g / F.sqrt(F.col("v")))
-        # per-run RMS of the update: one aggregate, a number per run
-        rms = {r[0]: r[1] for r in
-               out.groupBy(run).agg(F.sqrt(F.sum(mult(out) * F.col("_u") * F.col("_u"))
-                                           / F.sum(mult(out)))).collect()}
-        rms_col = F.create_map(*[x for k, v in sorted(rms.items()) for x in (F.lit(k), F.lit(float(v)))])[F.col(run)]
-        out = out.withColumn("_u", F.col("_u") / F.greatest(F.lit(1.0), rms_col / opt.clip_threshold))
+        # per-run RMS of the update: one aggregate, joined back
+        square = F.sum(mult(out) * F.col("_u") * F.col("_u")) / F.sum(mult(out))
+        out = same_keys(out, out.groupBy(run).agg(F.sqrt(square).alias("_rms")), run, broadcast=few_runs)
+        out = out.withColumn("_u", F.col("_u") / F.greatest(F.lit(1.0), F.col("_rms") / opt.clip_threshold)).drop("_rms")
     else:
         raise ValueError(opt.name)
     return out.withColumn("theta", F.col("theta") + F.lit(sign * lr) * F.col("_u")).drop("_u")
@@ -91,11 +99,12 @@ def gradient(params: DataFrame, logz: Column, targets: DataFrame, a: Column,
 
     ``targets(run, tok, q)``: the step's normalised token counts (averaged over
     accumulated micro-batches); ``logz`` and ``a`` (share of accumulated
-    micro-batches present in the step) are per-run scalars given as column
-    expressions (small literal maps keyed by run).
+    micro-batches present in the step) are per-run scalars, columns of ``params``.
+    Rows without a token (classes) have no target.
     """
-    t = F.broadcast(targets) if broadcast_targets else targets
-    j = params.join(t, [run, "tok"], "left")
+    t = targets.select(F.col(run).alias("_t_run"), F.col("tok").alias("_t_tok"), "q")
+    t = F.broadcast(t) if broadcast_targets else t
+    j = params.join(t, F.col(run).eqNullSafe(F.col("_t_run")) & (F.col("tok") == F.col("_t_tok")), "left")
     g = (F.coalesce(a, F.lit(0.0)) * F.exp(F.col("theta") - logz)
          - F.coalesce(F.col("q"), F.lit(0.0)))
-    return j.withColumn("g", g).drop("q")
+    return j.withColumn("g", g).drop("q", "_t_run", "_t_tok")

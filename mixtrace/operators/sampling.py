@@ -15,7 +15,8 @@ ranking runs on the narrow key columns only - a per-partition top-k before the
 shuffle when ``k`` is small, the distributed ordinal otherwise - and leaves
 one row per group.  The rows themselves are never shuffled: where they are
 read, each compares its order key with its group's last one and is emitted
-once per epoch it is drawn in.  ``key`` is unique within a group.
+once per epoch it is drawn in.  ``key`` is unique within a group.  Rows whose
+group is NULL (or NULL in a column of it) are a group of their own.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from pyspark.sql.window import Window
 
 from ..functions.text import md5_key
 from ..session import cut, shuffle_width
-from .models.lm import join_checked
+from .joins import same_keys
+from .models.lm import BROADCAST_ROWS
 from .ordinal import dense_ordinal
 
 # The windowed top-k keeps at most r narrow rows per group and input partition
@@ -57,7 +59,7 @@ def sample(df: DataFrame, k, by="dataset", key: str = "doc_id", seed=42, salt: s
     if isinstance(k, int):
         spec = n.withColumn("_k", F.lit(k).cast("long"))
     else:
-        spec = n.join(k.select(*by, F.col("k").cast("long").alias("_k")), by, "inner")
+        spec = same_keys(n, k.select(*by, F.col("k").cast("long").alias("_k")), by)
     # one row per group, materialised once: every step below reads it instead
     # of re-aggregating the input
     spec = cut(spec.withColumn("_q", F.floor(F.col("_k") / F.col("_n")).cast("long"))
@@ -68,7 +70,7 @@ def sample(df: DataFrame, k, by="dataset", key: str = "doc_id", seed=42, salt: s
     r_max = spec.agg(F.max("_r")).first()[0] or 0
     drawn = F.lit(0)
     if r_max > 0:
-        part = (join_checked(df.select(*dict.fromkeys([*by, key])), spec, by)
+        part = (same_keys(df.select(*dict.fromkeys([*by, key])), spec, by, broadcast=BROADCAST_ROWS)
                 .filter(F.col("_r") > 0).select(*by, "_r", pos.alias("_pos")))
         if method == "window" or (method == "auto" and r_max * shuffle_width(part) <= WINDOW_TOPK_ROWS):
             w = Window.partitionBy(*by).orderBy("_pos")
@@ -79,10 +81,10 @@ def sample(df: DataFrame, k, by="dataset", key: str = "doc_id", seed=42, salt: s
         else:
             last = (dense_ordinal(part, by, ["_pos"], name="_rn")
                     .filter(F.col("_rn") == F.col("_r") - 1))
-        spec = cut(spec.join(last.select(*by, F.col("_pos").alias("_last")), by, "left"))
+        spec = cut(same_keys(spec, last.select(*by, F.col("_pos").alias("_last")), by, "left"))
         drawn = F.when(pos <= F.col("_last"), 1).otherwise(0)
     times = F.col("_q") + drawn
-    return (join_checked(df, spec, by).filter(times > 0)
+    return (same_keys(df, spec, by, broadcast=BROADCAST_ROWS).filter(times > 0)
             .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
             .select(*cols, "epoch"))
 

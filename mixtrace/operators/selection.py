@@ -32,10 +32,11 @@ def include(df: DataFrame, names: list[str] | None, col: str = "dataset") -> Dat
 
 
 def exclude(df: DataFrame, names: list[str] | None, col: str = "dataset") -> DataFrame:
-    """Leave the named datasets out (applied after ``include``)."""
+    """Leave the named datasets out (applied after ``include``).  A NULL
+    dataset is not named, so it stays."""
     if not names:
         return df
-    return df.filter(~F.col(col).isin(list(names)))
+    return df.filter(~F.coalesce(F.col(col).isin(list(names)), F.lit(False)))
 
 
 def coverage(df: DataFrame, requested: list[str], col: str = "dataset") -> DataFrame:

@@ -745,6 +745,22 @@ def q_collate_pairs(spark, sf):
                       ids_string("answers").alias("answers"))
 
 
+RAGGED_BATCH, RAGGED_ACCUM = 64, 2
+
+
+@register("unlearn_influence_ragged", O.unlearn_sql("forward", "sgd", SGD_LR, steps=6, accum=RAGGED_ACCUM,
+                                                    rows=O.LANG_ROWS, run_batch=RAGGED_BATCH))
+def q_unlearn_influence_ragged(spark, sf):
+    """U8: one epoch of every language (texts without one are a dataset too) in micro-batches
+    of 64 rows, 2 a step, so each run has its own number of steps.  The SQL twin is
+    unrolled for epochs of up to 6 steps (768 rows a language)."""
+    docs = table(spark, sf, "documents")
+    tr = docs.select(F.col("lang").alias("dataset"), F.col("doc_id").alias("row_id"), "text")
+    _, infl = U.unlearn_influence(tr, corpora.eval_rows(spark, sf), Optim("sgd", lr=SGD_LR),
+                                  batch_rows=RAGGED_BATCH, accum=RAGGED_ACCUM)
+    return _infl(infl)
+
+
 EPOCH_STEPS, EPOCH_EVAL = 8, 4
 
 

@@ -15,6 +15,9 @@ def tok(text: str = "text") -> str:
     return TOK.format(t=text)
 
 
+#: Stands for a NULL dataset inside the SQL of joins by name.
+NO_NAME = "<none>"
+LANG_ROWS = f"SELECT coalesce(lang, '{NO_NAME}') AS dataset, doc_id AS row_id, text FROM documents"
 TRAIN_ROWS = "SELECT source AS dataset, doc_id AS row_id, text FROM documents"
 EVAL_ROWS = ("SELECT 'bench' AS dataset, item_id AS row_id, text FROM benchmark UNION ALL "
              "SELECT 'toxic' AS dataset, doc_id AS row_id, text FROM documents "
@@ -61,9 +64,10 @@ def sample_sql(rows: str, by: list[str], key: str, cols: list[str], k: int | Non
     """SQL twin of ``sampling.sample``: full epochs by unnest(range(q)), the
     remainder as the first r of md5(seed:by:epoch:key)."""
     b = ", ".join(by)
-    on = " AND ".join(f"r.{c} = s.{c}" for c in by)
+    on = " AND ".join(f"r.{c} IS NOT DISTINCT FROM s.{c}" for c in by)
     kexpr = f"CAST({k} AS BIGINT)" if k is not None else "sp.k"
-    spec_join = f" JOIN ({spec}) sp USING ({b})" if spec is not None else ""
+    same = " AND ".join(f"n.{c} IS NOT DISTINCT FROM sp.{c}" for c in by)
+    spec_join = f" JOIN ({spec}) sp ON {same}" if spec is not None else ""
     hk = ", ".join([f"'{seed}{salt}'"] + [f"CAST(r.{c} AS VARCHAR)" for c in by]
                    + ["CAST(s.q AS VARCHAR)", f"CAST(r.{key} AS VARCHAR)"])
     c = ", ".join(f"r.{x}" for x in cols)
@@ -71,7 +75,7 @@ def sample_sql(rows: str, by: list[str], key: str, cols: list[str], k: int | Non
     return f"""
 WITH r AS ({rows}),
 n AS (SELECT {b}, count(*) AS n FROM r GROUP BY {b}),
-s AS (SELECT {b}, {kexpr} // n AS q, {kexpr} % n AS rr FROM n{spec_join}),
+s AS (SELECT {", ".join("n." + c for c in by)}, {kexpr} // n AS q, {kexpr} % n AS rr FROM n{spec_join}),
 fullq AS (SELECT {c}, unnest(range(s.q)) AS epoch FROM r JOIN s ON {on} WHERE s.q > 0),
 part AS (SELECT {c}, s.q AS epoch, s.rr,
                 row_number() OVER (PARTITION BY {", ".join("r." + x for x in by)}
@@ -172,7 +176,7 @@ def corpus_sql(block: int, batch_docs: int, seed=42, doc_spec: str | None = None
         docs = sample_sql(rows, ["dataset"], "doc_id", ["dataset", "doc_id"], seed=seed, salt="corpus", spec=f"""
             SELECT a.dataset, coalesce(b.k, a.n) AS k
             FROM (SELECT source AS dataset, count(*) AS n FROM documents GROUP BY source) a
-            LEFT JOIN ({doc_spec}) b ON b.dataset = a.dataset""")
+            LEFT JOIN ({doc_spec}) b ON b.dataset IS NOT DISTINCT FROM a.dataset""")
     seqs = (f"SELECT x.dataset, x.epoch, x.doc_id, {hashed_sql('d.text')} AS ids "
             f"FROM ({docs}) x JOIN documents d ON d.doc_id = x.doc_id")
     blocks = pack_sql(block, batch_docs, "epoch, doc_id", ",", seqs)
@@ -192,7 +196,7 @@ off AS (SELECT dataset, sum(nb) OVER (ORDER BY f, dataset) - nb AS off FROM per)
 o AS (SELECT e.*, row_number() OVER (PARTITION BY dataset ORDER BY {order}) - 1 AS ord FROM e)
 SELECT o.* EXCLUDE (ord), CAST(off.off + o.ord // {bs} AS BIGINT) AS batch_id,
        CAST(o.ord % {bs} AS BIGINT) AS pos
-FROM o JOIN off USING (dataset)"""
+FROM o JOIN off ON o.dataset IS NOT DISTINCT FROM off.dataset"""
 
 
 def lm_losses_ctes(alpha: float, bs: int) -> str:
@@ -262,7 +266,7 @@ def unlearn_sql(kind: str = "forward", opt: str = "sgd", lr: float = 5.0, steps:
                 alpha: float = 1.0, eval_on: str = "eval", output: str = "influence",
                 beta1: float = 0.9, beta2: float = 0.999, eps: float = 1e-8,
                 eval_steps: int = 1, eval_batch: int = 8, batch_rows: int = 2,
-                lr_rows: bool = False) -> str:
+                lr_rows: bool = False, rows: str | None = None, run_batch: int | None = None) -> str:
     """The unlearning loop unrolled as CTEs (one CTE chain per step).
 
     kind: forward (runs = training datasets, micro-batches = key-order slices)
@@ -272,13 +276,22 @@ def unlearn_sql(kind: str = "forward", opt: str = "sgd", lr: float = 5.0, steps:
     the batch's token mean, weighted by the batch's rows.
     eval_on: eval | train - which sets the losses are measured on.
     output: influence (run, eval, step, influence) or log (run, step, eval, metric, loss).
+    rows, run_batch: training rows (dataset, row_id, text) other than the sources', whose
+          runs take one epoch in micro-batches of ``run_batch`` rows; ``steps`` is at least
+          the longest epoch, and a run shows only its own steps.
     """
     r = repr
     parts = [counts_ctes(alpha)]
     parts.append(f"m0 AS (SELECT tok, ln(coalesce(cw.C, 0) + {r(float(alpha))}) AS theta FROM vocab LEFT JOIN cw USING (tok))")
     if kind == "forward":
         parts.append("runs AS (SELECT DISTINCT dataset AS run_id FROM tc)")
-        parts.append(f"""mbrows AS (SELECT source AS run_id, text,
+        if run_batch:
+            parts.append(f"""mbrows AS (SELECT dataset AS run_id, text,
+                (row_number() OVER (PARTITION BY dataset ORDER BY row_id) - 1) // {run_batch} AS b FROM ({TRAIN_ROWS}))""")
+            parts.append(f"""ns AS (SELECT dataset AS run_id,
+                ceil(ceil(count(*) / {float(run_batch)}) / {float(accum)}) AS n_steps FROM ({TRAIN_ROWS}) GROUP BY ALL)""")
+        else:
+            parts.append(f"""mbrows AS (SELECT source AS run_id, text,
             (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) * {n_micro}
               // count(*) OVER (PARTITION BY source) AS b FROM documents)""")
         parts.append(f"""mb AS (SELECT run_id, b, tok, count(*) AS cnt
@@ -352,6 +365,12 @@ def unlearn_sql(kind: str = "forward", opt: str = "sgd", lr: float = 5.0, steps:
     allsteps = " UNION ALL ".join(f"SELECT * FROM l{t} UNION ALL SELECT * FROM lo{t}" for t in evals)
     parts.append(f"lall AS ({allsteps})")
     body = "WITH " + ",\n".join(parts)
+    if rows is not None:
+        body = body.replace(f"({TRAIN_ROWS})", f"({rows})")
+        return body + f"""
+SELECT nullif(l.run_id, '{NO_NAME}') AS train_dataset, l.eval_dataset, CAST(l.step AS BIGINT) AS step,
+       round(l.loss - b.loss, 6) + 0.0 AS influence
+FROM lall l JOIN l0 b USING (run_id, eval_dataset) JOIN ns USING (run_id) WHERE l.step BETWEEN 1 AND n_steps"""
     if output == "influence":
         rc, ec_ = ("train_dataset", "eval_dataset") if kind == "forward" else ("eval_dataset", "train_dataset")
         return body + f"""
