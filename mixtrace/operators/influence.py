@@ -63,9 +63,9 @@ def slice_no(ordinal: Column, n_rows: Column, n_micro: int | None, batch_rows: i
     return at.cast("long")
 
 
-def micro_batch_counts(rows: DataFrame, n_micro: int | None, by: str = "dataset", key: str = "row_id",
-                       text: str = "text", pattern: str = WORD_SPLIT, batch_rows: int | None = None) -> DataFrame:
-    """(run_id, b, tok, cnt): rows of each dataset cut by key order into
+def micro_batch_rows(rows: DataFrame, n_micro: int | None, by: str = "dataset", key: str = "row_id",
+                     text: str = "text", batch_rows: int | None = None) -> DataFrame:
+    """(run_id, b, text): rows of each dataset cut by key order into
     ``n_micro`` slices, or into slices of ``batch_rows`` rows (the last may be smaller).
 
     The ordinal runs on the narrow key columns only.  Slices are contiguous
@@ -92,7 +92,14 @@ def micro_batch_counts(rows: DataFrame, n_micro: int | None, by: str = "dataset"
              .select(by, text, F.element_at("_s", below)["b"].alias("b")))
     else:
         o = same_keys(texts, cut(o.select(by, key, "b")), [by, key], broadcast=lm.BROADCAST_ROWS)
-    return (o.select(F.col(by).alias("run_id"), "b", F.explode(word_tokens(text, pattern)).alias("tok"))
+    return o.select(F.col(by).alias("run_id"), "b", F.col(text).alias("text"))
+
+
+def micro_batch_counts(rows: DataFrame, n_micro: int | None, by: str = "dataset", key: str = "row_id",
+                       text: str = "text", pattern: str = WORD_SPLIT, batch_rows: int | None = None) -> DataFrame:
+    """(run_id, b, tok, cnt): token counts of ``micro_batch_rows``."""
+    o = micro_batch_rows(rows, n_micro, by, key, text, batch_rows)
+    return (o.select("run_id", "b", F.explode(word_tokens("text", pattern)).alias("tok"))
             .groupBy("run_id", "b", "tok").agg(F.count(F.lit(1)).alias("cnt")))
 
 

@@ -51,17 +51,20 @@ def fit_unigram(train_counts: DataFrame, vocab: DataFrame, alpha: float = 1.0) -
             .withColumn("theta", F.log(F.col("count") + F.lit(alpha))))
 
 
-def log_partition(params: DataFrame, run: str = "run_id") -> DataFrame:
-    """(run, logz): ln sum exp(theta) per run; one row per run (tiny, broadcast later).
+def log_partition(params: DataFrame, run: str | list[str] = "run_id") -> DataFrame:
+    """(run, logz): ln sum exp(theta) per run (or per combination of columns), rows
+    weighted by a multiplicity ``n`` when the table has one.
 
     exp is taken relative to a multiple of ``STRIDE`` near theta, so a diverging
     run doesn't overflow; a run has a handful of such strides.
     """
-    part = (params.groupBy(run, stride("theta").alias("_s"))
-            .agg(F.log(F.sum(F.exp(F.col("theta") - stride("theta")))).alias("_l")))
-    x = part.groupBy(run).agg(F.collect_list(F.col("_s") + F.col("_l")).alias("_x"))
+    keys = [run] if isinstance(run, str) else list(run)
+    n = F.col("n") if "n" in params.columns else F.lit(1)
+    part = (params.groupBy(*keys, stride("theta").alias("_s"))
+            .agg(F.log(F.sum(n * F.exp(F.col("theta") - stride("theta")))).alias("_l")))
+    x = part.groupBy(*keys).agg(F.collect_list(F.col("_s") + F.col("_l")).alias("_x"))
     top = F.array_max("_x")
-    return x.select(run, (top + F.log(F.aggregate("_x", F.lit(0.0), lambda a, v: a + F.exp(v - top)))).alias("logz"))
+    return x.select(*keys, (top + F.log(F.aggregate("_x", F.lit(0.0), lambda a, v: a + F.exp(v - top)))).alias("logz"))
 
 
 STRIDE = 500.0
@@ -82,19 +85,21 @@ def eval_names(eval_counts: DataFrame, col: str = "eval_dataset") -> list[str]:
     return sorted(r[0] for r in eval_counts.select(col).distinct().collect())
 
 
-def eval_wide(eval_counts: DataFrame, names: list[str], col: str = "eval_dataset") -> DataFrame:
-    """(tok, _e0, _e1, ...) one count column per evaluation set, in the order of
+def eval_wide(eval_counts: DataFrame, names: list[str], col: str = "eval_dataset",
+              keys: list[str] | None = None) -> DataFrame:
+    """(keys..., _e0, _e1, ...) one count column per evaluation set, in the order of
     ``names``; 0 when absent.  Columns are named by position, so a set may have any name.
 
-    Pivot with explicit values: one row per evaluation token, so joining it
+    Pivot with explicit values: one row per evaluation token (or pair), so joining it
     with a run-partitioned parameter table yields every (run, eval set) pair
-    from an equi-join on ``tok`` - no cross product of runs and sets.
+    from an equi-join on the keys - no cross product of runs and sets.
     """
+    keys = keys or ["tok"]
     if not names:
-        return eval_counts.select("tok").distinct()
+        return eval_counts.select(*keys).distinct()
     at = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(col)) - 1
-    w = eval_counts.withColumn("_at", at).groupBy("tok").pivot("_at", list(range(len(names)))).agg(F.sum("cnt"))
-    return w.select("tok", *[F.coalesce(quoted(str(i)), F.lit(0)).alias(f"_e{i}") for i in range(len(names))])
+    w = eval_counts.withColumn("_at", at).groupBy(*keys).pivot("_at", list(range(len(names)))).agg(F.sum("cnt"))
+    return w.select(*keys, *[F.coalesce(quoted(str(i)), F.lit(0)).alias(f"_e{i}") for i in range(len(names))])
 
 
 def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
@@ -253,14 +258,17 @@ def model_scorer(path: str, logz: float, alpha: float = 1.0):
     return load
 
 
+def word_pairs(text: str, pattern: str = WORD_SPLIT):
+    """array<struct<u, v>>: the adjacent word tokens of a text."""
+    t = word_tokens(text, pattern)
+    n = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(t, 1, n).alias("u"), F.slice(t, 2, n).alias("v"))
+
+
 def bigram_counts(rows: DataFrame, by: str = "dataset", text: str = "text",
                   pattern: str = WORD_SPLIT) -> DataFrame:
     """(by, u, v, cnt): adjacent word-token pairs inside each row."""
-    t = word_tokens(text, pattern)
-    n = F.greatest(F.size("_t") - 1, F.lit(0))
-    pairs = F.arrays_zip(F.slice("_t", 1, n).alias("u"), F.slice("_t", 2, n).alias("v"))
-    return (spread(rows.select(by, text)).select(by, t.alias("_t"))
-            .select(by, F.explode(pairs).alias("p"))
+    return (spread(rows.select(by, text)).select(by, F.explode(word_pairs(text, pattern)).alias("p"))
             .select(by, F.col("p.u").alias("u"), F.col("p.v").alias("v"))
             .groupBy(by, "u", "v").agg(F.count(F.lit(1)).alias("cnt")))
 
@@ -282,12 +290,10 @@ def influence_loo_bigram(train_pairs: DataFrame, eval_pairs: DataFrame, vocab_si
     totals = {r[0]: r[1] for r in eval_pairs.groupBy("eval_dataset").agg(F.sum("cnt")).collect()}
     names = sorted(totals)
     a, av = F.lit(alpha), F.lit(alpha * vocab_size)
-    at = (F.array_position(F.array(*[F.lit(n) for n in names]), F.col("eval_dataset")) - 1).alias("_at")
-    cols = [f"_e{i}" for i in range(len(names))]  # by position: a set may have any name
+    cols = [f"_e{i}" for i in range(len(names))]
 
     def wide(keys: list[str]) -> DataFrame:
-        w = eval_pairs.select(*keys, at, "cnt").groupBy(*keys).pivot("_at", list(range(len(names)))).agg(F.sum("cnt"))
-        return w.select(*keys, *[F.coalesce(quoted(str(i)), F.lit(0)).alias(c) for i, c in enumerate(cols)])
+        return eval_wide(eval_pairs, names, keys=keys)
 
     tp = train_pairs.withColumn("C", F.sum("cnt").over(Window.partitionBy("u", "v")))
     tcx = train_pairs.groupBy("dataset", "u").agg(F.sum("cnt").alias("cnt"))

@@ -439,7 +439,7 @@ def q_collate_seq2seq(spark, sf):
 
 
 # ---------------------------------------------------------------- unlearning and influence
-from ..operators import influence as U  # noqa: E402
+from ..operators import bigram, influence as U  # noqa: E402
 from ..operators.optim import Optim  # noqa: E402
 
 SGD_LR = 5.0
@@ -730,6 +730,26 @@ def q_influence_loo_bigram(spark, sf):
     return out.select("train_dataset", "eval_dataset", r6("influence").alias("influence"))
 
 
+BIGRAM_LR, BIGRAM_CLIP = 50.0, 0.01
+
+
+@register("unlearn_influence_bigram", O.bigram_unlearn_sql(BIGRAM_LR, 2))
+def q_unlearn_influence_bigram(spark, sf):
+    """U3, U8 with the bigram model: every source unlearned for one epoch in 2 steps (sgd)."""
+    tr, ev = _rows(spark, sf)
+    _, infl = bigram.unlearn_influence(tr, ev, Optim("sgd", lr=BIGRAM_LR), lm.vocabulary(*_counts(spark, sf)).count(), alpha=ALPHA)
+    return _infl(infl)
+
+
+@register("clip_step_bigram", O.bigram_unlearn_sql(BIGRAM_LR, 1, BIGRAM_CLIP))
+def q_clip_step_bigram(spark, sf):
+    """U5 with the bigram model: one step over each source, clipped to norm 0.01."""
+    tr, ev = _rows(spark, sf)
+    _, infl = bigram.unlearn_influence(tr, ev, Optim("sgd", lr=BIGRAM_LR, max_grad_norm=BIGRAM_CLIP),
+                                       lm.vocabulary(*_counts(spark, sf)).count(), steps=1, alpha=ALPHA)
+    return _infl(infl)
+
+
 PAIR_MAX = 32
 
 

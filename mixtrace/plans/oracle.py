@@ -533,6 +533,56 @@ LEFT JOIN sa ON sa.dataset = ds.dataset AND sa.eval_dataset = en.eval_dataset
 LEFT JOIN sb ON sb.dataset = ds.dataset AND sb.eval_dataset = en.eval_dataset"""
 
 
+def bigram_unlearn_sql(lr: float, steps: int, clip: float = 0.0, alpha: float = 1.0) -> str:
+    """Bigram unlearning unrolled: every seen pair of a run's contexts is a row,
+    and one value stands for the unseen pairs of a context."""
+    base = bigram_loo_sql(alpha)
+    a = repr(float(alpha))
+    parts = [base[base.index("WITH ") + 5:base.index(",\nsa AS (")]]
+    parts.append(f"""mbrows AS (SELECT source AS run_id, {tok()} AS t,
+        (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) * {steps} // count(*) OVER (PARTITION BY source) AS b
+        FROM documents)""")
+    parts.append("""mb AS (SELECT run_id, b, u, v, count(*) AS cnt FROM (
+        SELECT run_id, b, t[i] AS u, t[i + 1] AS v FROM (SELECT run_id, b, t, unnest(range(1, len(t))) AS i FROM mbrows)) GROUP BY ALL)""")
+    parts.append("nb AS (SELECT run_id, b, sum(cnt) AS nb FROM mb GROUP BY ALL)")
+    parts.append("q AS (SELECT run_id, b + 1 AS step, u, v, cnt / nb AS q FROM mb JOIN nb USING (run_id, b))")
+    parts.append("qc AS (SELECT run_id, step, u, sum(q) AS qc FROM q GROUP BY ALL)")
+    parts.append("rc AS (SELECT DISTINCT run_id, u FROM mb)")
+    parts.append("seen AS (SELECT u, count(*) AS k FROM cuv GROUP BY u)")
+    parts.append(f"p0 AS (SELECT run_id, u, v, ln(C + {a}) AS theta FROM rc JOIN cuv USING (u))")
+    parts.append(f"n0 AS (SELECT run_id, u, V - k AS k, ln({a}) AS theta FROM rc JOIN seen USING (u) CROSS JOIN vs)")
+    for t in range(steps + 1):
+        if t:
+            parts.append(f"""g{t} AS (SELECT p.run_id, p.u, p.v, p.theta,
+                coalesce(qc.qc, 0) * exp(p.theta - z.z) - coalesce(q.q, 0) AS g
+                FROM p{t - 1} p JOIN z{t - 1} z USING (run_id, u)
+                LEFT JOIN qc ON qc.run_id = p.run_id AND qc.u = p.u AND qc.step = {t}
+                LEFT JOIN q ON q.run_id = p.run_id AND q.u = p.u AND q.v = p.v AND q.step = {t})""")
+            parts.append(f"""h{t} AS (SELECT n.run_id, n.u, n.k, n.theta, coalesce(qc.qc, 0) * exp(n.theta - z.z) AS g
+                FROM n{t - 1} n JOIN z{t - 1} z USING (run_id, u)
+                LEFT JOIN qc ON qc.run_id = n.run_id AND qc.u = n.u AND qc.step = {t})""")
+            scale = f"least(1.0, {clip!r} / (sqrt(sum(x)) + 1e-06))" if clip > 0 else "1.0"
+            parts.append(f"""s{t} AS (SELECT run_id, {scale} AS s FROM (SELECT run_id, g * g AS x FROM g{t}
+                UNION ALL SELECT run_id, k * g * g FROM h{t}) GROUP BY run_id)""")
+            parts.append(f"p{t} AS (SELECT g.run_id, g.u, g.v, g.theta + {lr!r} * g.g * s.s AS theta FROM g{t} g JOIN s{t} s USING (run_id))")
+            parts.append(f"n{t} AS (SELECT h.run_id, h.u, h.k, h.theta + {lr!r} * h.g * s.s AS theta FROM h{t} h JOIN s{t} s USING (run_id))")
+        parts.append(f"""z{t} AS (SELECT run_id, u, ln(sum(x)) AS z FROM (SELECT run_id, u, exp(theta) AS x FROM p{t}
+            UNION ALL SELECT run_id, u, k * exp(theta) FROM n{t}) GROUP BY ALL)""")
+        parts.append(f"""l{t} AS (SELECT n.run_id, ep.eval_dataset, {t} AS step,
+            sum(ep.cnt * (z.z - coalesce(p.theta, n.theta)
+                - (ln(cu.C + {a} * vs.V) - ln(coalesce(cuv.C, 0) + {a})))) AS s
+            FROM ep JOIN n{t} n USING (u) JOIN z{t} z ON z.run_id = n.run_id AND z.u = ep.u JOIN cu ON cu.u = ep.u CROSS JOIN vs
+            LEFT JOIN cuv ON cuv.u = ep.u AND cuv.v = ep.v
+            LEFT JOIN p{t} p ON p.run_id = n.run_id AND p.u = ep.u AND p.v = ep.v GROUP BY ALL)""")
+    every = " UNION ALL ".join(f"SELECT * FROM l{t}" for t in range(1, steps + 1))
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT r.run_id AS train_dataset, en.eval_dataset, CAST(st.step AS BIGINT) AS step,
+       round((coalesce(l.s, 0) - coalesce(b.s, 0)) / en.n, 6) + 0.0 AS influence
+FROM (SELECT DISTINCT run_id FROM rc) r CROSS JOIN en CROSS JOIN (SELECT unnest(range(1, {steps + 1})) AS step) st
+LEFT JOIN ({every}) l ON l.run_id = r.run_id AND l.eval_dataset = en.eval_dataset AND l.step = st.step
+LEFT JOIN l0 b ON b.run_id = r.run_id AND b.eval_dataset = en.eval_dataset"""
+
+
 def collate_pairs_sql(max_len: int, bs: int) -> str:
     """prediction = prompt, answer = the whole reply; both hashed, truncated
     and padded per batch (no labels)."""
