@@ -58,12 +58,18 @@ def sample_per_class(rows: DataFrame, key: str, label: str, most: int, seed: int
     """About ``most`` rows of each class of ``label`` (all, if there are
     fewer), chosen by a hash of ``key``: the documented bound of a training
     sample.  One pass counts the classes, which must be few (they are the
-    classes of a model)."""
+    classes of a model).
+
+    With ``text`` among the columns its hash takes part, so rows without a key
+    and rows that share one are chosen each by itself (equal texts of one key
+    together).
+    """
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect() if r[0] is not None}
     if not counts:
         return rows.filter(F.lit(False))
     unit = 1 << 20
-    hashed = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(unit))
+    salt = ["text"] if "text" in rows.columns else []
+    hashed = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string"), *salt), F.lit(unit))
     keep = F.lit(False)
     for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
         share = int(min(unit, -(-most * unit // n)))

@@ -29,17 +29,16 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a > b").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """a, b (longs, any order) -> node, component (its smallest reachable node),
-    for every node that has a link to another."""
+    for every node that has a link to another.  Rounds go on until nothing changes."""
     now = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
     mark = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
     last = now.agg(mark.alias("m")).first().m
-    for _ in range(rounds):
+    while True:
         now = cut(_star(_star(now, True), False))
         new = now.agg(mark.alias("m")).first().m
         if new == last:
             return (now.select(F.col("a").alias("node"), F.col("b").alias("component"))
                     .union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
         last = new
-    raise RuntimeError(f"no stable components after {rounds} rounds")

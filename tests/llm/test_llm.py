@@ -335,6 +335,20 @@ def test_language(spark, empty):
     assert [s.lang for s in spans][0] == "en" and [s.lang for s in spans][-1] == "de"
 
 
+def test_languages_of_rows_without_ids_are_learned(spark):
+    """The bound of the sample takes rows of any id: NULL, shared, or their own."""
+    def rows(lang, words, ids):
+        return [(i, " ".join(words[(k + j) % len(words)] for j in range(8)), lang) for k, i in enumerate(ids)]
+    data = rows("en", ["the", "cat", "sat", "upon", "mats"], range(300)) + rows("de", ["der", "hund", "lief", "über", "straßen"], [None] * 300)
+    data += rows("fr", ["le", "chien", "dort", "sous", "la", "table"], [7] * 300)
+    docs = spark.createDataFrame([(i, f"{t} {k % 97}", x) for k, (i, t, x) in enumerate(data)], "doc_id long, text string, lang string")
+    model = language.fit(docs, most=30)
+    got = {r.lang: r.ok for r in language.identify(docs.withColumn("doc_id", F.monotonically_increasing_id()), model, spans=False)
+           .join(docs.withColumn("doc_id", F.monotonically_increasing_id()).select("doc_id", "lang"), "doc_id")
+           .groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("ok")).collect()}
+    assert set(got) == {"en", "de", "fr"} and min(got.values()) > 0.95
+
+
 def test_one_language(spark):
     rows = [(i, "plain words of one language " + prose(random.Random(i), 20), "en") for i in range(8)]
     docs = spark.createDataFrame(rows + [(8, "日本語", None), (9, "12", None)], "doc_id long, text string, lang string")
