@@ -123,7 +123,7 @@ def batch_weighted_counts(rows: DataFrame, batch_rows: int, mean_of_batches: boo
     """
     texts = spread(rows.select(by, key, text))
     n_tok = F.coalesce(F.greatest(F.size(word_tokens(text, pattern)), F.lit(0)), F.lit(0))
-    o = dense_ordinal(texts.select(by, key, n_tok.alias("_t")), by, [key], name="_ord") \
+    o = dense_ordinal(texts.select(by, key, n_tok.alias("_t")), by, [key], name="_ord", costly=True) \
         .withColumn("_b", F.floor(F.col("_ord") / batch_rows))
     per = (o.groupBy(by, "_b").agg(F.sum("_t").alias("_T"), F.count(F.lit(1)).alias("_n"))
            .filter(F.col("_T") > 0))

@@ -23,11 +23,14 @@ from ..session import cut, small_enough
 
 
 def dense_ordinal(df: DataFrame, group: list[str] | str | None, order: list,
-                  name: str = "ordinal", partitions: int | None = None) -> DataFrame:
+                  name: str = "ordinal", partitions: int | None = None, costly: bool = False) -> DataFrame:
     """Add ``name`` = 0-based position of each row within its group by ``order``.
 
-    ``order`` must make the order total (end it with a unique key).
+    ``order`` must make the order total (end it with a unique key).  The range
+    partitioning runs its input twice (once for a sample of the keys); a
+    ``costly`` input of narrow rows, such as text sizes, is written first.
     """
+    df = cut(df) if costly else df
     group = [] if group is None else ([group] if isinstance(group, str) else list(group))
     order = list(order)
     spark = df.sparkSession
@@ -49,6 +52,7 @@ def _join_back(rows: DataFrame, stats: DataFrame, group: list[str]) -> DataFrame
     """Join the per-(partition, group) table back; NULL groups match NULL groups."""
     ren = stats.select(F.col("_pid").alias("_s_pid"), *[F.col(g).alias(f"_s_{g}") for g in group],
                        *[c for c in stats.columns if c != "_pid" and c not in group])
+    ren = cut(ren)  # counted, then joined: the aggregate runs once
     cond = [F.col("_pid") == F.col("_s_pid")] + [F.col(g).eqNullSafe(F.col(f"_s_{g}")) for g in group]
     small = F.broadcast(ren) if small_enough(ren, 1_000_000) else ren
     out = rows.join(small, cond, "inner")

@@ -37,7 +37,7 @@ def pack(seqs: DataFrame, ids: str = "input_ids", block_size: int = 1024,
     """
     b = F.lit(block_size)
     size = F.coalesce(F.greatest(F.size(ids), F.lit(0)), F.lit(0)).cast("long")
-    docs = dense_ordinal(seqs.select(by, order, size.alias("_len")), by, [order], name="_ord")
+    docs = dense_ordinal(seqs.select(by, order, size.alias("_len")), by, [order], name="_ord", costly=True)
     docs = docs.withColumn("batch_id", F.floor(F.col("_ord") / batch_docs).cast("long"))
     wb = Window.partitionBy(by, "batch_id")
     w_ord = wb.orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1)
