@@ -30,6 +30,7 @@ not written again when a later stage is repeated.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -50,7 +51,7 @@ MAGIC = b"WVM1"
 BLOCK = 1 << 15
 #: Ids of a shard, about.
 SHARD_IDS = 4_000_000
-#: White-space units, and pre-tokens, kept per worker (together under 200 MB).
+#: White-space units, and pre-tokens, kept per worker, about (together under 200 MB).
 CACHED_UNITS, CACHED_TOKENS = 400_000, 600_000
 #: Pre-token rule the unit cache knows (fixed value: the tokenizer file's own).
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -60,6 +61,26 @@ SIMPLE = "\u0180"
 MARKS = b".,;:!?*&%$#|)"
 
 
+class Recent:
+    """A bounded cache of two generations: a full young one becomes the old one,
+    and what is met again moves to the young, so that frequent keys stay."""
+
+    def __init__(self, most: int):
+        self.young: dict = {}
+        self.old: dict = {}
+        self.half = most // 2
+
+    def missing(self, keys: set) -> list:
+        """The keys to compute and put into ``young``; the others are there."""
+        if len(self.young) > self.half:
+            self.old, self.young = self.young, {}
+        lack = keys.difference(self.young)
+        again = lack.intersection(self.old)
+        old = self.old
+        self.young.update([(k, old[k]) for k in again])
+        return list(lack.difference(again))
+
+
 class Encoder:
     """Whole texts to ids, by the tokenizers library."""
 
@@ -87,8 +108,10 @@ class Encoder:
                                     for t in spec.get("added_tokens") or []))
         self.special = {t["content"][0] for t in spec.get("added_tokens") or []}
         self.pre = regex.compile(PRE_TOKENS)
-        self.units: dict[bytes, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.units, self.tokens = Recent(CACHED_UNITS), Recent(CACHED_TOKENS)
+        # a line of letters that lower-case by themselves, then a run of marks; or anything else
+        letters = "".join(re.escape(c) for c in map(chr, range(ord(SIMPLE))) if c.isalpha() and c == c.lower())
+        self.line = re.compile(f"^(?:([{letters}]+)([{re.escape(MARKS.decode())}]*)|(.*))$", re.M)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.dtype).tobytes()
@@ -97,44 +120,40 @@ class Encoder:
     def _learn(self, units: list[bytes]) -> None:
         """Puts the ids of new units into the cache."""
         odd, simple, special = [], [], self.special
-        for u in units:
-            word = u.rstrip(MARKS)
-            s = word.decode().lower()
-            if s.isalpha() and (s.isascii() or max(s) < SIMPLE):  # letters, then a run of marks
-                simple.append((u, (s, u[len(word):].decode()) if len(word) < len(u) else (s,)))
+        # all at once: no unit holds a line end
+        for u, (word, marks, rest) in zip(units, self.line.findall(b"\n".join(units).decode().lower())):
+            if word:
+                simple.append((u, (word, marks) if marks else (word,)))
                 continue
             s = u.decode()
             if max(s) < SIMPLE and s.isprintable() and special.isdisjoint(s):
                 simple.append((u, self.pre.findall(s.lower())))
             else:
                 odd.append((u, s))
-        new = list(set().union(*[ps for _, ps in simple]).difference(self.tokens))
+        new = self.tokens.missing(set().union(*[ps for _, ps in simple]))
+        tokens = self.tokens.young
         if new:
             ids = np.asarray(self.lib.encode_batch_fast(["\n".join(new)], add_special_tokens=False)[0].ids, np.int64)
             stop = np.flatnonzero(self.ends[ids]) + 1
             if len(stop) == len(new):
                 raw, edge = ids.astype(self.dtype).tobytes(), [0, *(stop * self.dtype.itemsize).tolist()]
-                self.tokens.update((p, raw[a:b]) for p, a, b in zip(new, edge, edge[1:]))
+                tokens.update([(p, raw[a:b]) for p, a, b in zip(new, edge, edge[1:])])
             else:
-                self.tokens.update(zip(new, self._whole(new)))
-        tokens = self.tokens
-        self.units.update((u, b"".join([tokens[p] for p in ps])) for u, ps in simple)
+                tokens.update(zip(new, self._whole(new)))
+        keep = self.units.young
+        keep.update([(u, tokens[ps[0]] if len(ps) == 1 else b"".join([tokens[p] for p in ps])) for u, ps in simple])
         if odd:
-            self.units.update(zip([u for u, _ in odd], self._whole([s for _, s in odd])))
+            keep.update(zip([u for u, _ in odd], self._whole([s for _, s in odd])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, with the end id."""
         if not self.by_unit:
             return [x + self.end for x in self._whole(texts)]
-        if len(self.units) > CACHED_UNITS:
-            self.units.clear()
-        if len(self.tokens) > CACHED_TOKENS:
-            self.tokens.clear()
         split = [t.encode().split() for t in texts]
-        new = list(set().union(*split).difference(self.units))
+        new = self.units.missing(set().union(*split))
         if new:
             self._learn(new)
-        units, end = self.units, self.end
+        units, end = self.units.young, self.end
         return [b"".join([units[u] for u in x]) + end for x in split]
 
 
