@@ -1,4 +1,4 @@
-"""Operator 3: substring dedup over a compacted De Bruijn graph.
+"""Operator 3: substring dedup by minimizer paths (in place of De Bruijn compaction, see the README).
 
 Words are symbols; a window of ``WINDOW`` words is an edge between the runs of
 words it starts and ends with.  A window is removed (all its words) if the
