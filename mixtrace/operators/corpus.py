@@ -19,14 +19,14 @@ from .ordinal import dense_ordinal
 
 
 def corpus_blocks(docs: DataFrame, k: int | DataFrame, ids: Column, doc_counts: DataFrame | None = None,
-                  block_size: int = 1024, batch_docs: int = 1000, seed=42) -> DataFrame:
+                  block_size: int = 1024, batch_docs: int = 1000, seed=42, shards: int = 1) -> DataFrame:
     """(dataset, batch_id, block_no, index, epoch, input_ids, labels, attention_mask).
 
     ``docs (dataset, doc_id, ...)``, ``doc_id`` unique within a dataset; ``ids``
     is the token-id array as an expression over its columns.  ``doc_counts
     (dataset, k)`` first samples so many documents (wrap-around; datasets not
     listed go), which pack in (epoch, doc_id) order.  ``k`` blocks are drawn
-    from every dataset, or by a table ``(dataset, k)``.
+    from every dataset, or by a table ``(dataset, k)``.  ``shards``: see ``packing``.
     """
     spark = docs.sparkSession
     order = F.struct(F.lit(0).cast("long").alias("epoch"), "doc_id")
@@ -36,7 +36,7 @@ def corpus_blocks(docs: DataFrame, k: int | DataFrame, ids: Column, doc_counts:
     seqs = docs.select("dataset", order.alias("_order"), ids.alias("input_ids"))
     path = scratch_path(spark, "blocks")
     keys = ["dataset", "batch_id", "block_no"]
-    (packing.pack(seqs, block_size=block_size, batch_docs=batch_docs, order="_order")
+    (packing.pack(seqs, block_size=block_size, batch_docs=batch_docs, order="_order", shards=shards)
      .select(*keys, "input_ids").write.parquet(path))
     blocks = spark.read.parquet(path)
     index = dense_ordinal(blocks.select(*keys), "dataset", ["batch_id", "block_no"], name="index")

@@ -10,10 +10,14 @@ everything after the scan is long-form (run, key, eval_dataset, value).
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_prefix
+from ..session import cut
 from .models.lm import join_checked
 
 #: Values are read as text and cast, so one that is no number erases nothing else.
@@ -76,11 +80,68 @@ def write_baseline(log: DataFrame, path: str) -> None:
      .coalesce(1).write.mode("overwrite").text(path))
 
 
-def log_scan(spark: SparkSession, path: str, subset: str = "eval_loss") -> DataFrame:
+def _plain(path):
+    """A folder without scheme, host, repeated or closing slashes."""
+    path = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "")
+    return F.regexp_replace(F.regexp_replace(path, "/+", "/"), "(?<=.)/$", "")
+
+
+def _run_documents(spark: SparkSession, root: str, runs: DataFrame, file: str, check: bool) -> DataFrame:
+    """(run_id, value, _file): the whole ``file`` (a glob) of every run's folder
+    under the absolute path ``root``; ``runs (run_id, folder)`` names folders
+    relative to it.  No folder name reaches the driver but those that lack a file.
+
+    Folders of one depth are listed by a glob, so a folder that no run names is
+    read as well and left out by the join; names are compared as they are
+    (files' paths are decoded), so they may hold any character.
+    """
+    if not re.match(r"/|[A-Za-z][A-Za-z0-9+.-]*:/", root):
+        raise ValueError(f"root must be an absolute path: {root}")
+    root = root.rstrip("/")
+    runs = runs.filter("run_id is not null and folder is not null").distinct()
+    runs = cut(runs.withColumn("_folder", _plain(F.concat(_plain(F.lit(root)), F.lit("/"), F.col("folder")))))
+    depths = [r[0] for r in runs.select(F.size(F.split("_folder", "/"))
+                                        - F.size(F.split(_plain(F.lit(root)), "/"))).distinct().collect()]
+    literal = re.sub(r"([\\{}\[\]*?])", r"\\\1", root)
+    found = None
+    for depth in sorted(depths):
+        glob = "/".join([literal, *["*"] * depth, file])
+        try:
+            part = spark.read.option("recursiveFileLookup", "true").text(glob, wholetext=True)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        part = part.withColumn("_file", F.input_file_name())
+        found = part if found is None else found.unionAll(part)
+    if found is None:
+        found = spark.createDataFrame([], "value string, _file string")
+    path = F.url_decode(F.replace("_file", F.lit("+"), F.lit("%2B")))
+    found = found.withColumn("_folder", _plain(F.regexp_replace(path, "/[^/]*$", "")))
+    if check:
+        missing = runs.join(found.select("_folder"), "_folder", "left_anti").orderBy("run_id").limit(5).collect()
+        if missing:
+            raise KeyError("no log of " + ", ".join(f"{r.run_id} ({r.folder})" for r in missing))
+    return join_checked(found, runs.select("run_id", "_folder"), "_folder").select("run_id", "value", "_file")
+
+
+def log_scan(spark: SparkSession, path: str, subset: str = "eval_loss", runs: DataFrame | None = None,
+             file: str = "trainer_state.json", check: bool = True) -> DataFrame:
     """S5 + R1 + R2: (run_id, step, epoch, metric, value) of the entries that
     carry ``subset``; metrics absent from an entry simply have no row (the
-    long form of dropping all-null columns)."""
-    raw = _documents(spark, path, "value string, run_id string")
+    long form of dropping all-null columns).
+
+    Runs are the ``run_id=`` folders under ``path``, or those of a manifest
+    ``runs (run_id, folder)`` (``runs.run_folders``): folders relative to
+    ``path``, each with its log in ``file``, tagged with the manifest's run_id.
+    Runs that share a folder each get its entries; a run without a log is a
+    KeyError that names it (``check=False``: it has no rows); a run or folder
+    that is NULL is none.
+    """
+    if runs is None:
+        raw = _documents(spark, path, "value string, run_id string")
+    else:
+        raw = _run_documents(spark, path, runs, file, check)
     history = _or_fail(F.from_json("value", LOG_SCHEMA)["log_history"])
     e = (raw.select("run_id", F.explode(history).alias("e")).withColumn("e", _numbers("e"))
          .filter(F.col("e")[subset].isNotNull()))

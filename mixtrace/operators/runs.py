@@ -55,6 +55,18 @@ def run_key(argv) -> Column:
     return key
 
 
+def run_folders(runs: DataFrame, template: str = "{}", value: str = "run_id", run_id: str = "run_id") -> DataFrame:
+    """R2: manifest -> (run_id, folder): the path format with every ``{}`` filled
+    by the column ``value`` (a dataset name, or a ``run_key``).
+
+    A format without ``{}`` names one folder that all runs read."""
+    pieces = template.split("{}")
+    parts = [F.lit(pieces[0])]
+    for piece in pieces[1:]:
+        parts += [col(value).cast("string"), F.lit(piece)]
+    return runs.select(col(run_id).cast("string").alias("run_id"), F.concat(*parts).alias("folder"))
+
+
 def save_snapshot(params: DataFrame, path: str, step: int) -> None:
     """Parameters of every run at ``step``, partitioned for pruning on read."""
     (params.withColumn("step", F.lit(step).cast("long"))

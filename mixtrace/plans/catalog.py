@@ -258,6 +258,20 @@ def q_pack_blocks(spark, sf):
                     F.md5(F.array_join("input_ids", " ")).alias("block_md5"))
 
 
+PACK_SHARDS = 32
+
+
+@register("pack_blocks_sharded", O.pack_sql(PACK_BLOCK, PACK_BATCH, shards=PACK_SHARDS))
+def q_pack_blocks_sharded(spark, sf):
+    """K2 as 32 processes do it: contiguous shards of each source, batches that end with their shard."""
+    d = table(spark, sf, "documents").select(F.col("source").alias("dataset"), "doc_id",
+                                             F.split("text", " ").alias("input_ids"))
+    p = packing.pack(d, block_size=PACK_BLOCK, batch_docs=PACK_BATCH, shards=PACK_SHARDS)
+    return p.select("dataset", "batch_id", "block_no",
+                    F.size("input_ids").cast("long").alias("n_tokens"),
+                    F.md5(F.array_join("input_ids", " ")).alias("block_md5"))
+
+
 def _event_batches(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_type").alias("dataset"), "event_id")
     return batching.task_batches(e, 8, order="event_id")
@@ -558,6 +572,54 @@ def q_log_scan(spark, sf):
     return lg.select("run_id", "step", r6("epoch").alias("epoch"), "metric", r6("value").alias("value"))
 
 
+# Steps of the runs whose logs are found by a path format.
+PATH_STEPS = 3
+
+
+@register("log_scan_paths", O.path_log_sql(PATH_STEPS))
+def q_log_scan_paths(spark, sf):
+    """R2: logs in folders named by run keys, found by a path format over a manifest.
+
+    A run per training source; its loss after step s is the mean text size of
+    the rows whose id leaves a remainder of at most s by the number of steps."""
+    d = table(spark, sf, "documents")
+    rows = d.select(F.col("source").alias("dataset"), F.length("text").alias("n"),
+                    F.explode(F.sequence(F.pmod("doc_id", F.lit(PATH_STEPS)).cast("int") + 1, F.lit(PATH_STEPS))).alias("step"))
+    argv = F.format_string(ARGV_FMT, F.col("dataset"), F.col("dataset"))
+    log = (rows.groupBy("dataset", "step").agg(F.avg("n").alias("loss")).filter("dataset is not null")
+           .select(runs.run_key(argv).alias("run_id"), "step", F.lit(None).cast("string").alias("eval_dataset"),
+                   F.lit("eval_loss").alias("metric"), "loss"))
+    root = scratch_path(spark, "runs")
+    readout.write_trainer_state(log, f"{root}/logs", steps_per_epoch=PATH_STEPS)
+    manifest = (d.select(F.col("source").alias("dataset")).filter("dataset is not null").distinct()
+                .withColumn("argv", argv)
+                # Spark's own folder names hold "=" escaped
+                .withColumn("key", F.replace(runs.run_key("argv"), F.lit("="), F.lit("%3D"))))
+    folders = runs.run_folders(manifest, "logs/run_id={}/", "key", run_id="dataset")
+    got = readout.log_scan(spark, root, runs=folders, file="part-*")
+    return got.select("run_id", "step", r6("epoch").alias("epoch"), "metric", r6("value").alias("value"))
+
+
+@register("metrics_merge", O.METRICS_MERGE)
+def q_metrics_merge(spark, sf):
+    """A run's metrics of training, then of evaluation, end in one object;
+    "rows" is in both, so the later one counts."""
+    from ..operators import metrics
+    d = table(spark, sf, "documents").filter("source is not null").select(F.col("source").alias("run_id"), "doc_id", "text")
+    toxic = table(spark, sf, "labels").filter("toxic = 1").select("doc_id").distinct()
+
+    def long(df, **named):
+        values = F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in named.items()])
+        return df.groupBy("run_id").agg(values.alias("m")).select("run_id", F.inline("m"))
+
+    path = scratch_path(spark, "metrics")
+    n, size = F.count(F.lit(1)), F.avg(F.length("text"))
+    metrics.save_metrics(long(d, train_samples=n, train_loss=size, rows=n), path, "train")
+    metrics.save_metrics(long(d.join(toxic, "doc_id", "left_semi"), eval_samples=n, eval_loss=size, rows=n), path, "eval")
+    out = [metrics.load_metrics(spark, path, s).withColumn("split", F.lit(s)) for s in ("train", "eval", metrics.MERGED)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).select("split", "run_id", "metric", r6("value").alias("value"))
+
+
 @register("influence_log", O.readout_sql("forward", SGD_LR, RO_STEPS, "influence"))
 def q_influence_log(spark, sf):
     """eval_loss_* minus the baseline JSON, zero row at epoch 0."""
@@ -598,6 +660,7 @@ def q_influence_labelled(spark, sf):
     return s.select("train_dataset", "label", r6("epoch").alias("epoch"), r6("influence").alias("influence"))
 
 
+# The argument string of a run.
 ARGV_FMT = ("--unlearn --optim adafactor --max_grad_norm 0 --model_name_or_path model/lm_00 "
             "--train_dir data/%s --dataset_names %s --eval_dir data/bench data/toxic --eval_steps 16 "
             "--logging_steps 16 --save_strategy no --num_train_epochs 1 --learning_rate 1e-4 "

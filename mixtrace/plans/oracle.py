@@ -150,11 +150,27 @@ FROM t LEFT JOIN v USING (tok) GROUP BY dataset, row_id"""
 
 
 def pack_sql(block: int, batch_docs: int, order: str = "doc_id", sep: str = " ",
-             rows: str = "SELECT source AS dataset, doc_id, string_split(text, ' ') AS ids FROM documents") -> str:
+             rows: str = "SELECT source AS dataset, doc_id, string_split(text, ' ') AS ids FROM documents",
+             shards: int = 1) -> str:
+    """With ``shards`` the list of shard sizes is written out, and a batch is
+    numbered by the shards before its own."""
+    numbered = f"""
+n AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY {order}) - 1 AS p FROM d),
+o AS (SELECT *, p // {batch_docs} AS batch_id, CAST(len(ids) AS BIGINT) AS l FROM n),"""
+    if shards > 1:
+        numbered = f"""
+c AS (SELECT dataset, count(*) AS n, least(count(*), {shards}) AS k FROM d GROUP BY dataset),
+sz AS (SELECT dataset, i, n // k + CASE WHEN i < n % k THEN 1 ELSE 0 END AS size
+       FROM (SELECT dataset, n, k, unnest(range(k)) AS i FROM c)),
+sh AS (SELECT dataset, size,
+              coalesce(sum(size) OVER w, 0) AS lo,
+              coalesce(sum((size + {batch_docs} - 1) // {batch_docs}) OVER w, 0) AS before
+       FROM sz WINDOW w AS (PARTITION BY dataset ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+n AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY {order}) - 1 AS p FROM d),
+o AS (SELECT n.*, CAST(before + (p - lo) // {batch_docs} AS BIGINT) AS batch_id, CAST(len(ids) AS BIGINT) AS l
+      FROM n JOIN sh ON n.dataset IS NOT DISTINCT FROM sh.dataset AND p >= lo AND p < lo + size),"""
     return f"""
-WITH d AS ({rows}),
-o AS (SELECT *, (row_number() OVER (PARTITION BY dataset ORDER BY {order}) - 1) // {batch_docs} AS batch_id,
-             CAST(len(ids) AS BIGINT) AS l FROM d),
+WITH d AS ({rows}),{numbered}
 s AS (SELECT *, CAST(coalesce(sum(l) OVER (PARTITION BY dataset, batch_id ORDER BY {order}
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
              CAST(sum(l) OVER (PARTITION BY dataset, batch_id) AS BIGINT) AS total FROM o),
@@ -597,3 +613,29 @@ SELECT conv_id, turn, CAST(batch_id AS BIGINT) AS batch_id,
        array_to_string(list_resize(preds, Lp, 0), ',') AS preds,
        array_to_string(list_resize(answers, La, 0), ',') AS answers
 FROM m"""
+
+
+def path_log_sql(steps: int) -> str:
+    return f"""
+SELECT source AS run_id, CAST(step AS BIGINT) AS step, round(step / {float(steps)}, 6) AS epoch,
+       'eval_loss' AS metric, round(avg(length(text)), 6) AS value
+FROM (SELECT source, doc_id, text, unnest(range(1, {steps} + 1)) AS step FROM documents)
+WHERE source IS NOT NULL AND doc_id IS NOT NULL AND doc_id % {steps} < step
+GROUP BY source, step"""
+
+
+METRICS_MERGE = """
+WITH t AS (SELECT source AS run_id, CAST(count(*) AS DOUBLE) AS n, round(avg(length(text)), 6) AS s
+           FROM documents WHERE source IS NOT NULL GROUP BY source),
+e AS (SELECT source AS run_id, CAST(count(*) AS DOUBLE) AS n, round(avg(length(text)), 6) AS s
+      FROM documents WHERE source IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY source),
+own AS (SELECT 'train' AS split, run_id, 'train_samples' AS metric, n AS value FROM t
+        UNION ALL SELECT 'train', run_id, 'train_loss', s FROM t
+        UNION ALL SELECT 'train', run_id, 'rows', n FROM t
+        UNION ALL SELECT 'eval', run_id, 'eval_samples', n FROM e
+        UNION ALL SELECT 'eval', run_id, 'eval_loss', s FROM e
+        UNION ALL SELECT 'eval', run_id, 'rows', n FROM e)
+SELECT * FROM own
+UNION ALL
+SELECT 'all', run_id, metric, value FROM own a
+WHERE NOT (split = 'train' AND metric = 'rows' AND run_id IN (SELECT run_id FROM e))"""

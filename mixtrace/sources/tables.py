@@ -78,8 +78,3 @@ def save(df: DataFrame, path: str, partition_by: list[str] | None = None,
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-
-
-def save_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Metrics as JSON lines."""
-    df.write.mode(mode).json(path)

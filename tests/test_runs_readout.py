@@ -6,6 +6,7 @@ import tempfile
 
 from mixtrace.operators import readout, runs
 
+# Argument strings of published runs and the keys they have.
 GOLDEN = [
     ("--unlearn --optim adafactor --max_grad_norm 0 --model_name_or_path model/t5_00 "
      "--train_dir data/synthetic_train00_dataset --dataset_names dataset1 "
