@@ -246,9 +246,10 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_i
     def some(most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         unit = 1 << 30
         share = min(unit, -(-most * unit // n))
-        got = v.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(unit)) < share).toArrow()
+        # each row by itself: an id may be held by any number of rows; equal rows count once
+        got = v.filter(F.pmod(F.xxhash64(F.lit(seed), "id", "v"), F.lit(unit)) < share).distinct().orderBy("id", "v").toArrow()
         ids = got.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
+        order = np.arange(len(ids))
         return _matrix(got.column("v").combine_chunks())[order], ids[order]
 
     taught, _ = some(sample, 11)
@@ -270,8 +271,6 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_i
     v.mapInArrow(place, "leaf long, id long, v array<double>").write.parquet(path)
     index = spark.read.schema("leaf long, id long, v array<double>").parquet(path)
     visits = _calibrate(index, asked, asked_ids, tree, k, recall) if len(asked) else tree.leaves
-    if n <= 4 * k * visits:
-        visits = tree.leaves  # so few rows that all can be met
 
     # leaf -> first shard, number of shards: as many rows as leaves, which the sample bounds
     rows_of = np.zeros(tree.leaves, np.int64)
