@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 #: Words of the contracts: maximal runs of anything but ASCII white space.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
@@ -77,6 +79,24 @@ def sample_per_class(rows: DataFrame, key: str, label: str, most: int, seed: int
     return rows.filter(keep)
 
 
+def labelled_sample(docs: DataFrame, known: DataFrame, most: int, seed: int) -> DataFrame:
+    """doc_id, text, y of about ``most`` documents of each class, for ``known
+    (doc_id, y)``: the documented bound of a training sample.
+
+    Ids are chosen first, so that no other text is shuffled; then the different
+    texts that the chosen ids hold are bounded again, each by itself, since one
+    id may be held by any number of rows.  Equal texts of one id count once.
+    """
+    # about ``most`` ids of each class
+    chosen = F.broadcast(sample_per_class(known, "doc_id", "y", most, seed).withColumnRenamed("doc_id", "_id"))
+    rows = (pick(docs, "doc_id", "text").filter("text is not null").join(chosen, F.col("doc_id") == F.col("_id"))
+            .select("doc_id", "text", "y").distinct())
+    path = scratch_path(docs.sparkSession, "training-sample")
+    rows.write.parquet(path)
+    rows = docs.sparkSession.read.schema(rows.schema).parquet(path)
+    return sample_per_class(rows, "doc_id", "y", most, seed + 50)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each holds about ``most`` bytes of ``text``
     (one longer text is a slice of its own)."""

@@ -9,14 +9,16 @@ shortness (a few bytes say little), fitted on labelled documents that the
 dictionaries have not seen, turns it into a probability.
 
 Training reads a bounded sample: about ``MOST_DOCS`` labelled documents of each
-class (by a hash; all, if there are fewer).  Half of them, at most ``PIECES``
+class (by a hash of id and text; all, if there are fewer).  Half of them, at most ``PIECES``
 pieces each spread evenly over the text, make the dictionaries; the others are
 scored whole to fit the curve.  Whole texts are scored.
 
 Defined cases: NULL and empty texts have evidence 0; a class without labelled
 text has no dictionary and gives the same score, the good labels' share (0.5
 without any label), to every text; labels with NULL doc_id or NULL quality are
-ignored, of repeated labels the smallest counts; empty tables give empty
+ignored, of repeated labels the smallest counts; rows without doc_id teach
+nothing and are scored, rows that share one all have its label, each different
+text is a training row of its own and counts once; empty tables give empty
 results; extra columns are ignored.
 """
 
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, pick, sample_per_class, slices
+from .common import held_out, labelled_sample, pick, slices
 
 PIECE = 2048
 MOST_DOCS = 3000
@@ -129,10 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     shares = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     good_share = shares.get(1, 0) / max(1, sum(shares.values())) if shares else 0.5
     prior = math.log(max(good_share, 1e-6) / max(1 - good_share, 1e-6))
-    # at most a few thousand ids: the documents' texts are not shuffled
-    chosen = F.broadcast(sample_per_class(known, "doc_id", "y", most, seed).withColumnRenamed("doc_id", "_id"))
-    texts = pick(docs, "doc_id", "text").filter("text is not null").join(chosen, F.col("doc_id") == F.col("_id"))
-    half = F.pmod(F.xxhash64(F.lit(seed + 100), F.col("doc_id").cast("string")), F.lit(2))
+    texts = labelled_sample(docs, known, most, seed)
+    half = F.pmod(F.xxhash64(F.lit(seed + 100), F.col("doc_id").cast("string"), F.col("text")), F.lit(2))
 
     def cut_up(batches):
         for b in slices(batches, "text"):

@@ -10,15 +10,17 @@ most one of the terms that toxic sample documents hold ``TELLING`` times as ofte
 as others, 2 toxic with two or more different ones.
 
 Terms enter the model if their presence differs between grade 0 and the others
-by more than ``Z`` standard errors, in at least ``SEEN`` toxic sample documents; they are
-at most ``TERMS``, so the model is bounded.  Benign words hence carry no weight
-and a long clean text gathers none.  Training reads a bounded sample: about ``MOST_DOCS``
-labelled documents of each class (by a hash; all, if there are fewer).
+by more than ``Z`` standard errors, in at least ``SEEN`` toxic sample documents; all such
+terms do.  Benign words hence carry no weight and a long clean text gathers
+none.  Training reads a bounded sample: about ``MOST_DOCS`` labelled documents of
+each class (by a hash of id and text; all, if there are fewer), which bounds the model.
 
 Defined cases: NULL and empty texts have no terms; without labels of both
 classes every text has the grade shares of the labels (severity 0 without
 any); labels with NULL doc_id or NULL toxic are ignored, of repeated labels the
-largest counts; a term counts once however often it stands; empty tables give
+largest counts; rows without doc_id teach nothing and are scored, rows that share
+one all have its label, each different text is a training row of its own and
+counts once; a term counts once however often it stands; empty tables give
 empty results; extra columns are ignored.  Whole texts are read.
 """
 
@@ -33,12 +35,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, pick, sample_per_class, slices
+from .common import held_out, labelled_sample, pick, slices
 
 MOST_DOCS = 6000
 Z = 4.0
 SEEN = 3
-TERMS = 2000
 TELLING = 10
 STEPS = 1500
 
@@ -80,7 +81,7 @@ def _terms(sample: DataFrame) -> dict[str, bool]:
     p0, p1 = (F.col("n0") + 0.5) / (n0 + 1), (F.col("n1") + 0.5) / (n1 + 1)
     pooled = (F.col("n0") + F.col("n1") + 1) / (n0 + n1 + 2)
     z = (p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / (n0 + 1) + 1 / (n1 + 1)))
-    best = top.withColumn("z", z).filter(F.abs("z") >= Z).orderBy(F.abs("z").desc(), "term").limit(TERMS).collect()
+    best = top.withColumn("z", z).filter(F.abs("z") >= Z).collect()  # bounded by the sample's words
     return {r.term: (r.n1 + 0.5) / (n1 + 1) >= TELLING * (r.n0 + 0.5) / (n0 + 1) for r in best}
 
 
@@ -137,10 +138,7 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str, most: int, seed: int
     known = (pick(labels, "doc_id", label).filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
              .filter(~held_out("doc_id")).groupBy("doc_id").agg(F.max(label).cast("int").alias("y")))
     shares = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # at most a few thousand ids: the documents' texts are not shuffled
-    chosen = F.broadcast(sample_per_class(known, "doc_id", "y", most, seed).withColumnRenamed("doc_id", "_id"))
-    texts = pick(docs, "doc_id", "text").filter("text is not null")
-    return texts.join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y"), shares
+    return labelled_sample(docs, known, most, seed), shares
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", grades: int | None = None,
@@ -178,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", grades: int |
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, severity (expected grade), score (P(grade > 0)), grade (the
     likeliest), n_terms (model terms found), predicted (1: toxic)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # significant terms of a bounded sample
     ddl = "doc_id long, severity double, score double, grade int, n_terms int, predicted int"
 
     def run(batches):
