@@ -163,16 +163,22 @@ def influence_loo(train_counts: DataFrame, eval_counts: DataFrame, alpha: float
 
 
 def example_losses(rows: DataFrame, model: DataFrame, logz: float, alpha: float = 1.0,
-                   key: str = "row_id", pattern: str = WORD_SPLIT) -> DataFrame:
+                   key: str = "row_id", pattern: str = WORD_SPLIT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per-example (dataset, key, nll, n_tok) under a fitted unigram model.
 
     Tokens outside the model's vocabulary get the smoothing mass ln(alpha).
+    Beyond a broadcast model, a row's equal tokens are counted before the join.
     """
     toks = rows.select("dataset", key, F.explode(word_tokens("text", pattern)).alias("tok"))
-    j = join_checked(toks, model.select("tok", "theta"), "tok", "left")
-    nll = F.lit(float(logz)) - F.coalesce(F.col("theta"), F.log(F.lit(alpha)))
-    return j.groupBy("dataset", key).agg(F.sum(nll).alias("nll"),
-                                         F.count(F.lit(1)).cast("long").alias("n_tok"))
+    small = small_enough(model, broadcast_rows)
+    if small:
+        toks = toks.withColumn("_n", F.lit(1))
+    else:
+        toks = toks.groupBy("dataset", key, "tok").agg(F.count(F.lit(1)).alias("_n"))
+    theta = model.select("tok", "theta")
+    j = toks.join(F.broadcast(theta) if small else theta, "tok", "left")
+    nll = F.col("_n") * (F.lit(float(logz)) - F.coalesce(F.col("theta"), F.log(F.lit(alpha))))
+    return j.groupBy("dataset", key).agg(F.sum(nll).alias("nll"), F.sum("_n").cast("long").alias("n_tok"))
 
 
 def few_cells(df: DataFrame, rows: int) -> bool:

@@ -70,14 +70,17 @@ def qa_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Each user turn is a question; its answers are the assistant turns that
     follow it up to the next user turn.  The owning question of a turn is a
-    distributed running max of user-turn numbers (no per-conversation task),
-    and no per-question list is collected.  ``key`` = conv:question turn:answer turn.
+    distributed running max of user-turn numbers (no per-conversation task)
+    over the narrow columns; texts are joined after, and no per-question list
+    is collected.  ``key`` = conv:question turn:answer turn.
     """
     from ..operators.ordinal import running_max
     c = table(spark, sf_dir, "conversations")
-    tagged = running_max(c, "conv_id", ["turn"],
+    tagged = running_max(c.select("conv_id", "turn", "role"), "conv_id", ["turn"],
                          F.when(F.col("role") == "user", F.col("turn")), "q_turn")
-    answers = (tagged.filter((F.col("role") == "assistant") & F.col("q_turn").isNotNull())
+    owners = (tagged.filter((F.col("role") == "assistant") & F.col("q_turn").isNotNull())
+              .select("conv_id", "q_turn", "turn").distinct())
+    answers = (c.filter(F.col("role") == "assistant").join(owners, ["conv_id", "turn"])
                .select("conv_id", "q_turn", F.col("turn").alias("a_turn"), F.col("text").alias("answer")))
     qs = c.filter(F.col("role") == "user").select("conv_id", F.col("turn").alias("q_turn"),
                                                    F.col("text").alias("question"))
