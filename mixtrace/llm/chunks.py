@@ -14,8 +14,9 @@ that no text sees another.
 Defined cases: NULL text is the empty text, whose fingerprint is empty; two
 empty fingerprints are alike (1), an empty one and another aren't (0); NULL
 doc_id comes first in the order of documents, rows that share a doc_id are
-ordered by text; the only document is its own next; an empty table gives an
-empty result; extra columns are ignored.  Whole texts are read; memory is
+ordered by a hash of their texts (NULL as the empty text), then by the texts;
+the only document is its own next; an empty table gives an empty result; extra
+columns are ignored.  Whole texts are read; memory is
 bounded by a slice of about 2 MB of text or one longer text.
 """
 
@@ -25,14 +26,12 @@ import hashlib
 from bisect import bisect_left
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import partitions, pick, slices
-from .ordered import range_bounds, range_of
+from .ordered import range_bounds, range_of, with_order
 
 LEAST, NORMAL, MOST = 16, 64, 256
 #: Zero bits asked for below and above the normal size.
@@ -127,29 +126,25 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
 
 
 def with_next(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, text) dealt into contiguous ranges of doc_id, one per
-    partition, sorted; ``halo`` marks copies of the next range's first
-    document that stand at a partition's end (the last range's: the first
-    document of all).  One shuffle of the texts; ranges come from a scan of
-    the ids alone."""
+    """rows (doc_id, text) dealt into contiguous ranges of (id, hash of the
+    text), one per partition, sorted; ``halo`` marks a copy of the next range's
+    first document that stands at a partition's end (the last range's: the
+    first document of all).  One shuffle of the texts; cuts come from a scan of
+    the ids alone, and the first documents, one a range, from a partial minimum."""
     n = partitions(rows.sparkSession)
-    bounds = range_bounds(rows, "doc_id", n)
-
-    key, range_at = F.col("doc_id").cast("string"), range_of(F.col("doc_id"), bounds)
-    first = (rows.select("doc_id", range_at.alias("p")).groupBy("p")
-             .agg(F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).collect())
-    first = sorted((r.p, None if r.nulls else r.low) for r in first)  # one per partition
-    before = {low: first[i - 1][0] for i, (_, low) in enumerate(first)}
-
-    @F.pandas_udf(T.IntegerType())
-    def halo_of(ids: pd.Series) -> pd.Series:
-        return pd.Series([before.get(None if x is None or x != x else int(x), -1) for x in ids], dtype="int32")
-
-    placed = rows.select("doc_id", "text", F.explode(F.filter(
-        F.array(F.struct(range_at.alias("p"), F.lit(False).alias("halo")),
-                F.struct(halo_of(key).alias("p"), F.lit(True).alias("halo"))), lambda x: x.p >= 0)).alias("_at"))
-    return (placed.select("doc_id", "text", F.col("_at.p").alias("p"), F.col("_at.halo").alias("halo"))
-            .repartitionById(n, F.col("p")).sortWithinPartitions("halo", "doc_id", "text").drop("p"))
+    rows = with_order(rows.select("doc_id", "text"))
+    placed = rows.withColumn("p", range_of(range_bounds(rows, n)))
+    first = placed.groupBy("p").agg(F.min(F.struct("_key", "_hash")).alias("low")).collect()  # one per partition
+    first = sorted((r.p, r.low._key, r.low._hash) for r in first)
+    lows = [(p, first[i - 1][0], key, h) for i, (p, key, h) in enumerate(first)]
+    lows = F.broadcast(rows.sparkSession.createDataFrame(lows, "p int, before int, _key long, _hash long"))
+    halo = (placed.join(lows, ["p", "_key", "_hash"]).groupBy("before", "_key", "_hash")
+            .agg(F.min(F.struct(F.col("text").isNotNull().alias("some"), "doc_id", "text")).alias("x")))
+    halo = halo.select(F.col("x.doc_id").alias("doc_id"), F.col("x.text").alias("text"), "_key", "_hash",
+                       F.col("before").alias("p"), F.lit(True).alias("halo"))
+    return (placed.withColumn("halo", F.lit(False)).unionByName(halo)
+            .repartitionById(n, F.col("p")).sortWithinPartitions("halo", "_key", "_hash", "text")
+            .select("doc_id", "text", "halo"))
 
 
 def edited(text: str, after: str) -> str:

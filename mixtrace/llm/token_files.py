@@ -18,7 +18,8 @@ space, and its end-of-word mark ends every pre-token, so a white-space unit's
 ids are found once per worker and kept in a bounded cache.
 
 Defined cases: NULL text is the empty text (the end id only); NULL doc_id
-sorts first; rows with equal doc_id are ordered by their ids; an empty table
+sorts first; rows with equal doc_id are ordered by a hash of their texts (their
+ranges are cut by it, so no id is one task); an empty table
 has no file and an empty result; extra columns are ignored.  Memory: one
 shard's ids (a document longer than a shard is a shard of its own).
 
@@ -37,17 +38,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut, scratch_path
 from .common import claim, partitions, pick, slices
-from .ordered import range_bounds, range_of
+from .ordered import range_bounds, range_of, with_order
 
 MAGIC = b"WVM1"
 #: Bytes of a plane's block before compression.
 BLOCK = 1 << 15
+#: Ids that are ordered by a plane's bit at a time (their positions stay in the processor's cache).
+STRIPE = 1 << 15
 #: Ids of a shard, about.
 SHARD_IDS = 4_000_000
 #: White-space units, and pre-tokens, kept per worker (together under 200 MB).
@@ -65,7 +69,7 @@ class Encoder:
 
     def __init__(self, path: str, end_id: int):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -87,6 +91,14 @@ class Encoder:
                                     for t in spec.get("added_tokens") or []))
         self.special = {t["content"][0] for t in spec.get("added_tokens") or []}
         self.pre = regex.compile(PRE_TOKENS)
+        # the same model for lists of pre-tokens, which are normalised and split already
+        self.split = self.lib
+        if self.by_unit and rule[1:] and rule[1]["type"] == "ByteLevel" and not rule[1].get("use_regex", True):
+            self.split = Tokenizer.from_file(path)
+            self.split.normalizer = None
+            self.split.pre_tokenizer = pre_tokenizers.Sequence([
+                pre_tokenizers.Split("\n", "removed"),
+                pre_tokenizers.ByteLevel(add_prefix_space=rule[1]["add_prefix_space"], use_regex=False)])
         self.units: dict[bytes, bytes] = {}
         self.tokens: dict[str, bytes] = {}
 
@@ -110,7 +122,7 @@ class Encoder:
                 odd.append((u, s))
         new = list(set().union(*[ps for _, ps in simple]).difference(self.tokens))
         if new:
-            ids = np.asarray(self.lib.encode_batch_fast(["\n".join(new)], add_special_tokens=False)[0].ids, np.int64)
+            ids = np.asarray(self.split.encode_batch_fast(["\n".join(new)], add_special_tokens=False)[0].ids, np.int64)
             stop = np.flatnonzero(self.ends[ids]) + 1
             if len(stop) == len(new):
                 raw, edge = ids.astype(self.dtype).tobytes(), [0, *(stop * self.dtype.itemsize).tolist()]
@@ -122,20 +134,42 @@ class Encoder:
         if odd:
             self.units.update(zip([u for u, _ in odd], self._whole([s for _, s in odd])))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text, with the end id."""
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Little-endian ids of each text (NULL: empty), with the end id."""
         if not self.by_unit:
-            return [x + self.end for x in self._whole(texts)]
+            return pa.array([x + self.end for x in self._whole([t or "" for t in texts.to_pylist()])], pa.binary())
         if len(self.units) > CACHED_UNITS:
             self.units.clear()
         if len(self.tokens) > CACHED_TOKENS:
             self.tokens.clear()
-        split = [t.encode().split() for t in texts]
-        new = list(set().union(*split).difference(self.units))
+        # each different unit of the slice is looked up once, then ids are gathered
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = split.flatten().cast(pa.binary()).dictionary_encode()
+        known = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # white space at a text's ends leaves an empty unit
+        new = set(known).difference(self.units)
+        new.discard(b"")
         if new:
-            self._learn(new)
-        units, end = self.units, self.end
-        return [b"".join([units[u] for u in x]) + end for x in split]
+            self._learn(list(new))
+        units = self.units
+        ids = [units[u] if u else b"" for u in known]
+        ids.append(self.end)
+        width = self.dtype.itemsize
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        first = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        # the units of all texts end to end, each text's followed by the end id
+        count = split.value_lengths().to_numpy()
+        last = np.cumsum(count + 1) - 1
+        code = np.empty(int(count.sum()) + len(count), np.int64)
+        inner = np.ones(len(code), bool)
+        inner[last] = False
+        code[last] = len(known)
+        code[inner] = words.indices.to_numpy()
+        n = size[code]
+        end = np.cumsum(n)
+        out = flat[np.arange(int(end[-1])) + np.repeat(first[code] - end + n, n)]
+        offsets = np.append(0, end[last] * width)
+        return pa.Array.from_buffers(pa.large_binary(), len(count), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())]).cast(pa.binary())
 
 
 @lru_cache(maxsize=1)
@@ -172,7 +206,13 @@ def build(ids: np.ndarray, bits: int, docs: bytes) -> bytes:
         at += sum(map(len, small))
         body.extend(small)
         if b:
-            seq = np.concatenate([seq[~ones], seq[ones]])
+            down, zero, one = np.empty_like(seq), 0, n - int(before[-1])
+            for i in range(0, n, STRIPE):
+                part, mark = seq[i:i + STRIPE], ones[i:i + STRIPE]
+                low, high = part.take(np.flatnonzero(~mark)), part.take(np.flatnonzero(mark))
+                down[zero:zero + len(low)], down[one:one + len(high)] = low, high
+                zero, one = zero + len(low), one + len(high)
+            seq = down
     docs = z.compress(docs)
     return b"".join([MAGIC, struct.pack("<qqqq", n, bits, len(docs), ids.dtype.itemsize), *head, *body, docs])
 
@@ -275,9 +315,13 @@ class Shard:
         for p in range(self.bits - 1, -1, -1):
             packed = np.concatenate([self._block(p, k) for k in range(self.blocks)] or [np.zeros(0, np.uint8)])
             ones = np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
-            up = np.empty_like(seq)
-            up[~ones] = seq[:self.zeros[p]]
-            up[ones] = seq[self.zeros[p]:] | self.dtype.type(1 << self.bits - 1 - p)
+            up, zero, one = np.empty_like(seq), 0, self.zeros[p]
+            top = self.dtype.type(1 << self.bits - 1 - p)
+            for i in range(0, self.n, STRIPE):
+                part, mark = up[i:i + STRIPE], ones[i:i + STRIPE]
+                low, high = np.flatnonzero(~mark), np.flatnonzero(mark)
+                part[low], part[high] = seq[zero:zero + len(low)], seq[one:one + len(high)] | top
+                zero, one = zero + len(low), one + len(high)
             seq = up
         return seq
 
@@ -300,18 +344,19 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | N
     folder = folder or scratch_path(spark, "token-files")
     rows = pick(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text")
     n = partitions(spark)
-    bounds = range_bounds(rows, "doc_id", n)
+    rows = with_order(rows)
+    bounds = range_bounds(rows, n)
 
     def tokenise(batches):
         e = encoder(tokenizer_path, end_id)
         for b in slices(batches, "text", 2 << 20):
-            ids = e.encode([t or "" for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("doc_id"), pa.array(ids, pa.binary())],
-                                             ["shard", "doc_id", "ids"])
+            ids = e.encode(b.column("text"))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("shard", "doc_id", "_key", "_hash")], ids],
+                                             ["shard", "doc_id", "_key", "_hash", "ids"])
 
-    coded = (rows.select(range_of(F.col("doc_id"), bounds).alias("shard"), "doc_id", "text")
-             .mapInArrow(tokenise, "shard int, doc_id long, ids binary")
-             .repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids"))
+    coded = (rows.select(range_of(bounds).alias("shard"), "doc_id", "_key", "_hash", "text")
+             .mapInArrow(tokenise, "shard int, doc_id long, _key long, _hash long, ids binary")
+             .repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "_key", "_hash", "ids"))
 
     def store(batches):
         e = encoder(tokenizer_path, end_id)

@@ -6,10 +6,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mixtrace.llm import (chunks, language, mixing, neighbours, quality, registry, sentencepiece_codec, simhash,
+from mixtrace.llm import (chunks, language, mixing, neighbours, ordered, quality, registry, sentencepiece_codec, simhash,
                           substring, token_files, toxicity)
 from mixtrace.llm.common import held_out
 from mixtrace.llm.components import components
@@ -136,7 +137,7 @@ def test_token_encoder_fuzz():
     rng = random.Random(2)
     parts = ["a", "B", "É", "ß", "İ", "́", " ", "\n", "\xa0", "\x85", "1", "²", "'s", "'T", ".", "!!", "<|endoftext|>", "Ω", "漢", "\0"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(4000)]
-    for t, b in zip(texts, e.encode(texts)):
+    for t, b in zip(texts, e.encode(pa.array(texts)).to_pylist()):
         assert np.frombuffer(b, e.dtype).tolist() == e.lib.encode(t, add_special_tokens=False).ids + [1]
 
 
@@ -401,6 +402,71 @@ def test_fingerprints(spark, docs, rows, empty):
     assert chunks.compare(one).first().near_next == 1.0
 
 
+def test_ranges_cut_ids_that_many_rows_share(spark):
+    """A third of the rows without an id and a third of one id: no range is much over the mean."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else 1000 + i, f"text {i}") for i in range(9000)]
+    rows += [(-(1 << 63), f"low {i}") for i in range(3)] + [(None, None), (7, "text 1"), (7, "text 1")]
+    df = ordered.with_order(spark.createDataFrame(rows, "doc_id long, text string"))
+    bounds = ordered.range_bounds(df, 12)
+    got = df.withColumn("p", ordered.range_of(bounds)).collect()
+    sizes = np.bincount([r.p for r in got], minlength=12)
+    assert len(bounds) == 11 and sizes.max() < 2 * np.median(sizes)
+    order = sorted(got, key=lambda r: (r._key, r._hash))
+    assert [r.p for r in order] == sorted(r.p for r in got)
+    ids = [r.doc_id for r in order]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+
+
+def test_fingerprints_of_shared_and_missing_ids(spark):
+    """Rows without ids, of one id, repeated rows: each is compared with the next in the stated order."""
+    rng = random.Random(8)
+    rows = [(rng.choice([None, None, 5, 5, 11, 12, 13]), prose(rng, 40) if i % 9 else "same text") for i in range(200)]
+    df = spark.createDataFrame(rows + [(None, None), (5, "")], "doc_id long, text string")
+    order = sorted(ordered.with_order(df).collect(), key=lambda r: (r._key, r._hash, r.text is not None, r.text))
+    want = []
+    for r, nxt in zip(order, order[1:] + order[:1]):
+        a, b = r.text or "", nxt.text or ""
+        new = chunks.edited(a, b)
+        fa, fb, fn = chunks.fingerprints([a, b, new])
+        want.append((r.doc_id, len(a), hashlib.sha256(new.encode()).hexdigest(), chunks.as_text(fa), chunks.as_text(fn),
+                     chunks.containment(fa, fn), chunks.containment(fa, fb)))
+    key = lambda x: tuple(str(v) for v in x)
+    assert sorted(map(tuple, chunks.compare(df.repartition(5)).collect()), key=key) == sorted(want, key=key)
+
+
+def test_token_files_of_shared_and_missing_ids(spark):
+    from tokenizers import Tokenizer
+
+    path = registry.tokenizer("word_bpe_49k.json")
+    lib, rng = Tokenizer.from_file(path), random.Random(9)
+    rows = [(rng.choice([None, 4, 4, 6, 7]), prose(rng, 20) if i % 7 else "same") for i in range(150)] + [(None, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, start = [], 0
+    order = sorted(ordered.with_order(df).collect(), key=lambda r: (r._key, r._hash))
+    for r in order:
+        ids = lib.encode(r.text or "", add_special_tokens=False).ids + [1]
+        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = token_files.read(token_files.write(df.repartition(4), path, shard_ids=300)).collect()
+    assert sorted(map(tuple, got), key=lambda x: x[1]) == want
+
+
+def test_a_text_longer_than_its_slice(spark):
+    """Texts of 5 MB among short ones: chunks and ids are those of the whole texts."""
+    from tokenizers import Tokenizer
+
+    path, rng = registry.tokenizer("word_bpe_49k.json"), random.Random(10)
+    long = prose(rng, 1_200_000)
+    assert len(long) > 4 << 20
+    rows = [(1, "short one"), (2, long), (3, "short two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in token_files.read(token_files.write(df, path)).collect()}
+    ids = Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids + [1]
+    assert (got[2].n_tokens, got[2].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    r = {x.doc_id: x for x in chunks.compare(df).collect()}[2]
+    assert r.fingerprint == chunks.as_text(chunks.fingerprints([long])[0]) and r.n_chars == len(long)
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(5)
     text = prose(rng, 3000)
