@@ -146,10 +146,11 @@ def step_targets(mb: DataFrame, accum: int = 1):
     Each micro-batch's counts are normalised by its token total; a step is
     ``accum`` consecutive micro-batches and its target is their sum / accum,
     i.e. the mean of the micro-batch gradients (a partial last step keeps the
-    1/accum factor, like loss / accumulation_steps).
+    1/accum factor, like loss / accumulation_steps).  The totals, a row per
+    micro-batch, come to the counts: those of a hot run aren't gathered by slice.
     """
-    nb = mb.groupBy("run_id", "b").agg(F.sum("cnt").alias("_nb"))
-    q = (same_keys(mb, nb, ["run_id", "b"])
+    nb = cut(mb.groupBy("run_id", "b").agg(F.sum("cnt").alias("_nb")))
+    q = (same_keys(mb, nb, ["run_id", "b"], broadcast=lm.BROADCAST_ROWS)
          .withColumn("step", (F.floor(F.col("b") / accum) + 1).cast("long"))
          .groupBy("run_id", "step", "tok")
          .agg((F.sum(F.col("cnt") / F.col("_nb")) / accum).alias("q")))
@@ -371,8 +372,7 @@ def fit(train_rows: DataFrame, eval_rows: DataFrame, n_micro: int | None, accum:
     once: per-slice counts, from which whole-dataset counts derive."""
     mb = cut(micro_batch_counts(train_rows, n_micro, batch_rows=batch_rows))
     train_counts = cut(mb.groupBy(F.col("run_id").alias("dataset"), "tok").agg(F.sum("cnt").alias("cnt")))
-    vocab = lm.vocabulary(train_counts, lm.token_counts(eval_rows))
-    model = cut(lm.fit_unigram(train_counts, vocab, alpha))
+    model = cut(lm.fit_union(train_counts, lm.token_counts(eval_rows), alpha=alpha))
     return (model, *step_targets(mb, accum))
 
 
@@ -425,7 +425,7 @@ def unlearn_influence_inverse(train_rows: DataFrame, eval_rows: DataFrame, opt:
     train_counts = cut(lm.token_counts(train_rows))
     q = cut(batch_weighted_counts(eval_rows, batch_rows, mean_of_batches=True)
             .select(F.col("dataset").alias("run_id"), "tok", F.col("cnt").alias("q")))
-    model = cut(lm.fit_unigram(train_counts, lm.vocabulary(train_counts, q), alpha))
+    model = cut(lm.fit_union(train_counts, q, alpha=alpha))
     w = q.select("run_id", F.lit(1.0).alias("a")).distinct()
     log = unlearn_log(model, q, w, eval_weights(train_rows, eval_batch), steps, opt, eval_steps)
     return log, influence_from_log(log, run_col="eval_dataset", eval_col="train_dataset")

@@ -51,6 +51,17 @@ def fit_unigram(train_counts: DataFrame, vocab: DataFrame, alpha: float = 1.0) -
             .withColumn("theta", F.log(F.col("count") + F.lit(alpha))))
 
 
+def fit_union(train_counts: DataFrame, *others: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """``fit_unigram`` with the vocabulary of ``train_counts`` and ``others``
+    together: one aggregate by token, in which the others' tokens count 0, in
+    place of a distinct vocabulary and a join with it."""
+    rows = train_counts.select("tok", F.col("cnt").cast("long").alias("count"))
+    for o in others:
+        rows = rows.unionByName(o.select("tok", F.lit(0).cast("long").alias("count")))
+    return (rows.groupBy("tok").agg(F.sum("count").alias("count"))
+            .withColumn("theta", F.log(F.col("count") + F.lit(alpha))))
+
+
 def log_partition(params: DataFrame, run: str | list[str] = "run_id") -> DataFrame:
     """(run, logz): ln sum exp(theta) per run (or per combination of columns), rows
     weighted by a multiplicity ``n`` when the table has one.

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import coref_class, join_tokens, relabel_category, space_word_count, ustrip
 from ..session import cut
-from .sampling import sample
+from .joins import same_keys
+from .sampling import BROADCAST_ROWS, sample
 
 
 def toxic_prompts(raw: DataFrame, k: int = 256, lo: int = 8, hi: int = 24, seed=42,
@@ -36,8 +37,12 @@ def minimal_pairs(pro: DataFrame, anti: DataFrame, k: int = 256, seed=42, key: s
                   female=None, male=None) -> DataFrame:
     """B2: tables ``(tokens ARRAY<STRING>, key)`` for the pro and anti variants.
 
-    UNION ALL tagged with ``type`` -> join tokens with a space -> classify by
-    pronoun lists -> drop unclassified -> k per ``<type>_<gender>``.
+    UNION ALL tagged with ``type`` -> classify by pronoun lists -> drop
+    unclassified -> k per ``<type>_<gender>`` -> join tokens with a space.
+
+    Rows are classified once; their keys and classes, written, are what the
+    sampler's passes read, and the drawn rows fetch their tokens at the end.
+    ``key`` is unique within a group.
     """
     both = (pro.withColumn("type", F.lit("pro"))
             .unionByName(anti.withColumn("type", F.lit("anti"))))
@@ -46,10 +51,13 @@ def minimal_pairs(pro: DataFrame, anti: DataFrame, k: int = 256, seed=42, key: s
         kw["female"] = female
     if male is not None:
         kw["male"] = male
-    rows = (both.select(join_tokens("tokens").alias("inputs_pretokenized"),
-                        coref_class("tokens", "type", **kw).alias("dataset"), key)
-            .filter(F.col("dataset").isNotNull()))
-    return sample(rows, k, by="dataset", key=key, seed=seed, salt="coref")
+    group = coref_class("tokens", "type", **kw)
+    rows = cut(both.select("type", group.alias("dataset"), key).filter(F.col("dataset").isNotNull()))
+    drawn = sample(rows, k, by="dataset", key=key, seed=seed, salt="coref")
+    # at most k rows of each of the four groups
+    found = same_keys(both.select("type", key, "tokens"), drawn, ["type", key], broadcast=4 * k <= BROADCAST_ROWS)
+    return (found.filter(group == F.col("dataset"))
+            .select(join_tokens("tokens").alias("inputs_pretokenized"), "dataset", key, "epoch"))
 
 
 def qa_falsehoods(raw: DataFrame, k: int = 256, min_count: int = 128, seed=42,

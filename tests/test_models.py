@@ -334,3 +334,13 @@ def test_user_scorer_shards(spark, monkeypatch):
     ex = ex.sort_values(key).reset_index(drop=True)
     assert a["n_tok"].tolist() == ex["n_tok"].tolist()
     assert a["nll"].tolist() == pytest.approx(ex["nll"].tolist(), abs=1e-6)
+
+
+def test_fit_union_equals_fit_on_the_vocabulary(spark):
+    from mixtrace.operators.models import lm
+    train = spark.createDataFrame([("a", "x", 2), ("b", "x", 1), ("b", "y", 4)], "dataset string, tok string, cnt long")
+    other = spark.createDataFrame([("e", "y", 1.5), ("e", "z", 2.5), ("f", "z", 1.0)], "dataset string, tok string, cnt double")
+    want = lm.fit_unigram(train, lm.vocabulary(train, other), 0.5)
+    got = lm.fit_union(train, other, alpha=0.5)
+    assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
+    assert lm.fit_union(train.limit(0), other.limit(0)).count() == 0

@@ -76,3 +76,23 @@ def test_example_and_token_weighting(spark):
     ex = {r.dataset: r.loss for r in evaluate.eval_loss(df, "example").collect()}
     tok = {r.dataset: r.loss for r in evaluate.eval_loss(df, "token").collect()}
     assert ex["a"] == pytest.approx(1.5) and tok["a"] == pytest.approx(5 / 3)
+
+
+def test_minimal_pairs_share_keys_across_tables(spark):
+    """Both tables number their rows alike, and a key stands for one row of each class."""
+    from mixtrace.operators.suites import minimal_pairs
+    def rows(tag):
+        return [(["the", tag, str(i)], i) for i in range(5)] + [(["of", tag, str(i)], i) for i in range(2)] + [
+            (["the", "of"], 90), (["none"], 91), (None, 92)]
+    pro, anti = (spark.createDataFrame(rows(t), "tokens array<string>, key long") for t in ("p", "q"))
+    out = minimal_pairs(pro, anti, k=4, female=["the"], male=["of"])
+    assert out.columns == ["inputs_pretokenized", "dataset", "key", "epoch"]
+    got = out.collect()
+    assert sorted((d, sum(r.dataset == d for r in got)) for d in {r.dataset for r in got}) == [
+        (f"{t}_{g}", 4) for t in ("anti", "pro") for g in ("female", "male")]
+    for r in got:
+        kind, g = r.dataset.split("_")
+        assert r.inputs_pretokenized == f"{'the' if g == 'female' else 'of'} {'p' if kind == 'pro' else 'q'} {r.key}"
+    # a class of two rows goes round twice, one of five gives four different rows
+    assert sorted(r.key for r in got if r.dataset == "pro_male") == [0, 0, 1, 1]
+    assert len({r.key for r in got if r.dataset == "anti_female"}) == 4
