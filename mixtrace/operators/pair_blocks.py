@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .optim import Optim, moved
 
 #: Tokens that a task gathers before it packs their pairs (a longer text is packed alone).
-PACK_TOKENS = 1_500_000
+PACK_TOKENS = 1_000_000
 #: Characters of text a block; a block's arrays are some hundred bytes for each of its pairs.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 3_000_000
 
 PACKED = "block int, data binary"
 GATHERED = "block int, data binary, state binary, sizes array<struct<run:int,b:long,n:long>>, base array<double>"
@@ -92,12 +92,31 @@ def groups(run: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([keys // wide + low, keys % wide]), g
 
 
-def ordered(u: np.ndarray, v: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """Positions in ascending order of (u, v, g)."""
-    sizes = [int(x.max()) + 1 if len(x) else 1 for x in (u, v, g)]
-    if sizes[0] * sizes[1] * sizes[2] < 1 << 63:
-        return np.argsort((u * sizes[1] + v) * sizes[2] + g, kind="stable")
-    return np.lexsort((g, v, u))
+def tally(u: np.ndarray, v: np.ndarray, g: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(u, v, g, count): the combinations that occur, ascending, and their rows or the sums of ``n``."""
+    sizes = [int(x.max()) + 1 for x in (u, v, g)]
+    if sizes[0] * sizes[1] * sizes[2] >= 1 << 63:
+        o = np.lexsort((g, v, u))
+        u, v, g = u[o], v[o], g[o]
+        first = starts_of(u, v, g)
+        count = np.diff(np.append(first, len(u))) if n is None else np.add.reduceat(n[o], first)
+        return u[first], v[first], g[first], count
+    key = u.astype(np.int64)
+    key *= sizes[1]
+    key += v
+    key *= sizes[2]
+    key += g
+    if n is None:
+        key.sort()
+        first = starts_of(key)
+        count = np.diff(np.append(first, len(key)))
+    else:
+        o = np.argsort(key)
+        key = key[o]
+        first = starts_of(key)
+        count = np.add.reduceat(n[o], first)
+    key, g = np.divmod(key[first], sizes[2])
+    return *np.divmod(key, sizes[1]), g, count
 
 
 def _slices(batches):
@@ -134,23 +153,18 @@ def pack(n_blocks: int):
             if len(flat) < 2:
                 continue
             flat = flat.dictionary_encode()
-            words, ids = flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(n)), n)
-            inside = np.flatnonzero(row[1:] == row[:-1])
-            if not len(inside):
+            words, ids = flat.dictionary, flat.indices.to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+            inside = row[1:] == row[:-1]
+            if not inside.any():
                 continue
             group, g = groups(*(t.column(c).to_numpy().astype(np.int64) for c in ("run", "b")))
-            g = g[row[inside]]
             block = np.fromiter((zlib.crc32(w.encode()) % n_blocks for w in words.to_pylist()), np.int64, len(words))
             by_block = np.argsort(block, kind="stable")
             rank = np.empty_like(by_block)
             rank[by_block] = np.arange(len(rank))
-            u, v = rank[ids[inside]], ids[inside + 1]
-            o = ordered(u, v, g)
-            u, v, g = u[o], v[o], g[o]
-            first = starts_of(u, v, g)
-            count = np.diff(np.append(first, len(u)))
-            u, v, g = by_block[u[first]], v[first], g[first]
+            u, v, g, count = tally(rank[ids[:-1][inside]], ids[1:][inside], g[row[1:][inside]])
+            u = by_block[u]
             cuts = starts_of(block[u])
             for a, z in zip(cuts, np.append(cuts[1:], len(u))):
                 used, place = np.unique(np.concatenate([u[a:z], v[a:z]]), return_inverse=True)
@@ -181,10 +195,7 @@ def gather(vocab_size: int, alpha: float, n_sets: int):
         u, v = (np.concatenate([place[a + p[i]] for a, p in zip(at, parts)]) for i in (1, 2))
         run, b, n = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
         group, g = groups(run, b)
-        o = ordered(u, v, g)
-        u, v, g, n = u[o], v[o], g[o], n[o]
-        first = starts_of(u, v, g)
-        u, v, g, n = u[first], v[first], g[first], np.add.reduceat(n, first)
+        u, v, g, n = tally(u, v, g, n)
         total = np.bincount(g, n, group.shape[1]).astype(np.int64)
         data = dump(u, v, group[0][g], group[1][g], n)
         base = fitted_loss(u, v, group[0][g], n, vocab_size, alpha, n_sets)
